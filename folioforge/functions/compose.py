@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
