@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import consolidate, ledger
+from . import consolidate, ledger, mixing, tokenize, truncation, venues
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": ledger.p1_found,
         "p1_counts": ledger.p1_counts,
+        "p3_found": truncation.p3_found,
+        "p3_rates": truncation.p3_rates,
+        "p5_found": venues.p5_found,
+        "p5_unmatched": venues.p5_unmatched,
         "p6_found": consolidate.p6_found,
+        "p8_ids": tokenize.p8_ids,
+        "p9_mix": mixing.p9_mix,
+        "p9_shares": mixing.p9_shares,
     }
 
 
