@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import consolidate, ledger, mixing, tokenize, truncation, venues
+from . import consolidate, ledger, mixing, spelling, stuffing, survivor, tokenize, truncation, venues
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +15,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_counts": ledger.p1_counts,
         "p3_found": truncation.p3_found,
         "p3_rates": truncation.p3_rates,
+        "p4_found": survivor.p4_found,
+        "p4_records": survivor.p4_records,
         "p5_found": venues.p5_found,
         "p5_unmatched": venues.p5_unmatched,
         "p6_found": consolidate.p6_found,
+        "p7_found": spelling.p7_found,
         "p8_ids": tokenize.p8_ids,
         "p9_mix": mixing.p9_mix,
         "p9_shares": mixing.p9_shares,
+        "p10_found": stuffing.p10_found,
     }
 
 
