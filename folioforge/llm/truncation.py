@@ -46,44 +46,48 @@ END_WORDS = 4
 WORD_ENDS, KNOWN_SHARE = 5, 0.95
 #: A notice: at least so many different titles, and at least this share of its rows.
 NOTICE_TITLES, NOTICE_SHARE = 5, 0.5
+#: Letters that tell texts apart by their beginning; characters that are looked at for the end.
+BEGIN, END_CHARS = 48, 400
 CUT = ("limit", "mark", "tail")
 SENTENCES = r"(?<=[.?!])\s+|(?<=[。？！])"
 
 
-def core_text(text: Column) -> Column:
-    """The text without tags, label, rights line and blanks around."""
-    bare = F.regexp_replace(text, TAGS, " ")
-    bare = F.regexp_replace(bare, LABEL, "")
+def end_of(text: Column) -> Column:
+    """The end of the text without tags, rights line and blanks around."""
+    bare = F.regexp_replace(F.right(text, F.lit(END_CHARS)), TAGS, " ")
     bare = F.regexp_replace(bare, RIGHTS, "")
-    return F.regexp_replace(bare, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.regexp_replace(F.when(F.length(text) <= END_CHARS, F.regexp_replace(bare, LABEL, "")).otherwise(bare), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def start_of(text: Column) -> Column:
+    """A hash of the first BEGIN letters, without tags and label."""
+    bare = F.regexp_replace(F.regexp_replace(F.left(text, F.lit(4 * BEGIN)), TAGS, " "), LABEL, "")
+    return F.xxhash64(F.substring(letters_and_digits(bare), 1, BEGIN))
 
 
 def is_placeholder(core: Column) -> Column:
     """Too short to be a text: "n/a", "[Abstract]", "See PDF." and the like."""
     words = F.size(F.split(core, r"\s+"))
     wide = F.regexp_count(core, F.lit(WIDE))
-    return (words < LEAST_WORDS) & (wide < LEAST_WIDE)
+    return (F.length(core) < END_CHARS // 2) & (words < LEAST_WORDS) & (wide < LEAST_WIDE)
 
 
 def _end_key(sentence: Column) -> Column:
     """The last words of a sentence (the last characters where no blanks are written), numbers alike."""
-    plain = F.regexp_replace(F.lower(sentence), r"\d+(?:\.\d+)?", "0")
-    return F.when(F.right(plain, F.lit(1)).rlike(WIDE), F.right(plain, F.lit(END_WORDS))).otherwise(F.substring_index(plain, " ", -END_WORDS))
+    words = F.when(F.right(sentence, F.lit(1)).rlike(WIDE), F.right(sentence, F.lit(END_WORDS))).otherwise(F.substring_index(sentence, " ", -END_WORDS))
+    return F.regexp_replace(F.lower(words), r"[0-9]+(?:\.[0-9]+)?", "0")
 
 
 def spikes(values: DataFrame) -> DataFrame:
     """source, kind ('chars', 'bytes'), size: the lengths that are limits.
 
-    ``values`` has source, text.  Different texts are counted, so copies of one text make no
+    ``values`` has source, chars, bytes and h, a hash of the text.  Different texts are counted, so copies of one text make no
     spike.  A length counts if at least SPIKE_LEAST texts have it and SPIKE_TIMES as many as
     the mean of the SPIKE_AROUND lengths on either side.
     """
     each = values.select(
-        "source", F.xxhash64("text").alias("h"),
-        F.explode(F.array(
-            F.struct(F.lit("chars").alias("kind"), F.length("text").alias("size")),
-            F.struct(F.lit("bytes").alias("kind"), F.octet_length("text").alias("size")),
-        )).alias("m"),
+        "source", "h",
+        F.explode(F.array(F.struct(F.lit("chars").alias("kind"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("kind"), F.col("bytes").alias("size")))).alias("m"),
     )
     seen = each.select("source", "m.kind", "m.size", "h").distinct().groupBy("source", "kind", "size").agg(F.count(F.lit(1)).alias("n"))
     around = W.partitionBy("source", "kind").orderBy("size").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
@@ -96,23 +100,24 @@ def spikes(values: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """id, source, h, verdict of rows (id, source, text, title) that have a text; verdict is 'limit',
-    'mark', 'tail' (all three cut), 'whole', or 'notice'.  h is a hash of the text without markup."""
+    """id, source, start, verdict of rows (id, source, text, title) that have a text; verdict is 'limit',
+    'mark', 'tail' (all three cut), 'whole', or 'notice'.  start is a hash of the text's first BEGIN letters."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "truncation")
-    base = rows.where(F.trim("text") != "").select("id", "source", "text", "title", core_text(F.col("text")).alias("core"))
-    base = base.where(~is_placeholder(F.col("core")))
-    limit = spikes(base.select("source", "text"))
-    open_end = ~F.col("core").rlike(TERMINAL)
-    marked = F.col("core").rlike(MARKS)
-    sentences = F.split("core", SENTENCES)
-    stem = F.regexp_replace(F.element_at(sentences, -1), r"[.?!。？！]+$", "")
-    light = scratch.save(base.select(
+    texts = rows.where(F.trim("text") != "")
+    # exploding one element keeps the end from being worked out again for every use
+    base = texts.select(
         "id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-        open_end.alias("open_end"), marked.alias("marked"), F.xxhash64("core").alias("h"),
-        F.when(F.size(sentences) > 1, F.xxhash64(letters_and_digits(F.col("title")))).alias("t"),
-        F.when(~marked, F.when(open_end & F.col("core").rlike(r"(?:\)|https?://\S+)$"), F.lit(")")).otherwise(_end_key(stem))).alias("tail"),
+        F.xxhash64("text").alias("h"), "title", start_of(F.col("text")).alias("start"), F.explode(F.array(end_of(F.col("text")))).alias("core"),
+    ).where(~is_placeholder(F.col("core")))
+    parts = base.withColumns({"sentences": F.split("core", SENTENCES), "open_end": ~F.col("core").rlike(TERMINAL), "marked": F.col("core").rlike(MARKS)})
+    stem = F.regexp_replace(F.element_at("sentences", -1), r"[.?!。？！]+$", "")
+    light = scratch.save(parts.select(
+        "id", "source", "chars", "bytes", "open_end", "marked", "h", "start",
+        F.when(F.size("sentences") > 1, F.xxhash64(letters_and_digits(F.col("title")))).alias("t"),
+        F.when(~F.col("marked"), F.when(F.col("open_end") & F.col("core").rlike(r"(?:\)|https?://\S+)$"), F.lit(")")).otherwise(_end_key(stem))).alias("tail"),
     ), "ends")
+    limit = spikes(light.select("source", "h", "chars", "bytes"))
     shared = (
         light.where("t is not null").groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("h").agg(F.count(F.lit(1)).alias("titles"), F.sum("n").alias("n"))
@@ -121,9 +126,10 @@ def judged(rows: DataFrame) -> DataFrame:
     )
     n = light.count()
     light = scratch.save(attach_unique(light, scratch.save(shared, "notices"), "h", n, "left").drop("t"), "light")
+    inner = F.split("text", r"[.?!]+\s+|[。？！]+")
     ends = scratch.save(
-        base.select(F.explode(F.slice(sentences, F.lit(1), F.greatest(F.size(sentences) - 1, F.lit(0)))).alias("s"))
-        .select(_end_key(F.regexp_replace("s", r"[.?!。？！]+$", "")).alias("tail"))
+        texts.select(F.explode(F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))).alias("s"))
+        .select(_end_key(F.col("s")).alias("tail"))
         .groupBy("tail").agg(F.lit(True).alias("closes")), "closing",
     )
     known = light.where("tail is not null and tail != ')'").select("tail").distinct().join(ends, "tail", "left")
@@ -155,7 +161,7 @@ def judged(rows: DataFrame) -> DataFrame:
         .when(~F.col("open_end") & F.coalesce(F.col("odd"), F.lit(False)) & F.lit(use_words), "tail")
         .otherwise("whole")
     )
-    return out.select("id", "source", "h", verdict.alias("verdict"))
+    return out.select("id", "source", "start", verdict.alias("verdict"))
 
 
 def _abstracts(papers: DataFrame) -> DataFrame:
