@@ -38,12 +38,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _forget_local() -> None:
+    """Scratch folders on a local disk go with the process; those on other file systems are the cluster's to clean."""
+    for root in _ROOTS:
+        if root.startswith(("file:", "/")):
+            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+_ROOTS: list[str] = []
+atexit.register(_forget_local)
+
+
 class Scratch:
     """Intermediate tables of one operator run."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/folioforge/{name}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append(self.root)
         self._n = 0
         self._paths: dict[int, str] = {}
 
