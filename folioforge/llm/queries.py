@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import consolidate, ledger, mixing, spelling, stuffing, survivor, tokenize, truncation, venues
+from . import consolidate, entity_match, ledger, mixing, spelling, stuffing, survivor, tokenize, truncation, venues
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": ledger.p1_found,
         "p1_counts": ledger.p1_counts,
+        "p2_found": entity_match.p2_found,
+        "p2_matches": entity_match.p2_matches,
         "p3_found": truncation.p3_found,
         "p3_rates": truncation.p3_rates,
         "p4_found": survivor.p4_found,
