@@ -20,12 +20,13 @@ def match_edges(papers: DataFrame, pairs: DataFrame) -> DataFrame:
     Identifiers that are none, nulls, pairs of a row with itself and pairs with ids that
     papers lacks link nothing.
     """
-    doi = canonical_doi(F.col("doi"))
-    alias = arxiv_of_doi(doi)
-    keys = papers.select(
+    # each step's columns are used more than once by the next, so they are worked out once
+    bare = papers.select("id", canonical_doi(F.col("doi")).alias("doi"), canonical_arxiv(F.col("arxiv_id")).alias("arxiv"))
+    bare = bare.where("doi is not null or arxiv is not null").select("id", "doi", "arxiv", arxiv_of_doi(F.col("doi")).alias("alias"))
+    keys = bare.select(
         "id",
         F.array_distinct(F.array_compact(F.array(
-            F.concat(F.lit("d"), F.when(alias.isNull(), doi)), F.concat(F.lit("a"), alias), F.concat(F.lit("a"), canonical_arxiv(F.col("arxiv_id")))
+            F.concat(F.lit("d"), F.when(F.col("alias").isNull(), F.col("doi"))), F.concat(F.lit("a"), F.col("alias")), F.concat(F.lit("a"), F.col("arxiv"))
         ))).alias("keys"),
     ).select("id", F.explode("keys").alias("key"))
     known = papers.select("id").distinct()

@@ -31,7 +31,7 @@ from .common import table
 MARKS = r"(?i)(?:…|\.\.\.|�|\[(?:…|\.\.\.)\]|[(\[](?:continued|more|read more|truncated)[^)\]]*[)\]]|(?:…|\.\.\.)?\s*(?:read more|continue reading|see more)\.?)$"
 TERMINAL = r"[.?!。？！]$"
 #: Rights lines, which follow a text but say nothing about its end.
-RIGHTS = r"(?i)\s*(?:©|\(c\)|copyright)\s*\d{4}\b.{0,80}$"
+RIGHTS = r"(?i)(?:©|\(c\)|copyright)\s*\d{4}\b.{0,80}$"
 LABEL = r"(?i)^\s*\[?(?:abstract|summary|zusammenfassung|résumé|resumen|摘要)\]?\s*[:.—–-]\s*"
 TAGS = r"</?[A-Za-z][A-Za-z0-9:]*(?:\s[^<>]*)?/?>"
 #: Fewer words (or characters, in scripts without blanks) than this make no abstract.
@@ -46,8 +46,8 @@ END_WORDS = 4
 WORD_ENDS, KNOWN_SHARE = 5, 0.95
 #: A notice: at least so many different titles, and at least this share of its rows.
 NOTICE_TITLES, NOTICE_SHARE = 5, 0.5
-#: Letters that tell texts apart by their beginning; characters that are looked at for the end.
-BEGIN, END_CHARS = 48, 400
+#: Letters that tell texts apart by their beginning; characters that are looked at for the end, and for a mark.
+BEGIN, END_CHARS, MARK_CHARS = 48, 240, 60
 CUT = ("limit", "mark", "tail")
 SENTENCES = r"(?<=[.?!])\s+|(?<=[。？！])"
 
@@ -110,12 +110,12 @@ def judged(rows: DataFrame) -> DataFrame:
         "id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
         F.xxhash64("text").alias("h"), "title", start_of(F.col("text")).alias("start"), F.explode(F.array(end_of(F.col("text")))).alias("core"),
     ).where(~is_placeholder(F.col("core")))
-    parts = base.withColumns({"sentences": F.split("core", SENTENCES), "open_end": ~F.col("core").rlike(TERMINAL), "marked": F.col("core").rlike(MARKS)})
+    parts = base.withColumns({"sentences": F.split("core", SENTENCES), "open_end": ~F.right("core", F.lit(1)).rlike(TERMINAL), "marked": F.right("core", F.lit(MARK_CHARS)).rlike(MARKS)})
     stem = F.regexp_replace(F.element_at("sentences", -1), r"[.?!。？！]+$", "")
     light = scratch.save(parts.select(
         "id", "source", "chars", "bytes", "open_end", "marked", "h", "start",
         F.when(F.size("sentences") > 1, F.xxhash64(letters_and_digits(F.col("title")))).alias("t"),
-        F.when(~F.col("marked"), F.when(F.col("open_end") & F.col("core").rlike(r"(?:\)|https?://\S+)$"), F.lit(")")).otherwise(_end_key(stem))).alias("tail"),
+        F.when(~F.col("marked"), F.when(F.col("open_end") & F.right("core", F.lit(2 * MARK_CHARS)).rlike(r"(?:\)|https?://\S+)$"), F.lit(")")).otherwise(_end_key(stem))).alias("tail"),
     ), "ends")
     limit = spikes(light.select("source", "h", "chars", "bytes"))
     shared = (
