@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import consolidate, entity_match, ledger, mixing, spelling, stuffing, survivor, tokenize, truncation, venues
+from . import consolidate, entity_match, ledger, mixing, spelling, stuffing, survivor, sql, tokenize, truncation, venues
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
