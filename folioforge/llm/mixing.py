@@ -10,7 +10,7 @@ multivariate hypergeometric distribution, so every shard holds a random mix and
 the quotas stay exact.  Shards then take disjoint runs of each source's
 permuted blocks, and each shard shuffles its own rows.
 
-Only sums by block come to the driver, blocks_per_source() of them a source.
+Only sums by block come to the driver, shards times BLOCKS_PER_SHARD of them a source.
 
 Defined results: documents without text, of no source, or of a source without
 target are not taken; a target source without documents keeps its row in the
