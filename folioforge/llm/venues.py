@@ -194,7 +194,9 @@ def mapped(rows: DataFrame, reference: DataFrame) -> DataFrame:
             yield pd.DataFrame({"venue": b["venue"], "venue_id": b["venue"].map(trie.match)})
 
     typed = scratch.save(rows.where(F.trim("venue") != "").select("id", "venue"), "typed")
-    forms = typed.select("venue").distinct().mapInPandas(judge, "venue string, venue_id string")
+    # few bytes but much work a form: spread by number, not by size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    forms = typed.select("venue").distinct().repartition(parts).mapInPandas(judge, "venue string, venue_id string")
     return attach_unique(typed, scratch.save(forms, "forms"), "venue", typed.count())
 
 
