@@ -29,6 +29,8 @@ from .common import table
 
 #: Head words a language, and the share of all texts a language needs to have its own.
 HEAD_WORDS, LANGUAGE_SHARE = 30, 0.005
+#: And pages, so that no page is a language of its own.
+LEAST_PAGES = 3
 LEAST_WORDS = 16
 #: Less prose than PROSE_SHARE is stuffing; the share of a page of n words is known to about PROSE_ERROR / sqrt(n).
 PROSE_SHARE, PROSE_ERROR = 0.5, 0.75
@@ -76,7 +78,7 @@ def judged(documents: DataFrame) -> DataFrame:
 
     letters = words.where(~F.col("word").rlike("^[0-9]+$"))
     size = words.select("doc_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("pages"))
-    size = size.withColumn("kept", F.col("pages") >= LANGUAGE_SHARE * F.sum("pages").over(W.partitionBy())).where("kept and label != '?'").select("label", "pages")
+    size = size.withColumn("kept", F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), LANGUAGE_SHARE * F.sum("pages").over(W.partitionBy()))).where("kept and label != '?'").select("label", "pages")
     by_word = letters.groupBy("label", "word").agg(F.count(F.lit(1)).alias("df"))
     # at most HEAD_WORDS words for each of at most 1 / LANGUAGE_SHARE languages: a bounded table
     heads = (

@@ -32,7 +32,7 @@ LINK_WORDS = frozenset("a an and at for in of on the to und et y de la le der di
 #: The reference list is sent to all executors, so its size is checked.
 MAX_ENTRIES = 200_000
 #: One error for so many letters, and at most so many.
-LETTERS_PER_ERROR, MAX_ERRORS = 9, 4
+LETTERS_PER_ERROR, MAX_ERRORS = 8, 4
 
 _NUMBERING = re.compile(r"(?:,?\s*\b(?:vol|volume|no|nr|issue|pp|part)\b\.?\s*[\divxlc]+[a-z]?(?:\s*[-–]\s*\d+)?)|\b\d+\s*\(\d+\)|\((?:print|online|electronic|issn[^)]*)\)|\b(?:19|20)\d\d\b|['’]\d\d\b|\b\d+(?:st|nd|rd|th)?\b", re.I)
 _LEAD = re.compile(r"^(?:in\s*:\s*|in\s+(?=proc))?(?:(?:the\s+)?proc(?:eedings)?\b\.?\s*(?:of\s+)?)?(?:the\s+)?", re.I)
