@@ -151,10 +151,14 @@ def loose_key(doi: Column, arxiv_id: Column, title: Column, year: Column) -> Col
 
 def paper_keys(pid: Column, doi: Column, arxiv_id: Column, title: Column) -> Column:
     """All keys a record can be found by, sorted."""
-    d, a, al, t = bare_doi(doi), bare_arxiv(arxiv_id), alias_arxiv(doi), title_words(title)
+    return key_set(pid, bare_doi(doi), bare_arxiv(arxiv_id), alias_arxiv(doi), title_words(title))
+
+
+def key_set(pid: Column, doi: Column, arxiv_id: Column, alias: Column, title: Column) -> Column:
+    """The same of values in their bare forms."""
     tag = lambda p, v: F.when(v != "", F.concat(F.lit(p), v))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(
-        F.when(has(pid), pid), tag("doi:", d), tag("arxiv:", a), tag(f"doi:{ALIAS_PREFIX}", a), tag("arxiv:", al), tag(f"doi:{ALIAS_PREFIX}", al), tag("title:", t),
+        F.when(has(pid), pid), tag("doi:", doi), tag("arxiv:", arxiv_id), tag(f"doi:{ALIAS_PREFIX}", arxiv_id), tag("arxiv:", alias), tag(f"doi:{ALIAS_PREFIX}", alias), tag("title:", title),
     ))))
 
 
@@ -229,10 +233,10 @@ def plan_template(prompt: Column, identified: Column) -> Column:
     )
 
 
-def query_seed(prompt: Column, dois: Column, arxiv_ids: Column, hint: Column) -> Column:
-    """The prompt without identifiers, addresses and set phrases; the quoted title if nothing much is left."""
+def bare_seed(prompt: Column, known: Column) -> Column:
+    """The prompt without the identifiers in the array ``known``, addresses and set phrases."""
     low_replace = lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?i)\Q"), x, F.lit(r"\E")), F.lit(" "))
-    s = F.aggregate(F.concat(dois, arxiv_ids), F.trim(text(prompt)), low_replace)
+    s = F.aggregate(known, F.trim(text(prompt)), low_replace)
     for p in (r"(?i)https?://arxiv\.org/(?:abs|pdf)/\S+", r"(?i)https?://doi\.org/\S+", r"(?i)\bdoi\b", r"(?i)\barxiv\b"):
         s = F.regexp_replace(s, p, " ")
     s = F.regexp_replace(s, r"(?i)^(?:find details for |details for |find |show me |give me )\s*", "")
@@ -240,10 +244,13 @@ def query_seed(prompt: Column, dois: Column, arxiv_ids: Column, hint: Column) ->
     s = F.regexp_replace(s, r"(?i)from top ai conferences|top ai conferences", " ")
     s = F.regexp_replace(F.regexp_replace(s, r"(?i)latest ", " "), r"(?i)recent ", " ")
     s = F.regexp_replace(F.regexp_replace(s, r"(?i)\bfor and\b", " "), r"(?i)\band related work\b", " related work")
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    few = F.size(F.regexp_extract_all(F.lower(s), F.lit("([a-z0-9]{3,})"), F.lit(1))) <= 1
-    s = F.when(few & (hint != ""), hint).otherwise(s)
-    return F.when(s != "", s).otherwise(F.trim(text(prompt)))
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def seed_or_hint(seed: Column, hint: Column, prompt: Column) -> Column:
+    """The seed; the quoted title if nothing much is left of it; the prompt if there is neither."""
+    few = F.size(F.regexp_extract_all(F.lower(seed), F.lit("([a-z0-9]{3,})"), F.lit(1))) <= 1
+    return F.coalesce(F.nullif(F.when(few & (hint != ""), hint).otherwise(seed), F.lit("")), F.trim(text(prompt)))
 
 
 def tokens(c: Column) -> Column:

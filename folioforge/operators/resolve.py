@@ -16,12 +16,23 @@ from .merge import merge_rows
 c = F.col
 
 
+def with_lookup_ids(requests: DataFrame) -> DataFrame:
+    """Requests with eff_doi and eff_arxiv: ``records.lookup_ids`` in steps, each part worked out once."""
+    parts = requests.withColumns({
+        "_doi": R.bare_doi(c("doi")), "_given": R.bare_arxiv(F.when(R.has(c("arxiv_id")), c("arxiv_id")).otherwise(c("arxiv_url"))),
+    })
+    parts = parts.withColumn("_alias", R.alias_arxiv(c("_doi")))
+    return parts.withColumns({
+        "eff_doi": F.when(c("_alias") != "", "").otherwise(c("_doi")), "eff_arxiv": F.when(c("_given") != "", c("_given")).otherwise(c("_alias")),
+    }).drop("_doi", "_given", "_alias")
+
+
 def lookups(requests: DataFrame) -> DataFrame:
-    """qid, mode ('doi', 'arxiv', 'title', 'none') and value of requests (qid, doi, url, arxiv_id, title)."""
-    d, a = R.lookup_ids(c("doi"), c("url"), c("arxiv_id"))
-    mode = R.lookup_mode(c("doi"), c("url"), c("arxiv_id"), c("title"))
-    value = F.when(mode == "doi", d).when(mode == "arxiv", a).when(mode == "title", R.title_words(c("title"))).otherwise("")
-    return requests.select("qid", mode.alias("mode"), value.alias("value"))
+    """qid, mode ('doi', 'arxiv', 'title', 'none') and value of requests (qid, doi, arxiv_url, arxiv_id, title)."""
+    ids = with_lookup_ids(requests).select("qid", "title", c("eff_doi").alias("d"), c("eff_arxiv").alias("a"))
+    mode = F.when(c("d") != "", "doi").when(c("a") != "", "arxiv").when(R.has(c("title")), "title").otherwise("none")
+    value = F.when(c("d") != "", c("d")).when(c("a") != "", c("a")).otherwise(R.title_words(c("title")))
+    return ids.select("qid", mode.alias("mode"), value.alias("value"))
 
 
 def identified(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import dml
+from ..operators.resolve import with_lookup_ids
 from .relations import CANDIDATES, REQUESTS, candidates, requests, s_alias, s_arxiv, s_doi, s_title, table
 
 c = F.col
@@ -134,8 +135,7 @@ def find_by_identifier(spark, d):
 
 def cache_lookup(spark, d):
     """The stored paper of each request: by arXiv id, DOI, then a title that only one paper has."""
-    eff = R.lookup_ids(c("doi"), c("url"), c("arxiv_id"))
-    q = requests(spark, d).select("qid", eff[0].alias("qd"), eff[1].alias("qa"), R.title_words(c("title")).alias("qt"))
+    q = with_lookup_ids(requests(spark, d)).select("qid", c("eff_doi").alias("qd"), c("eff_arxiv").alias("qa"), R.title_words(c("title")).alias("qt"))
     p = candidates(spark, d)
     aid = F.when(R.bare_arxiv(c("arxiv_id")) != "", R.bare_arxiv(c("arxiv_id"))).otherwise(R.alias_arxiv(c("doi")))
     by_a = p.groupBy(aid.alias("qa")).agg(F.min("id").alias("pa")).where("qa != ''")
@@ -180,7 +180,7 @@ _BYLINE = "SELECT paper_id, author_id, min(position) AS position FROM paper_auth
 _QA = f"coalesce(nullif({s_arxiv('arxiv_id')}, ''), {s_alias('doi')})"
 _YEAR = "CASE WHEN regexp_matches(trim(year, ' '), '^[0-9]+$') THEN trim(year, ' ') ELSE '' END"
 _SRC = "lower(trim(CASE WHEN source <> '' THEN source ELSE 'unknown' END, ' '))"
-_GIVEN = f"(CASE WHEN arxiv_id <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_arxiv('url')} END)"
+_GIVEN = f"(CASE WHEN arxiv_id <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_arxiv('arxiv_url')} END)"
 
 SQL = {
     "q_paper_with_authors": f"SELECT e.paper_id, e.author_id, CAST(e.position AS BIGINT) AS position, a.name, CASE WHEN coalesce(a.orcid, '') <> '' THEN 1 ELSE 0 END AS has_orcid FROM ({_BYLINE}) e JOIN authors a ON e.author_id = a.id",

@@ -41,12 +41,12 @@ FROM papers"""
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "discovery_rows")
-    return d.select(F.col("row_id").alias("qid"), *[R.text(F.col(c)).alias(c) for c in ("source", "source_id", "title", "venue", "year", "doi", "arxiv_id", "url")])
+    return d.select(F.col("row_id").alias("qid"), *[R.text(F.col(c)).alias(c) for c in ("source", "source_id", "title", "venue", "year", "doi", "arxiv_id", "url")], F.when(F.col("url").contains("arxiv.org/"), F.col("url")).otherwise("").alias("arxiv_url"))
 
 
 REQUESTS = """
 SELECT row_id AS qid, coalesce(source, '') AS source, coalesce(source_id, '') AS source_id, coalesce(title, '') AS title, coalesce(venue, '') AS venue,
-  coalesce(year, '') AS year, coalesce(doi, '') AS doi, coalesce(arxiv_id, '') AS arxiv_id, coalesce(url, '') AS url
+  coalesce(year, '') AS year, coalesce(doi, '') AS doi, coalesce(arxiv_id, '') AS arxiv_id, coalesce(url, '') AS url, CASE WHEN contains(url, 'arxiv.org/') THEN url ELSE '' END AS arxiv_url
 FROM discovery_rows"""
 
 _SHAPES = ("latest papers on {t} from top AI conferences", "{t} cited by related work", "dblp {t} proceedings", "find details for {i}", 'papers on "{t}"', "{t} recent survey", "show me {t} and related work")

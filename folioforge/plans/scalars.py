@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import records as R
+from ..functions.digest import raw_row_key
+from ..operators.resolve import with_lookup_ids
 from .relations import CANDIDATES, PROMPTS, REQUESTS, candidates, prompts, requests, s_alias, s_arxiv, s_clean, s_dedup, s_doi, s_paper_id, s_shorten, s_title, table
 
 c = F.col
@@ -20,12 +22,10 @@ def normalize_title(spark, d):
 
 
 def query_keys(spark, d):
-    q = requests(spark, d)
-    ids = R.lookup_ids(c("doi"), c("url"), c("arxiv_id"))
-    return q.select(
-        "qid", ids[0].alias("eff_doi"), ids[1].alias("eff_arxiv"), R.query_key(c("doi"), c("url"), c("arxiv_id"), c("title")).alias("query_key"),
-        R.lookup_mode(c("doi"), c("url"), c("arxiv_id"), c("title")).alias("mode"), F.array_join(R.input_warnings(c("doi"), c("url")), ",").alias("warnings"),
-    )
+    q = with_lookup_ids(requests(spark, d)).withColumn("tn", R.title_words(c("title")))
+    key = F.when(c("eff_doi") != "", F.concat(F.lit("doi:"), "eff_doi")).when(c("eff_arxiv") != "", F.concat(F.lit("arxiv:"), "eff_arxiv")).when(c("tn") != "", F.concat(F.lit("title:"), "tn")).otherwise("empty")
+    mode = F.when(c("eff_doi") != "", "doi").when(c("eff_arxiv") != "", "arxiv").when(c("title") != "", "title").otherwise("none")
+    return q.select("qid", "eff_doi", "eff_arxiv", key.alias("query_key"), mode.alias("mode"), F.array_join(R.input_warnings(c("doi"), c("arxiv_url")), ",").alias("warnings"))
 
 
 def paper_ids(spark, d):
@@ -55,8 +55,9 @@ def row_keys(spark, d):
 
 
 def paper_key_sets(spark, d):
-    keys = R.paper_keys(c("id"), c("doi"), c("arxiv_id"), c("title"))
-    return candidates(spark, d).select("id", F.array_join(keys, "|").alias("keys"), F.array_join(R.arxiv_of_keys(R.alias_keys(keys)), "|").alias("arxiv_ids"))
+    bare = candidates(spark, d).select("id", R.bare_doi(c("doi")).alias("d"), R.bare_arxiv(c("arxiv_id")).alias("a"), R.title_words(c("title")).alias("t"))
+    keyed = bare.withColumn("al", R.alias_arxiv(c("d"))).select("id", R.key_set(c("id"), c("d"), c("a"), c("al"), c("t")).alias("ks"))
+    return keyed.select("id", F.array_join("ks", "|").alias("keys"), F.array_join(R.arxiv_of_keys(R.alias_keys(c("ks"))), "|").alias("arxiv_ids"))
 
 
 def clean_text(spark, d):
@@ -84,8 +85,9 @@ def prompt_signals(spark, d):
 
 
 def query_seed(spark, d):
-    p = prompts(spark, d)
-    return p.select("qid", R.query_seed(c("prompt"), R.found_dois(c("prompt")), R.prompt_arxiv(c("prompt")), R.title_hint(c("prompt"))).alias("seed"))
+    p = prompts(spark, d).withColumns({"known": F.concat(R.found_dois(c("prompt")), R.prompt_arxiv(c("prompt"))), "hint": R.title_hint(c("prompt"))})
+    p = p.withColumn("seed", R.bare_seed(c("prompt"), c("known")))
+    return p.select("qid", R.seed_or_hint(c("seed"), c("hint"), c("prompt")).alias("seed"))
 
 
 def text_identifiers(spark, d):
@@ -102,10 +104,10 @@ def complete_records(spark, d):
 
 def target_pages(spark, d):
     q = requests(spark, d)
-    # the pages of one source in order; a running count of fetched ones keeps to the budget
-    w = W.partitionBy("source").orderBy("qid")
+    # the first pages of each source in order; the place is limited before the shuffle, so a large source is no burden
     hit = R.is_target(c("url"), F.lit("scholar_graph")) | R.host_of(c("url")).endswith(".example")
-    return q.where(hit).withColumn("fetched", F.sum(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).where("fetched <= 3").select("qid", R.host_of(c("url")).alias("host"), c("fetched").cast("long").alias("fetched"))
+    place = F.row_number().over(W.partitionBy("source").orderBy("qid"))
+    return q.where(hit).withColumn("fetched", place).where("fetched <= 3").select("qid", R.host_of(c("url")).alias("host"), c("fetched").cast("long").alias("fetched"))
 
 
 def pipe_lists(spark, d):
@@ -121,28 +123,33 @@ def venue_year_filter(spark, d):
     return candidates(spark, d).where(F.lower(F.trim("venue")).isin(*asked)).where((y != "") & y.cast("int").between(2015, 2024)).select("id", "venue", "year")
 
 
+def raw_row_keys(spark, d):
+    q = requests(spark, d)
+    return q.select("qid", raw_row_key(c("source"), c("source_id"), c("title"), c("year"), c("doi"), c("arxiv_id"), c("url")).alias("row_key"))
+
+
 QUERIES = {
-    "q_normalize_ids": normalize_ids, "q_normalize_title": normalize_title, "q_query_keys": query_keys, "q_stable_paper_ids": paper_ids, "q_stable_org_ids": org_ids,
+    "q_raw_row_keys": raw_row_keys, "q_normalize_ids": normalize_ids, "q_normalize_title": normalize_title, "q_query_keys": query_keys, "q_stable_paper_ids": paper_ids, "q_stable_org_ids": org_ids,
     "q_stable_author_ids": author_ids, "q_row_keys": row_keys, "q_paper_key_sets": paper_key_sets, "q_clean_text": clean_text, "q_terms_distinct": terms_distinct,
     "q_inverted_abstract": inverted_abstract, "q_prompt_signals": prompt_signals, "q_query_seed": query_seed, "q_text_identifiers": text_identifiers,
     "q_complete_records": complete_records, "q_target_pages": target_pages, "q_pipe_lists": pipe_lists, "q_venue_year_filter": venue_year_filter,
 }
 
 _ALIAS, _DOI = s_alias("doi"), s_doi("doi")
-_GIVEN = f"(CASE WHEN arxiv_id <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_arxiv('url')} END)"
+_GIVEN = f"(CASE WHEN arxiv_id <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_arxiv('arxiv_url')} END)"
 _EFF = f"SELECT *, CASE WHEN {_ALIAS} <> '' THEN '' ELSE {_DOI} END AS eff_doi, CASE WHEN {_GIVEN} <> '' THEN {_GIVEN} ELSE {_ALIAS} END AS eff_arxiv, {s_title('title')} AS tn FROM ({REQUESTS})"
 _SOURCE = "lower(trim(CASE WHEN source <> '' THEN source ELSE 'unknown' END, ' '))"
-_DOIS_IN = r"list_filter(list_transform(regexp_extract_all({c}, '(10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]+)', 1), x -> " + s_doi(r"regexp_replace(x, '[.,);\]]+$', '')") .replace("{", "{{").replace("}", "}}") + "), x -> x <> '')"
-_ARXIV_IN = r"list_filter(list_transform(regexp_extract_all({c}, '\b([0-9]{{4}}\.[0-9]{{4,5}}(?:v[0-9]+)?)\b', 1), x -> " + s_arxiv("x").replace("{", "{{").replace("}", "}}") + "), x -> x <> '')"
-_URLS_IN = r"list_transform(regexp_extract_all({c}, '(?i)(https?://arxiv\.org/(?:abs|pdf)/[^\s]+)', 1), x -> " + s_arxiv("x").replace("{", "{{").replace("}", "}}") + ")"
+_DOIS_IN = r"list_filter(list_transform(regexp_extract_all({c}, '(10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]+)', 1), lambda x: " + s_doi(r"regexp_replace(x, '[.,);\]]+$', '')") .replace("{", "{{").replace("}", "}}") + "), lambda x: x <> '')"
+_ARXIV_IN = r"list_filter(list_transform(regexp_extract_all({c}, '\b([0-9]{{4}}\.[0-9]{{4,5}}(?:v[0-9]+)?)\b', 1), lambda x: " + s_arxiv("x").replace("{", "{{").replace("}", "}}") + "), lambda x: x <> '')"
+_URLS_IN = r"list_transform(regexp_extract_all({c}, '(?i)(https?://arxiv\.org/(?:abs|pdf)/[^\s]+)', 1), lambda x: " + s_arxiv("x").replace("{", "{{").replace("}", "}}") + ")"
 
 
 def _first_seen(lst: str) -> str:
     """Distinct items of a list in the order of their first place."""
-    return f"list_filter({lst}, (x, i) -> list_position({lst}, x) = i)"
+    return f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
 
 
-_P_DOIS, _P_ARXIV = _DOIS_IN.format(c="prompt"), f"list_filter(list_concat({_URLS_IN.format(c='prompt')}, {_ARXIV_IN.format(c='prompt')}), x -> x <> '')"
+_P_DOIS, _P_ARXIV = _DOIS_IN.format(c="prompt"), f"list_filter(list_concat({_URLS_IN.format(c='prompt')}, {_ARXIV_IN.format(c='prompt')}), lambda x: x <> '')"
 _SIGNALS = rf"""SELECT qid, prompt, {_first_seen('d0')} AS dois, {_first_seen('a0')} AS arxiv_ids, trim(regexp_extract(prompt, '"([^"]{{8,220}})"', 1), ' ') AS hint
 FROM (SELECT qid, prompt, {_P_DOIS} AS d0, {_P_ARXIV} AS a0 FROM ({PROMPTS}))"""
 
@@ -160,10 +167,10 @@ WHEN {_any('prompt', 'latest', 'recent', 'top', 'papers on', 'paper on', 'theme'
 _KEYS = f"""list_sort(list_distinct(list_filter([CASE WHEN id <> '' THEN id END,
  CASE WHEN {_DOI} <> '' THEN concat('doi:', {_DOI}) END, CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN concat('arxiv:', {s_arxiv('arxiv_id')}) END,
  CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN concat('doi:10.48550/arxiv.', {s_arxiv('arxiv_id')}) END, CASE WHEN {_ALIAS} <> '' THEN concat('arxiv:', {_ALIAS}) END,
- CASE WHEN {_ALIAS} <> '' THEN concat('doi:10.48550/arxiv.', {_ALIAS}) END, CASE WHEN {s_title('title')} <> '' THEN concat('title:', {s_title('title')}) END], x -> x IS NOT NULL)))"""
+ CASE WHEN {_ALIAS} <> '' THEN concat('doi:10.48550/arxiv.', {_ALIAS}) END, CASE WHEN {s_title('title')} <> '' THEN concat('title:', {s_title('title')}) END], lambda x: x IS NOT NULL)))"""
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
-_TERMS = f"list_filter(list_transform(list_concat(keywords, categories), x -> {s_clean('x')}), x -> x <> '')"
+_TERMS = f"list_filter(list_transform(list_concat(keywords, categories), lambda x: {s_clean('x')}), lambda x: x <> '')"
 
 SQL = {
     "q_normalize_ids": f"SELECT id, {_DOI} AS doi_norm, {s_arxiv('arxiv_id')} AS arxiv_norm, {_ALIAS} AS alias FROM ({CANDIDATES})",
@@ -172,9 +179,9 @@ SQL = {
   CASE WHEN eff_doi <> '' THEN concat('doi:', eff_doi) WHEN eff_arxiv <> '' THEN concat('arxiv:', eff_arxiv) WHEN tn <> '' THEN concat('title:', tn) ELSE 'empty' END AS query_key,
   CASE WHEN eff_doi <> '' THEN 'doi' WHEN eff_arxiv <> '' THEN 'arxiv' WHEN title <> '' THEN 'title' ELSE 'none' END AS mode,
   array_to_string(list_filter([CASE WHEN contains({_DOI}, 'arxiv.org/') THEN 'doi_argument_looks_like_arxiv_url' END,
-    CASE WHEN contains(lower(url), 'doi.org/') THEN 'arxiv_url_argument_looks_like_doi_url' END,
+    CASE WHEN contains(lower(arxiv_url), 'doi.org/') THEN 'arxiv_url_argument_looks_like_doi_url' END,
     CASE WHEN {_DOI} <> '' AND NOT starts_with({_DOI}, '10.') THEN 'doi_argument_not_normalized' END,
-    CASE WHEN {s_alias(_DOI)} <> '' THEN 'doi_argument_is_arxiv_doi_alias' END], x -> x IS NOT NULL), ',') AS warnings FROM ({_EFF})""",
+    CASE WHEN {s_alias(_DOI)} <> '' THEN 'doi_argument_is_arxiv_doi_alias' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_EFF})""",
     "q_stable_paper_ids": f"""SELECT id, {s_dedup()} AS paper_id, CASE WHEN lower(trim(doi, ' ')) <> '' THEN concat('doi:', lower(trim(doi, ' '))) WHEN lower(trim(arxiv_id, ' ')) <> '' THEN concat('arxiv:', lower(trim(arxiv_id, ' ')))
   ELSE concat('title:', lower(trim(title, ' ')), ':', trim(year, ' ')) END AS candidate_key FROM ({CANDIDATES})""",
     "q_stable_org_ids": "SELECT id, CASE WHEN coalesce(ror, '') <> '' THEN concat('ror:', lower(ror)) ELSE concat('org:kb:', substr(sha1(concat('kb|', lower(trim(coalesce(name, ''), ' ')))), 1, 16)) END AS org_id FROM orgs",
@@ -185,10 +192,10 @@ FROM authors a LEFT JOIN n ON a.id = n.id""",
     "q_row_keys": f"""SELECT qid, CASE WHEN trim(source_id, ' ') <> '' THEN concat({_SOURCE}, ':', trim(source_id, ' ')) ELSE concat({_SOURCE}, ':fallback:', substr(sha1(concat_ws('|', {_SOURCE}, title, year, doi, arxiv_id, url)), 1, 16)) END AS source_key,
   CASE WHEN trim(source_id, ' ') <> '' THEN concat({_SOURCE}, ':', trim(source_id, ' ')) WHEN lower(trim(doi, ' ')) <> '' THEN concat({_SOURCE}, ':doi:', lower(trim(doi, ' ')))
   WHEN lower(trim(arxiv_id, ' ')) <> '' THEN concat({_SOURCE}, ':arxiv:', lower(trim(arxiv_id, ' '))) ELSE concat({_SOURCE}, ':title:', {s_title('title')}, ':', year) END AS cache_key FROM ({REQUESTS})""",
-    "q_paper_key_sets": f"""SELECT id, array_to_string(ks, '|') AS keys, array_to_string(list_sort(list_distinct(list_transform(list_filter(ks, x -> starts_with(lower(x), 'arxiv:')), x -> substr(lower(x), 7)))), '|') AS arxiv_ids
+    "q_paper_key_sets": f"""SELECT id, array_to_string(ks, '|') AS keys, array_to_string(list_sort(list_distinct(list_filter(list_concat(list_transform(list_filter(ks, lambda x: starts_with(lower(x), 'arxiv:')), lambda x: substr(lower(x), 7)), list_transform(list_filter(ks, lambda x: starts_with(x, 'doi:10.48550/arxiv.')), lambda x: {s_arxiv('substr(x, 20)')})), lambda x: x <> ''))), '|') AS arxiv_ids
 FROM (SELECT id, {_KEYS} AS ks FROM ({CANDIDATES}))""",
     "q_clean_text": f"SELECT doc_id, md5(t) AS clean_md5, md5({s_shorten('t', 200, '…')}) AS short_md5, md5({s_shorten('t', 400, '...')}) AS memory_md5 FROM (SELECT doc_id, {s_clean('text')} AS t FROM documents)",
-    "q_terms_distinct": f"SELECT id, array_to_string(list_slice(list_filter(t, (x, i) -> list_position(list_transform(t, y -> lower(y)), lower(x)) = i), 1, 12), '|') AS terms FROM (SELECT id, {_TERMS} AS t FROM ({CANDIDATES}))",
+    "q_terms_distinct": f"SELECT id, array_to_string(list_slice(list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i), 1, 12), '|') AS terms FROM (SELECT id, {_TERMS} AS t FROM ({CANDIDATES}))",
     "q_inverted_abstract": f"SELECT id, md5({s_clean('abstract')}) AS abstract_md5 FROM ({CANDIDATES})",
     "q_prompt_signals": f"SELECT qid, array_to_string(dois, '|') AS dois, array_to_string(arxiv_ids, '|') AS arxiv_ids, hint, {_TEMPLATE} AS template FROM ({_SIGNALS})",
     "q_text_identifiers": f"SELECT doc_id, array_to_string({_first_seen('d0')}, '|') AS dois, array_to_string({_first_seen('a0')}, '|') AS arxiv_ids FROM (SELECT doc_id, {_DOIS_IN.format(c='t')} AS d0, {_ARXIV_IN.format(c='t')} AS a0 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))",
@@ -196,11 +203,11 @@ FROM (SELECT id, {_KEYS} AS ks FROM ({CANDIDATES}))""",
   AND (trim(abstract) <> '' OR len(keywords) + len(categories) > 0 OR coalesce(n.n, 0) > 0) AS INT) AS complete
 FROM ({CANDIDATES}) c LEFT JOIN (SELECT paper_id, count(DISTINCT author_id) AS n FROM paper_authors GROUP BY 1) n ON c.id = n.paper_id""",
     "q_target_pages": f"SELECT qid, host, fetched FROM (SELECT qid, {_HOST} AS host, row_number() OVER (PARTITION BY source ORDER BY qid) AS fetched FROM ({REQUESTS}) WHERE {_HOST} LIKE '%.example') WHERE fetched <= 3",
-    "q_pipe_lists": f"SELECT id, array_to_string(list_filter(keywords, x -> trim(x) <> ''), '|') AS joined, CAST(len(list_filter(keywords, x -> trim(x) <> '')) AS BIGINT) AS n FROM ({CANDIDATES})",
+    "q_pipe_lists": f"SELECT id, array_to_string(list_filter(keywords, lambda x: trim(x) <> ''), '|') AS joined, CAST(len(list_filter(keywords, lambda x: trim(x) <> '')) AS BIGINT) AS n FROM ({CANDIDATES})",
     "q_venue_year_filter": f"""SELECT id, venue, year FROM ({CANDIDATES}) WHERE lower(trim(venue, ' ')) IN ('journal of municipal and narrative informatics', 'symposium on seasonal and neotropical measurement', '')
   AND regexp_matches(year, '^[0-9]+$') AND CAST(year AS INT) BETWEEN 2015 AND 2024""",
     "q_query_seed": rf"""WITH s AS ({_SIGNALS}),
-a AS (SELECT *, list_reduce(list_prepend(trim(prompt, ' '), list_concat(dois, arxiv_ids)), (acc, x) -> regexp_replace(acc, concat('(?i)\Q', x, '\E'), ' ', 'g')) AS s0 FROM s),
+a AS (SELECT *, list_reduce(list_prepend(trim(prompt, ' '), list_concat(dois, arxiv_ids)), lambda acc, x: regexp_replace(acc, concat('(?i)\Q', x, '\E'), ' ', 'g')) AS s0 FROM s),
 b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s0, '(?i)https?://arxiv\.org/(?:abs|pdf)/\S+', ' ', 'g'), '(?i)https?://doi\.org/\S+', ' ', 'g'), '(?i)\bdoi\b', ' ', 'g'), '(?i)\barxiv\b', ' ', 'g') AS s1 FROM a),
 c AS (SELECT *, regexp_replace(regexp_replace(s1, '(?i)^(?:find details for |details for |find |show me |give me )\s*', ''), '(?i)^(?:latest papers? on |papers? on |find papers on |search papers on )\s*', '') AS s2 FROM b),
 e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s2, '(?i)from top ai conferences|top ai conferences', ' ', 'g'), '(?i)latest ', ' ', 'g'), '(?i)recent ', ' ', 'g'), '(?i)\bfor and\b', ' ', 'g'), '(?i)\band related work\b', ' related work', 'g') AS s3 FROM c),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..operators import merge as M
 from ..operators import resolve as S
+from ..operators.session import run_sessions
 from ..operators.components import connected_components, star_edges
 from .relations import CANDIDATES, PROMPTS, REQUESTS, candidates, prompts, requests, s_alias, s_arxiv, s_clean, s_dedup, s_doi, s_paper_id, s_shorten, s_title, table
 from .scalars import _SIGNALS, _TEMPLATE
@@ -202,8 +203,15 @@ def report_lines(spark, d):
     return g.select("source", F.concat(F.lit("- "), c("source"), F.lit(": "), c("n"), F.lit(" documents, "), c("chars"), F.lit(" characters")).alias("line"))
 
 
+def sessions(spark, d):
+    """Search sessions over all prompts at once, to their end: one row a cycle."""
+    p = prompts(spark, d).select(c("qid").alias("session"), "prompt")
+    rows = candidates(spark, d).where("title != ''").groupBy(R.title_words(c("title")).alias("t")).agg(F.min_by(F.struct(c("id").alias("key"), "title", "score"), "ord").alias("r")).select("r.*")
+    return run_sessions(p, rows).select("session", "cycle", "move", "reason", F.size("keys").alias("n_keys"))
+
+
 QUERIES = {
-    "q_plan_items": plan_items, "q_template_plans": template_plans, "q_deterministic_queries": deterministic_queries, "q_seed_queries": seed_queries, "q_seed_budget": seed_budget, "q_fit_scores": fit_scores,
+    "q_sessions": sessions, "q_plan_items": plan_items, "q_template_plans": template_plans, "q_deterministic_queries": deterministic_queries, "q_seed_queries": seed_queries, "q_seed_budget": seed_budget, "q_fit_scores": fit_scores,
     "q_next_searches": next_searches, "q_cycle_decisions": cycle_decisions, "q_router_labels": router_labels, "q_resolve_consensus": resolve_consensus, "q_resolve_fast": resolve_fast, "q_resolve_titles": resolve_titles,
     "q_open_handoff": open_handoff, "q_index_compact": index_compact, "q_greedy_compaction": greedy_compaction, "q_preferred_paper": preferred_paper, "q_page_hints": page_hints, "q_adapter_choice": adapter_choice,
     "q_extraction": extraction, "q_report_lines": report_lines,
@@ -218,11 +226,11 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
 
 
 def _tok(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), w -> length(w) >= 3))"
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: length(w) >= 3))"
 
 
 _ASKED = f"""SELECT qid, mode, CASE mode WHEN 'doi' THEN d WHEN 'arxiv' THEN a END AS value FROM (SELECT qid, d, a, CASE WHEN d <> '' THEN 'doi' WHEN a <> '' THEN 'arxiv' WHEN title <> '' THEN 'title' ELSE 'none' END AS mode
-FROM (SELECT qid, title, CASE WHEN {s_alias('doi')} <> '' THEN '' ELSE {s_doi('doi')} END AS d, CASE WHEN g <> '' THEN g ELSE {s_alias('doi')} END AS a FROM (SELECT *, CASE WHEN arxiv_id <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_arxiv('url')} END AS g FROM ({REQUESTS})))) WHERE mode IN ('doi', 'arxiv')"""
+FROM (SELECT qid, title, CASE WHEN {s_alias('doi')} <> '' THEN '' ELSE {s_doi('doi')} END AS d, CASE WHEN g <> '' THEN g ELSE {s_alias('doi')} END AS a FROM (SELECT *, CASE WHEN arxiv_id <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_arxiv('arxiv_url')} END AS g FROM ({REQUESTS})))) WHERE mode IN ('doi', 'arxiv')"""
 _IDENT = f"""SELECT *, 'doi' AS mode, {s_doi('doi')} AS value FROM ({CANDIDATES}) WHERE {s_doi('doi')} <> '' UNION ALL SELECT *, 'arxiv', {s_arxiv('arxiv_id')} FROM ({CANDIDATES}) WHERE {s_arxiv('arxiv_id')} <> ''
 UNION ALL SELECT *, 'arxiv', {s_alias('doi')} FROM ({CANDIDATES}) WHERE {s_alias('doi')} <> '' AND {s_alias('doi')} <> {s_arxiv('arxiv_id')}"""
 
@@ -243,11 +251,11 @@ SQL = {
 SELECT * FROM x UNION ALL SELECT qid, 'title', hint, 'consensus' FROM s WHERE hint <> '' AND len(dois) = 0 AND len(arxiv_ids) = 0""",
     "q_seed_budget": f"""WITH r AS ({_RANKED}), s AS (SELECT rank, 0 AS pos, concat('doi:', {s_doi('doi')}) AS seed FROM r WHERE rank <= 240 AND {s_doi('doi')} <> '' UNION ALL SELECT rank, 1, concat('arxiv:', {s_arxiv('arxiv_id')}) FROM r WHERE rank <= 240 AND {s_arxiv('arxiv_id')} <> ''
   UNION ALL SELECT rank, 2, concat('title:', trim(title, ' ')) FROM r WHERE rank <= 240 AND trim(title, ' ') <> ''),
-f AS (SELECT seed, min(rank * 10 + pos) AS at FROM s GROUP BY 1) SELECT row_number() OVER (ORDER BY at) AS place, md5(seed) AS seed_md5 FROM f QUALIFY place <= 240""",
+f AS (SELECT seed, min(rank * 10 + pos) AS first_at FROM s GROUP BY 1) SELECT row_number() OVER (ORDER BY first_at) AS place, md5(seed) AS seed_md5 FROM f QUALIFY place <= 240""",
     "q_fit_scores": f"""WITH q AS (SELECT qid, {s_title('title')} AS t, title AS asked FROM ({REQUESTS}) WHERE {s_title('title')} <> ''),
 p AS (SELECT * FROM (SELECT *, {s_title('title')} AS t, row_number() OVER (PARTITION BY {s_title('title')} ORDER BY ord) AS n FROM ({CANDIDATES})) WHERE n = 1),
-x AS (SELECT q.qid, p.id, p.doi, p.arxiv_id, list_filter({_tok('q.asked')}, w -> NOT list_contains({_STOP}, w)) AS pt, {_tok("concat_ws(' ', p.title, p.abstract, p.venue, array_to_string(p.keywords, ' '), array_to_string(p.categories, ' '))")} AS tt FROM q JOIN p ON q.t = p.t),
-o AS (SELECT *, list_sort(list_filter(pt, w -> list_contains(tt, w))) AS ov FROM x),
+x AS (SELECT q.qid, p.id, p.doi, p.arxiv_id, list_filter({_tok('q.asked')}, lambda w: NOT list_contains({_STOP}, w)) AS pt, {_tok("concat_ws(' ', p.title, p.abstract, p.venue, array_to_string(p.keywords, ' '), array_to_string(p.categories, ' '))")} AS tt FROM q JOIN p ON q.t = p.t),
+o AS (SELECT *, list_sort(list_filter(pt, lambda w: list_contains(tt, w))) AS ov FROM x),
 f AS (SELECT *, least(1.0, CASE WHEN len(pt) > 0 THEN len(ov) / len(pt)::DOUBLE ELSE 0.0 END + CASE WHEN doi <> '' OR arxiv_id <> '' THEN 0.15 ELSE 0 END) AS s FROM o)
 SELECT qid, id, round(s, 6) AS fit, CASE WHEN len(ov) > 0 THEN concat('overlap=', array_to_string(list_slice(ov, 1, 6), ',')) ELSE 'no_token_overlap' END AS reason, CASE WHEN s >= 0.12 THEN 'keep' ELSE 'ignore' END AS verdict FROM f""",
     "q_next_searches": f"""WITH s AS (SELECT {s_title('venue')} AS query, count(*) AS n_rows, CAST(sum(({s_doi('doi')} <> '')::INT + ({s_arxiv('arxiv_id')} <> '')::INT) AS BIGINT) AS n_ids, max((trim(title, ' ') <> '')::INT) AS titled FROM ({CANDIDATES}) GROUP BY 1)
@@ -255,7 +263,7 @@ SELECT query, n_rows, n_ids, CASE WHEN NOT (n_ids > 0 OR titled > 0) THEN 'tune'
   trim(CASE WHEN NOT (n_ids > 0 OR titled > 0) THEN concat(query, ' paper DOI arXiv') WHEN n_ids >= 3 THEN concat(query, ' related work') WHEN n_rows >= 5 THEN concat(query, ' recent') ELSE '' END, ' ') AS next_query FROM s""",
     "q_cycle_decisions": """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list(DISTINCT event_type)) AS keys, count(*) FILTER (value < 5) AS ignored FROM events GROUP BY 1, 2),
 x AS (SELECT *, row_number() OVER w AS cycle, lag(keys) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day)),
-y AS (SELECT *, len(list_filter(keys, k -> k <> 'error')) AS listed, len(list_filter(keys, k -> NOT list_contains(coalesce(before, []), k))) AS delta FROM x)
+y AS (SELECT *, len(list_filter(keys, lambda k: k <> 'error')) AS listed, len(list_filter(keys, lambda k: NOT list_contains(coalesce(before, []), k))) AS delta FROM x)
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, cycle, CAST(delta AS BIGINT) AS candidate_delta,
   CASE WHEN listed = 0 OR cycle >= 6 THEN 'stop' WHEN cycle < 2 THEN 'continue' WHEN keys = before THEN 'stop' ELSE 'continue' END AS move,
   CASE WHEN listed = 0 AND ignored > 0 THEN 'needs_user_feedback' WHEN listed = 0 THEN 'no_candidates' WHEN cycle >= 6 THEN 'cycle_budget_reached' WHEN cycle < 2 THEN 'minimum_refinement_cycles_not_met' WHEN keys = before THEN 'converged_candidate_set' ELSE 'refinement_budget_available' END AS reason FROM y""",
@@ -271,7 +279,7 @@ SELECT c.id, md5({s_shorten("trim(abstract, ' ')", 1200, '…')}) AS abstract_md
     "q_preferred_paper": f"""SELECT t, id AS preferred, n FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n, row_number() OVER (PARTITION BY t ORDER BY ({s_arxiv('arxiv_id')} <> '')::INT DESC, ({s_doi('doi')} <> '')::INT DESC, length(abstract) DESC, ord) AS rn
 FROM (SELECT *, {s_title('title')} AS t FROM ({CANDIDATES}) WHERE title <> '')) WHERE rn = 1""",
     "q_adapter_choice": "WITH s AS (SELECT source, row_number() OVER (ORDER BY CASE source WHEN 'openindex' THEN 1 WHEN 'scholargraph' THEN 2 WHEN 'preprints' THEN 3 WHEN 'xref' THEN 4 ELSE 10 END, source) AS place FROM (SELECT DISTINCT source FROM papers)) SELECT template, source FROM s JOIN (VALUES ('conference_program_first', 1), ('bibliography_index', 1), ('scholar_graph', 2), ('mixed_theme', 2)) v(template, most) ON place <= most",
-    "q_extraction": """WITH x AS (SELECT doc_id, list_slice(list_filter(string_split(text, chr(10)), s -> trim(s, ' ') <> ''), 1, 3) AS s FROM documents WHERE text IS NOT NULL)
+    "q_extraction": """WITH x AS (SELECT doc_id, list_slice(list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> ''), 1, 3) AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, field, concat('stub_', field) AS value, 's1' AS section_id, md5(substr(s[1], 1, 120)) AS quote_md5, CAST(len(s) AS BIGINT) AS n_sections, 'unverified' AS status FROM x, (VALUES ('method'), ('result')) f(field) WHERE len(s) > 0""",
     "q_report_lines": "SELECT coalesce(source, '') AS source, concat('- ', coalesce(source, ''), ': ', count(*), ' documents, ', CAST(sum(coalesce(n_chars, 0)) AS BIGINT), ' characters') AS line FROM documents GROUP BY 1",
 }
