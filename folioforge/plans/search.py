@@ -24,10 +24,10 @@ def plan_items(spark, d):
     return prompts(spark, d).select("qid", F.posexplode(F.array_distinct(items)).alias("pos", "query")).select("qid", c("pos").cast("long").alias("pos"), F.trim("query").alias("query"))
 
 
-#: What each template plans after the compact seed: text before and after it, scope, intent.
+# What each template plans around the compact seed: text before and after it, scope, intent.
 PLANS = {
     "identifier_targeted": [("", "", "scholarly", "identifier_lookup_support")],
-    "conference_program_first": [("", " accepted papers top AI conferences", "web", "conference_program_seed"), ("", " research paper", "scholarly", "scholarly_confirmation")],
+    "conference_program_first": [("", " accepted papers top AI conferences", "web", "conference_program_seed"), ("", " NeurIPS ICLR ICML program", "web", "conference_program_targeted"), ("", " research paper", "scholarly", "scholarly_confirmation")],
     "scholar_graph": [("", " related work", "scholarly", "graph_seed"), ("", " Google Scholar related articles", "web", "scholar_web_bridge")],
     "bibliography_index": [("site:dblp.org ", "", "web", "dblp_index_lookup"), ("", " bibliography", "scholarly", "scholarly_bibliography_lookup")],
     "mixed_theme": [("", "", "scholarly", "maximize_recall"), ("", " research paper", "scholarly", "maximize_recall"), ("", " arxiv", "scholarly", "maximize_recall")],
