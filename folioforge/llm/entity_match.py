@@ -30,7 +30,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -48,14 +49,17 @@ SEED = 1729
 GRAM, BUCKETS, DIM = 3, 1 << 15, 64
 #: The sample whose graph is walked, and the walks.
 SAMPLE_RECORDS, WALKS, STEPS, WINDOW, NEGATIVES, EPOCHS = 4000, 8000, 8, 2, 3, 1
-#: Bits of a record, tables and probes; titles cut short are compared by their first letters, in tables of their own.
-BITS, TABLES, PROBES = 128, 13, 4
-VIEWS, VIEW_TABLES = (32, 48), 3
+#: Bits of a record, tables and probes of buckets of LEAST_BITS bits; those of more bits have more of both (``layout``).
+BITS, TABLES, PROBES, LEAST_BITS, MOST_BITS = 128, 13, 4, 12, 26
+#: Titles cut short are compared by their first letters, in tables of their own.
+VIEWS = (32, 48)
+#: Tables whose buckets are joined at once, which bounds the disk that a join takes.
+ROUND = 7
 RATE = 0.05
 #: Directions of the sample's vectors that are left out.
 COMMON_AXES = 4
 #: Bits that may differ (cosine about cos(pi * d / BITS)).
-FAR = 34
+FAR = 40
 #: Titles that so many different years have are no work's own.
 COMMON_YEARS = 5
 #: A word is ordinary if so large a share of all titles (and 4) have it.
@@ -213,17 +217,32 @@ def train_vectors(records: list[tuple[str, str, str, str]]) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
+def layout(n_bits: int) -> tuple[int, int]:
+    """Tables and probes for buckets of so many bits: a pair is met by as likely in long buckets as in short ones."""
+    more = max(0, n_bits - LEAST_BITS)
+    return TABLES + 3 * more // 2, round(PROBES * 2 ** (more / 4))
+
+
+def probe_sets(n_bits: int, probes: int) -> list[tuple[int, ...]]:
+    """The likeliest sets of bits to turn, by their places in order of the distance from their planes."""
+    odds = [(j + 1) * (j + 2) for j in range(n_bits)]
+    sets = [c for k in range(4) for c in combinations(range(min(n_bits, 14)), k)]
+    return sorted(sets, key=lambda c: (sum(odds[j] for j in c), c))[:probes]
+
+
 class Hasher:
     """Turns titles into bits, and bits into buckets."""
 
     def __init__(self, vectors: np.ndarray, weight: np.ndarray, n_bits: int, centre: np.ndarray | None = None, common: np.ndarray | None = None):
         rng = np.random.default_rng(SEED + 1)
         self.weighted = vectors * weight[:, None].astype(np.float32)
-        self.tables = [BITS + t * n_bits + np.arange(n_bits) for t in range(TABLES)]
-        self.view_tables = [cols[: max(8, n_bits - 2)] for cols in self.tables[:VIEW_TABLES]]
-        self.planes = rng.standard_normal((DIM, BITS + TABLES * n_bits)).astype(np.float32)
+        n_tables, self.probes = layout(n_bits)
+        self.tables = [BITS + t * n_bits + np.arange(n_bits) for t in range(n_tables)]
+        self.view_tables = [cols[: max(8, n_bits - 2)] for cols in self.tables]
+        self.planes = rng.standard_normal((DIM, BITS + n_tables * n_bits)).astype(np.float32)
         self.centre = np.zeros(DIM, dtype=np.float32) if centre is None else centre
         self.common = np.zeros((DIM, 0), dtype=np.float32) if common is None else common
+
     def margins(self, texts: list[str]) -> np.ndarray:
         """Distances of the titles' vectors from the planes, without what all titles have in common."""
         out = self.vectors(texts) - self.centre
@@ -252,21 +271,21 @@ class Hasher:
         return bits.astype(np.int64) @ (1 << np.arange(bits.shape[1], dtype=np.int64))
 
 
-def _index_rows(texts: list[str], reps: list, hasher: Hasher, tables: list[np.ndarray], view: int, probes: int) -> pd.DataFrame:
-    """rep, bucket, s0, s1: one row a record, table and probe."""
+def _index_rows(texts: list[str], reps: list, hasher: Hasher, tables: list[np.ndarray], view: int, probes: int, first: int = 0) -> pd.DataFrame:
+    """rep, bucket, s0, s1: one row a record, table and probe; ``first`` is the number of the first table."""
     m = hasher.margins(texts)
     bits = m > 0
     sig = hasher.words(bits[:, :BITS])
     buckets, rows = [], []
-    for t, cols in enumerate(tables):
+    for t, cols in enumerate(tables, first):
         base = hasher.number(bits[:, cols])
         tag = np.int64(t + 64 * view) << np.int64(40)
         buckets.append(base | tag)
         rows.append(np.arange(len(texts)))
         if probes > 1:
-            near = np.argsort(np.abs(m[:, cols]), axis=1)[:, : probes - 1]
-            for k in range(probes - 1):
-                buckets.append((base ^ (np.int64(1) << near[:, k])) | tag)
+            near = np.int64(1) << np.argsort(np.abs(m[:, cols]), axis=1)
+            for turned in probe_sets(len(cols), probes)[1:]:
+                buckets.append((base ^ near[:, list(turned)].sum(1)) | tag)
                 rows.append(np.arange(len(texts)))
     at = np.concatenate(rows) if rows else np.zeros(0, dtype=int)
     out = {"rep": np.array(reps, dtype=np.int64)[at], "bucket": np.concatenate(buckets)}
@@ -349,44 +368,51 @@ def penalty(ours: str, theirs: str, cut: bool, ordinary: frozenset[str] | set[st
 def candidate_pairs(ours: DataFrame, theirs: DataFrame, hasher_of, scratch: Scratch) -> DataFrame:
     """num, rep_d, far (bits that differ) of near records; ours has num, norm, theirs rep, norm, cut, equal."""
     sent = hasher_of
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = Hasher(*sent.value)
-        for b in batches:
-            for lo in range(0, len(b), 4000):
-                c = b.iloc[lo : lo + 4000]
-                yield _index_rows(c["norm"].tolist(), c["num"].tolist(), h, h.tables, 0, 1)
-                letters = c["norm"].str.replace(" ", "")
-                for v, size in enumerate(VIEWS, 1):
-                    some = letters.str.len() > size
-                    if some.any():
-                        yield _index_rows(letters[some].str[:size].tolist(), c["num"][some].tolist(), h, h.view_tables, v, 1)
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = Hasher(*sent.value)
-        for b in batches:
-            for lo in range(0, len(b), 4000):
-                c = b.iloc[lo : lo + 4000]
-                equal = c[c["equal"]]  # equal vectors meet in any table; two in case a product rounds otherwise
-                if len(equal):
-                    yield _index_rows(equal["norm"].tolist(), equal["rep"].tolist(), h, h.tables[:2], 0, 1)
-                whole = c[~c["cut"] & ~c["equal"]]
-                if len(whole):
-                    yield _index_rows(whole["norm"].tolist(), whole["rep"].tolist(), h, h.tables, 0, PROBES)
-                letters = c["norm"].str.replace(" ", "")
-                for v, size in enumerate(VIEWS, 1):
-                    longer = letters.str.len() >= (VIEWS[v] if v < len(VIEWS) else 1 << 30)
-                    some = c["cut"] & (letters.str.len() >= size) & ~longer
-                    if some.any():
-                        yield _index_rows(letters[some].str[:size].tolist(), c["rep"][some].tolist(), h, h.view_tables, v, PROBES)
-
     sig = ", ".join(f"s{k} long" for k in range(BITS // 64))
-    left = ours.select("num", "norm").mapInPandas(index, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "num")
-    right = theirs.select("rep", "norm", "cut", "equal").mapInPandas(probe, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "rep_d")
-    for k in range(BITS // 64):
-        right = right.withColumnRenamed(f"s{k}", f"t{k}")
-    far = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-    return left.join(right, "bucket").withColumn("far", far).where(F.col("far") <= FAR).groupBy("num", "rep_d").agg(F.min("far").alias("far"))
+    n_tables = layout(sent.value[2])[0]
+
+    def met(lo: int, hi: int) -> DataFrame:
+        """Near records by the tables lo to hi."""
+
+        def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            h = Hasher(*sent.value)
+            for b in batches:
+                for at in range(0, len(b), 4000):
+                    c = b.iloc[at : at + 4000]
+                    yield _index_rows(c["norm"].tolist(), c["num"].tolist(), h, h.tables[lo:hi], 0, 1, lo)
+                    letters = c["norm"].str.replace(" ", "")
+                    for v, size in enumerate(VIEWS, 1):
+                        some = letters.str.len() > size
+                        if some.any():
+                            yield _index_rows(letters[some].str[:size].tolist(), c["num"][some].tolist(), h, h.view_tables[lo:hi], v, 1, lo)
+
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            h = Hasher(*sent.value)
+            for b in batches:
+                for at in range(0, len(b), 1000):
+                    c = b.iloc[at : at + 1000]
+                    equal = c[c["equal"]]  # equal vectors meet in any table; two in case a product rounds otherwise
+                    if len(equal) and not lo:
+                        yield _index_rows(equal["norm"].tolist(), equal["rep"].tolist(), h, h.tables[:2], 0, 1)
+                    whole = c[~c["cut"] & ~c["equal"]]
+                    if len(whole):
+                        yield _index_rows(whole["norm"].tolist(), whole["rep"].tolist(), h, h.tables[lo:hi], 0, h.probes, lo)
+                    letters = c["norm"].str.replace(" ", "")
+                    for v, size in enumerate(VIEWS, 1):
+                        longer = letters.str.len() >= (VIEWS[v] if v < len(VIEWS) else 1 << 30)
+                        some = c["cut"] & (letters.str.len() >= size) & ~longer
+                        if some.any():
+                            yield _index_rows(letters[some].str[:size].tolist(), c["rep"][some].tolist(), h, h.view_tables[lo:hi], v, h.probes, lo)
+
+        left = ours.select("num", "norm").mapInPandas(index, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "num")
+        right = theirs.select("rep", "norm", "cut", "equal").mapInPandas(probe, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "rep_d")
+        for k in range(BITS // 64):
+            right = right.withColumnRenamed(f"s{k}", f"t{k}")
+        far = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+        return left.join(right, "bucket").withColumn("far", far).where(F.col("far") <= FAR).groupBy("num", "rep_d").agg(F.min("far").alias("far"))
+
+    rounds = [scratch.save(met(lo, min(lo + ROUND, n_tables)), f"near-{lo}") for lo in range(0, n_tables, ROUND)]
+    return reduce(DataFrame.unionByName, rounds).groupBy("num", "rep_d").agg(F.min("far").alias("far"))
 
 
 def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -522,7 +548,7 @@ def _fit(p: DataFrame, d: DataFrame, ours: DataFrame, theirs: DataFrame) -> tupl
     for rows, key in ((p, "id"), (d, "row_id")):
         some = rows.where("norm != ''").orderBy(F.xxhash64(F.lit(SEED), key)).limit(half)
         sample += [(r["norm"], str(r["year"] or ""), r["doi"] or "", r["arxiv"] or "") for r in some.select("norm", "year", "doi", "arxiv").collect()]
-    n_bits = int(np.clip(round(np.log2(max(n, 2)) - 2), 10, 26))
+    n_bits = int(np.clip(round(np.log2(max(n, 2)) - 2), 10, MOST_BITS))
     vectors, weight = train_vectors(sample), weight.astype(np.float32)
     known = Hasher(vectors, weight, n_bits).vectors([t for t, *_ in sample] or [""])
     centre = known.mean(0)

@@ -131,3 +131,21 @@ def test_blocking_recall_against_brute_force():
     far = sum(np.bitwise_count((met[f"s{k}_x"].to_numpy() ^ met[f"s{k}_y"].to_numpy()).astype(np.uint64)) for k in range(E.BITS // 64))
     met = met[far <= E.FAR]
     assert len(set(met.loc[met.rep_x == met.rep_y, "rep_x"])) >= 0.9 * len(titles)
+
+
+def test_blocking_recall_does_not_fall_with_size():
+    """Buckets of the largest data, by pairs alone: a pair meets in the same tables whatever else there is."""
+    titles = sorted({E.clean_title(t)[0] for t in works(1200)})
+    rng = random.Random(14)
+    vectors = E.train_vectors([(t, "2020", "", "") for t in titles[::5]])
+    df = np.bincount(np.concatenate([E.grams(t) for t in titles]), minlength=E.BUCKETS)
+    weight = (np.log1p(len(titles) / np.maximum(df, 1)) ** 0.25).astype(np.float32)
+    heads = [t.replace(" ", "")[:32] for t in titles]
+    slip = lambda t: (lambda i: t[:i] + "x" + t[i + 1 :])(rng.randrange(len(t)))
+    for n_bits in (12, 18, E.MOST_BITS):
+        h = E.Hasher(vectors, weight, n_bits)
+        for texts, tables in ((titles, h.tables), (heads, h.view_tables)):
+            index = E._index_rows(texts, list(range(len(texts))), h, tables, 0, 1)
+            probes = E._index_rows([slip(t) for t in texts], list(range(len(texts))), h, tables, 0, h.probes)
+            met = index.merge(probes, on=["rep", "bucket"])
+            assert met["rep"].nunique() >= 0.95 * len(texts), (n_bits, len(texts[0]))
