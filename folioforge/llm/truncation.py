@@ -41,9 +41,10 @@ WIDE = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]"
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND = 5, 6.0, 20
 #: Words that make an end of a sentence.
 END_WORDS = 4
-#: A last word counts as known if it ends a sentence inside a text, or so many different texts.
-#: Unknown ones mean a cut only where known ones end at least this share of the texts.
-WORD_ENDS, KNOWN_SHARE = 5, 0.95
+#: A last word counts as known if it ends sentences inside texts about as often as texts (INSIDE_SHARE), or
+#: so large a share of all different texts (and WORD_ENDS of them); shares, as cuts grow in number with the texts.
+#: Unknown ones mean a cut only where known ones end at least KNOWN_SHARE of the texts.
+INSIDE_SHARE, WORD_SHARE, WORD_ENDS, KNOWN_SHARE = 0.5, 0.005, 5, 0.95
 #: A notice: at least so many different titles, and at least this share of its rows.
 NOTICE_TITLES, NOTICE_SHARE = 5, 0.5
 #: Letters that tell texts apart by their beginning; characters that are looked at for the end, and for a mark.
@@ -126,22 +127,27 @@ def judged(rows: DataFrame) -> DataFrame:
     )
     n = light.count()
     light = scratch.save(attach_unique(light, scratch.save(shared, "notices"), "h", n, "left").drop("t"), "light")
-    inner = F.split("text", r"[.?!]+\s+|[。？！]+")
+    sentence_end = r"[.?!]+\s+|[。？！]+"
+    inner = F.split("text", sentence_end)
+    # the end before a rights line is that of the text, and says nothing about its last word
+    rights = F.right("text", F.lit(END_CHARS // 2)).rlike(RIGHTS)
+    before = F.when(rights, F.size(F.split(F.rtrim(F.regexp_replace("text", RIGHTS, "")), sentence_end)) - 1)
     ends = scratch.save(
-        texts.select(F.explode(F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))).alias("s"))
-        .select(_end_key(F.col("s")).alias("tail"))
-        .groupBy("tail").agg(F.lit(True).alias("closes")), "closing",
+        texts.select(before.alias("before"), F.posexplode(F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))).alias("at", "s"))
+        .select(_end_key(F.col("s")).alias("tail"), F.coalesce(F.col("at") < F.col("before"), F.lit(True)).alias("own"))
+        .groupBy("tail").agg(F.lit(True).alias("closes"), F.count_if("own").alias("m")), "closing",
     )
-    known = light.where("tail is not null and tail != ')'").select("tail").distinct().join(ends, "tail", "left")
+    known = light.where("tail is not null and tail != ')'").select("tail").distinct().join(ends.select("tail", "closes"), "tail", "left")
     # the last words of texts that end in a full stop
     word = F.substring_index("tail", " ", -1)
     finals = light.where("not open_end and tail is not null and notice is null").select("h", word.alias("word"))
-    inside = ends.select(word.alias("word")).distinct()
+    inside = ends.groupBy(word.alias("word")).agg(F.sum("m").alias("m"))
     spread = finals.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    odd = scratch.save(
-        spread.join(inside.withColumn("inside", F.lit(True)), "word", "left")
-        .select("word", "n", (F.col("inside").isNull() & (F.col("n") < WORD_ENDS) & ~F.col("word").rlike(r"[0-9)]|" + WIDE)).alias("odd")), "words",
-    )
+    spread = scratch.save(spread.join(inside, "word", "left").select("word", "n", F.coalesce("m", F.lit(0)).alias("m")), "spread")
+    often = max(WORD_ENDS, WORD_SHARE * (spread.agg(F.sum("n")).first()[0] or 0))
+    odd = scratch.save(spread.select(
+        "word", "n", "m", ((F.col("m") < INSIDE_SHARE * F.col("n")) & (F.col("n") < often) & (F.col("word") != "") & ~F.col("word").rlike(r"[0-9)]|" + WIDE)).alias("odd"),
+    ), "words")
     total = odd.agg(F.sum("n"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0))).first()
     use_words = bool(total[0]) and total[1] <= (1 - KNOWN_SHARE) * total[0]
     known = scratch.save(

@@ -98,3 +98,13 @@ def test_stuffed_pages(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("word", F.lit("clash")).withColumn("n", F.lit(1))
     assert sorted(r.doc_id for r in stuffing.judged(df).where("stuffed").collect()) == [100, 101, 102, 107]
     assert stuffing.judged(df.limit(0)).count() == 0
+
+
+def test_cut_words_are_cut_at_any_size(spark):
+    tail = "Recall was measured twice in the spring. The method is held against the notes of three annotators tri."
+    for times in (1, 10):
+        rows = [(f"w{i}", t) for i, t in enumerate(texts(300 * times, 20))] + [(f"c{i}", f"Survey {i} of the scans is new. {tail}") for i in range(times)]
+        rows += [("r", f"Survey 9999 of the scans is new. {tail} Copyright 2001 The Authors.")]
+        df = spark.createDataFrame(rows, "id string, text string").withColumns({"source": F.lit("feed"), "title": F.col("id")})
+        got = {r.id: r.verdict for r in truncation.judged(df).collect()}
+        assert {got[f"c{i}"] for i in range(times)} == {"tail"} and got["w0"] == got["w7"] == "whole"
