@@ -13,8 +13,11 @@ or lists of references, which have their own marks.
 The language is the one whose head words the page has most of, as labels are
 often wrong.  All counts are over all pages.
 
-Defined results: null, empty and blank texts and texts under LEAST_WORDS words
-are never flagged; copies are judged alike; a language of which there is little
+Texts under LEAST_WORDS words are too short for a curve; they are flagged if
+addresses and tags make most of them and, taken apart, come to LEAST_WORDS.
+
+Defined results: null, empty and blank texts and other texts under LEAST_WORDS
+words are never flagged; copies are judged alike; a language of which there is little
 text is held against all pages together; an empty table gives no rows.
 """
 
@@ -32,6 +35,8 @@ HEAD_WORDS, LANGUAGE_SHARE = 30, 0.005
 #: And pages, so that no page is a language of its own.
 LEAST_PAGES = 3
 LEAST_WORDS = 16
+#: Addresses and tags that make a short list of them.
+LEAST_LINKS = 3
 #: Less prose than PROSE_SHARE is stuffing; the share of a page of n words is known to about PROSE_ERROR / sqrt(n).
 PROSE_SHARE, PROSE_ERROR = 0.5, 0.75
 #: Median deviations from the median that make a slope or a residual extreme; nats of divergence that do.
@@ -43,6 +48,9 @@ _WIDE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 WORD = rf"[{_WIDE}]|[\p{{L}}\p{{M}}&&[^{_WIDE}]]+|[0-9]+"
 TAG = r"<[^<>]{1,400}>"
 ADDRESS = r"(?i)(?:https?://|www\.)[^\s<>\")\]]+"
+HASHTAG = r"(?<![\p{L}\p{N}&/])#[\p{L}\p{M}][\p{L}\p{M}\p{N}_]*"
+#: Words of addresses and tags taken apart, at capitals too.
+PART = rf"[{_WIDE}]|\p{{Lu}}?[\p{{Ll}}\p{{M}}]+|\p{{Lu}}+|[\p{{L}}&&[^\p{{Lu}}\p{{Ll}}{_WIDE}]]+|[0-9]+"
 REFERENCE = r"(?i)\(?\b(?:19|20)[0-9]{2}[a-z]?\b\)?"
 PAGES = r"(?i)\b(?:pp?\.\s*[0-9]+|[0-9]+\s*[-–]\s*[0-9]+|et al\b|vol\.|doi)"
 PRICE = r"(?i)(?:[$€£¥]\s?[0-9]|\b(?:sku|art|item|ref)[-# ]?[0-9]{3,})"
@@ -63,13 +71,22 @@ def _marks(text: Column) -> dict[str, Column]:
     return {"cited": cited / count, "celled": celled / count, "priced": F.regexp_count(text, F.lit(PRICE))}
 
 
+def _links(text: Column) -> dict[str, Column]:
+    """Addresses (those in markup too) and tags of a page, and its size in words with these taken apart; of long pages none are counted."""
+    few = F.size(F.split(text, r"\s+", 8 * LEAST_WORDS)) < 8 * LEAST_WORDS
+    return {
+        "links": F.when(few, F.regexp_count(text, F.lit(ADDRESS)) + F.regexp_count(text, F.lit(HASHTAG))).otherwise(0),
+        "parts": F.when(few, F.regexp_count(text, F.lit(PART))).otherwise(0),
+    }
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, lang (found, not labelled), n, slope, residual, divergence, prose, stuffed; one row a page that has words."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "stuffing")
     pages = documents.where(F.trim("text") != "")
     label = F.coalesce(F.nullif(F.regexp_extract(F.lower("lang"), r"^([a-z]{2,3})(?:[^a-z]|$)", 1), F.lit("")), F.lit("?"))
-    marks = _marks(F.col("text"))
+    marks = _marks(F.col("text")) | _links(F.col("text"))
     words = scratch.save(
         pages.select("doc_id", label.alias("label"), F.explode(page_words(F.col("text"))).alias("word"))
         .groupBy("doc_id", "label", "word").agg(F.count(F.lit(1)).alias("f")), "words",
@@ -130,9 +147,11 @@ def judged(documents: DataFrame) -> DataFrame:
         | (F.abs(F.col("own_residual") - F.col("residual")) > EXTREME * F.lit(spread["r"] or 0.0))
         | (divergence > DIVERGENT)
     )
+    listed = (F.col("n") < LEAST_WORDS) & (F.col("parts") >= LEAST_WORDS) & (F.col("links") >= LEAST_LINKS) & (F.col("links") >= PROSE_SHARE * F.col("n"))
+    doubt = F.lit(PROSE_ERROR) / F.sqrt(F.when(listed, F.col("parts")).otherwise(F.col("n")))
     return near.join(shape, "doc_id").select(
         "doc_id", "lang", "n", F.col("own_slope").alias("slope"), F.col("own_residual").alias("residual"), divergence.alias("divergence"), prose.alias("prose"),
-        ((F.col("n") >= LEAST_WORDS) & extreme & (prose < PROSE_SHARE - PROSE_ERROR / F.sqrt("n")) & ~table_like & ~reference_like).alias("stuffed"),
+        (((F.col("n") >= LEAST_WORDS) | listed) & extreme & (prose < PROSE_SHARE - doubt) & ~table_like & ~reference_like).alias("stuffed"),
     )
 
 

@@ -100,6 +100,15 @@ def test_stuffed_pages(spark):
     assert stuffing.judged(df.limit(0)).count() == 0
 
 
+def test_short_lists_of_links_and_tags(spark):
+    rng = random.Random(10)
+    docs = [(i, ". ".join(rng.sample(PROSE.split(". "), 3)) + ".", "en") for i in range(60)]
+    docs += [(200, "\n".join(f"https://pages{i}.example/essay/fast-help/{i}" for i in range(12)), "en"), (201, " ".join(f"#CheapEssayHelp{c}" for c in "ABCDEFG"), "en"),
+             (202, "The notes are at https://maps.example/notes/of/the/second/survey/in/the/north/and/of/its/method", "en"), (203, "See https://a.example/b and https://c.example/d", None), (204, "Maps of the north #maps", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in stuffing.judged(df).where("stuffed").collect()) == [200, 201]
+
+
 def test_cut_words_are_cut_at_any_size(spark):
     tail = "Recall was measured twice in the spring. The method is held against the notes of three annotators tri."
     for times in (1, 10):
