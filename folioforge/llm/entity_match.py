@@ -52,7 +52,7 @@ SAMPLE_RECORDS, WALKS, STEPS, WINDOW, NEGATIVES, EPOCHS = 4000, 8000, 8, 2, 3, 1
 #: Bits of a record, tables and probes of buckets of LEAST_BITS bits; those of more bits have more of both (``layout``).
 BITS, TABLES, PROBES, LEAST_BITS, MOST_BITS = 128, 13, 4, 12, 26
 #: Titles cut short are compared by their first letters, in tables of their own.
-VIEWS = (32, 48)
+VIEWS = (12, 20, 32, 48)
 #: Tables whose buckets are joined at once, which bounds the disk that a join takes.
 ROUND = 7
 RATE = 0.05
@@ -60,6 +60,8 @@ RATE = 0.05
 COMMON_AXES = 4
 #: Bits that may differ (cosine about cos(pi * d / BITS)).
 FAR = 40
+#: And for the shortest beginnings, of whose n-grams a slip changes more.
+SHORT, FAR_SHORT = 20, 54
 #: Titles that so many different years have are no work's own.
 COMMON_YEARS = 5
 #: A word is ordinary if so large a share of all titles (and 4) have it.
@@ -238,7 +240,8 @@ class Hasher:
         self.weighted = vectors * weight[:, None].astype(np.float32)
         n_tables, self.probes = layout(n_bits)
         self.tables = [BITS + t * n_bits + np.arange(n_bits) for t in range(n_tables)]
-        self.view_tables = [cols[: max(8, n_bits - 2)] for cols in self.tables]
+        # short beginnings are few, so short buckets tell them apart
+        self.view_tables = [[cols[: max(8, min(n_bits - 2, size // 2 + 4))] for cols in self.tables] for size in VIEWS]
         self.planes = rng.standard_normal((DIM, BITS + n_tables * n_bits)).astype(np.float32)
         self.centre = np.zeros(DIM, dtype=np.float32) if centre is None else centre
         self.common = np.zeros((DIM, 0), dtype=np.float32) if common is None else common
@@ -384,7 +387,7 @@ def candidate_pairs(ours: DataFrame, theirs: DataFrame, hasher_of, scratch: Scra
                     for v, size in enumerate(VIEWS, 1):
                         some = letters.str.len() > size
                         if some.any():
-                            yield _index_rows(letters[some].str[:size].tolist(), c["num"][some].tolist(), h, h.view_tables[lo:hi], v, 1, lo)
+                            yield _index_rows(letters[some].str[:size].tolist(), c["num"][some].tolist(), h, h.view_tables[v - 1][lo:hi], v, 1, lo)
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             h = Hasher(*sent.value)
@@ -402,14 +405,16 @@ def candidate_pairs(ours: DataFrame, theirs: DataFrame, hasher_of, scratch: Scra
                         longer = letters.str.len() >= (VIEWS[v] if v < len(VIEWS) else 1 << 30)
                         some = c["cut"] & (letters.str.len() >= size) & ~longer
                         if some.any():
-                            yield _index_rows(letters[some].str[:size].tolist(), c["rep"][some].tolist(), h, h.view_tables[lo:hi], v, h.probes, lo)
+                            yield _index_rows(letters[some].str[:size].tolist(), c["rep"][some].tolist(), h, h.view_tables[v - 1][lo:hi], v, h.probes, lo)
 
         left = ours.select("num", "norm").mapInPandas(index, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "num")
         right = theirs.select("rep", "norm", "cut", "equal").mapInPandas(probe, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "rep_d")
         for k in range(BITS // 64):
             right = right.withColumnRenamed(f"s{k}", f"t{k}")
         far = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-        return left.join(right, "bucket").withColumn("far", far).where(F.col("far") <= FAR).groupBy("num", "rep_d").agg(F.min("far").alias("far"))
+        view = F.shiftrightunsigned("bucket", 46)
+        limit = F.when(view.between(1, sum(size <= SHORT for size in VIEWS)), FAR_SHORT).otherwise(FAR)
+        return left.join(right, "bucket").withColumn("far", far).where(F.col("far") <= limit).groupBy("num", "rep_d").agg(F.min("far").alias("far"))
 
     rounds = [scratch.save(met(lo, min(lo + ROUND, n_tables)), f"near-{lo}") for lo in range(0, n_tables, ROUND)]
     return reduce(DataFrame.unionByName, rounds).groupBy("num", "rep_d").agg(F.min("far").alias("far"))

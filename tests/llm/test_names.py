@@ -140,12 +140,21 @@ def test_blocking_recall_does_not_fall_with_size():
     vectors = E.train_vectors([(t, "2020", "", "") for t in titles[::5]])
     df = np.bincount(np.concatenate([E.grams(t) for t in titles]), minlength=E.BUCKETS)
     weight = (np.log1p(len(titles) / np.maximum(df, 1)) ** 0.25).astype(np.float32)
-    heads = [t.replace(" ", "")[:32] for t in titles]
+    heads = [[t.replace(" ", "")[:size] for t in titles] for size in E.VIEWS]
     slip = lambda t: (lambda i: t[:i] + "x" + t[i + 1 :])(rng.randrange(len(t)))
     for n_bits in (12, 18, E.MOST_BITS):
         h = E.Hasher(vectors, weight, n_bits)
-        for texts, tables in ((titles, h.tables), (heads, h.view_tables)):
+        for texts, tables in ((titles, h.tables), *[x for x in zip(heads, h.view_tables) if len(x[0][0]) >= 32]):
             index = E._index_rows(texts, list(range(len(texts))), h, tables, 0, 1)
             probes = E._index_rows([slip(t) for t in texts], list(range(len(texts))), h, tables, 0, h.probes)
             met = index.merge(probes, on=["rep", "bucket"])
             assert met["rep"].nunique() >= 0.95 * len(texts), (n_bits, len(texts[0]))
+
+
+def test_short_cut_titles_are_found(spark):
+    rare = ["Trikapan", "Olvureth", "Sumbakil", "Perdovan", "Gratimel", "Zolkurin"]
+    p = [(f"p{i}", f"{w} Privacy-aware Forecasting of River Gauges", 2020, None, None) for i, w in enumerate(rare)] + [(f"f{i}", t, 2020, None, None) for i, t in enumerate(works(60))]
+    d = [(i, f"{w} - Privacy-aware Fo...", "", "", "") for i, w in enumerate(rare[:3])] + [(3, "Perdovan Priv…", "", "", ""), (4, "Gratimel Pirvacy-aware F...", "", "", ""), (9, "Perd...", "", "", "")]
+    none = spark.createDataFrame([], "left_id string, right_id string")
+    got = {(r.id, r.row_id) for r in E.matched(spark.createDataFrame(p, PAPER), spark.createDataFrame(d, FOUND), none).collect()}
+    assert got == {(f"p{i}", i) for i in range(5)}
