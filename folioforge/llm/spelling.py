@@ -35,8 +35,6 @@ from .common import table
 GRAM, COSINE, CORE_EDITS = 3, 0.25, 1
 #: Average similarity from which groups of forms are joined.
 LINKAGE = 0.55
-#: More forms than this in a component are grouped by equal forms only: its cost grows as their square.
-MOST_FORMS = 1500
 #: A word is a given name if at least this share of all rows (and 3) have it first; an organisation's ordinary word if it has this share and 4.
 GIVEN_SHARE, ORDINARY_SHARE = 0.0007, 0.008
 MOST_COUNTRIES = 1000
@@ -275,21 +273,49 @@ def group_forms(forms: pd.DataFrame, kind: str) -> list[int]:
     if n == 1:
         return [0]
     rows = list(zip(forms["core"], forms["block"], forms["detail"], forms["ident"]))
-    if n > MOST_FORMS:
-        seen: dict[tuple, int] = {}
-        return [seen.setdefault(r, i) for i, r in enumerate(rows)]
-    s = np.full((n, n), -1.0)
+    size = forms["n"].to_numpy()
+
+    def similarity(i: int, j: int) -> float:
+        x, y = rows[i], rows[j]
+        if x[3] and y[3]:
+            return 2.0 if x[3] == y[3] else -1.0
+        if kind == "author":
+            return person_similarity((x[0], x[2]), (y[0], y[2]))
+        return org_similarity((x[0], x[1], x[2]), (y[0], y[1], y[2]))
+
+    # forms that no chain of permitted pairs joins never come into one cluster, so each part is linked by itself
+    part = list(range(n))
+    permitted: dict[tuple[int, int], float] = {}
+
+    def top(i: int) -> int:
+        while part[i] != i:
+            part[i] = part[part[i]]
+            i = part[i]
+        return i
+
     for i in range(n):
         for j in range(i):
-            x, y = rows[i], rows[j]
-            if x[3] and y[3]:
-                v = 2.0 if x[3] == y[3] else -1.0
-            elif kind == "author":
-                v = person_similarity((x[0], x[2]), (y[0], y[2]))
-            else:
-                v = org_similarity((x[0], x[1], x[2]), (y[0], y[1], y[2]))
-            s[i, j] = s[j, i] = v
-    return average_linkage(s, forms["n"].to_numpy(), LINKAGE)
+            v = similarity(i, j)
+            if v >= 0:
+                permitted[j, i] = v
+                part[max(top(i), top(j))] = min(top(i), top(j))
+    parts: dict[int, list[int]] = {}
+    for i in range(n):
+        parts.setdefault(top(i), []).append(i)
+    links: dict[int, list[tuple[int, int, float]]] = {}
+    for (j, i), v in permitted.items():
+        links.setdefault(top(i), []).append((j, i, v))
+    cluster = list(range(n))
+    for first, members in parts.items():
+        if len(members) == 1:
+            continue
+        at = {m: k for k, m in enumerate(members)}
+        s = np.full((len(members), len(members)), -1.0)
+        for j, i, v in links[first]:
+            s[at[i], at[j]] = s[at[j], at[i]] = v
+        for m, c in zip(members, average_linkage(s, size[members], LINKAGE)):
+            cluster[m] = members[c]
+    return cluster
 
 
 def linked(parsed: DataFrame, kind: str) -> DataFrame:

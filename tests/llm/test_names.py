@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioforge.llm import entity_match as E
@@ -158,3 +159,11 @@ def test_short_cut_titles_are_found(spark):
     none = spark.createDataFrame([], "left_id string, right_id string")
     got = {(r.id, r.row_id) for r in E.matched(spark.createDataFrame(p, PAPER), spark.createDataFrame(d, FOUND), none).collect()}
     assert got == {(f"p{i}", i) for i in range(5)}
+
+
+def test_large_components_are_linked():
+    rng = random.Random(15)
+    cores = ["".join(rng.choice("bdfgklmnprstvz") for _ in range(9)) for _ in range(1600)]
+    rows = [(c, "", "robert", "") for c in cores] + [(cores[0], "", "r", ""), (cores[1][:4] + "x" + cores[1][5:], "", "robert", ""), ("tulkenarn", "", "vera", "id1"), ("holdanust", "", "vera", "id1")]
+    got = S.group_forms(pd.DataFrame([(*r, 1) for r in rows], columns=["core", "block", "detail", "ident", "n"]), "author")
+    assert got[0] == got[1600] and got[1] == got[1601] and got[1602] == got[1603] and len(set(got)) == 1601
