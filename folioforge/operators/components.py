@@ -28,11 +28,12 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
     Each key's rows are split into STAR_PARTS parts by a hash of the node; a part's nodes
     are linked to the part's smallest one, and these, at most STAR_PARTS a key, to the key's.
     """
-    m = members.select(F.col(key).alias("k"), F.col(node).alias("n")).where("k is not null and n is not null")
-    m = m.withColumn("part", F.pmod(F.xxhash64("n"), F.lit(STAR_PARTS)))
-    inner = m.withColumn("low", F.min("n").over(W.partitionBy("k", "part")))
-    tops = inner.groupBy("k", "part").agg(F.min("low").alias("low"))
-    outer = tops.withColumn("first", F.min("low").over(W.partitionBy("k")))
+    # sorts by a number decide before texts of one beginning are compared
+    m = members.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(node).alias("n")).where("k is not null and n is not null")
+    m = m.withColumn("part", F.pmod(F.xxhash64("n"), F.lit(STAR_PARTS)).cast("int"))
+    inner = m.withColumn("low", F.min("n").over(W.partitionBy("h", "part", "k")))
+    tops = inner.where("n = low").select("h", "k", "low").distinct()
+    outer = tops.withColumn("first", F.min("low").over(W.partitionBy("h", "k")))
     return (
         inner.select(F.col("low").alias("a"), F.col("n").alias("b"))
         .unionByName(outer.select(F.col("first").alias("a"), F.col("low").alias("b")))
@@ -43,24 +44,26 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component for every node of ``edges`` (columns a, b); component is the smallest node.
 
+    A tree of hooks has its smallest node at its root: that node's smallest neighbour has no smaller
+    one than it, so these two form the tree's two-cycle.  Roots are relabelled by roots, so the last
+    one is the smallest of the component.
+
     Loops, repeated and reversed edges and nulls do no harm; an empty table gives an empty one.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     label_type = dict(edges.dtypes)["a"]
     live = scratch.save(_tidy(edges.select("a", "b")), "edges")
-    hooks: list[DataFrame] = []  # one table node -> component a round
+    hooks: list[DataFrame] = []  # one table node -> root a round
     for _ in range(max_rounds):
         if live.isEmpty():
             break
         parent = _collapse(scratch, _hook(live))
         hooks.append(parent)
-        n_live = live.count()
-        half = attach_unique(live, parent.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", n_live)
-        half = scratch.save(half.select("ra", "b"), "half")
-        both = attach_unique(half, parent.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", n_live)
+        half = attach_unique(live, parent.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        both = attach_unique(half.select("ra", "b"), parent.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         new = scratch.save(_tidy(both.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "edges")
-        scratch.drop(half, live)
+        scratch.drop(live)
         live = new
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
@@ -70,11 +73,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     total = hooks[-1]
     for earlier in reversed(hooks[:-1]):
         up = total.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        total = scratch.save(
-            attach_unique(earlier, up, "root", earlier.count(), "left").select("node", F.coalesce("top", "root").alias("root")), "labels"
-        )
-    least = total.groupBy("root").agg(F.least(F.min("node"), F.first("root")).alias("component"))
-    return attach_unique(total, least, "root", total.count()).select("node", "component")
+        total = scratch.save(attach_unique(earlier, up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+    return total.select("node", F.col("root").alias("component"))
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -87,27 +87,21 @@ def _hook(edges: DataFrame) -> DataFrame:
     With edges ordered as (smaller label, larger label) a node's smallest edge leads to its
     smallest neighbour, whether or not that one is smaller than the node itself.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    return both.groupBy("node").agg(F.min("other").alias("root"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("a").alias("root"))))
+    return edges.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.root").alias("root"))
 
 
 def _collapse(scratch: Scratch, hooks: DataFrame) -> DataFrame:
-    """Pointer doubling until every node points at its tree's root."""
+    """Two-cycles broken at their smaller end, then pointer doubling until every node points at its tree's root."""
     parent = scratch.save(hooks, "hooks")
-    first = True
+    joined = attach_unique(parent, parent.select(F.col("node").alias("root"), F.col("root").alias("above")), "root")
+    new = scratch.save(joined.select("node", F.when(F.col("above") == F.col("node"), F.least("node", "root")).otherwise(F.col("root")).alias("root")), "trees")
+    scratch.drop(parent)
     while True:
-        n = parent.count()
-        up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        joined = attach_unique(parent, up, "root", n)
-        if first:  # a two-cycle: its smaller end becomes the root
-            above = F.when(F.col("above") == F.col("node"), F.least("node", "root")).otherwise(F.col("above"))
-        else:
-            above = F.col("above")
-        new = scratch.save(joined.select("node", above.alias("root"), (above != F.col("root")).alias("moved")), "doubled")
-        moved = first or not new.where("moved").isEmpty()
+        parent = new
+        joined = attach_unique(parent, parent.select(F.col("node").alias("root"), F.col("root").alias("above")), "root")
+        new = scratch.save(joined.select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "doubled")
         scratch.drop(parent)
-        path = new._scratch_path
-        parent, first = new.select("node", "root"), False
-        parent._scratch_path = path
-        if not moved:
-            return parent
+        if new.where("moved").isEmpty():
+            return new.select("node", "root")
+        new = scratch.seen_as(new, new.select("node", "root"))

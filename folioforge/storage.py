@@ -72,6 +72,11 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def seen_as(self, saved: DataFrame, view: DataFrame) -> DataFrame:
+        """``view``, made of the written table ``saved`` alone, known by that table's files."""
+        view._scratch_path = saved._scratch_path  # type: ignore[attr-defined]
+        return view
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         for t in tables:

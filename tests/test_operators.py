@@ -10,7 +10,7 @@ from folioforge.functions.canonical import canonical_arxiv, canonical_doi
 from folioforge.operators import dml, merge, resolve, similarity
 from folioforge.operators.components import connected_components, star_edges
 from folioforge.operators.session import run_sessions
-from folioforge.operators.skew import attach_unique
+from folioforge.operators.skew import attach_unique, salted
 from folioforge.sources import connectors, datasource, tables
 from folioforge.streaming import events
 
@@ -78,8 +78,8 @@ def test_star_edges_connect_a_hot_key(spark):
 def test_attach_unique_on_a_hot_key(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 3000, "h").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), "id")
     unique = rows.select("k").distinct().withColumn("v", F.length("k"))
-    out = attach_unique(rows, unique, "k", 5000)
-    assert out.count() == 5000 and out.select("id").distinct().count() == 5000 and out.where("v != length(k)").count() == 0
+    for out in (attach_unique(rows, unique, "k"), salted(rows, unique, "k")):
+        assert out.count() == 5000 and out.select("id").distinct().count() == 5000 and out.where("v != length(k)").count() == 0
 
 
 @settings(max_examples=60, deadline=None)
