@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import arxiv_of_doi, canonical_arxiv, canonical_doi
 from ..operators.components import connected_components, star_edges
-from .common import table
+from .common import identifier_keys, table
 
 
 def match_edges(papers: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -20,16 +19,8 @@ def match_edges(papers: DataFrame, pairs: DataFrame) -> DataFrame:
     Identifiers that are none, nulls, pairs of a row with itself and pairs with ids that
     papers lacks link nothing.
     """
-    # each step's columns are used more than once by the next, so they are worked out once
-    bare = papers.select("id", canonical_doi(F.col("doi")).alias("doi"), canonical_arxiv(F.col("arxiv_id")).alias("arxiv"))
-    bare = bare.where("doi is not null or arxiv is not null").select("id", "doi", "arxiv", arxiv_of_doi(F.col("doi")).alias("alias"))
-    keys = bare.select(
-        "id",
-        F.array_distinct(F.array_compact(F.array(
-            F.concat(F.lit("d"), F.when(F.col("alias").isNull(), F.col("doi"))), F.concat(F.lit("a"), F.col("alias")), F.concat(F.lit("a"), F.col("arxiv"))
-        ))).alias("keys"),
-    ).select("id", F.explode("keys").alias("key"))
-    known = papers.select("id").distinct()
+    keys = identifier_keys(papers, "id")
+    known = papers.select("id")
     given = (
         pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b").distinct()
         .join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")

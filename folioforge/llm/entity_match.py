@@ -490,7 +490,7 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     clear = F.size(F.filter("costs", lambda c: c < F.col("least") + 0.15)) == 1
     best = scratch.save(best.where((F.col("least") == 0) | clear).select("rep_d", "work", "least", "far"), "best")
     by_title = attach_unique(
-        scratch.save(d_own.join(theirs.select("norm", "kind", "cut", F.col("rep").alias("rep_d")), ["norm", "kind", "cut"]).select("row_id", "rep_d", "doi", "arxiv"), "reps"), best, "rep_d", n_d
+        scratch.save(d_own.join(theirs.select("norm", "kind", "cut", F.col("rep").alias("rep_d")), ["norm", "kind", "cut"]).select("row_id", "rep_d", "doi", "arxiv"), "reps"), best, "rep_d"
     ).select("row_id", "work", "far")
     # identifiers say it without a title; found rows of a further part keep to theirs
     ids_p = works.select("work", F.explode(_identifiers()).alias("key")).groupBy("key").agg(F.min("work").alias("work"))

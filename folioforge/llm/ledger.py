@@ -115,7 +115,7 @@ def copies(papers: DataFrame) -> DataFrame:
     ledger, keyed, scratch = build_ledger(papers)
     groups = ledger.table().where("n_copies > 1").select("key", "first_id")
     return (
-        attach_unique(keyed.select("key", "id"), groups, "key", keyed.count())
+        attach_unique(keyed.select("key", "id"), groups, "key")
         .where(F.col("id") != F.col("first_id"))
         .select("first_id", F.col("id").alias("copy_id"))
     )

@@ -188,7 +188,7 @@ def similar_cores(keys: DataFrame, scratch: Scratch) -> DataFrame:
     )
     total = keys.count()
     weight = grams.groupBy("gram").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
-    weighted = attach_unique(grams, scratch.save(weight, "weights"), "gram", grams.count())
+    weighted = attach_unique(grams, scratch.save(weight, "weights"), "gram")
     norm = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = scratch.save(weighted.join(norm, "key").select("key", "block", "gram", "at", (F.col("w") / F.col("norm")).alias("w")), "vectors")
     left = unit.select(F.col("key").alias("a"), "block", "gram", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"), F.col("w").alias("wa"))

@@ -126,7 +126,7 @@ def judged(rows: DataFrame) -> DataFrame:
         .select("h", F.lit(True).alias("notice"))
     )
     n = light.count()
-    light = scratch.save(attach_unique(light, scratch.save(shared, "notices"), "h", n, "left").drop("t"), "light")
+    light = scratch.save(attach_unique(light, scratch.save(shared, "notices"), "h", "left").drop("t"), "light")
     sentence_end = r"[.?!]+\s+|[。？！]+"
     inner = F.split("text", sentence_end)
     # the end before a rights line is that of the text, and says nothing about its last word
@@ -153,7 +153,7 @@ def judged(rows: DataFrame) -> DataFrame:
     known = scratch.save(
         known.withColumn("word", word).join(odd.where("odd").select("word", "odd"), "word", "left").select("tail", "closes", "odd"), "known"
     )
-    with_tail = attach_unique(light.where("tail is not null"), known, "tail", n, "left").unionByName(light.where("tail is null"), allowMissingColumns=True)
+    with_tail = attach_unique(light.where("tail is not null"), known, "tail", "left").unionByName(light.where("tail is null"), allowMissingColumns=True)
     limit = scratch.save(limit, "limits")
     sizes = {k: limit.where(F.col("kind") == k).select(F.coalesce("source", F.lit("")).alias("source"), F.col("size").alias(k), F.lit(True).alias(f"at_{k}")) for k in ("chars", "bytes")}
     out = with_tail.join(sizes["chars"], ["source", "chars"], "left").join(sizes["bytes"], ["source", "bytes"], "left")

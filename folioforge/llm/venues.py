@@ -197,7 +197,7 @@ def mapped(rows: DataFrame, reference: DataFrame) -> DataFrame:
     # few bytes but much work a form: spread by number, not by size
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forms = typed.select("venue").distinct().repartition(parts).mapInPandas(judge, "venue string, venue_id string")
-    return attach_unique(typed, scratch.save(forms, "forms"), "venue", typed.count())
+    return attach_unique(typed, scratch.save(forms, "forms"), "venue")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
