@@ -40,14 +40,14 @@ FIELDS = ("abstract", "venue", "doi", "arxiv_id")
 def ballots(papers: DataFrame, member: DataFrame) -> DataFrame:
     """group_id, id, weight, and the normalised value of each field, null where it may not vote.
 
-    ``member`` has group_id, id.  Abstracts are one value if they begin alike: labels, markup,
-    rights lines and added notes don't make another one.
+    ``member`` has group_id, id.  Abstracts are one value if they say the same: labels, markup,
+    rights lines and how they are written don't make another one.
     """
     trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.col("source")), F.lit(OTHER_TRUST))
     day = F.unix_micros(F.greatest(F.col("updated_at").cast("timestamp"), F.col("created_at").cast("timestamp"))) / F.lit(86_400e6)
     now = papers.agg(F.max(day)).first()[0]  # one number, against which ages count
     weight = trust * F.pow(F.lit(0.5), F.coalesce(F.lit(now) - day, F.lit(OLDEST_DAYS)) / F.lit(HALF_LIFE_DAYS))
-    complete = judged(papers.select("id", "source", F.col("abstract").alias("text"), "title")).where("verdict = 'whole'").select("id", F.col("start").cast("string").alias("abstract"))
+    complete = judged(papers.select("id", "source", F.col("abstract").alias("text"), "title"), True).where("verdict = 'whole'").select("id", F.col("essence").cast("string").alias("abstract"))
     venue = F.trim(F.regexp_replace(F.lower("venue"), r"[\s\p{Z}]+", " "))
     rows = papers.select(
         "id", weight.alias("weight"),

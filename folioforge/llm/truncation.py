@@ -4,9 +4,9 @@ Per source and column, the lengths of the values (in characters and in bytes)
 are counted; a length that far more different texts have than its neighbours
 do is a field limit, and values of such a length without terminal punctuation
 are cut.  What was cut elsewhere than at a limit is found by how it ends: with
-a mark that something is missing, or without terminal punctuation in words
-that end no sentence anywhere in the column.  The ends of sentences are
-counted over all rows.
+a mark that something is missing, without terminal punctuation in words
+that end no sentence anywhere in the column, or with a full stop after a piece of
+a word.  The ends of sentences are counted over all rows.
 
 A text of several sentences that stands under many different titles is a notice
 of the site it was fetched from, and no abstract.
@@ -18,6 +18,8 @@ are judged alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,11 +29,15 @@ from ..operators.skew import attach_unique
 from ..storage import Scratch
 from .common import table
 
-#: Marks that say that the rest is missing, at the end of a text.
-MARKS = r"(?i)(?:…|\.\.\.|�|\[(?:…|\.\.\.)\]|[(\[](?:continued|more|read more|truncated)[^)\]]*[)\]]|(?:…|\.\.\.)?\s*(?:read more|continue reading|see more)\.?)$"
-TERMINAL = r"[.?!。？！]$"
-#: Rights lines, which follow a text but say nothing about its end.
+#: Marks that say that the rest is missing, at the end of a text: characters, what stands in brackets, words.
+MARK_CHARS = ("…", "...", "\ufffd")
+MARK_IN_BRACKETS = r"(?i)(?:\[(?:…|\.\.\.)\]|[(\[](?:continued|more|read more|truncated)[^)\]]*[)\]])$"
+MARK_WORDS = ("read more", "continue reading", "see more")
+#: What ends a sentence.
+TERMINAL = ".?!。？！"
+#: Rights lines, which follow a text but say nothing about its end, and what each of them has.
 RIGHTS = r"(?i)(?:©|\(c\)|copyright)\s*\d{4}\b.{0,80}$"
+RIGHTS_SIGNS = ("©", "(c)", "copyright")
 LABEL = r"(?i)^\s*\[?(?:abstract|summary|zusammenfassung|résumé|resumen|摘要)\]?\s*[:.—–-]\s*"
 TAGS = r"</?[A-Za-z][A-Za-z0-9:]*(?:\s[^<>]*)?/?>"
 #: Fewer words (or characters, in scripts without blanks) than this make no abstract.
@@ -42,28 +48,42 @@ SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND = 5, 6.0, 20
 #: Words that make an end of a sentence.
 END_WORDS = 4
 #: A last word counts as known if it ends sentences inside texts about as often as texts (INSIDE_SHARE), or
-#: so large a share of all different texts (and WORD_ENDS of them); shares, as cuts grow in number with the texts.
-#: Unknown ones mean a cut only where known ones end at least KNOWN_SHARE of the texts.
-INSIDE_SHARE, WORD_SHARE, WORD_ENDS, KNOWN_SHARE = 0.5, 0.005, 5, 0.95
+#: so large a share of all different texts; shares, as cuts grow in number with the texts.  Of the unknown
+#: ones those are pieces of words which begin a word that sentences inside texts have among their last ones,
+#: and those of SHORT_WORD letters, as words so short are few and known.
+INSIDE_SHARE, WORD_SHARE, SHORT_WORD = 0.5, 0.005, 3
 #: A notice: at least so many different titles, and at least this share of its rows.
 NOTICE_TITLES, NOTICE_SHARE = 5, 0.5
-#: Letters that tell texts apart by their beginning; characters that are looked at for the end, and for a mark.
-BEGIN, END_CHARS, MARK_CHARS = 48, 240, 60
+#: Characters that are looked at for the end.
+END_CHARS = 240
 CUT = ("limit", "mark", "tail")
-SENTENCES = r"(?<=[.?!])\s+|(?<=[。？！])"
+SENTENCE_END = r"[.?!]+\s+|[。？！]+"
+LAST_SENTENCE = r"(?s)^.*(?:[.?!]\s+|[。？！])(?=.)"
+
+
+# A step that is used more than once has a projection of its own, as nested expressions would be
+# worked out again for each use.
+
+
+def _replaced(rows: DataFrame, name: str, signs: tuple[str, ...], pattern: str, by: str) -> DataFrame:
+    """``pattern`` replaced in those texts of column ``name`` that have one of the signs, which are quick to look for."""
+    low = rows.withColumn("_low", F.lower(name) if any(x != x.upper() for x in signs) else F.col(name))
+    return low.withColumn(name, F.when(reduce(Column.__or__, [F.col("_low").contains(x) for x in signs]), F.regexp_replace(name, pattern, by)).otherwise(F.col(name))).drop("_low")
 
 
-def end_of(text: Column) -> Column:
-    """The end of the text without tags, rights line and blanks around."""
-    bare = F.regexp_replace(F.right(text, F.lit(END_CHARS)), TAGS, " ")
-    bare = F.regexp_replace(bare, RIGHTS, "")
-    return F.regexp_replace(F.when(F.length(text) <= END_CHARS, F.regexp_replace(bare, LABEL, "")).otherwise(bare), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+def with_end(rows: DataFrame, name: str) -> DataFrame:
+    """``name``: the end of ``text`` without tags, label, rights line and blanks around."""
+    out = rows.withColumn(name, F.right("text", F.lit(END_CHARS)))
+    out = _replaced(_replaced(out, name, ("<",), TAGS, " "), name, RIGHTS_SIGNS, RIGHTS, "")
+    out = out.withColumn(name, F.when(F.length("text") <= END_CHARS, F.regexp_replace(name, LABEL, "")).otherwise(F.col(name)))
+    return out.withColumn(name, F.regexp_replace(F.regexp_replace(name, r"^[\s\p{Z}]+", ""), r"[\s\p{Z}]+$", ""))
 
 
-def start_of(text: Column) -> Column:
-    """A hash of the first BEGIN letters, without tags and label."""
-    bare = F.regexp_replace(F.regexp_replace(F.left(text, F.lit(4 * BEGIN)), TAGS, " "), LABEL, "")
-    return F.xxhash64(F.substring(letters_and_digits(bare), 1, BEGIN))
+def with_essence(rows: DataFrame, name: str) -> DataFrame:
+    """``name``: a hash of all letters and digits of ``text`` but its tags, label and rights line; "&" and "and" are alike."""
+    out = _replaced(_replaced(rows.withColumn(name, F.col("text")), name, ("<",), TAGS, " "), name, RIGHTS_SIGNS, RIGHTS, "")
+    out = _replaced(out, name, ("&",), r"&(?:amp;)?", "and")
+    return out.withColumn(name, F.xxhash64(letters_and_digits(F.regexp_replace(name, LABEL, ""))))
 
 
 def is_placeholder(core: Column) -> Column:
@@ -73,9 +93,22 @@ def is_placeholder(core: Column) -> Column:
     return (F.length(core) < END_CHARS // 2) & (words < LEAST_WORDS) & (wide < LEAST_WIDE)
 
 
+def is_marked(core: Column) -> Column:
+    """Whether the end says that the rest is missing."""
+    words = F.rtrim(F.lower(F.right(core, F.lit(20))), F.lit("."))
+    signs = [core.endswith(x) for x in MARK_CHARS] + [words.endswith(x) for x in MARK_WORDS]
+    return reduce(Column.__or__, signs) | (F.right(core, F.lit(1)).isin(")", "]") & F.right(core, F.lit(60)).rlike(MARK_IN_BRACKETS))
+
+
+def _is_wide(char: Column) -> Column:
+    """Whether a character is one of WIDE."""
+    n = F.ascii(char)
+    return n.between(0x3040, 0x30FF) | n.between(0x3400, 0x9FFF) | n.between(0xAC00, 0xD7AF)
+
+
 def _end_key(sentence: Column) -> Column:
     """The last words of a sentence (the last characters where no blanks are written), numbers alike."""
-    words = F.when(F.right(sentence, F.lit(1)).rlike(WIDE), F.right(sentence, F.lit(END_WORDS))).otherwise(F.substring_index(sentence, " ", -END_WORDS))
+    words = F.when(_is_wide(F.right(sentence, F.lit(1))), F.right(sentence, F.lit(END_WORDS))).otherwise(F.substring_index(sentence, " ", -END_WORDS))
     return F.regexp_replace(F.lower(words), r"[0-9]+(?:\.[0-9]+)?", "0")
 
 
@@ -100,23 +133,25 @@ def spikes(values: DataFrame) -> DataFrame:
     )
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """id, source, start, verdict of rows (id, source, text, title) that have a text; verdict is 'limit',
-    'mark', 'tail' (all three cut), 'whole', or 'notice'.  start is a hash of the text's first BEGIN letters."""
+def judged(rows: DataFrame, essence: bool = False) -> DataFrame:
+    """id, source, chars, verdict of rows (id, source, text, title) that have a text; verdict is 'limit',
+    'mark', 'tail' (all three cut), 'whole', or 'notice'; ``essence``, a hash of what the text says, if asked for."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "truncation")
     texts = rows.where(F.trim("text") != "")
-    # exploding one element keeps the end from being worked out again for every use
-    base = texts.select(
+    kept = ["essence"] if essence else []
+    ended = with_end(with_essence(texts, "essence") if essence else texts, "core")
+    # a filter on what is exploded stays behind the end's projections
+    base = ended.select(
         "id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-        F.xxhash64("text").alias("h"), "title", start_of(F.col("text")).alias("start"), F.explode(F.array(end_of(F.col("text")))).alias("core"),
+        F.xxhash64("text").alias("h"), "title", *kept, F.explode(F.array("core")).alias("core"),
     ).where(~is_placeholder(F.col("core")))
-    parts = base.withColumns({"sentences": F.split("core", SENTENCES), "open_end": ~F.right("core", F.lit(1)).rlike(TERMINAL), "marked": F.right("core", F.lit(MARK_CHARS)).rlike(MARKS)})
-    stem = F.regexp_replace(F.element_at("sentences", -1), r"[.?!。？！]+$", "")
+    parts = base.withColumns({"last": F.regexp_replace("core", LAST_SENTENCE, ""), "open_end": ~F.right("core", F.lit(1)).isin(*TERMINAL), "marked": is_marked(F.col("core"))})
+    parts = parts.withColumn("stem", F.rtrim("last", F.lit(TERMINAL)))
     light = scratch.save(parts.select(
-        "id", "source", "chars", "bytes", "open_end", "marked", "h", "start",
-        F.when(F.size("sentences") > 1, F.xxhash64(letters_and_digits(F.col("title")))).alias("t"),
-        F.when(~F.col("marked"), F.when(F.col("open_end") & F.right("core", F.lit(2 * MARK_CHARS)).rlike(r"(?:\)|https?://\S+)$"), F.lit(")")).otherwise(_end_key(stem))).alias("tail"),
+        "id", "source", "chars", "bytes", "open_end", "marked", "h", *kept,
+        F.when(F.length("last") < F.length("core"), F.xxhash64(letters_and_digits(F.col("title")))).alias("t"),
+        F.when(~F.col("marked"), F.when(F.col("open_end") & F.right("core", F.lit(120)).rlike(r"(?:\)|https?://\S+)$"), F.lit(")")).otherwise(_end_key(F.col("stem")))).alias("tail"),
     ), "ends")
     limit = spikes(light.select("source", "h", "chars", "bytes"))
     shared = (
@@ -125,18 +160,8 @@ def judged(rows: DataFrame) -> DataFrame:
         .where((F.col("titles") >= NOTICE_TITLES) & (F.col("titles") >= NOTICE_SHARE * F.col("n")))
         .select("h", F.lit(True).alias("notice"))
     )
-    n = light.count()
     light = scratch.save(attach_unique(light, scratch.save(shared, "notices"), "h", "left").drop("t"), "light")
-    sentence_end = r"[.?!]+\s+|[。？！]+"
-    inner = F.split("text", sentence_end)
-    # the end before a rights line is that of the text, and says nothing about its last word
-    rights = F.right("text", F.lit(END_CHARS // 2)).rlike(RIGHTS)
-    before = F.when(rights, F.size(F.split(F.rtrim(F.regexp_replace("text", RIGHTS, "")), sentence_end)) - 1)
-    ends = scratch.save(
-        texts.select(before.alias("before"), F.posexplode(F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))).alias("at", "s"))
-        .select(_end_key(F.col("s")).alias("tail"), F.coalesce(F.col("at") < F.col("before"), F.lit(True)).alias("own"))
-        .groupBy("tail").agg(F.lit(True).alias("closes"), F.count_if("own").alias("m")), "closing",
-    )
+    ends = scratch.save(inner_ends(texts.select("text")), "closing")
     known = light.where("tail is not null and tail != ')'").select("tail").distinct().join(ends.select("tail", "closes"), "tail", "left")
     # the last words of texts that end in a full stop
     word = F.substring_index("tail", " ", -1)
@@ -144,15 +169,10 @@ def judged(rows: DataFrame) -> DataFrame:
     inside = ends.groupBy(word.alias("word")).agg(F.sum("m").alias("m"))
     spread = finals.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     spread = scratch.save(spread.join(inside, "word", "left").select("word", "n", F.coalesce("m", F.lit(0)).alias("m")), "spread")
-    often = max(WORD_ENDS, WORD_SHARE * (spread.agg(F.sum("n")).first()[0] or 0))
-    odd = scratch.save(spread.select(
-        "word", "n", "m", ((F.col("m") < INSIDE_SHARE * F.col("n")) & (F.col("n") < often) & (F.col("word") != "") & ~F.col("word").rlike(r"[0-9)]|" + WIDE)).alias("odd"),
-    ), "words")
-    total = odd.agg(F.sum("n"), F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0))).first()
-    use_words = bool(total[0]) and total[1] <= (1 - KNOWN_SHARE) * total[0]
-    known = scratch.save(
-        known.withColumn("word", word).join(odd.where("odd").select("word", "odd"), "word", "left").select("tail", "closes", "odd"), "known"
-    )
+    often = WORD_SHARE * (spread.agg(F.sum("n")).first()[0] or 0)
+    unknown = spread.where((F.col("m") < INSIDE_SHARE * F.col("n")) & (F.col("n") <= F.greatest(F.lit(often), F.lit(1))) & (F.col("word") != "") & ~F.col("word").rlike(r"[0-9)]|" + WIDE))
+    odd = unknown.join(_beginnings(ends), "word", "left_semi").unionByName(unknown.where(F.col("word").rlike("[<&]") | (F.length("word") <= SHORT_WORD))).select("word", F.lit(True).alias("odd")).distinct()
+    known = scratch.save(known.withColumn("word", word).join(odd, "word", "left").select("tail", "closes", "odd"), "known")
     with_tail = attach_unique(light.where("tail is not null"), known, "tail", "left").unionByName(light.where("tail is null"), allowMissingColumns=True)
     limit = scratch.save(limit, "limits")
     sizes = {k: limit.where(F.col("kind") == k).select(F.coalesce("source", F.lit("")).alias("source"), F.col("size").alias(k), F.lit(True).alias(f"at_{k}")) for k in ("chars", "bytes")}
@@ -161,13 +181,31 @@ def judged(rows: DataFrame) -> DataFrame:
     closed = F.coalesce(F.col("closes"), F.lit(False)) | (F.col("tail") == ")")
     verdict = (
         F.when(F.col("notice"), "notice")
-        .when(F.col("marked"), "mark")
         .when(at_limit & F.col("open_end"), "limit")
+        .when(F.col("marked"), "mark")
         .when(F.col("open_end") & ~F.coalesce(closed, F.lit(False)), "tail")
-        .when(~F.col("open_end") & F.coalesce(F.col("odd"), F.lit(False)) & F.lit(use_words), "tail")
+        .when(~F.col("open_end") & F.coalesce(F.col("odd"), F.lit(False)), "tail")
         .otherwise("whole")
     )
-    return out.select("id", "source", "start", verdict.alias("verdict"))
+    return out.select("id", "source", "chars", *kept, verdict.alias("verdict"))
+
+
+def inner_ends(texts: DataFrame) -> DataFrame:
+    """tail, closes (true), m: how often sentences inside texts (the last one and rights lines aside) end in a tail."""
+    # one pass marks the ends of sentences, and a split at a single character needs no pattern
+    ended = F.split(F.regexp_replace("text", SENTENCE_END, "\x02\x01"), "\x01")
+    inner = _replaced(texts, "text", RIGHTS_SIGNS, RIGHTS, "").select(F.explode(ended).alias("s")).where(F.col("s").endswith("\x02"))
+    inner = inner.select(F.rtrim("s", F.lit("\x02")).alias("s"))
+    # ends as they are written are counted first, so that there are fewer to be brought into one form
+    raw = F.when(_is_wide(F.right("s", F.lit(1))), F.right("s", F.lit(END_WORDS))).otherwise(F.substring_index("s", " ", -END_WORDS))
+    raw = inner.groupBy(raw.alias("raw")).agg(F.count(F.lit(1)).alias("m"))
+    return raw.groupBy(_end_key(F.col("raw")).alias("tail")).agg(F.lit(True).alias("closes"), F.sum("m").alias("m"))
+
+
+def _beginnings(ends: DataFrame) -> DataFrame:
+    """word: every beginning of a longer word among the last words of sentences inside texts (``tail``, ``m`` of them)."""
+    word = ends.where("m > 0").select(F.explode(F.split("tail", " ")).alias("whole")).distinct().where("length(whole) > 1")
+    return word.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("whole") - 1), lambda i: F.substring("whole", F.lit(1), i))).alias("word")).distinct()
 
 
 def _abstracts(papers: DataFrame) -> DataFrame:
@@ -180,11 +218,20 @@ def cut_abstracts(papers: DataFrame) -> DataFrame:
 
 
 def cut_rates(papers: DataFrame) -> DataFrame:
-    """source, n_abstracts, n_cut, n_at_limit, share_cut: how often each source cuts."""
-    cut = F.col("verdict").isin(*CUT)
-    return judged(_abstracts(papers)).where("verdict != 'notice'").groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_abstracts"), F.count_if(cut).alias("n_cut"), F.count_if(F.col("verdict") == "limit").alias("n_at_limit"),
-        F.round(F.avg(cut.cast("double")), 6).alias("share_cut"),
+    """source, n_abstracts, n_cut, share_cut: how often each source cuts; of the cut ones, how many stand at a
+    limit (n_at_limit), among them at the largest length that its limits have (n_at_longest, longest), bear a
+    mark (n_marked) or only end openly (n_open)."""
+    cut, is_ = F.col("verdict").isin(*CUT), lambda v: F.col("verdict") == v
+    each = judged(_abstracts(papers)).where("verdict != 'notice'").groupBy("source", "chars", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    longest = F.max(F.when(is_("limit"), F.struct(F.col("chars"), F.col("n"))))
+    count = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    by_length = each.groupBy("source").agg(
+        F.sum("n").alias("n_abstracts"), count(cut).alias("n_cut"), count(is_("limit")).alias("n_at_limit"), longest.alias("top"),
+        count(is_("mark")).alias("n_marked"), count(is_("tail")).alias("n_open"),
+    )
+    return by_length.select(
+        "source", "n_abstracts", "n_cut", "n_at_limit", F.coalesce("top.n", F.lit(0)).alias("n_at_longest"), F.col("top.chars").alias("longest"), "n_marked", "n_open",
+        F.round(F.col("n_cut") / F.col("n_abstracts"), 6).alias("share_cut"),
     )
 
 
