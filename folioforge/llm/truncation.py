@@ -48,10 +48,10 @@ SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND = 5, 6.0, 20
 #: Words that make an end of a sentence.
 END_WORDS = 4
 #: A last word counts as known if it ends sentences inside texts about as often as texts (INSIDE_SHARE), or
-#: so large a share of all different texts; shares, as cuts grow in number with the texts.  Of the unknown
+#: so large a share of all different texts (of few texts WORD_ENDS); shares, as cuts grow in number with the texts.  Of the unknown
 #: ones those are pieces of words which begin a word that sentences inside texts have among their last ones,
 #: and those of SHORT_WORD letters, as words so short are few and known.
-INSIDE_SHARE, WORD_SHARE, SHORT_WORD = 0.5, 0.005, 3
+INSIDE_SHARE, WORD_SHARE, WORD_ENDS, SHORT_WORD = 0.5, 0.005, 5, 3
 #: A notice: at least so many different titles, and at least this share of its rows.
 NOTICE_TITLES, NOTICE_SHARE = 5, 0.5
 #: Characters that are looked at for the end.
@@ -170,7 +170,7 @@ def judged(rows: DataFrame, essence: bool = False) -> DataFrame:
     spread = finals.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     spread = scratch.save(spread.join(inside, "word", "left").select("word", "n", F.coalesce("m", F.lit(0)).alias("m")), "spread")
     often = WORD_SHARE * (spread.agg(F.sum("n")).first()[0] or 0)
-    unknown = spread.where((F.col("m") < INSIDE_SHARE * F.col("n")) & (F.col("n") <= F.greatest(F.lit(often), F.lit(1))) & (F.col("word") != "") & ~F.col("word").rlike(r"[0-9)]|" + WIDE))
+    unknown = spread.where((F.col("m") < INSIDE_SHARE * F.col("n")) & (F.col("n") < F.greatest(F.lit(often), F.lit(WORD_ENDS))) & (F.col("word") != "") & ~F.col("word").rlike(r"[0-9)]|" + WIDE))
     odd = unknown.join(_beginnings(ends), "word", "left_semi").unionByName(unknown.where(F.col("word").rlike("[<&]") | (F.length("word") <= SHORT_WORD))).select("word", F.lit(True).alias("odd")).distinct()
     known = scratch.save(known.withColumn("word", word).join(odd, "word", "left").select("tail", "closes", "odd"), "known")
     with_tail = attach_unique(light.where("tail is not null"), known, "tail", "left").unionByName(light.where("tail is null"), allowMissingColumns=True)
