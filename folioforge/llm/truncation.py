@@ -194,7 +194,7 @@ def inner_ends(texts: DataFrame) -> DataFrame:
     """tail, closes (true), m: how often sentences inside texts (the last one and rights lines aside) end in a tail."""
     # one pass marks the ends of sentences, and a split at a single character needs no pattern
     ended = F.split(F.regexp_replace("text", SENTENCE_END, "\x02\x01"), "\x01")
-    inner = _replaced(texts, "text", RIGHTS_SIGNS, RIGHTS, "").select(F.explode(ended).alias("s")).where(F.col("s").endswith("\x02"))
+    inner = _replaced(texts, "text", RIGHTS_SIGNS, r"\s*" + RIGHTS, "").select(F.explode(ended).alias("s")).where(F.col("s").endswith("\x02"))
     inner = inner.select(F.rtrim("s", F.lit("\x02")).alias("s"))
     # ends as they are written are counted first, so that there are fewer to be brought into one form
     raw = F.when(_is_wide(F.right("s", F.lit(1))), F.right("s", F.lit(END_WORDS))).otherwise(F.substring_index("s", " ", -END_WORDS))
