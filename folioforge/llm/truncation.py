@@ -191,14 +191,15 @@ def judged(rows: DataFrame, essence: bool = False) -> DataFrame:
 
 
 def inner_ends(texts: DataFrame) -> DataFrame:
-    """tail, closes (true), m: how often sentences inside texts (the last one and rights lines aside) end in a tail."""
-    # one pass marks the ends of sentences, and a split at a single character needs no pattern
+    """tail, closes (true), m: how often sentences inside texts (the last one aside) end in a tail."""
+    # one pass marks the ends of sentences, and a split at a single character needs no pattern;
+    # the end before a rights line is that of the text, which closes a sentence but says nothing about its last word
     ended = F.split(F.regexp_replace("text", SENTENCE_END, "\x02\x01"), "\x01")
-    inner = _replaced(texts, "text", RIGHTS_SIGNS, r"\s*" + RIGHTS, "").select(F.explode(ended).alias("s")).where(F.col("s").endswith("\x02"))
-    inner = inner.select(F.rtrim("s", F.lit("\x02")).alias("s"))
+    inner = _replaced(texts, "text", RIGHTS_SIGNS, r"[.?!。？！]+\s*" + RIGHTS, "\x03\x01").select(F.explode(ended).alias("s"))
+    inner = inner.where(F.col("s").endswith("\x02") | F.col("s").endswith("\x03")).select(F.rtrim("s", F.lit("\x02\x03")).alias("s"), F.col("s").endswith("\x02").alias("own"))
     # ends as they are written are counted first, so that there are fewer to be brought into one form
     raw = F.when(_is_wide(F.right("s", F.lit(1))), F.right("s", F.lit(END_WORDS))).otherwise(F.substring_index("s", " ", -END_WORDS))
-    raw = inner.groupBy(raw.alias("raw")).agg(F.count(F.lit(1)).alias("m"))
+    raw = inner.groupBy(raw.alias("raw")).agg(F.count_if("own").alias("m"))
     return raw.groupBy(_end_key(F.col("raw")).alias("tail")).agg(F.lit(True).alias("closes"), F.sum("m").alias("m"))
 
 
