@@ -30,7 +30,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -38,37 +38,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import ARXIV_ALIAS, arxiv_of_doi, canonical_arxiv, canonical_doi
+from ..functions.canonical import canonical_arxiv, canonical_doi
 from ..operators.components import connected_components, star_edges
-from ..operators.skew import attach_unique
 from ..storage import Scratch
-from .common import table
+from .common import keys_of_canonical, table
 
 SEED = 1729
 #: Tokens are character n-grams of a title, hashed into BUCKETS; vectors have DIM places.
-GRAM, BUCKETS, DIM = 3, 1 << 15, 64
+GRAM, BUCKETS, DIM = 2, 1 << 15, 64
 #: The sample whose graph is walked, and the walks.
-SAMPLE_RECORDS, WALKS, STEPS, WINDOW, NEGATIVES, EPOCHS = 4000, 8000, 8, 2, 3, 1
+SAMPLE_RECORDS, WALKS, STEPS, WINDOW, NEGATIVES, EPOCHS = 4000, 16_000, 8, 2, 3, 1
 #: Bits of a record, tables and probes of buckets of LEAST_BITS bits; those of more bits have more of both (``layout``).
-BITS, TABLES, PROBES, LEAST_BITS, MOST_BITS = 128, 13, 4, 12, 26
-#: Titles cut short are compared by their first letters, in tables of their own.
-VIEWS = (12, 20, 32, 48)
-#: Tables whose buckets are joined at once, which bounds the disk that a join takes.
-ROUND = 7
-RATE = 0.05
+BITS, TABLES, PROBES, LEAST_BITS, MOST_BITS = 128, 9, 4, 12, 40
+#: Titles cut short are compared by their first letters, in VIEW_TABLES tables a view.  They are few, so it's their
+#: probes that are many: VIEW_PROBES for LEAST_BITS bits.
+VIEWS = (12, 18, 26, 36, 48)
+VIEW_TABLES, VIEW_PROBES = 2, 48
+RATE = 0.1
 #: Directions of the sample's vectors that are left out.
 COMMON_AXES = 4
 #: Bits that may differ (cosine about cos(pi * d / BITS)).
-FAR = 40
+FAR = 36
 #: And for the shortest beginnings, of whose n-grams a slip changes more.
-SHORT, FAR_SHORT = 20, 54
-#: Titles that so many different years have are no work's own.
-COMMON_YEARS = 5
-#: A word is ordinary if so large a share of all titles (and 4) have it.
-ORDINARY_SHARE, MOST_ORDINARY = 0.0002, 20_000
-#: Names of sites after a title: this share of all rows, 4 at least.
-SITE_SHARE, MOST_SITES = 0.001, 500
+SHORT, FAR_SHORT = 20, 50
+#: Titles of at least so many different years that spread so far (standard deviation) are no work's own; the
+#: years of a work are noisy, but lie together however many rows it has.
+COMMON_YEARS, COMMON_SPREAD = 5, 2.5
+#: A word is ordinary if so large a share of all titles (and 4) have it: at most the mean number of words over it are.
+ORDINARY_SHARE = 0.0002
+#: Names of sites after a title: this share of all rows, 4 at least, so there are 1 / SITE_SHARE at most.
+SITE_SHARE = 0.001
+#: A bounded sample of pairs with two DOIs, by which cosines are calibrated.
 CALIBRATION_PAIRS = 20_000
+#: Fits that cost so little more than the best one are as good.
+CLEAR = 0.15
 #: Confidence of pairs that share an identifier, at least.
 BY_IDENTIFIER = 0.99
 
@@ -219,16 +222,17 @@ def train_vectors(records: list[tuple[str, str, str, str]]) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
-def layout(n_bits: int) -> tuple[int, int]:
-    """Tables and probes for buckets of so many bits: a pair is met by as likely in long buckets as in short ones."""
+def layout(n_bits: int) -> tuple[int, int, int]:
+    """Tables, probes, and probes of titles cut short, for buckets of so many bits; more of them make up for longer buckets."""
     more = max(0, n_bits - LEAST_BITS)
-    return TABLES + 3 * more // 2, round(PROBES * 2 ** (more / 4))
+    return TABLES + 3 * more // 4, PROBES + more // 2, round(VIEW_PROBES * 2 ** (more / 3))
 
 
+@lru_cache
 def probe_sets(n_bits: int, probes: int) -> list[tuple[int, ...]]:
     """The likeliest sets of bits to turn, by their places in order of the distance from their planes."""
     odds = [(j + 1) * (j + 2) for j in range(n_bits)]
-    sets = [c for k in range(4) for c in combinations(range(min(n_bits, 14)), k)]
+    sets = [c for k in range(5) for c in combinations(range(min(n_bits, 14)), k)]
     return sorted(sets, key=lambda c: (sum(odds[j] for j in c), c))[:probes]
 
 
@@ -238,10 +242,10 @@ class Hasher:
     def __init__(self, vectors: np.ndarray, weight: np.ndarray, n_bits: int, centre: np.ndarray | None = None, common: np.ndarray | None = None):
         rng = np.random.default_rng(SEED + 1)
         self.weighted = vectors * weight[:, None].astype(np.float32)
-        n_tables, self.probes = layout(n_bits)
+        n_tables, self.probes, self.view_probes = layout(n_bits)
         self.tables = [BITS + t * n_bits + np.arange(n_bits) for t in range(n_tables)]
         # short beginnings are few, so short buckets tell them apart
-        self.view_tables = [[cols[: max(8, min(n_bits - 2, size // 2 + 4))] for cols in self.tables] for size in VIEWS]
+        self.view_tables = [[cols[: max(8, min(n_bits - 2, size // 2 + 4))] for cols in self.tables[:VIEW_TABLES]] for size in VIEWS]
         self.planes = rng.standard_normal((DIM, BITS + n_tables * n_bits)).astype(np.float32)
         self.centre = np.zeros(DIM, dtype=np.float32) if centre is None else centre
         self.common = np.zeros((DIM, 0), dtype=np.float32) if common is None else common
@@ -274,24 +278,27 @@ class Hasher:
         return bits.astype(np.int64) @ (1 << np.arange(bits.shape[1], dtype=np.int64))
 
 
-def _index_rows(texts: list[str], reps: list, hasher: Hasher, tables: list[np.ndarray], view: int, probes: int, first: int = 0) -> pd.DataFrame:
-    """rep, bucket, s0, s1: one row a record, table and probe; ``first`` is the number of the first table."""
+def _index_rows(texts: list[str], reps: list, hasher: Hasher, tables: list[np.ndarray], view: int, probes: int) -> pd.DataFrame:
+    """rep, bucket, s0, s1: one row a record, table and probe."""
     m = hasher.margins(texts)
     bits = m > 0
     sig = hasher.words(bits[:, :BITS])
-    buckets, rows = [], []
-    for t, cols in enumerate(tables, first):
-        base = hasher.number(bits[:, cols])
-        tag = np.int64(t + 64 * view) << np.int64(40)
-        buckets.append(base | tag)
-        rows.append(np.arange(len(texts)))
-        if probes > 1:
-            near = np.int64(1) << np.argsort(np.abs(m[:, cols]), axis=1)
-            for turned in probe_sets(len(cols), probes)[1:]:
-                buckets.append((base ^ near[:, list(turned)].sum(1)) | tag)
-                rows.append(np.arange(len(texts)))
-    at = np.concatenate(rows) if rows else np.zeros(0, dtype=int)
-    out = {"rep": np.array(reps, dtype=np.int64)[at], "bucket": np.concatenate(buckets)}
+    buckets = []
+    for t, cols in enumerate(tables):
+        base = hasher.number(bits[:, cols]) | (np.int64(t + 64 * view) << np.int64(44))
+        if probes == 1:
+            buckets.append(base[:, None])
+            continue
+        sets = probe_sets(len(cols), probes)
+        near = np.int64(1) << np.argsort(np.abs(m[:, cols]), axis=1)
+        turned = np.zeros((len(texts), len(sets)), dtype=np.int64)
+        for k, places in enumerate(sets):
+            for j in places:
+                turned[:, k] |= near[:, j]
+        buckets.append(base[:, None] ^ turned)
+    found = np.concatenate(buckets, axis=1)
+    at = np.repeat(np.arange(len(texts)), found.shape[1])
+    out = {"rep": np.array(reps, dtype=np.int64)[at], "bucket": found.ravel()}
     return pd.DataFrame(out | {f"s{k}": sig[at, k] for k in range(BITS // 64)})
 
 
@@ -368,56 +375,46 @@ def penalty(ours: str, theirs: str, cut: bool, ordinary: frozenset[str] | set[st
     return cost if cost <= 0.9 + 0.09 * len(p) else np.inf
 
 
-def candidate_pairs(ours: DataFrame, theirs: DataFrame, hasher_of, scratch: Scratch) -> DataFrame:
-    """num, rep_d, far (bits that differ) of near records; ours has num, norm, theirs rep, norm, cut, equal."""
-    sent = hasher_of
+def candidate_pairs(ours: DataFrame, asked: DataFrame, sent) -> DataFrame:
+    """num, q, far (bits that differ) of near titles; ours has num, norm; asked has q, norm, cut; ``sent`` is what ``_fit`` gives."""
     sig = ", ".join(f"s{k} long" for k in range(BITS // 64))
-    n_tables = layout(sent.value[2])[0]
-
-    def met(lo: int, hi: int) -> DataFrame:
-        """Near records by the tables lo to hi."""
-
-        def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            h = Hasher(*sent.value)
-            for b in batches:
-                for at in range(0, len(b), 4000):
-                    c = b.iloc[at : at + 4000]
-                    yield _index_rows(c["norm"].tolist(), c["num"].tolist(), h, h.tables[lo:hi], 0, 1, lo)
-                    letters = c["norm"].str.replace(" ", "")
-                    for v, size in enumerate(VIEWS, 1):
-                        some = letters.str.len() > size
-                        if some.any():
-                            yield _index_rows(letters[some].str[:size].tolist(), c["num"][some].tolist(), h, h.view_tables[v - 1][lo:hi], v, 1, lo)
-
-        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            h = Hasher(*sent.value)
-            for b in batches:
-                for at in range(0, len(b), 1000):
-                    c = b.iloc[at : at + 1000]
-                    equal = c[c["equal"]]  # equal vectors meet in any table; two in case a product rounds otherwise
-                    if len(equal) and not lo:
-                        yield _index_rows(equal["norm"].tolist(), equal["rep"].tolist(), h, h.tables[:2], 0, 1)
-                    whole = c[~c["cut"] & ~c["equal"]]
-                    if len(whole):
-                        yield _index_rows(whole["norm"].tolist(), whole["rep"].tolist(), h, h.tables[lo:hi], 0, h.probes, lo)
-                    letters = c["norm"].str.replace(" ", "")
-                    for v, size in enumerate(VIEWS, 1):
-                        longer = letters.str.len() >= (VIEWS[v] if v < len(VIEWS) else 1 << 30)
-                        some = c["cut"] & (letters.str.len() >= size) & ~longer
-                        if some.any():
-                            yield _index_rows(letters[some].str[:size].tolist(), c["rep"][some].tolist(), h, h.view_tables[v - 1][lo:hi], v, h.probes, lo)
-
-        left = ours.select("num", "norm").mapInPandas(index, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "num")
-        right = theirs.select("rep", "norm", "cut", "equal").mapInPandas(probe, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "rep_d")
-        for k in range(BITS // 64):
-            right = right.withColumnRenamed(f"s{k}", f"t{k}")
-        far = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-        view = F.shiftrightunsigned("bucket", 46)
-        limit = F.when(view.between(1, sum(size <= SHORT for size in VIEWS)), FAR_SHORT).otherwise(FAR)
-        return left.join(right, "bucket").withColumn("far", far).where(F.col("far") <= limit).groupBy("num", "rep_d").agg(F.min("far").alias("far"))
-
-    rounds = [scratch.save(met(lo, min(lo + ROUND, n_tables)), f"near-{lo}") for lo in range(0, n_tables, ROUND)]
-    return reduce(DataFrame.unionByName, rounds).groupBy("num", "rep_d").agg(F.min("far").alias("far"))
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = Hasher(*sent.value)
+        for b in batches:
+            for at in range(0, len(b), 4000):
+                c = b.iloc[at : at + 4000]
+                yield _index_rows(c["norm"].tolist(), c["num"].tolist(), h, h.tables, 0, 1)
+                letters = c["norm"].str.replace(" ", "", regex=False)
+                long = letters.str.len()
+                for v, size in enumerate(VIEWS, 1):
+                    some = long > size
+                    if some.any():
+                        yield _index_rows(letters[some].str[:size].tolist(), c["num"][some].tolist(), h, h.view_tables[v - 1], v, 1)
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = Hasher(*sent.value)
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                c = b.iloc[at : at + 2000]
+                whole, cut = c[~c["cut"]], c[c["cut"]]
+                if len(whole):
+                    yield _index_rows(whole["norm"].tolist(), whole["q"].tolist(), h, h.tables, 0, h.probes)
+                letters = cut["norm"].str.replace(" ", "", regex=False)
+                view = np.searchsorted(VIEWS, letters.str.len().to_numpy(), side="right")
+                for v, size in enumerate(VIEWS, 1):
+                    some = view == v
+                    if some.any():
+                        yield _index_rows(letters[some].str[:size].tolist(), cut["q"][some].tolist(), h, h.view_tables[v - 1], v, h.view_probes)
+
+    left = ours.select("num", "norm").mapInPandas(index, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "num")
+    right = asked.select("q", "norm", "cut").mapInPandas(probe, f"rep long, bucket long, {sig}").withColumnRenamed("rep", "q")
+    for k in range(BITS // 64):
+        right = right.withColumnRenamed(f"s{k}", f"t{k}")
+    far = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(1, BITS // 64)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    view = F.shiftrightunsigned("bucket", 50)
+    limit = F.when(view.between(1, sum(size <= SHORT for size in VIEWS)), FAR_SHORT).otherwise(FAR)
+    return left.join(right, "bucket").withColumn("far", far).where(F.col("far") <= limit).groupBy("num", "q").agg(F.min("far").alias("far"))
 
 
 def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -432,9 +429,8 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
             yield b.drop(columns="title").assign(norm=[x[0] for x in c], kind=[x[1] for x in c], cut=[x[2] for x in c])
 
     def keyed(df: DataFrame, key: str, kind: str) -> DataFrame:
-        doi = canonical_doi(F.col("doi"))
         year = F.nullif(F.regexp_extract(F.col("year").cast("string"), r"^\s*((?:19|20)[0-9]{2})", 1), F.lit("")).cast("int")
-        cols = df.select(key, "title", year.alias("year"), doi.alias("doi"), F.coalesce(canonical_arxiv(F.col("arxiv_id")), arxiv_of_doi(doi)).alias("arxiv"))
+        cols = df.select(key, "title", year.alias("year"), canonical_doi(F.col("doi")).alias("doi"), canonical_arxiv(F.col("arxiv_id")).alias("arxiv"))
         return cols.mapInPandas(clean, f"{key} {kind}, year int, doi string, arxiv string, norm string, kind string, cut boolean")
 
     p = scratch.save(keyed(papers, "id", "string"), "papers")
@@ -442,95 +438,97 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     n_p, n_d = p.count(), d.count()
     if not n_p or not n_d:
         return spark.createDataFrame([], "id string, row_id long, confidence double")
-    # titles that many works have
-    both = p.select("norm", "kind", "year").unionByName(d.select("norm", "kind", "year")).where("norm != ''")
-    common = scratch.save(
-        both.where("year is not null").distinct().groupBy("norm", "kind").agg(F.count(F.lit(1)).alias("years")).where(F.col("years") >= COMMON_YEARS).select("norm", "kind"), "common"
+    common = scratch.save(_common_titles(p, d), "common")
+    named = F.col("doi").isNotNull() | F.col("arxiv").isNotNull()
+    ours = p.where("norm != ''").groupBy("norm", "kind").agg(
+        F.min("id").alias("rep"), F.coalesce(F.min("doi"), F.min("arxiv"), F.min("id")).alias("ident"), F.max(named).alias("named"), F.min("year").alias("first"), F.max("year").alias("last"),
     )
-    p_own = p.where("norm != ''").join(common, ["norm", "kind"], "left_anti")
-    d_own = d.where("norm != ''").join(common, ["norm", "kind"], "left_anti")
-    ours = scratch.save(p_own.groupBy("norm", "kind").agg(F.min("id").alias("rep"), F.min("year").alias("year")).withColumn("num", F.xxhash64("rep")), "ours")
-    theirs = d_own.groupBy("norm", "kind", "cut").agg(F.min("row_id").alias("rep"))
-    theirs = scratch.save(theirs.join(ours.select("norm", "kind", F.lit(True).alias("equal")), ["norm", "kind"], "left").withColumn("equal", F.coalesce("equal", F.lit(False)) & ~F.col("cut")), "theirs")
-
+    ours = scratch.save(ours.join(common, ["norm", "kind"], "left_anti").withColumn("num", F.xxhash64("rep")), "ours")
+    theirs = d.where("norm != ''").groupBy("norm", "kind", "cut").agg(F.min("row_id").alias("rep")).join(common, ["norm", "kind"], "left_anti")
+    theirs = scratch.save(
+        theirs.join(ours.select("norm", "kind", F.col("rep").alias("same")), ["norm", "kind"], "left")
+        .select("norm", "kind", "cut", F.xxhash64(F.lit("d"), "rep").alias("q"), F.when(~F.col("cut"), F.col("same")).alias("same")), "theirs",
+    )
+    # a papers title without any identifier may be another spelling of one with some
+    lone = ours.where("not named and length(norm) >= 12").select("norm", "kind", F.lit(False).alias("cut"), F.xxhash64(F.lit("p"), "rep").alias("q"), "first", "last", F.col("rep").alias("own"))
+    asked = theirs.where("same is null").select("norm", "kind", "cut", "q").unionByName(lone, allowMissingColumns=True)
     ordinary = _ordinary(ours.select("norm").unionByName(theirs.select("norm")), ours.count() + theirs.count())
-    hasher = spark.sparkContext.broadcast(_fit(p, d, ours, theirs))
-    near_pairs = scratch.save(candidate_pairs(ours, theirs, hasher, scratch), "near")
+    near_pairs = scratch.save(candidate_pairs(ours, asked, spark.sparkContext.broadcast(_fit(p, d, ours, theirs))), "near")
 
     words = spark.sparkContext.broadcast(ordinary)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cost = [penalty(x, y, c, words.value) for x, y, c in zip(b["norm_p"], b["norm_d"], b["cut"])]
-            out = b[["rep_p", "rep_d", "far"]].assign(cost=cost)
-            yield out[np.isfinite(out["cost"])]
+            cost = np.array([penalty(x, y, c, words.value) for x, y, c in zip(b["norm_p"], b["norm_d"], b["cut"])])
+            yield b[["rep_p", "ident", "q", "own", "far"]].assign(cost=cost)[np.isfinite(cost)]
 
+    near_years = F.col("own").isNull() | F.coalesce((F.col("first_p") <= F.col("last") + 1) & (F.col("first") <= F.col("last_p") + 1), F.lit(True))
     with_text = (
-        near_pairs.join(ours.select("num", F.col("rep").alias("rep_p"), F.col("norm").alias("norm_p"), F.col("kind").alias("kind_p")), "num")
-        .join(theirs.select(F.col("rep").alias("rep_d"), F.col("norm").alias("norm_d"), "kind", "cut"), "rep_d")
-        .where((F.col("kind") == F.col("kind_p")) | F.col("cut"))
-        .select("rep_p", "rep_d", "far", "norm_p", "norm_d", "cut")
+        near_pairs.join(ours.select("num", F.col("rep").alias("rep_p"), "ident", F.col("norm").alias("norm_p"), F.col("kind").alias("kind_p"), F.col("first").alias("first_p"), F.col("last").alias("last_p")), "num")
+        .join(asked.select("q", F.col("norm").alias("norm_d"), "kind", "cut", "first", "last", "own"), "q")
+        .where(((F.col("kind") == F.col("kind_p")) | F.col("cut")) & near_years & (F.col("own").isNull() | (F.col("own") != F.col("rep_p"))))
+        .select("rep_p", "ident", "q", "own", "far", "norm_p", "norm_d", "cut")
     )
-    fits = scratch.save(with_text.mapInPandas(compare, "rep_p string, rep_d long, far int, cost double"), "fits")
+    fits = scratch.save(with_text.mapInPandas(compare, "rep_p string, ident string, q long, own string, far int, cost double"), "fits")
 
-    # works: rows of one title of its own, or linked by identifiers or earlier matches
-    titled = scratch.save(attach_key(p_own, ours), "titled")
-    keys = p.select("id", F.explode(_identifiers()).alias("key"))
-    given = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b").distinct()
+    # works: rows of one title of its own, or linked by identifiers, earlier matches or a clear fit of a title without identifiers
+    titled = p.where("norm != ''").select("id", "norm", "kind").join(ours.select("norm", "kind", "rep"), ["norm", "kind"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    given = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b")
     for end in ("a", "b"):
         given = given.join(p.select(F.col("id").alias(end)), end, "left_semi")
-    edges = star_edges(keys, "key", "id").unionByName(given.select("a", "b")).unionByName(titled.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    alike = _clear(fits.where("own is not null"), ["own"], "ident", "rep_p").select(F.col("own").alias("a"), F.col("of").alias("b"))
+    edges = star_edges(keys_of_canonical(p, "id"), "key", "id").unionByName(given.select("a", "b")).unionByName(titled).unionByName(alike)
     work = scratch.save(connected_components(edges), "works")
     works = scratch.save(p.select("id", "doi", "arxiv").join(work, p["id"] == work["node"], "left").select("id", "doi", "arxiv", F.coalesce("component", "id").alias("work")), "rows")
 
     # the best fitting work of each found title; equal fits that aren't exact are none
-    fit_works = fits.join(works.select(F.col("id").alias("rep_p"), "work"), "rep_p").groupBy("rep_d", "work").agg(F.min("cost").alias("cost"), F.min("far").alias("far"))
-    best = fit_works.groupBy("rep_d").agg(F.min("cost").alias("least"), F.min_by("work", F.struct("cost", "far", "work")).alias("work"), F.min_by("far", F.struct("cost", "far", "work")).alias("far"),
-                                           F.sort_array(F.collect_list(F.round("cost", 3))).alias("costs"))
-    clear = F.size(F.filter("costs", lambda c: c < F.col("least") + 0.15)) == 1
-    best = scratch.save(best.where((F.col("least") == 0) | clear).select("rep_d", "work", "least", "far"), "best")
-    by_title = attach_unique(
-        scratch.save(d_own.join(theirs.select("norm", "kind", "cut", F.col("rep").alias("rep_d")), ["norm", "kind", "cut"]).select("row_id", "rep_d", "doi", "arxiv"), "reps"), best, "rep_d"
-    ).select("row_id", "work", "far")
+    exact = theirs.where("same is not null").select("q", F.col("same").alias("rep_p"), F.lit(0).alias("far"), F.lit(0.0).alias("cost"))
+    of_found = fits.where("own is null").select("q", "rep_p", "far", "cost").unionByName(exact)
+    best = _clear(of_found.join(works.select(F.col("id").alias("rep_p"), "work"), "rep_p"), ["q"], "work", "work")
+    rows_of = theirs.select("norm", "kind", "cut", "q").join(best.select("q", F.col("of").alias("work"), "far"), "q")
+    by_title = d.select("row_id", "norm", "kind", "cut").join(rows_of, ["norm", "kind", "cut"]).select("row_id", "work", "far")
     # identifiers say it without a title; found rows of a further part keep to theirs
-    ids_p = works.select("work", F.explode(_identifiers()).alias("key")).groupBy("key").agg(F.min("work").alias("work"))
-    ids_d = d.select("row_id", F.explode(_identifiers()).alias("key"))
-    by_id = ids_d.join(ids_p, "key").select("row_id", "work", F.lit(None).cast("int").alias("far"))
+    ids_p = keys_of_canonical(works, "work").groupBy("key").agg(F.min("work").alias("work"))
+    by_id = keys_of_canonical(d, "row_id").join(ids_p, "key").select("row_id", "work", F.lit(None).cast("int").alias("far"))
     links = scratch.save(by_title.unionByName(by_id).groupBy("row_id", "work").agg(F.min("far").alias("far"), F.max(F.col("far").isNull()).alias("by_id")), "links")
     w = _calibration(near_pairs, fits, p, d)
     cosine = F.cos(F.col("far") * F.lit(np.pi / BITS))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(w[0]) + F.lit(w[1]) * cosine + F.lit(w[2]))))
     score = F.when(F.col("by_id"), F.greatest(F.lit(BY_IDENTIFIER), F.coalesce(score, F.lit(0.0)))).otherwise(score)
-    return attach_works(works, links, links.count()).select("id", "row_id", F.round(score, 4).alias("confidence"))
-
-
-def _identifiers():
-    """Keys of a row by its DOI, unless that is the alias of its arXiv id, and by its arXiv id."""
-    return F.array_compact(F.array(F.when(~F.col("doi").startswith(ARXIV_ALIAS), F.concat(F.lit("d"), "doi")), F.concat(F.lit("a"), "arxiv")))
+    return works.select("id", "work").join(links, "work").select("id", "row_id", F.round(score, 4).alias("confidence"))
 
 
-def attach_key(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """id, rep of rows by their title."""
-    return rows.select("id", "norm", "kind").join(reps.select("norm", "kind", "rep"), ["norm", "kind"]).select("id", "rep")
+def _clear(fits: DataFrame, key: list[str], group: str, of: str) -> DataFrame:
+    """key, of, far: the best fit of each key, if no other group fits as well, or if it is exact (cost 0)."""
+    each = fits.groupBy(*key, F.col(group).alias("g")).agg(F.min("cost").alias("cost"), F.min_by(F.struct(F.col(of).alias("of"), "far"), F.struct("cost", "far", of)).alias("at"))
+    best = each.groupBy(*key).agg(F.min("cost").alias("least"), F.min_by("at", F.struct("cost", "at.far", "g")).alias("at"), F.collect_list(F.round("cost", 3)).alias("costs"))
+    clear = F.size(F.filter("costs", lambda c: c < F.col("least") + CLEAR)) == 1
+    return best.where((F.col("least") == 0) | clear).select(*key, "at.of", "at.far")
 
 
-def attach_works(works: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
-    """Every row of a work with every found row linked to it."""
-    return works.select("id", "work").join(links, "work")
+def _common_titles(p: DataFrame, d: DataFrame) -> DataFrame:
+    """norm, kind of titles that many works have: their years are many and lie apart."""
+    both = p.select("norm", "kind", "year").unionByName(d.select("norm", "kind", "year")).where("norm != '' and year is not null")
+    by_year = both.groupBy("norm", "kind", "year").agg(F.count(F.lit(1)).alias("n"))
+    mean = lambda v: F.sum(v * F.col("n")) / F.sum("n")
+    y = F.col("year").cast("double")
+    spread = F.sqrt(F.greatest(F.col("yy") - F.col("y") ** 2, F.lit(0.0)))
+    stats = by_year.groupBy("norm", "kind").agg(F.count(F.lit(1)).alias("years"), mean(y).alias("y"), mean(y * y).alias("yy"))
+    return stats.where((F.col("years") >= COMMON_YEARS) & (spread >= COMMON_SPREAD)).select("norm", "kind")
 
 
 def _sites(found: DataFrame) -> frozenset[str]:
-    """Names that stand after many titles; MOST_SITES at most."""
+    """Names that stand after many titles; 1 / SITE_SHARE at most."""
     name = F.lower(F.trim(F.regexp_replace(F.regexp_extract("title", _SITE.pattern, 1), "[.\"”']+$", "")))
     n = found.count()
-    some = found.select(name.alias("w"), "title").where("w != ''").distinct().groupBy("w").count().where(F.col("count") >= max(4, SITE_SHARE * n)).orderBy(F.desc("count"), "w").limit(MOST_SITES)
+    some = found.select(name.alias("w"), "title").where("w != ''").distinct().groupBy("w").count().where(F.col("count") >= max(4, SITE_SHARE * n))
     return frozenset(r[0] for r in some.select("w").collect() if not _KIND.search(" " * 9 + r[0]) and not _PART.search("x" * 9 + " " + r[0]))
 
 
 def _ordinary(titles: DataFrame, n: int) -> set[str]:
-    """Words of many titles; MOST_ORDINARY at most."""
+    """Words of many titles."""
     each = titles.select(F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).groupBy("w").count()
-    return {r[0] for r in each.where(F.col("count") >= max(4, ORDINARY_SHARE * n)).orderBy(F.desc("count"), "w").limit(MOST_ORDINARY).select("w").collect()}
+    return {r[0] for r in each.where(F.col("count") >= max(4, ORDINARY_SHARE * n)).select("w").collect()}
 
 
 def _fit(p: DataFrame, d: DataFrame, ours: DataFrame, theirs: DataFrame) -> tuple:
@@ -569,8 +567,9 @@ def _calibration(near_pairs: DataFrame, fits: DataFrame, p: DataFrame, d: DataFr
     so confidences lean to the low side.
     """
     own = near_pairs.join(p.where("doi is not null").select(F.xxhash64("id").alias("num"), F.col("id").alias("rep_p"), F.col("doi").alias("doi_p")), "num").join(
-        d.where("doi is not null").select(F.col("row_id").alias("rep_d"), F.col("doi").alias("doi_d")), "rep_d").limit(CALIBRATION_PAIRS)
-    told = own.join(fits.select("rep_p", "rep_d", F.lit(1.0).alias("fit")), ["rep_p", "rep_d"], "left").select(
+        d.where("doi is not null").select(F.xxhash64(F.lit("d"), "row_id").alias("q"), F.col("doi").alias("doi_d")), "q")
+    own = own.orderBy(F.xxhash64("num", "q")).limit(CALIBRATION_PAIRS)
+    told = own.join(fits.where("own is null").select("rep_p", "q", F.lit(1.0).alias("fit")), ["rep_p", "q"], "left").select(
         "far", F.coalesce("fit", F.lit(0.0)).alias("fit"), (F.col("doi_p") == F.col("doi_d")).cast("double").alias("same")).toPandas()
     if len(told) < 20 or told["same"].nunique() < 2:
         return -4.0, 3.0, 4.0
