@@ -9,9 +9,12 @@ temporary folder of this machine is used.
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +34,57 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL["dir"]
 
 
+def _folder(spark: SparkSession, path: str):
+    """(path, file system) of the JVM."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of what lies in a folder; none if it is missing."""
+    target, fs = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
+
+
+class Manifest:
+    """State of a table that is kept in versions, as numbered small files of which the newest holds.
+
+    A state counts from the moment its file is renamed into place, so after a crash the former one
+    holds still; whoever opens the folder goes on from there.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, f"{root}/manifest"
+
+    def newest(self) -> dict | None:
+        names = [n for n in names_in(self.spark, self.root) if n.endswith(".json")]
+        if not names:
+            return None
+        target, fs = _folder(self.spark, f"{self.root}/{names[-1]}")
+        stream = fs.open(target)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, state: dict) -> None:
+        """Make ``state`` the one that holds; the one before it stays, older ones go."""
+        names = [n for n in names_in(self.spark, self.root) if n.endswith(".json")]
+        number = int(names[-1].split(".")[0]) + 1 if names else 0
+        draft, fs = _folder(self.spark, f"{self.root}/draft-{uuid.uuid4().hex[:12]}")
+        stream = fs.create(draft)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if not fs.rename(draft, _folder(self.spark, f"{self.root}/{number:012d}.json")[0]):
+            raise OSError(f"state {number} could not be put in place under {self.root}")
+        for n in names[:-1]:
+            remove(self.spark, f"{self.root}/{n}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path on whatever file system it names; a missing path is no error."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target, fs = _folder(spark, path)
+    fs.delete(target, True)
 
 
 def _forget_local() -> None:
@@ -45,6 +94,38 @@ def _forget_local() -> None:
             shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+#: Bytes of a plan's inputs that one partition of its shuffles stands for, and partitions a core at least.
+SHUFFLE_BYTES, SHUFFLES_A_CORE = 8 << 20, 2
+#: Plans take an input of unknown size for one of about 2^63 bytes.
+_UNKNOWN = 1 << 60
+_SIZED = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@contextmanager
+def sized_shuffles(df: DataFrame) -> Iterator[None]:
+    """Shuffles of ``df``, run inside, get partitions by the size of its inputs instead of a fixed number.
+
+    A fixed number is too small for large inputs and costs every task a file a partition on small ones;
+    adaptive execution joins what turns out small.  A number that the session itself sets stays.
+    """
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().conf()
+    if conf.contains(_SIZED) or conf.contains("spark.sql.shuffle.partitions"):
+        yield
+        return
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= _UNKNOWN:
+        yield
+        return
+    least = SHUFFLES_A_CORE * spark.sparkContext.defaultParallelism
+    spark.conf.set(_SIZED, str(min(max(least, size // SHUFFLE_BYTES), 100_000)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SIZED)
+
+
 _ROOTS: list[str] = []
 atexit.register(_forget_local)
 
@@ -66,7 +147,8 @@ class Scratch:
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        with sized_shuffles(df):
+            writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path  # type: ignore[attr-defined]
@@ -77,6 +159,10 @@ class Scratch:
         view._scratch_path = saved._scratch_path  # type: ignore[attr-defined]
         return view
 
+    def clear(self) -> None:
+        """Delete all tables."""
+        remove(self.spark, self.root)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         for t in tables:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dml import latest
-from ..storage import Scratch, remove
+from ..storage import Manifest, Scratch, names_in, remove
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -30,25 +30,32 @@ def event_windows(events: DataFrame, width: str = "1 day", late: str = "2 days")
 class LatestTable:
     """A table of the latest row of each key, moved forward by each micro-batch of a stream.
 
-    Every batch writes a new version beside the old one, so a batch that is run
-    again after a failure gives the same version.
+    Every batch is merged with the newest version into a new one, which counts once the manifest
+    names it; only then the former one goes.  A batch that is run again after a failure gives the
+    same version, one that is in already changes nothing, and a table opened again goes on from where it was.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: list[str], order: list[str]):
         self.spark, self.root, self.key, self.order = spark, root, key, order
-        self.version = -1
+        self.manifest = Manifest(spark, root)
+        self.state = self.manifest.newest() or {"version": -1, "batch": -1}
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.state["batch"]:
+            return
         fresh = latest(batch, self.key, self.order)
-        if self.version >= 0 and self.version != batch_id:
+        if self.state["version"] >= 0:
             fresh = latest(self.table().unionByName(fresh), self.key, self.order)
-        fresh.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
-        if self.version >= 0 and self.version != batch_id:
-            remove(self.spark, f"{self.root}/v={self.version}")
-        self.version = batch_id
+        new = {"version": self.state["version"] + 1, "batch": batch_id}
+        fresh.write.mode("overwrite").parquet(f"{self.root}/v={new['version']}")
+        self.manifest.commit(new)
+        self.state = new
+        for name in names_in(self.spark, self.root):
+            if name.startswith("v=") and name != f"v={new['version']}":
+                remove(self.spark, f"{self.root}/{name}")
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self.version}")
+        return self.spark.read.parquet(f"{self.root}/v={self.state['version']}")
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

@@ -184,6 +184,24 @@ def test_stream_twins(spark, tmp_path):
     assert sum(r.n for r in counted) >= e.count() > 0
 
 
+def test_latest_table_loses_nothing(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, t int, v string")
+    root, made = f"file://{tmp_path}/t", lambda: events.LatestTable(spark, f"file://{tmp_path}/t", ["k"], ["t"])
+    state = made()
+    state.apply(rows(("a", 1, "x"), ("b", 1, "y")), 0)
+    state.apply(rows(("c", 1, "z")), 1)
+    state.apply(rows(("c", 1, "z")), 1)  # the same batch again
+    again = made()  # another process
+    again.apply(rows(("a", 2, "w")), 2)
+    want = [("a", 2, "w"), ("b", 1, "y"), ("c", 1, "z")]
+    assert sorted(map(tuple, again.table().collect())) == want == sorted(map(tuple, made().table().collect()))
+    # a crash after a version was written and before it was named: the batch is run again
+    rows(("b", 9, "half")).write.parquet(f"{root}/v={again.state['version'] + 1}")
+    late = made()
+    late.apply(rows(("d", 1, "q")), 3)
+    assert sorted(map(tuple, late.table().collect())) == [*want, ("d", 1, "q")]
+
+
 def test_sessions_converge_and_resume(spark):
     rows = spark.createDataFrame([(f"k{i}", f"parsing of map scans number{i}", 0.1 * i) for i in range(4)], "key string, title string, score double")
     prompts = spark.createDataFrame([(1, "map scans"), (2, "volcanoes")], "session long, prompt string")
