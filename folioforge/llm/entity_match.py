@@ -49,18 +49,20 @@ GRAM, BUCKETS, DIM = 2, 1 << 15, 64
 #: The sample whose graph is walked, and the walks.
 SAMPLE_RECORDS, WALKS, STEPS, WINDOW, NEGATIVES, EPOCHS = 4000, 16_000, 8, 2, 3, 1
 #: Bits of a record, tables and probes of buckets of LEAST_BITS bits; those of more bits have more of both (``layout``).
-BITS, TABLES, PROBES, LEAST_BITS, MOST_BITS = 128, 9, 4, 12, 40
+BITS, TABLES, PROBES, LEAST_BITS, MOST_BITS = 192, 7, 4, 12, 40
+#: The base 2 logarithm of the titles in a bucket.
+BUCKET_LOAD = 3.5
 #: Titles cut short are compared by their first letters, in VIEW_TABLES tables a view.  They are few, so it's their
 #: probes that are many: VIEW_PROBES for LEAST_BITS bits.
-VIEWS = (12, 18, 26, 36, 48)
-VIEW_TABLES, VIEW_PROBES = 2, 48
+VIEWS = (12, 20, 30, 42)
+VIEW_TABLES, VIEW_PROBES = 1, 64
 RATE = 0.1
 #: Directions of the sample's vectors that are left out.
-COMMON_AXES = 4
+COMMON_AXES = 8
 #: Bits that may differ (cosine about cos(pi * d / BITS)).
-FAR = 36
+FAR = 44
 #: And for the shortest beginnings, of whose n-grams a slip changes more.
-SHORT, FAR_SHORT = 20, 50
+SHORT, FAR_SHORT = 20, 66
 #: Titles of at least so many different years that spread so far (standard deviation) are no work's own; the
 #: years of a work are noisy, but lie together however many rows it has.
 COMMON_YEARS, COMMON_SPREAD = 5, 2.5
@@ -82,7 +84,7 @@ _CUT = re.compile(r"(?:…|\.\.\.)\W*$")
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6}
 _PART = re.compile(r"\W*\b(?:part\s+(\d+|[ivx]+))\W*$|\W*\((?:part\s+)?(\d+|[ivx]+)\)\W*$", re.I)
 _KIND = re.compile(r"\W*\b(supplement(?:ary)?(?: materials?)?|reply(?: to (?:the )?comments?)?|response to (?:the )?comments?|comments?|erratum|corrigendum|addendum|rejoinder|appendix)\W*$|^\W*(supplement to|reply to|response to|comments? on|erratum(?: to)?:?|corrigendum(?: to)?:?|addendum to)\b", re.I)
-_KIND_HINT = re.compile(r"suppl|reply|respons|comment|errat|corrig|addend|rejoin|append", re.I)
+_KIND_HINTS = ("suppl", "reply", "respons", "comment", "errat", "corrig", "addend", "rejoin", "append")
 #: Characters that show nothing: soft hyphens, joiners, marks of direction.
 _FORMAT = re.compile("[\u00ad\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
@@ -107,12 +109,14 @@ def clean_title(title: str | None, sites: frozenset[str] = frozenset()) -> tuple
         cut = bool(_CUT.search(t))
         t = _CUT.sub("", t)
     kinds = []
-    part = _PART.search(t)
+    low = t.lower()
+    end = low.rstrip(" .\"”’')")[-1:]
+    part = _PART.search(t) if end.isdigit() or end in "ivx" else None
     if part and part.start() > 8:
         n = (part.group(1) or part.group(2)).lower()
         kinds.append(f"part {_ROMAN.get(n, n)}")
         t = t[: part.start()]
-    kind = _KIND_HINT.search(t) and _KIND.search(t)
+    kind = _KIND.search(t) if any(x in low for x in _KIND_HINTS) else None
     if kind and len(t) - (kind.end() - kind.start()) > 8:
         kinds.append((kind.group(1) or kind.group(2)).lower().split()[0].rstrip("s:"))
         t = t[: kind.start()] if kind.group(1) else t[kind.end() :]
@@ -225,7 +229,7 @@ def train_vectors(records: list[tuple[str, str, str, str]]) -> np.ndarray:
 def layout(n_bits: int) -> tuple[int, int, int]:
     """Tables, probes, and probes of titles cut short, for buckets of so many bits; more of them make up for longer buckets."""
     more = max(0, n_bits - LEAST_BITS)
-    return TABLES + 3 * more // 4, PROBES + more // 2, round(VIEW_PROBES * 2 ** (more / 3))
+    return TABLES + round(0.6 * more), PROBES + more // 4, round(VIEW_PROBES * 2 ** (more / 3))
 
 
 @lru_cache
@@ -428,32 +432,28 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
             c = [clean_title(t, sites) for t in b["title"]]
             yield b.drop(columns="title").assign(norm=[x[0] for x in c], kind=[x[1] for x in c], cut=[x[2] for x in c])
 
-    def keyed(df: DataFrame, key: str, kind: str) -> DataFrame:
+    def keyed(df: DataFrame, key: str, kind: str, may_cut: bool) -> DataFrame:
+        """key, year, doi, arxiv, norm, kind, cut, title: a number for the cleaned title, null if there is none."""
         year = F.nullif(F.regexp_extract(F.col("year").cast("string"), r"^\s*((?:19|20)[0-9]{2})", 1), F.lit("")).cast("int")
         cols = df.select(key, "title", year.alias("year"), canonical_doi(F.col("doi")).alias("doi"), canonical_arxiv(F.col("arxiv_id")).alias("arxiv"))
-        return cols.mapInPandas(clean, f"{key} {kind}, year int, doi string, arxiv string, norm string, kind string, cut boolean")
+        cols = cols.mapInPandas(clean, f"{key} {kind}, year int, doi string, arxiv string, norm string, kind string, cut boolean")
+        cut = F.col("cut") if may_cut else F.lit(False)
+        return cols.withColumn("cut", cut).withColumn("title", F.when(F.col("norm") != "", F.xxhash64("norm", "kind", "cut")))
 
-    p = scratch.save(keyed(papers, "id", "string"), "papers")
-    d = scratch.save(keyed(found, "row_id", "long"), "found")
+    p = scratch.save(keyed(papers, "id", "string", False), "papers")
+    d = scratch.save(keyed(found, "row_id", "long", True), "found")
     n_p, n_d = p.count(), d.count()
     if not n_p or not n_d:
         return spark.createDataFrame([], "id string, row_id long, confidence double")
-    common = scratch.save(_common_titles(p, d), "common")
-    named = F.col("doi").isNotNull() | F.col("arxiv").isNotNull()
-    ours = p.where("norm != ''").groupBy("norm", "kind").agg(
-        F.min("id").alias("rep"), F.coalesce(F.min("doi"), F.min("arxiv"), F.min("id")).alias("ident"), F.max(named).alias("named"), F.min("year").alias("first"), F.max("year").alias("last"),
-    )
-    ours = scratch.save(ours.join(common, ["norm", "kind"], "left_anti").withColumn("num", F.xxhash64("rep")), "ours")
-    theirs = d.where("norm != ''").groupBy("norm", "kind", "cut").agg(F.min("row_id").alias("rep")).join(common, ["norm", "kind"], "left_anti")
-    theirs = scratch.save(
-        theirs.join(ours.select("norm", "kind", F.col("rep").alias("same")), ["norm", "kind"], "left")
-        .select("norm", "kind", "cut", F.xxhash64(F.lit("d"), "rep").alias("q"), F.when(~F.col("cut"), F.col("same")).alias("same")), "theirs",
-    )
+    titles = scratch.save(_titles(p, d), "titles").where(~F.col("common"))
+    ours = titles.where("rep is not null")
     # a papers title without any identifier may be another spelling of one with some
-    lone = ours.where("not named and length(norm) >= 12").select("norm", "kind", F.lit(False).alias("cut"), F.xxhash64(F.lit("p"), "rep").alias("q"), "first", "last", F.col("rep").alias("own"))
-    asked = theirs.where("same is null").select("norm", "kind", "cut", "q").unionByName(lone, allowMissingColumns=True)
-    ordinary = _ordinary(ours.select("norm").unionByName(theirs.select("norm")), ours.count() + theirs.count())
-    near_pairs = scratch.save(candidate_pairs(ours, asked, spark.sparkContext.broadcast(_fit(p, d, ours, theirs))), "near")
+    theirs = titles.where("found and rep is null").select("title", "norm", "kind", "cut")
+    lone = ours.where("not named and length(norm) >= 12").select("title", "norm", "kind", "cut", "first", "last", F.col("rep").alias("own"))
+    asked = theirs.unionByName(lone, allowMissingColumns=True).withColumnRenamed("title", "q")
+    n_titles = titles.count()
+    ordinary = _ordinary(titles.select("norm"), n_titles)
+    near_pairs = scratch.save(candidate_pairs(ours.select(F.col("title").alias("num"), "norm"), asked, spark.sparkContext.broadcast(_fit(p, d, titles, n_titles))), "near")
 
     words = spark.sparkContext.broadcast(ordinary)
 
@@ -464,7 +464,7 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
 
     near_years = F.col("own").isNull() | F.coalesce((F.col("first_p") <= F.col("last") + 1) & (F.col("first") <= F.col("last_p") + 1), F.lit(True))
     with_text = (
-        near_pairs.join(ours.select("num", F.col("rep").alias("rep_p"), "ident", F.col("norm").alias("norm_p"), F.col("kind").alias("kind_p"), F.col("first").alias("first_p"), F.col("last").alias("last_p")), "num")
+        near_pairs.join(ours.select(F.col("title").alias("num"), F.col("rep").alias("rep_p"), "ident", F.col("norm").alias("norm_p"), F.col("kind").alias("kind_p"), F.col("first").alias("first_p"), F.col("last").alias("last_p")), "num")
         .join(asked.select("q", F.col("norm").alias("norm_d"), "kind", "cut", "first", "last", "own"), "q")
         .where(((F.col("kind") == F.col("kind_p")) | F.col("cut")) & near_years & (F.col("own").isNull() | (F.col("own") != F.col("rep_p"))))
         .select("rep_p", "ident", "q", "own", "far", "norm_p", "norm_d", "cut")
@@ -472,7 +472,7 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     fits = scratch.save(with_text.mapInPandas(compare, "rep_p string, ident string, q long, own string, far int, cost double"), "fits")
 
     # works: rows of one title of its own, or linked by identifiers, earlier matches or a clear fit of a title without identifiers
-    titled = p.where("norm != ''").select("id", "norm", "kind").join(ours.select("norm", "kind", "rep"), ["norm", "kind"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    titled = p.select("id", "title").join(ours.select("title", "rep"), "title").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     given = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b")
     for end in ("a", "b"):
         given = given.join(p.select(F.col("id").alias(end)), end, "left_semi")
@@ -482,11 +482,10 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     works = scratch.save(p.select("id", "doi", "arxiv").join(work, p["id"] == work["node"], "left").select("id", "doi", "arxiv", F.coalesce("component", "id").alias("work")), "rows")
 
     # the best fitting work of each found title; equal fits that aren't exact are none
-    exact = theirs.where("same is not null").select("q", F.col("same").alias("rep_p"), F.lit(0).alias("far"), F.lit(0.0).alias("cost"))
+    exact = titles.where("found and rep is not null").select(F.col("title").alias("q"), F.col("rep").alias("rep_p"), F.lit(0).alias("far"), F.lit(0.0).alias("cost"))
     of_found = fits.where("own is null").select("q", "rep_p", "far", "cost").unionByName(exact)
     best = _clear(of_found.join(works.select(F.col("id").alias("rep_p"), "work"), "rep_p"), ["q"], "work", "work")
-    rows_of = theirs.select("norm", "kind", "cut", "q").join(best.select("q", F.col("of").alias("work"), "far"), "q")
-    by_title = d.select("row_id", "norm", "kind", "cut").join(rows_of, ["norm", "kind", "cut"]).select("row_id", "work", "far")
+    by_title = d.select("row_id", F.col("title").alias("q")).join(best.select("q", F.col("of").alias("work"), "far"), "q").select("row_id", "work", "far")
     # identifiers say it without a title; found rows of a further part keep to theirs
     ids_p = keys_of_canonical(works, "work").groupBy("key").agg(F.min("work").alias("work"))
     by_id = keys_of_canonical(d, "row_id").join(ids_p, "key").select("row_id", "work", F.lit(None).cast("int").alias("far"))
@@ -506,15 +505,22 @@ def _clear(fits: DataFrame, key: list[str], group: str, of: str) -> DataFrame:
     return best.where((F.col("least") == 0) | clear).select(*key, "at.of", "at.far")
 
 
-def _common_titles(p: DataFrame, d: DataFrame) -> DataFrame:
-    """norm, kind of titles that many works have: their years are many and lie apart."""
-    both = p.select("norm", "kind", "year").unionByName(d.select("norm", "kind", "year")).where("norm != '' and year is not null")
-    by_year = both.groupBy("norm", "kind", "year").agg(F.count(F.lit(1)).alias("n"))
-    mean = lambda v: F.sum(v * F.col("n")) / F.sum("n")
-    y = F.col("year").cast("double")
+def _titles(p: DataFrame, d: DataFrame) -> DataFrame:
+    """One row a title of either source: title (its number), norm, kind, cut; of papers rows the smallest id (rep), an
+    identifier (ident; rep without one), whether there is one (named), first and last year; whether found rows have
+    it; whether it is common, one that many works have: its years are many (modulo 64) and lie apart."""
+    none = lambda kind: F.lit(None).cast(kind)
+    of_p = p.select("title", "norm", "kind", "cut", "year", "id", "doi", "arxiv", F.lit(False).alias("found"))
+    of_d = d.select("title", "norm", "kind", "cut", "year", none("string").alias("id"), none("string").alias("doi"), none("string").alias("arxiv"), F.lit(True).alias("found"))
+    y, own = F.col("year").cast("double"), F.col("id").isNotNull()
+    each = of_p.unionByName(of_d).where("title is not null").groupBy("title").agg(
+        F.first("norm").alias("norm"), F.first("kind").alias("kind"), F.first("cut").alias("cut"), F.min("id").alias("rep"), F.coalesce(F.min("doi"), F.min("arxiv"), F.min("id")).alias("ident"),
+        F.max(F.col("doi").isNotNull() | F.col("arxiv").isNotNull()).alias("named"), F.min(F.when(own, F.col("year"))).alias("first"), F.max(F.when(own, F.col("year"))).alias("last"),
+        F.max("found").alias("found"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, year % 64)"))).alias("years"), F.avg(y).alias("y"), F.avg(y * y).alias("yy"),
+    )
     spread = F.sqrt(F.greatest(F.col("yy") - F.col("y") ** 2, F.lit(0.0)))
-    stats = by_year.groupBy("norm", "kind").agg(F.count(F.lit(1)).alias("years"), mean(y).alias("y"), mean(y * y).alias("yy"))
-    return stats.where((F.col("years") >= COMMON_YEARS) & (spread >= COMMON_SPREAD)).select("norm", "kind")
+    common = F.coalesce((F.col("years") >= COMMON_YEARS) & (spread >= COMMON_SPREAD), F.lit(False))
+    return each.withColumn("common", common).drop("years", "y", "yy")
 
 
 def _sites(found: DataFrame) -> frozenset[str]:
@@ -531,7 +537,7 @@ def _ordinary(titles: DataFrame, n: int) -> set[str]:
     return {r[0] for r in each.where(F.col("count") >= max(4, ORDINARY_SHARE * n)).select("w").collect()}
 
 
-def _fit(p: DataFrame, d: DataFrame, ours: DataFrame, theirs: DataFrame) -> tuple:
+def _fit(p: DataFrame, d: DataFrame, titles: DataFrame, n: int) -> tuple:
     """Token vectors and what all titles have in common (by a bounded sample), token weights and the bits of a bucket (by all records)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -541,9 +547,8 @@ def _fit(p: DataFrame, d: DataFrame, ours: DataFrame, theirs: DataFrame) -> tupl
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"bucket": at, "n": seen[at]})
 
-    n = ours.count() + theirs.count()
     df = np.zeros(BUCKETS)
-    for r in ours.select("norm").unionByName(theirs.select("norm")).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
+    for r in titles.select("norm").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
         df[r[0]] = r[1]
     weight = np.log1p(n / np.maximum(df, 1.0)) ** 0.25
     half = SAMPLE_RECORDS // 2
@@ -551,7 +556,7 @@ def _fit(p: DataFrame, d: DataFrame, ours: DataFrame, theirs: DataFrame) -> tupl
     for rows, key in ((p, "id"), (d, "row_id")):
         some = rows.where("norm != ''").orderBy(F.xxhash64(F.lit(SEED), key)).limit(half)
         sample += [(r["norm"], str(r["year"] or ""), r["doi"] or "", r["arxiv"] or "") for r in some.select("norm", "year", "doi", "arxiv").collect()]
-    n_bits = int(np.clip(round(np.log2(max(n, 2)) - 2), 10, MOST_BITS))
+    n_bits = int(np.clip(round(np.log2(max(n, 2)) - BUCKET_LOAD), 10, MOST_BITS))
     vectors, weight = train_vectors(sample), weight.astype(np.float32)
     known = Hasher(vectors, weight, n_bits).vectors([t for t, *_ in sample] or [""])
     centre = known.mean(0)
@@ -566,8 +571,8 @@ def _calibration(near_pairs: DataFrame, fits: DataFrame, p: DataFrame, d: DataFr
     The pairs are a bounded sample; differing DOIs count against a pair though versions may have them,
     so confidences lean to the low side.
     """
-    own = near_pairs.join(p.where("doi is not null").select(F.xxhash64("id").alias("num"), F.col("id").alias("rep_p"), F.col("doi").alias("doi_p")), "num").join(
-        d.where("doi is not null").select(F.xxhash64(F.lit("d"), "row_id").alias("q"), F.col("doi").alias("doi_d")), "q")
+    own = near_pairs.join(p.where("doi is not null and title is not null").select(F.col("title").alias("num"), F.col("id").alias("rep_p"), F.col("doi").alias("doi_p")), "num").join(
+        d.where("doi is not null and title is not null").select(F.col("title").alias("q"), F.col("doi").alias("doi_d")), "q")
     own = own.orderBy(F.xxhash64("num", "q")).limit(CALIBRATION_PAIRS)
     told = own.join(fits.where("own is null").select("rep_p", "q", F.lit(1.0).alias("fit")), ["rep_p", "q"], "left").select(
         "far", F.coalesce("fit", F.lit(0.0)).alias("fit"), (F.col("doi_p") == F.col("doi_d")).cast("double").alias("same")).toPandas()

@@ -1,6 +1,6 @@
 """Problem 1: duplicates hidden by formatting differences, by an incremental ledger.
 
-The ledger holds one row a canonical key: number of copies, earliest
+The ledger holds one row a canonical key: number of copies, smallest id and earliest
 representative, first and last time seen.  It is kept in hash buckets, each a
 folder.  A new batch is aggregated by key first (map-side combine, so a key
 that a third of all rows share is only a few rows when it is shuffled), then
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.canonical import canonical_doi, letters_and_digits
 from ..functions.compose import composed
 from ..operators.skew import attach_unique
-from ..storage import Scratch, remove
+from ..storage import Manifest, Scratch, names_in, remove
 from .common import table
 
-SCHEMA = "key string, n_copies long, first_id string, first_seen timestamp, last_seen timestamp, version int, bucket int"
+SCHEMA = "key string, n_copies long, first_id string, earliest struct<at: timestamp, id: string>, last_seen timestamp, version int, bucket int"
+#: Stands for the time of rows without one: they are never the earliest beside rows with one.
+NO_TIME = "9999-12-31"
 
 
 def record_key(doi: Column, title: Column) -> Column:
@@ -33,12 +35,17 @@ def record_key(doi: Column, title: Column) -> Column:
 
 
 class CopyLedger:
-    """A bucketed ledger under ``root``; every update writes new files for touched buckets only."""
+    """A bucketed ledger under ``root``; every update writes new files for touched buckets only.
+
+    Which version of a bucket holds is said by a manifest, so a ledger that is opened again goes on from
+    its last update.  An update counts once the manifest names its files, and only then the files it replaces go.
+    """
 
     def __init__(self, spark: SparkSession, root: str, n_buckets: int):
-        self.spark, self.root, self.n_buckets = spark, root, n_buckets
-        self.version_of: dict[int, int] = {}  # newest version of each bucket; n_buckets entries at most
-        self.version = 0
+        self.spark, self.root, self.manifest = spark, root, Manifest(spark, root)
+        held = self.manifest.newest() or {"n_buckets": n_buckets, "version": 0, "batch": None, "buckets": {}}
+        self.n_buckets, self.version, self.batch = held["n_buckets"], held["version"], held["batch"]
+        self.version_of: dict[int, int] = {int(b): v for b, v in held["buckets"].items()}  # n_buckets entries at most
 
     def _read(self, buckets: list[int] | None = None) -> DataFrame:
         wanted = self.version_of if buckets is None else {b: self.version_of[b] for b in buckets if b in self.version_of}
@@ -48,46 +55,46 @@ class CopyLedger:
         return self.spark.read.option("basePath", self.root).schema(SCHEMA).parquet(*paths)
 
     def table(self) -> DataFrame:
-        """The newest state: key, n_copies, first_id, first_seen, last_seen."""
-        return self._read().drop("version", "bucket")
-
-    def update(self, batch: DataFrame) -> None:
-        """Add a batch of rows with columns key, id, seen; rows with a null key are left out."""
-        self.version += 1
+        """The newest state: key, n_copies, first_id (the smallest), earliest_id and first_seen (by time), last_seen."""
+        seen = F.when(F.col("earliest.at") != F.lit(NO_TIME).cast("timestamp"), F.col("earliest.at"))
+        return self._read().select("key", "n_copies", "first_id", F.col("earliest.id").alias("earliest_id"), seen.alias("first_seen"), "last_seen")
+
+    def update(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        """Add a batch of rows with columns key, id, seen; rows with a null key are left out.
+
+        Batches with an id are counted once: ids grow, and one that is no larger than the last is in already.
+        """
+        if batch_id is not None and self.batch is not None and batch_id <= self.batch:
+            return
+        version = self.version + 1
+        time = F.coalesce("seen", F.lit(NO_TIME).cast("timestamp"))
         fresh = (
-            batch.where(F.col("key").isNotNull())
-            .groupBy("key")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("seen").alias("t0"), F.max("seen").alias("t1"))
+            batch.where(F.col("key").isNotNull()).groupBy("key")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min(F.struct(time.alias("at"), "id")).alias("e"), F.max("seen").alias("t1"))
             .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.n_buckets)).cast("int"))
         )
+        scratch = Scratch(self.spark, "ledger-batch")
         if self.version_of:
-            fresh = fresh.persist()
+            fresh = scratch.save(fresh, "fresh")
             touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # n_buckets values at most
             old = self._read(touched).drop("version")
             merged = old.join(fresh, ["bucket", "key"], "full_outer").select(
-                "bucket", "key",
-                (F.coalesce("n_copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_copies"),
-                F.least("first_id", "id").alias("first_id"),
-                F.least("first_seen", "t0").alias("first_seen"),
-                F.greatest("last_seen", "t1").alias("last_seen"),
+                "bucket", "key", (F.coalesce("n_copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_copies"),
+                F.least("first_id", "id").alias("first_id"), F.least("earliest", "e").alias("earliest"), F.greatest("last_seen", "t1").alias("last_seen"),
             )
         else:
-            merged = fresh.select("bucket", "key", F.col("n").alias("n_copies"), F.col("id").alias("first_id"), F.col("t0").alias("first_seen"), F.col("t1").alias("last_seen"))
-        path = f"{self.root}/version={self.version}"
+            merged = fresh.select("bucket", "key", F.col("n").alias("n_copies"), F.col("id").alias("first_id"), F.col("e").alias("earliest"), F.col("t1").alias("last_seen"))
+        path = f"{self.root}/version={version}"
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        written = self._written(path)
-        if self.version_of:
-            fresh.unpersist()
-        for b in written:
-            if b in self.version_of:
-                remove(self.spark, f"{self.root}/version={self.version_of[b]}/bucket={b}")
-            self.version_of[b] = self.version
-
-    def _written(self, path: str) -> list[int]:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(target)]
-        return [int(n.split("=")[1]) for n in names if n.startswith("bucket=")]
+        scratch.clear()
+        written = [int(n.split("=")[1]) for n in names_in(self.spark, path) if n.startswith("bucket=")]
+        replaced = {b: self.version_of[b] for b in written if b in self.version_of}
+        batch_id = self.batch if batch_id is None else batch_id
+        buckets = self.version_of | dict.fromkeys(written, version)
+        self.manifest.commit({"n_buckets": self.n_buckets, "version": version, "batch": batch_id, "buckets": buckets})
+        self.version, self.batch, self.version_of = version, batch_id, buckets
+        for b, v in replaced.items():
+            remove(self.spark, f"{self.root}/version={v}/bucket={b}")
 
 
 def build_ledger(papers: DataFrame, n_buckets: int | None = None) -> tuple[CopyLedger, DataFrame, Scratch]:

@@ -44,6 +44,26 @@ def test_ledger_touches_only_buckets_of_the_batch(spark):
     assert len(got) == 40 and (got["k3"].n_copies, got["k3"].first_id, got["k3"].first_seen.day, got["k3"].last_seen.day) == (3, "a", 1, 3)
 
 
+def test_ledger_lasts(spark):
+    root = f"{Scratch(spark, 'test').root}/l"
+    rows = lambda *r: spark.createDataFrame([(k, i, datetime(2020, 1, d) if d else None) for k, i, d in r], "key string, id string, seen timestamp")
+    first, second = rows(("k1", "b", 2), ("k1", "c", 1), ("k2", "d", None)), rows(("k1", "a", 3), ("k3", "e", 1))
+    ledger.CopyLedger(spark, root, 8).update(first, 0)
+    book = ledger.CopyLedger(spark, root, 4)  # another process; buckets are those of the ledger
+    assert book.table().count() == 2 and book.n_buckets == 8
+    book.update(second, 1)
+    book.update(second, 1)  # the same batch again
+    # a crash between writing an update and naming it: its files are no part of the ledger
+    rows(("k2", "x", 1)).selectExpr("key", "5L n_copies", "id first_id").write.parquet(f"{root}/version={book.version + 1}/bucket=0")
+    again = ledger.CopyLedger(spark, root, 8)
+    again.update(rows(("k4", "f", 1)), 2)
+    got = {r.key: (r.n_copies, r.first_id, r.earliest_id) for r in again.table().collect()}
+    assert got == {"k1": (3, "a", "c"), "k2": (1, "d", "d"), "k3": (1, "e", "e"), "k4": (1, "f", "f")}
+    whole = ledger.CopyLedger(spark, f"{root}-whole", 8)
+    whole.update(first.unionByName(second).unionByName(rows(("k4", "f", 1))))
+    assert sorted(map(tuple, whole.table().collect()), key=str) == sorted(map(tuple, again.table().collect()), key=str)
+
+
 def test_groups_chain_and_ignore_junk(spark):
     p = papers(spark, [
         {"id": "p1", "doi": "10.1234/a"}, {"id": "p2", "doi": "DOI: 10.1234/A", "arxiv_id": "2001.00001v2"}, {"id": "p3", "arxiv_id": "https://arxiv.org/abs/2001.00001"},

@@ -145,9 +145,9 @@ def test_blocking_recall_does_not_fall_with_size():
     slip = lambda t: (lambda i: t[:i] + "x" + t[i + 1 :])(rng.randrange(len(t)))
     for n_bits in (12, 18, E.MOST_BITS):
         h = E.Hasher(vectors, weight, n_bits)
-        for texts, tables in ((titles, h.tables), *[x for x in zip(heads, h.view_tables) if len(x[0][0]) >= 32]):
+        for texts, tables, n in ((titles, h.tables, h.probes), *[(x, y, h.view_probes) for x, y in zip(heads, h.view_tables) if len(x[0]) >= 32]):
             index = E._index_rows(texts, list(range(len(texts))), h, tables, 0, 1)
-            probes = E._index_rows([slip(t) for t in texts], list(range(len(texts))), h, tables, 0, h.probes)
+            probes = E._index_rows([slip(t) for t in texts], list(range(len(texts))), h, tables, 0, n)
             met = index.merge(probes, on=["rep", "bucket"])
             assert met["rep"].nunique() >= 0.95 * len(texts), (n_bits, len(texts[0]))
 
