@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 ALIAS_PREFIX = "10.48550/arxiv."
 #: Prefixes of which a DOI loses the first that fits.
 DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi:")
+_ONE_PREFIX = "^(?:" + "|".join(p.replace(".", r"\.") for p in DOI_PREFIXES) + ")"
 DOI_IN_TEXT = r"(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)"
 ARXIV_IN_TEXT = r"\b([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)\b"
 ARXIV_URL_IN_TEXT = r"(?i)(https?://arxiv\.org/(?:abs|pdf)/[^\s]+)"
@@ -37,21 +38,18 @@ def has(c: Column) -> Column:
 
 def bare_doi(c: Column) -> Column:
     """Trimmed and lower-cased, without one prefix."""
-    v = F.lower(F.trim(text(c)))
-    out = v
-    for p in reversed(DOI_PREFIXES):
-        out = F.when(v.startswith(p), F.substring(v, len(p) + 1, 2_000_000)).otherwise(out)
-    return out
+    return F.regexp_replace(F.lower(F.trim(text(c))), _ONE_PREFIX, "")
 
 
 def bare_arxiv(c: Column) -> Column:
-    """The arXiv id out of an id or address; what is neither stays as it is."""
+    """The arXiv id out of an id or address; what is neither stays as it is.
+
+    One chain of steps, so that none is worked out twice.
+    """
     v = F.regexp_replace(F.lower(F.regexp_replace(text(c), r"^\s+|\s+$", "")), r"^arxiv:", "")
-    path = F.regexp_replace(F.regexp_replace(v, r"^(?:[a-z][a-z0-9+.-]*://)?[^/?#]*", ""), r"[?#].*$", "")
-    path = F.regexp_replace(path, r"^/(?:abs|pdf)/|^/+", "")
-    plain = F.regexp_replace(v, r"[?#].*$", "")
-    out = F.when(v.contains("arxiv.org/"), path).otherwise(plain)
-    return F.regexp_replace(F.regexp_replace(out, r"\.pdf$", ""), r"v[0-9]+$", "")
+    # of an address that names the site, what stands before the path and the path's first part
+    v = F.regexp_replace(v, r"^(?=.*arxiv\.org/)(?:[a-z][a-z0-9+.-]*://)?[^/?#]*(?:/(?:abs|pdf)/|/+)?", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"[?#].*$", ""), r"\.pdf$", ""), r"v[0-9]+$", "")
 
 
 def title_words(c: Column) -> Column:
@@ -61,8 +59,7 @@ def title_words(c: Column) -> Column:
 
 def alias_arxiv(doi: Column) -> Column:
     """The arXiv id behind an alias DOI, else empty."""
-    d = bare_doi(doi)
-    return F.when(d.startswith(ALIAS_PREFIX), bare_arxiv(F.substring(d, len(ALIAS_PREFIX) + 1, 2_000_000))).otherwise("")
+    return bare_arxiv(F.regexp_extract(bare_doi(doi), r"(?s)^10\.48550/arxiv\.(.*)$", 1))
 
 
 def lookup_ids(doi: Column, arxiv_url: Column, arxiv_id: Column) -> tuple[Column, Column]:
@@ -220,30 +217,35 @@ def title_hint(c: Column) -> Column:
     return F.trim(F.regexp_extract(text(c), r'"([^"]{8,220})"', 1))
 
 
+# Words of a prompt that choose its plan, in the order in which they are looked for.
+PLAN_WORDS = (
+    (("dblp", "bibliography", "proceedings", "acm dl"), "bibliography_index"),
+    (("google scholar", "cited by", "citation", "related work"), "scholar_graph"),
+    (("conference", "program", "accepted papers", "track"), "conference_program_first"),
+    (("latest", "recent", "top", "papers on", "paper on", "theme", "survey", "state of the art"), "conference_program_first"),
+)
+# Phrases that a search leaves out of a prompt, and what stands for them, in order.
+SEED_PHRASES = (
+    (r"(?i)https?://arxiv\.org/(?:abs|pdf)/\S+", " "), (r"(?i)https?://doi\.org/\S+", " "), (r"(?i)\bdoi\b", " "), (r"(?i)\barxiv\b", " "),
+    (r"(?i)^(?:find details for |details for |find |show me |give me )\s*", ""), (r"(?i)^(?:latest papers? on |papers? on |find papers on |search papers on )\s*", ""),
+    (r"(?i)from top ai conferences|top ai conferences", " "), (r"(?i)latest ", " "), (r"(?i)recent ", " "), (r"(?i)\bfor and\b", " "), (r"(?i)\band related work\b", " related work"),
+)
+
+
 def plan_template(prompt: Column, identified: Column) -> Column:
     p = F.lower(text(prompt))
-    any_of = lambda *terms: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: p.contains(t))
-    return (
-        F.when(identified, "identifier_targeted")
-        .when(any_of("dblp", "bibliography", "proceedings", "acm dl"), "bibliography_index")
-        .when(any_of("google scholar", "cited by", "citation", "related work"), "scholar_graph")
-        .when(any_of("conference", "program", "accepted papers", "track"), "conference_program_first")
-        .when(any_of("latest", "recent", "top", "papers on", "paper on", "theme", "survey", "state of the art"), "conference_program_first")
-        .otherwise("mixed_theme")
-    )
+    out = F.when(identified, "identifier_targeted")
+    for words, template in PLAN_WORDS:
+        out = out.when(F.exists(F.array(*[F.lit(t) for t in words]), lambda t: p.contains(t)), template)
+    return out.otherwise("mixed_theme")
 
 
 def bare_seed(prompt: Column, known: Column) -> Column:
     """The prompt without the identifiers in the array ``known``, addresses and set phrases."""
     low_replace = lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?i)\Q"), x, F.lit(r"\E")), F.lit(" "))
     s = F.aggregate(known, F.trim(text(prompt)), low_replace)
-    for p in (r"(?i)https?://arxiv\.org/(?:abs|pdf)/\S+", r"(?i)https?://doi\.org/\S+", r"(?i)\bdoi\b", r"(?i)\barxiv\b"):
-        s = F.regexp_replace(s, p, " ")
-    s = F.regexp_replace(s, r"(?i)^(?:find details for |details for |find |show me |give me )\s*", "")
-    s = F.regexp_replace(s, r"(?i)^(?:latest papers? on |papers? on |find papers on |search papers on )\s*", "")
-    s = F.regexp_replace(s, r"(?i)from top ai conferences|top ai conferences", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?i)latest ", " "), r"(?i)recent ", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?i)\bfor and\b", " "), r"(?i)\band related work\b", " related work")
+    for phrase, by in SEED_PHRASES:
+        s = F.regexp_replace(s, phrase, by)
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 

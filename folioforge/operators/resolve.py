@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..storage import Scratch
 from .merge import merge_rows
+from .similarity import histogram, shared_characters
 
 c = F.col
 
@@ -66,23 +68,55 @@ def resolve(requests: DataFrame, rows: DataFrame, policy: str, source_order: lis
     return out.withColumn("status", F.when(c("paper_id").isNotNull(), "resolved").otherwise("not_found"))
 
 
-def resolve_titles(titles: DataFrame, rows: DataFrame, delta: float = 0.05) -> DataFrame:
-    """qid, status, best, total of titles (qid, title_norm): candidates share the title's rarest word.
+#: Share of a title's words (of over three letters, if it has any) that a row has to have to be a candidate.
+WORD_SHARE = 0.6
 
-    Score plus similarity decides; two at the top within ``delta`` are ambiguous.
+
+def title_candidates(titles: DataFrame, rows: DataFrame, share: float = WORD_SHARE) -> DataFrame:
+    """qid, ord of titles (qid, title_norm) and rows (ord, title_norm) that share at least ``share`` of the title's words.
+
+    None is lost: a row that lacks at most n - k of n words has one of any n - k + 1 of them, so the title's
+    rarest ones are enough to meet it.  ``share`` 0 gives every row that has any of the words.
+    """
+    scratch = Scratch(rows.sparkSession, "candidates")
+    every = F.array_distinct(F.split("title_norm", " "))
+    long = F.filter(every, lambda w: F.length(w) > 3)
+    asked = titles.select("qid", F.when(F.size(long) > 0, long).otherwise(every).alias("words"))
+    asked = scratch.save(asked.select("qid", "words", F.greatest(F.ceil(F.size("words") * F.lit(float(share))), F.lit(1)).cast("int").alias("least")), "asked")
+    index = scratch.save(rows.select("ord", F.explode(every).alias("w")), "index")
+    known = index.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # words that no row has come first and meet nothing
+    each = asked.select("qid", (F.size("words") - F.col("least") + 1).alias("probes"), F.explode("words").alias("w")).join(known, "w", "left")
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.coalesce("df", F.lit(0)), "w"))
+    met = each.withColumn("place", place).where("place <= probes and df is not null").select("qid", "w").join(index, "w").select("qid", "ord").distinct()
+    have = met.join(asked, "qid").join(rows.select("ord", every.alias("have")), "ord")
+    return have.where(F.size(F.array_intersect("words", "have")) >= F.col("least")).select("qid", "ord")
+
+
+def resolve_titles(titles: DataFrame, rows: DataFrame, delta: float = 0.05, share: float = WORD_SHARE) -> DataFrame:
+    """qid, status, best, total of titles (qid, title_norm) among their candidates in rows (ord, title_norm, score, title_len).
+
+    Score plus similarity decides; two at the top within ``delta`` are ambiguous.  Lengths and characters bound
+    the similarity from above: the candidate with the largest bound is measured first, and then only those whose
+    bound reaches what it got (less ``delta``).
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split("title_norm", " "))).alias("w")).where("length(w) > 3")
-    df = words(rows, "ord").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rarest = words(titles, "qid").join(df, "w").groupBy("qid").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    pairs = titles.join(rarest, "qid").join(words(rows, "ord"), "w").join(rows.select("ord", c("title_norm").alias("their"), "score", "title_len"), "ord")
+    scratch = Scratch(rows.sparkSession, "titles")
+    q = titles.select("qid", "title_norm", F.length("title_norm").alias("len_a"), histogram(c("title_norm")).alias("hist_a"))
+    r = rows.select("ord", c("title_norm").alias("their"), "score", "title_len", F.length("title_norm").alias("len_b"), histogram(c("title_norm")).alias("hist_b"))
+    bound = F.when(c("title_norm") == c("their"), 1.0).otherwise(2.0 * shared_characters("a", "b") / (c("len_a") + c("len_b")))
+    pairs = title_candidates(titles, rows, share).join(q, "qid").join(r, "ord").select("qid", "ord", "score", "title_len", "title_norm", "their", (c("score") + bound).alias("most"))
+    pairs = scratch.save(pairs, "pairs")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sim = [SequenceMatcher(None, x, y).ratio() for x, y in zip(b["title_norm"], b["their"])]
+            sim = [1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(b["title_norm"], b["their"])]
             yield b[["qid", "ord", "score", "title_len"]].assign(sim=sim)
 
-    scored = pairs.select("qid", "ord", "score", "title_len", "title_norm", "their").mapInPandas(measure, "qid long, ord long, score double, title_len int, sim double")
+    shape = "qid long, ord long, score double, title_len int, sim double"
     total = c("score") + c("sim")
+    first = pairs.groupBy("qid").agg(F.max_by(F.struct("ord", "score", "title_len", "title_norm", "their"), F.struct("most", "ord")).alias("r")).select("qid", "r.*")
+    reached = first.mapInPandas(measure, shape).select("qid", (total - delta).alias("reached"))
+    scored = pairs.join(reached, "qid").where(c("most") >= c("reached") - 1e-9).select("qid", "ord", "score", "title_len", "title_norm", "their").mapInPandas(measure, shape)
     w = W.partitionBy("qid").orderBy(total.desc(), c("sim").desc(), c("title_len").desc(), c("ord"))
     top = scored.withColumns({"total": total, "place": F.row_number().over(w), "next": F.lead(total).over(w)}).where("place = 1")
     status = F.when(c("next").isNotNull() & (c("total") - c("next") <= delta), "ambiguous_requires_selection").otherwise("resolved")
