@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..storage import Scratch
 
 c = F.col
 
@@ -29,7 +30,10 @@ def dedup(rows: DataFrame, key: str = "key") -> DataFrame:
 def ranked(rows: DataFrame, key: str = "key", within: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Deduplicated rows with ``rank``; ties stay in the order in which their keys came up."""
     order = [x.desc() for x in best_first(c("score"), c("doi"), c("arxiv_id"), c("title"))] + [c("first_ord").asc()]
-    out = dedup(rows, key).withColumn("rank", F.row_number().over(W.partitionBy(*(within or [F.lit(0)])).orderBy(*order)).cast("long"))
+    if not within:
+        out = ranked_all(dedup(rows, key), order)
+    else:
+        out = dedup(rows, key).withColumn("rank", F.row_number().over(W.partitionBy(*within).orderBy(*order)).cast("long"))
     return out if most is None else out.where(c("rank") <= most)
 
 
@@ -69,6 +73,42 @@ def merge_terms(rows: DataFrame, by: str, field: str, most: int = R.MAX_TERMS) -
     )
 
 
+def merge_authors(rows: DataFrame, by: str) -> DataFrame:
+    """by, author_id, name, orcid, source_ids, affiliations of the authors of a group's rows (by, ord, source, authors).
+
+    An author is who has one stable id.  Name and ORCID are the first that are known, source ids and
+    affiliations each different one in the order of rows and places; affiliations have their organisation's id.
+    Aggregated in two steps, so an author of very many rows is combined before the shuffle.
+    """
+    each = rows.select(by, "ord", "source", F.posexplode("authors").alias("pos", "a"))
+    each = each.select(by, "ord", "pos", "source", "a.*").withColumn(
+        "author_id", R.author_id(c("name"), c("orcid"), c("source_id"), F.when(R.has(c("source")), c("source")).otherwise("unknown"), F.transform("affiliations", lambda x: x["name"])))
+    at = F.struct("ord", "pos")
+    known = lambda x: F.min_by(x, F.when(c(x) != "", at))
+    heads = each.groupBy(by, "author_id").agg(known("name").alias("name"), known("orcid").alias("orcid"))
+    in_order = lambda what: F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(what).alias("v")))), lambda x: x["v"]).alias(what)
+    ids = each.where("source_id != ''").groupBy(by, "author_id", c("source_id").alias("source_ids")).agg(F.min(at).alias("at")).groupBy(by, "author_id").agg(in_order("source_ids"))
+    places = each.select(by, "author_id", "ord", "pos", "source", F.posexplode("affiliations").alias("place", "o"))
+    org = F.struct(R.org_id(c("o.name"), c("o.ror"), c("source")).alias("org_id"), "o.name", "o.ror", "o.country")
+    orgs = places.groupBy(by, "author_id", org.alias("affiliations")).agg(F.min(F.struct("ord", "pos", "place")).alias("at")).groupBy(by, "author_id").agg(in_order("affiliations"))
+    none = lambda x, like: F.coalesce(x, F.array().cast(dict(like.dtypes)[x])).alias(x)
+    return heads.join(ids, [by, "author_id"], "left").join(orgs, [by, "author_id"], "left").select(by, "author_id", R.text(c("name")).alias("name"), R.text(c("orcid")).alias("orcid"), none("source_ids", ids), none("affiliations", orgs))
+
+
+def ranked_all(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """All rows with their place in ``order`` (which must tell any two apart), without bringing them into one task.
+
+    Rows are range-partitioned by the order and written; each partition counts its own, and the
+    counts of the partitions before it, one row a partition, are added.
+    """
+    scratch = Scratch(rows.sparkSession, "ranked")
+    parts = scratch.save(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", before.alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, (c("_own") + c("_before")).cast("long")).drop("_part", "_own", "_before")
+
+
 def canonical_clusters(rows: DataFrame, cluster: str) -> DataFrame:
     """One record a cluster of discovery rows: smallest identifiers, longest title, smallest year,
     source of the smallest row key, smallest venue and address."""

@@ -45,7 +45,7 @@ def identified(rows: DataFrame) -> DataFrame:
 
 
 def merged_by_identifier(rows: DataFrame, policy: str, source_order: list[str]) -> DataFrame:
-    """mode, value, n_rows, n_sources and the merged record of each identifier.
+    """mode, value, n_rows, n_sources, n_terms (of the row with most, if rows have ``_terms``) and the merged record of each identifier.
 
     ``consensus`` merges the rows of all sources; ``fast`` those of the first source that has any.
     Records are merged once an identifier, not once a request.
@@ -56,7 +56,8 @@ def merged_by_identifier(rows: DataFrame, policy: str, source_order: list[str])
         keyed = keyed.withColumn("place", F.when(place > 0, place).otherwise(len(source_order) + 1))
         first = keyed.groupBy("key").agg(F.min("place").alias("place"))
         keyed = keyed.join(first, ["key", "place"])
-    size = keyed.groupBy("key", "mode", "value").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources"))
+    terms = F.max(c("_terms")) if "_terms" in rows.columns else F.lit(0)
+    size = keyed.groupBy("key", "mode", "value").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources"), terms.alias("n_terms"))
     return size.join(merge_rows(keyed, "key"), "key").drop("key")
 
 

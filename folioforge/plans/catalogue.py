@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import connectors, graph, merging, scalars, search
+from . import connectors, graph, knowledge, merging, scalars, search
 
-_PARTS = (scalars, merging, graph, search, connectors)
+_PARTS = (scalars, merging, graph, search, connectors, knowledge)
 
 
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import dml
-from ..operators.resolve import with_lookup_ids
+from ..operators import knowledge as K
+from ..operators import merge as M
+from ..operators.skew import attach_unique
 from .relations import CANDIDATES, REQUESTS, candidates, requests, s_alias, s_arxiv, s_doi, s_title, table
 
 c = F.col
@@ -115,57 +116,47 @@ def discovery_load(spark, d):
     return last.select(F.concat_ws("::", F.lit("paper"), "paper_id", "row_key").alias("id"), "qid")
 
 
-def search_papers(spark, d):
-    """Papers whose title has a word of the search in it, newest update first; unknown times last."""
-    p = table(spark, d, "papers").where(c("title").ilike("%archive%") | c("abstract").ilike("%archive%"))
-    w = W.orderBy(c("updated_at").desc_nulls_last(), c("id"))
-    top = p.select("id", "updated_at").orderBy(c("updated_at").desc_nulls_last(), c("id")).limit(100)
-    return top.select("id", F.row_number().over(w).cast("long").alias("place"))
+def search_papers(spark, d, words="archive"):
+    """All papers with the words in their title (case aside), latest year first."""
+    p = table(spark, d, "papers").where(c("title").ilike(f"%{words}%")).select("id", "year")
+    return M.ranked_all(p, [c("year").desc_nulls_last(), c("id")], "place").select("id", "place")
 
 
 def find_by_identifier(spark, d):
-    """The first paper of each request's DOI or arXiv id, case aside; many rows may have it."""
+    """The newest paper of each request's DOI and arXiv id, case aside, and how many have it."""
     q = requests(spark, d).select("qid", F.lower(R.bare_doi(c("doi"))).alias("qd"), F.lower(R.bare_arxiv(c("arxiv_id"))).alias("qa"))
-    p = candidates(spark, d)
-    by_doi = p.where("doi != ''").groupBy(R.bare_doi(c("doi")).alias("qd")).agg(F.min("id").alias("by_doi"), F.count(F.lit(1)).alias("n_doi"))
-    by_arxiv = p.where("arxiv_id != ''").groupBy(R.bare_arxiv(c("arxiv_id")).alias("qa")).agg(F.min("id").alias("by_arxiv"), F.count(F.lit(1)).alias("n_arxiv"))
+    p = candidates(spark, d).join(table(spark, d, "papers").select("id", "updated_at", "created_at"), "id")
+    old = F.lit(-(1 << 62))
+    at = lambda x: -F.coalesce(F.unix_micros(c(x).cast("timestamp")), old)
+    newest = F.min_by("id", F.struct(at("updated_at"), at("created_at"), c("id")))
+    by_doi = p.where("doi != ''").groupBy(R.bare_doi(c("doi")).alias("qd")).agg(newest.alias("by_doi"), F.count(F.lit(1)).alias("n_doi"))
+    by_arxiv = p.where("arxiv_id != ''").groupBy(R.bare_arxiv(c("arxiv_id")).alias("qa")).agg(newest.alias("by_arxiv"), F.count(F.lit(1)).alias("n_arxiv"))
     none = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
     return q.join(by_doi, "qd", "left").join(by_arxiv, "qa", "left").select("qid", R.text(c("by_doi")).alias("by_doi"), none("n_doi"), R.text(c("by_arxiv")).alias("by_arxiv"), none("n_arxiv"))
 
 
 def cache_lookup(spark, d):
-    """The stored paper of each request: by arXiv id, DOI, then a title that only one paper has."""
-    q = with_lookup_ids(requests(spark, d)).select("qid", c("eff_doi").alias("qd"), c("eff_arxiv").alias("qa"), R.title_words(c("title")).alias("qt"))
-    p = candidates(spark, d)
-    aid = F.when(R.bare_arxiv(c("arxiv_id")) != "", R.bare_arxiv(c("arxiv_id"))).otherwise(R.alias_arxiv(c("doi")))
-    by_a = p.groupBy(aid.alias("qa")).agg(F.min("id").alias("pa")).where("qa != ''")
-    by_d = p.groupBy(R.bare_doi(c("doi")).alias("qd")).agg(F.min("id").alias("pd")).where("qd != ''")
-    by_t = p.groupBy(R.title_words(c("title")).alias("qt")).agg(F.min("id").alias("pt"), F.count(F.lit(1)).alias("n")).where("qt != '' and n = 1").drop("n")
-    hit = q.join(by_a, "qa", "left").join(by_d, "qd", "left").join(by_t, "qt", "left")
-    how = F.when(c("pa").isNotNull(), "arxiv").when(c("pd").isNotNull(), "doi").when(c("pt").isNotNull(), "title").otherwise("miss")
-    return hit.select("qid", how.alias("found_by"), R.text(F.coalesce("pa", "pd", "pt")).alias("paper"))
+    """The stored paper of each request: by arXiv id, DOI, then a title that only one paper has; the newest of several."""
+    p = table(spark, d, "papers").select("id", *[R.text(c(x)).alias(x) for x in ("title", "doi", "arxiv_id")], c("updated_at").alias("newest"))
+    return K.cached(requests(spark, d), p)
 
 
 def first_equivalent(spark, d):
     """The first stored paper that is the request's: same DOI, arXiv id (also by alias), or title and year with venues that don't contradict."""
-    q = requests(spark, d).select("qid", R.bare_doi(c("doi")).alias("qd"), F.coalesce(F.nullif(R.bare_arxiv(c("arxiv_id")), F.lit("")), R.alias_arxiv(c("doi"))).alias("qa"), R.title_words(c("title")).alias("qt"), R.digits_or_empty(c("year")).alias("qy"), R.title_words(c("venue")).alias("qv"))
-    p = candidates(spark, d).select("ord", R.bare_doi(c("doi")).alias("qd"), F.coalesce(F.nullif(R.bare_arxiv(c("arxiv_id")), F.lit("")), R.alias_arxiv(c("doi"))).alias("qa"), R.title_words(c("title")).alias("qt"), R.digits_or_empty(c("year")).alias("qy"), R.title_words(c("venue")).alias("pv"))
-    first = lambda *k: p.where(" and ".join(f"{x} != ''" for x in k)).groupBy(*k).agg(F.min("ord").alias("ord"))
-    a = q.where("qd != ''").join(first("qd"), "qd").select("qid", "ord")
-    b = q.where("qa != ''").join(first("qa"), "qa").select("qid", "ord")
-    # of a title and year: the first paper of the same venue or without one; any, if the request has none
-    by_venue = p.where("qt != '' and qy != ''").groupBy("qt", "qy", "pv").agg(F.min("ord").alias("ord"))
-    t = q.where("qt != '' and qy != ''").join(by_venue, ["qt", "qy"]).where("qv = '' or pv = '' or qv = pv").select("qid", "ord")
-    return a.unionByName(b).unionByName(t).groupBy("qid").agg(F.min("ord").alias("ord"))
-
-
-def restore_sources(spark, d):
-    """Provenance of each paper as its sources: the last row of a source's key, best confidence first."""
+    return K.equivalent(requests(spark, d), candidates(spark, d))
+
+
+def restore_sources(spark, d, asked="openindex"):
+    """Provenance of each paper as its sources: rows of the source asked, all if it has none of it; the last row of
+    a source's key, best score first.  Places are counted over all rows at once, so a paper of very many is no burden."""
     p = table(spark, d, "provenance").where("entity_type = 'paper'")
+    same = p.where(c("source") == asked).select("entity_id", F.lit(True).alias("same")).distinct()
+    p = p.join(same, "entity_id", "left").where(c("same").isNull() | (c("source") == asked))
     order = F.struct(F.coalesce(c("loaded_at"), F.lit("1970-01-01").cast("timestamp_ntz")), F.coalesce(c("confidence"), F.lit(-1.0)))
     last = p.groupBy("entity_id", "source", "source_key").agg(F.max_by(F.coalesce("confidence", F.lit(-1.0)), order).alias("score"))
-    w = W.partitionBy("entity_id").orderBy(c("score").desc(), c("source").desc(), c("source_key").desc())
-    return last.withColumn("place", F.row_number().over(w)).where("place <= 5").select("entity_id", c("place").cast("long").alias("place"), "source", "source_key", "score")
+    out = M.ranked_all(last, [c("entity_id"), c("score").desc(), c("source").desc(), c("source_key").desc()], "n")
+    first = out.groupBy("entity_id").agg(F.min("n").alias("n0"))
+    return attach_unique(out, first, "entity_id").select("entity_id", (c("n") - c("n0") + 1).alias("place"), "source", "source_key", "score")
 
 
 QUERIES = {
@@ -206,12 +197,16 @@ SELECT o.author_id, o.org_id FROM o JOIN n ON o.author_id = n.author_id JOIN m O
     "q_discovery_load": f"""WITH r AS (SELECT *, CASE WHEN trim(source_id, ' ') <> '' THEN concat({_SRC}, ':', trim(source_id, ' ')) ELSE concat({_SRC}, ':fallback:', substr(sha1(concat_ws('|', {_SRC}, title, year, doi, arxiv_id, url)), 1, 16)) END AS row_key,
   CASE WHEN {s_doi('doi')} <> '' THEN concat('doi:', {s_doi('doi')}) WHEN {s_arxiv('arxiv_id')} <> '' THEN concat('arxiv:', {s_arxiv('arxiv_id')}) ELSE concat('title:', {s_title('title')}, ':', year) END AS paper_id FROM ({REQUESTS}))
 SELECT concat_ws('::', 'paper', paper_id, row_key) AS id, max(qid) AS qid FROM r GROUP BY 1""",
-    "q_search_papers": "SELECT id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, id) AS place FROM papers WHERE title ILIKE '%archive%' OR abstract ILIKE '%archive%' QUALIFY place <= 100",
-    "q_find_by_identifier": f"""WITH p AS ({CANDIDATES}), d AS (SELECT {s_doi('doi')} AS k, min(id) AS i, count(*) AS n FROM p WHERE doi <> '' GROUP BY 1), a AS (SELECT {s_arxiv('arxiv_id')} AS k, min(id) AS i, count(*) AS n FROM p WHERE arxiv_id <> '' GROUP BY 1),
+    "q_search_papers": "SELECT id, row_number() OVER (ORDER BY year DESC NULLS LAST, id) AS place FROM papers WHERE title ILIKE '%archive%'",
+    "q_find_by_identifier": f"""WITH p AS (SELECT c.*, x.updated_at, x.created_at FROM ({CANDIDATES}) c JOIN papers x USING (id)), w AS (SELECT *, {s_doi('doi')} AS kd, {s_arxiv('arxiv_id')} AS ka FROM p),
+d AS (SELECT kd AS k, id AS i, n FROM (SELECT *, count(*) OVER (PARTITION BY kd) AS n, row_number() OVER (PARTITION BY kd ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, id) AS r FROM w WHERE doi <> '') WHERE r = 1),
+a AS (SELECT ka AS k, id AS i, n FROM (SELECT *, count(*) OVER (PARTITION BY ka) AS n, row_number() OVER (PARTITION BY ka ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, id) AS r FROM w WHERE arxiv_id <> '') WHERE r = 1),
 q AS (SELECT qid, {s_doi('doi')} AS qd, {s_arxiv('arxiv_id')} AS qa FROM ({REQUESTS}))
 SELECT q.qid, coalesce(d.i, '') AS by_doi, coalesce(d.n, 0) AS n_doi, coalesce(a.i, '') AS by_arxiv, coalesce(a.n, 0) AS n_arxiv FROM q LEFT JOIN d ON q.qd = d.k LEFT JOIN a ON q.qa = a.k""",
-    "q_cache_lookup": f"""WITH p AS ({CANDIDATES}), a AS (SELECT CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_alias('doi')} END AS k, min(id) AS i FROM p GROUP BY 1), d AS (SELECT {s_doi('doi')} AS k, min(id) AS i FROM p GROUP BY 1),
-t AS (SELECT {s_title('title')} AS k, min(id) AS i FROM p GROUP BY 1 HAVING count(*) = 1),
+    "q_cache_lookup": f"""WITH p AS (SELECT id, updated_at, coalesce(title, '') AS title, coalesce(doi, '') AS doi, coalesce(arxiv_id, '') AS arxiv_id FROM papers),
+k AS (SELECT id, updated_at, {s_doi('doi')} AS d, CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_alias('doi')} END AS a, {s_title('title')} AS t FROM p),
+a AS (SELECT a AS k, id AS i FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY updated_at DESC NULLS LAST, id) AS r FROM k) WHERE r = 1), d AS (SELECT d AS k, id AS i FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY updated_at DESC NULLS LAST, id) AS r FROM k) WHERE r = 1),
+t AS (SELECT t AS k, min(id) AS i FROM k GROUP BY 1 HAVING count(*) = 1),
 q AS (SELECT qid, CASE WHEN {s_alias('doi')} <> '' THEN '' ELSE {s_doi('doi')} END AS qd, CASE WHEN {_GIVEN} <> '' THEN {_GIVEN} ELSE {s_alias('doi')} END AS qa, {s_title('title')} AS qt FROM ({REQUESTS}))
 SELECT q.qid, CASE WHEN a.i IS NOT NULL THEN 'arxiv' WHEN d.i IS NOT NULL THEN 'doi' WHEN t.i IS NOT NULL THEN 'title' ELSE 'miss' END AS found_by, coalesce(a.i, d.i, t.i, '') AS paper
 FROM q LEFT JOIN a ON q.qa = a.k AND a.k <> '' LEFT JOIN d ON q.qd = d.k AND d.k <> '' LEFT JOIN t ON q.qt = t.k AND t.k <> ''""",
@@ -220,6 +215,7 @@ q AS (SELECT qid, {s_doi('doi')} AS d, {_QA} AS a, {s_title('title')} AS t, {_YE
 m AS (SELECT qid, ord FROM q JOIN p ON q.d = p.d WHERE q.d <> '' UNION ALL SELECT qid, ord FROM q JOIN p ON q.a = p.a WHERE q.a <> ''
   UNION ALL SELECT qid, ord FROM q JOIN p ON q.t = p.t AND q.y = p.y WHERE q.t <> '' AND q.y <> '' AND (q.v = '' OR p.v = '' OR q.v = p.v))
 SELECT qid, min(ord) AS ord FROM m GROUP BY 1""",
-    "q_restore_sources": """WITH l AS (SELECT entity_id, source, source_key, coalesce(confidence, -1) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, source, source_key ORDER BY coalesce(loaded_at, TIMESTAMP '1970-01-01') DESC, coalesce(confidence, -1) DESC) AS n FROM provenance WHERE entity_type = 'paper') WHERE n = 1)
-SELECT entity_id, place, source, source_key, score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, source DESC, source_key DESC) AS place FROM l) WHERE place <= 5""",
+    "q_restore_sources": """WITH p AS (SELECT * FROM provenance WHERE entity_type = 'paper'), s AS (SELECT * FROM p WHERE source = 'openindex' OR entity_id NOT IN (SELECT entity_id FROM p WHERE source = 'openindex')),
+l AS (SELECT entity_id, source, source_key, coalesce(confidence, -1) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, source, source_key ORDER BY coalesce(loaded_at, TIMESTAMP '1970-01-01') DESC, coalesce(confidence, -1) DESC) AS n FROM s) WHERE n = 1)
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, source DESC, source_key DESC) AS place, source, source_key, score FROM l""",
 }

@@ -8,7 +8,7 @@ from ..functions import records as R
 from ..operators import merge as M
 from ..operators.components import connected_components, star_edges
 from ..operators.similarity import histogram, similar_titles
-from .relations import CANDIDATES, REQUESTS, candidates, requests, s_arxiv, s_dedup, s_doi, s_paper_id, s_title, table
+from .relations import CANDIDATES, REQUESTS, candidates, requests, s_arxiv, s_dedup, s_doi, s_paper_id, s_title
 
 c = F.col
 
@@ -43,17 +43,6 @@ def merge_terms(spark, d):
     return M.merge_terms(_keyed(spark, d), "key", "keywords").select("key", F.array_join("keywords", "|").alias("keywords"))
 
 
-def merge_authors(spark, d):
-    """Authors of one stable id: first name, distinct source rows, distinct affiliations."""
-    a = table(spark, d, "authors").select("id", R.text(c("name")).alias("name"), R.text(c("orcid")).alias("orcid"))
-    orcid = F.regexp_replace(F.lower("orcid"), r"^(?:https?://orcid\.org/|orcid:)", "")
-    a = a.withColumn("author_id", R.author_id(c("name"), orcid, F.lit(""), F.lit("kb"), F.array().cast("array<string>")))
-    ao = table(spark, d, "author_orgs").select(c("author_id").alias("id"), "org_id").distinct()
-    people = a.groupBy("author_id").agg(F.min_by("name", F.when(c("name") != "", c("id"))).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_row"))
-    orgs = a.join(ao, "id").select("author_id", "org_id").distinct().groupBy("author_id").agg(F.count(F.lit(1)).alias("n_orgs"), F.min("org_id").alias("first_org"))
-    return people.join(orgs, "author_id", "left").select("author_id", R.text(c("name")).alias("name"), "n_rows", "first_row", F.coalesce("n_orgs", F.lit(0)).cast("long").alias("n_orgs"), R.text(c("first_org")).alias("first_org"))
-
-
 def _rows(spark, d):
     q = requests(spark, d)
     key = R.fallback_key(c("source"), c("source_id"), c("title"), c("year"), c("doi"), c("arxiv_id"), c("url"))
@@ -106,7 +95,7 @@ def fuzzy_clusters(spark, d):
 
 QUERIES = {
     "q_rank_candidates": rank_candidates, "q_dedup_candidates": dedup_candidates, "q_topk_per_source": topk_per_source, "q_best_row": best_row, "q_merge_paper": merge_paper,
-    "q_merge_terms": merge_terms, "q_merge_authors": merge_authors, "q_equi_clusters": equi_clusters, "q_cluster_canonical": cluster_canonical, "q_raw_to_canonical": raw_to_canonical,
+    "q_merge_terms": merge_terms, "q_equi_clusters": equi_clusters, "q_cluster_canonical": cluster_canonical, "q_raw_to_canonical": raw_to_canonical,
     "q_title_blocks": title_blocks, "q_fuzzy_clusters": fuzzy_clusters,
 }
 
@@ -143,11 +132,6 @@ SELECT g.key, {s_paper_id('g.doi', 'g.arxiv_id', 'b.title', 'g.year')} AS paper_
 f AS (SELECT key, trim(term, ' ') AS term, ord, pos, row_number() OVER (PARTITION BY key, lower(trim(term, ' ')) ORDER BY ord, pos) AS n FROM e WHERE trim(term, ' ') <> ''),
 p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord, pos) AS place FROM f WHERE n = 1)
 SELECT key, string_agg(term, '|' ORDER BY place) AS keywords FROM p WHERE place <= 12 GROUP BY key""",
-    "q_merge_authors": r"""WITH a AS (SELECT id, coalesce(name, '') AS name, regexp_replace(lower(coalesce(orcid, '')), '^(?:https?://orcid\.org/|orcid:)', '') AS o FROM authors),
-k AS (SELECT id, name, CASE WHEN o <> '' THEN concat('orcid:', o) ELSE concat('author:kb:', substr(sha1(concat('kb|', lower(trim(name, ' ')), '|')), 1, 16)) END AS author_id FROM a),
-p AS (SELECT author_id, coalesce(arg_min(name, id) FILTER (name <> ''), '') AS name, count(*) AS n_rows, min(id) AS first_row FROM k GROUP BY 1),
-g AS (SELECT k.author_id, count(DISTINCT ao.org_id) AS n_orgs, min(ao.org_id) AS first_org FROM k JOIN author_orgs ao ON k.id = ao.author_id GROUP BY 1)
-SELECT p.author_id, p.name, p.n_rows, p.first_row, coalesce(g.n_orgs, 0) AS n_orgs, coalesce(g.first_org, '') AS first_org FROM p LEFT JOIN g USING (author_id)""",
     "q_equi_clusters": f"{_CLUSTERS} SELECT ord, cluster FROM rc",
     "q_cluster_canonical": f"{_CLUSTERS}, {_CANON} SELECT cluster, paper_id, doi, arxiv_id, year, venue, url, title, source, n_rows FROM k",
     "q_raw_to_canonical": f"{_CLUSTERS}, {_CANON} SELECT rc.row_key, arg_max(k.paper_id, k.cluster) AS paper_id FROM rc JOIN k USING (cluster) GROUP BY 1",
