@@ -33,6 +33,8 @@ LINK_WORDS = frozenset("a an and at for in of on the to und et y de la le der di
 MAX_ENTRIES = 200_000
 #: One error for so many letters, and at most so many.
 LETTERS_PER_ERROR, MAX_ERRORS = 8, 4
+#: Forms that a worker keeps with their entries, as many are written alike but for numbering.
+CACHED_FORMS = 50_000
 
 _NUMBERING = re.compile(r"(?:,?\s*\b(?:vol|volume|no|nr|issue|pp|part)\b\.?\s*[\divxlc]+[a-z]?(?:\s*[-–]\s*\d+)?)|\b\d+\s*\(\d+\)|\((?:print|online|electronic|issn[^)]*)\)|\b(?:19|20)\d\d\b|['’]\d\d\b|\b\d+(?:st|nd|rd|th)?\b", re.I)
 _LEAD = re.compile(r"^(?:in\s*:\s*|in\s+(?=proc))?(?:(?:the\s+)?proc(?:eedings)?\b\.?\s*(?:of\s+)?)?(?:the\s+)?", re.I)
@@ -75,8 +77,22 @@ class NameTrie:
                 self._add("".join(_WORD.findall(acronym.lower())), key, 1)
         for key, content in self.words_of_entry.items():  # abbreviations are prefixes of all words in turn
             self.by_word.setdefault((content[0][0] if content else "", len(content)), []).append((key, content))
+        self._reach()
         self.cache: dict[str, list[tuple[int, int, str]]] = {}
 
+    def _reach(self) -> None:
+        """Lengths of the shortest and the longest path through each node; children stand after their parents."""
+        depth = [0] * len(self.next)
+        for node, following in enumerate(self.next):
+            for child in following.values():
+                depth[child] = depth[node] + 1
+        self.least = [d if e else 1 << 30 for d, e in zip(depth, self.ends)]
+        self.most = [d if e else -1 for d, e in zip(depth, self.ends)]
+        for node in range(len(self.next) - 1, -1, -1):
+            for child in self.next[node].values():
+                self.least[node] = min(self.least[node], self.least[child])
+                self.most[node] = max(self.most[node], self.most[child])
+
     def _add(self, path: str, key: str, rank: int) -> None:
         node = 0
         for c in path:
@@ -96,6 +112,8 @@ class NameTrie:
             at[c] = at.get(c, 0) | (1 << i)
         full = 1 << m
         found: dict[str, tuple[int, int]] = {}
+        shortest, longest = m - errors, m + errors  # of the paths that can be so near
+        least, most = self.least, self.most
         stack = [(0, tuple((1 << (j + 1)) - 1 for j in range(errors + 1)))]
         while stack:
             node, states = stack.pop()
@@ -106,6 +124,8 @@ class NameTrie:
                             found[key] = min(found.get(key, (j, rank)), (j, rank))
                         break
             for c, child in self.next[node].items():
+                if most[child] < shortest or least[child] > longest:
+                    continue
                 b = at.get(c, 0)
                 below, new = 0, []
                 for j, s in enumerate(states):
@@ -145,8 +165,10 @@ class NameTrie:
             return NONE
         typed = " ".join(words)
         if typed not in self.cache:
+            if len(self.cache) >= CACHED_FORMS:
+                self.cache.clear()
             hits = self.within(typed, 0) or self.abbreviated(words)
-            limit = min(MAX_ERRORS, len(typed) // LETTERS_PER_ERROR)
+            limit = allowed_errors(typed)
             for errors in range(1, limit + 1):
                 if hits:
                     break
@@ -158,6 +180,11 @@ class NameTrie:
         return hits[0][2]
 
 
+def allowed_errors(typed: str) -> int:
+    """Errors that a typed name of its length may have."""
+    return min(MAX_ERRORS, len(typed) // LETTERS_PER_ERROR)
+
+
 def _near(a: str, b: str, limit: int) -> bool:
     """Whether a and b are within ``limit`` edits, a swap of neighbours counting as one."""
     if abs(len(a) - len(b)) > limit:
@@ -176,6 +203,39 @@ def _near(a: str, b: str, limit: int) -> bool:
     return last[-1] <= limit
 
 
+def _sent(reference: DataFrame):
+    """The reference list on all executors; its size is checked against MAX_ENTRIES first."""
+    entries = reference.select("venue_id", "name", "acronym").limit(MAX_ENTRIES + 1).collect()
+    if len(entries) > MAX_ENTRIES:
+        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
+    return reference.sparkSession.sparkContext.broadcast([tuple(e) for e in entries])
+
+
+def _spread(typed: DataFrame) -> DataFrame:
+    """The different forms: few bytes but much work each, so they are spread by number, not by size."""
+    context = typed.sparkSession.sparkContext
+    return typed.select("venue").distinct().repartition(max(2 * context.defaultParallelism, int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def within_distance(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """venue, venue_id, distance: for each different form of rows (venue) all entries, by name or alias, within the errors of its length.
+
+    Forms that are null, blank or near no entry give no row; what is near isn't yet what is meant (see ``mapped``).
+    """
+    sent = _sent(reference)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = NameTrie(sent.value)
+        for b in batches:
+            found = []
+            for v in b["venue"]:
+                typed = " ".join(words_of(v))
+                found += [(v, key, d) for d, _, key in trie.within(typed, allowed_errors(typed))] if typed else []
+            yield pd.DataFrame(found, columns=["venue", "venue_id", "distance"])
+
+    return _spread(rows.where(F.trim("venue") != "").select("venue")).mapInPandas(near, "venue string, venue_id string, distance int")
+
+
 def mapped(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """id, venue, venue_id of rows (id, venue); reference has venue_id, name, acronym.
 
@@ -183,10 +243,7 @@ def mapped(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "venues")
-    entries = reference.select("venue_id", "name", "acronym").limit(MAX_ENTRIES + 1).collect()
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    sent = spark.sparkContext.broadcast([tuple(e) for e in entries])
+    sent = _sent(reference)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = NameTrie(sent.value)
@@ -194,9 +251,7 @@ def mapped(rows: DataFrame, reference: DataFrame) -> DataFrame:
             yield pd.DataFrame({"venue": b["venue"], "venue_id": b["venue"].map(trie.match)})
 
     typed = scratch.save(rows.where(F.trim("venue") != "").select("id", "venue"), "typed")
-    # few bytes but much work a form: spread by number, not by size
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    forms = typed.select("venue").distinct().repartition(parts).mapInPandas(judge, "venue string, venue_id string")
+    forms = _spread(typed).mapInPandas(judge, "venue string, venue_id string")
     return attach_unique(typed, scratch.save(forms, "forms"), "venue")
 
 
@@ -204,6 +259,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(table(spark, sf_dir, "papers"), table(spark, sf_dir, "venues")).select("id", "venue_id")
 
 
+def p5_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """venue, venue_id, distance: all entries within the distance of each typed value."""
+    return within_distance(table(spark, sf_dir, "papers"), table(spark, sf_dir, "venues"))
+
+
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """venue, n_rows of every typed value that means no entry."""
     return (
