@@ -57,8 +57,9 @@ BUCKET_LOAD = 3.5
 VIEWS = (12, 20, 30, 42)
 VIEW_TABLES, VIEW_PROBES = 1, 64
 RATE = 0.1
-#: Directions of the sample's vectors that are left out.
-COMMON_AXES = 8
+#: Directions of the sample's vectors that are left out, at most: so many that SLIP_SHARE of the sample's titles stay
+#: near (FAR) to what two slips of the pen make of them.
+COMMON_AXES, SLIP_SHARE = 8, 0.98
 #: Bits that may differ (cosine about cos(pi * d / BITS)).
 FAR = 44
 #: And for the shortest beginnings, of whose n-grams a slip changes more.
@@ -562,7 +563,28 @@ def _fit(p: DataFrame, d: DataFrame, titles: DataFrame, n: int) -> tuple:
     centre = known.mean(0)
     # directions in which titles of one pattern agree say little about the work
     _, axes = np.linalg.eigh((known - centre).T @ (known - centre))
-    return vectors, weight, n_bits, centre, np.ascontiguousarray(axes[:, ::-1][:, :COMMON_AXES])
+    axes = axes[:, ::-1]
+    tried = [t for t, *_ in sample[:: max(1, len(sample) // 500)] if len(t) >= 2 * SHORT]
+    slipped = _slips(tried)
+    for n_axes in range(COMMON_AXES, -1, -2):
+        fitted = vectors, weight, n_bits, centre, np.ascontiguousarray(axes[:, :n_axes])
+        h = Hasher(*fitted)
+        bits = [h.margins(x)[:, :BITS] > 0 for x in (tried, slipped)]
+        if not tried or np.mean((bits[0] ^ bits[1]).sum(1) <= FAR) >= SLIP_SHARE:
+            break
+    return fitted
+
+
+def _slips(titles: list[str]) -> list[str]:
+    """The titles with two slips of the pen each."""
+    rng = np.random.default_rng(SEED + 2)
+    out = []
+    for t in titles:
+        for _ in range(2):
+            i, kind = int(rng.integers(0, len(t) - 1)), int(rng.integers(0, 4))
+            t = (t[:i] + t[i + 1 :], t[:i] + "x" + t[i + 1 :], t[:i] + t[i + 1] + t[i] + t[i + 2 :], t[:i] + t[i] + t[i:])[kind]
+        out.append(t)
+    return out
 
 
 def _calibration(near_pairs: DataFrame, fits: DataFrame, p: DataFrame, d: DataFrame) -> tuple[float, float, float]:

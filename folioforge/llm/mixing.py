@@ -32,7 +32,8 @@ from .tokenize import counted
 
 SEED = 20_240_229
 BLOCKS_PER_SHARD = 16
-MAX_SHARDS = 4096
+#: Shards if no number is given (the selection depends on it, so it isn't taken from the session), and the most there may be.
+SHARDS, MAX_SHARDS = 64, 4096
 _HASH_SPAN = 1 << 40
 
 
@@ -63,7 +64,9 @@ def mixed(documents: DataFrame, targets: DataFrame, n_shards: int | None = None,
     (source, target_share, max_repeats, n_rows, n_tokens, most_repeats, share)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixing")
-    n_shards = min(MAX_SHARDS, n_shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_shards = n_shards or SHARDS
+    if n_shards > MAX_SHARDS:
+        raise ValueError(f"no more than {MAX_SHARDS} shards, as sums by block of each come to the driver")
     n_blocks = n_shards * BLOCKS_PER_SHARD
     goals = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("source is not null").select("source", "target_share", "max_repeats").collect()}
     sized = counted(documents.where("text is not null and text != '' and source is not null").select("doc_id", "source", "text"), tokenizer)
@@ -99,11 +102,11 @@ def mixed(documents: DataFrame, targets: DataFrame, n_shards: int | None = None,
     runs_of = spark.createDataFrame(rows, "source string, first long, past long, shard int").select(
         "source", "shard", F.explode(F.sequence("first", F.col("past") - 1)).alias("run")
     ).select("source", "shard", F.expr(f"cast(run div {n_blocks} as int)").alias("repeat"), F.expr(f"cast(run % {n_blocks} as int)").alias("block"))
-    # rows of the last block, small ones first, stay while their sizes fit into what is left of the quota
+    # rows of the last block stay, in their permuted order, while their sizes fit into what is left of the quota
     ends = spark.createDataFrame(cuts, "source string, last_pass int, last_block int, room long")
     drawn = docs.join(runs_of, ["source", "block"]).join(F.broadcast(ends), "source")  # one row a source of the target table
     in_last = (F.col("repeat") == F.col("last_pass")) & (F.col("block") == F.col("last_block"))
-    running = F.sum("n_tokens").over(W.partitionBy("source", "block").orderBy("n_tokens", "place", "doc_id"))
+    running = F.sum("n_tokens").over(W.partitionBy("source", "block").orderBy("place", "doc_id"))
     tail = drawn.where(in_last).withColumn("running", running).where("running <= room")
     chosen = scratch.save(
         drawn.where(~in_last).select("doc_id", "source", "repeat", "n_tokens", "shard").unionByName(tail.select("doc_id", "source", "repeat", "n_tokens", "shard")), "chosen"

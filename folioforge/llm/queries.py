@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_records": survivor.p4_records,
         "p5_found": venues.p5_found,
         "p5_unmatched": venues.p5_unmatched,
+        "p5_within": venues.p5_within,
         "p6_found": consolidate.p6_found,
         "p7_found": spelling.p7_found,
         "p8_ids": tokenize.p8_ids,

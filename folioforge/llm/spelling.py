@@ -37,7 +37,8 @@ GRAM, COSINE, CORE_EDITS = 3, 0.25, 1
 LINKAGE = 0.55
 #: A word is a given name if at least this share of all rows (and 3) have it first; an organisation's ordinary word if it has this share and 4.
 GIVEN_SHARE, ORDINARY_SHARE = 0.0007, 0.008
-MOST_COUNTRIES = 1000
+#: Values of the country column that so large a share of rows have are countries' names; there are 1 / COUNTRY_SHARE at most.
+COUNTRY_SHARE = 0.001
 
 # Common short forms of given names.
 SHORT_FORMS = {
@@ -62,6 +63,7 @@ ORG_WORDS = {
     "inst": "institute", "institut": "institute", "instituto": "institute", "istituto": "institute", "lab": "laboratory", "labs": "laboratory", "laboratories": "laboratory", "laboratorium": "laboratory",
     "hosp": "hospital", "gen": "general", "res": "research", "dept": "department", "dep": "department",
 }
+_NO_LETTER = re.compile(r"[\W\d_]+")
 ORG_DROP = frozenset("of for the de la le du für fur fuer and und y et ltd inc gmbh llc co corp sa ag".split())
 _DEPARTMENT = re.compile(r"^\s*(?:department|dept\.?|school|faculty|division|chair|section|abteilung|departamento|laboratory)\s+(?:of|for|de|für)\s+[^,]*,\s*(?=\S)", re.I)
 
@@ -112,16 +114,17 @@ def parse_person(name: str | None, given_names: set[str]) -> tuple[str, str, str
             while k > 1 and parts[k - 1].lower() in PARTICLES:
                 k -= 1
             given, family = parts[:k], parts[k:]
-    core = re.sub(r"[^a-z]", "", folded((family or [""])[-1].lower()))
+    core = _NO_LETTER.sub("", folded((family or [""])[-1].lower()))
     tokens: list[str] = []
     for g in given:
         for p in re.split(r"[-.]", g):
             if p and p.isupper() and 1 < len(p) <= 3 and folded(p.lower()) not in given_names:
                 tokens += list(folded(p.lower()))
             elif p:
-                q = re.sub(r"[^a-z]", "", folded(p.lower()))
+                q = _NO_LETTER.sub("", folded(p.lower()))
                 tokens += [SHORT_FORMS.get(q, q)] if q and q not in PARTICLES else []
-    if len(core) < 2 or not tokens:
+    # a single letter is an initial, but in scripts without cases it may be a name
+    if not core or len(core) < 2 and core.upper() != core or not tokens:
         return None
     return tokens[0][0], core, " ".join(tokens)
 
@@ -184,7 +187,7 @@ def similar_cores(keys: DataFrame, scratch: Scratch) -> DataFrame:
     grams = scratch.save(
         keys.where(F.length("core") >= 3).select(
             "key", "block", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda i: F.substring(padded, i, F.lit(GRAM)))).alias("at", "gram"),
-        ).dropDuplicates(["key", "gram"]), "grams",
+        ).groupBy("key", "block", "gram").agg(F.min("at").alias("at")), "grams",
     )
     total = keys.count()
     weight = grams.groupBy("gram").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
@@ -400,7 +403,7 @@ def organisations(orgs: DataFrame) -> DataFrame:
     beside = names.select(F.explode(F.array_intersect("ws", listed)).alias("w"), F.array_except("ws", listed).alias("rare")).select("w", F.explode("rare").alias("r")).distinct().groupBy("w").count()
     rare = {r[0]: r[1] for r in beside.collect()}
     ordinary = {ORG_WORDS.get(w, w): rare.get(w, 0) / k for w, k in common.items() if w not in ORG_DROP}
-    countries = {r[0].lower() for r in orgs.where("length(country) > 3").groupBy("country").count().orderBy(F.desc("count")).limit(MOST_COUNTRIES).collect()}
+    countries = {r[0].lower() for r in orgs.where("length(country) > 3").groupBy("country").count().where(F.col("count") >= COUNTRY_SHARE * n).select("country").collect()}
     sent = spark.sparkContext.broadcast((ordinary, countries))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

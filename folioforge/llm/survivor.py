@@ -27,7 +27,7 @@ from .common import table
 from .consolidate import groups
 from .truncation import judged
 
-#: Trust in a row's source: publishers' feeds before catalogues before the web.
+#: Trust in a row's source if none is given: publishers' feeds before catalogues before the web.
 TRUST = {"xref": 1.0, "librarysync": 0.9, "preprints": 0.9, "openindex": 0.8, "scholargraph": 0.7, "webmeta": 0.5}
 OTHER_TRUST = 0.3
 #: After so many days a vote counts half; rows without a time count as if they were OLDEST_DAYS old.
@@ -37,13 +37,13 @@ NO_VENUE = ("n/a", "na", "-", "none", "unknown", "tba", "tbd", "to appear", "pre
 FIELDS = ("abstract", "venue", "doi", "arxiv_id")
 
 
-def ballots(papers: DataFrame, member: DataFrame) -> DataFrame:
+def ballots(papers: DataFrame, member: DataFrame, trusted: dict[str, float] | None = None) -> DataFrame:
     """group_id, id, weight, and the normalised value of each field, null where it may not vote.
 
-    ``member`` has group_id, id.  Abstracts are one value if they say the same: labels, markup,
+    ``member`` has group_id, id; ``trusted`` gives the trust in each source (others have OTHER_TRUST).  Abstracts are one value if they say the same: labels, markup,
     rights lines and how they are written don't make another one.
     """
-    trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.col("source")), F.lit(OTHER_TRUST))
+    trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (trusted or TRUST).items() for x in kv]), F.col("source")), F.lit(OTHER_TRUST))
     day = F.unix_micros(F.greatest(F.col("updated_at").cast("timestamp"), F.col("created_at").cast("timestamp"))) / F.lit(86_400e6)
     now = papers.agg(F.max(day)).first()[0]  # one number, against which ages count
     weight = trust * F.pow(F.lit(0.5), F.coalesce(F.lit(now) - day, F.lit(OLDEST_DAYS)) / F.lit(HALF_LIFE_DAYS))
@@ -72,11 +72,11 @@ def winners(counted: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return counted.groupBy("group_id").pivot("field", list(fields)).agg(best)
 
 
-def best_records(papers: DataFrame, pairs: DataFrame) -> DataFrame:
+def best_records(papers: DataFrame, pairs: DataFrame, trusted: dict[str, float] | None = None) -> DataFrame:
     """group_id, the surviving abstract, venue, doi and arxiv_id, and the id of the row each comes from."""
     scratch = Scratch(papers.sparkSession, "survivor")
     member = scratch.save(groups(papers, pairs), "groups")
-    won = scratch.save(winners(tally(ballots(papers, member), FIELDS), FIELDS), "won")
+    won = scratch.save(winners(tally(ballots(papers, member, trusted), FIELDS), FIELDS), "won")
     long = won.select("group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("id")) for f in FIELDS])).alias("v"))
     values = papers.select("id", *[F.col(f).alias(f"{f}_value") for f in FIELDS])
     picked = (
@@ -87,11 +87,11 @@ def best_records(papers: DataFrame, pairs: DataFrame) -> DataFrame:
     return won.select("group_id", *[F.col(f).alias(f"{f}_id") for f in FIELDS]).join(wide, "group_id", "left").select("group_id", *FIELDS, *[f"{f}_id" for f in FIELDS])
 
 
-def completed(papers: DataFrame, pairs: DataFrame) -> DataFrame:
+def completed(papers: DataFrame, pairs: DataFrame, trusted: dict[str, float] | None = None) -> DataFrame:
     """group_id, abstract_id of groups with a complete abstract and at least one row without."""
     scratch = Scratch(papers.sparkSession, "survivor")
     member = scratch.save(groups(papers, pairs), "groups")
-    cast = scratch.save(ballots(papers, member).select("group_id", "id", "weight", "abstract"), "ballots")
+    cast = scratch.save(ballots(papers, member, trusted).select("group_id", "id", "weight", "abstract"), "ballots")
     lacking = cast.where("abstract is null").select("group_id").distinct()
     return (
         winners(tally(cast, ("abstract",)), ("abstract",)).join(lacking, "group_id", "left_semi")

@@ -167,3 +167,17 @@ def test_large_components_are_linked():
     rows = [(c, "", "robert", "") for c in cores] + [(cores[0], "", "r", ""), (cores[1][:4] + "x" + cores[1][5:], "", "robert", ""), ("tulkenarn", "", "vera", "id1"), ("holdanust", "", "vera", "id1")]
     got = S.group_forms(pd.DataFrame([(*r, 1) for r in rows], columns=["core", "block", "detail", "ident", "n"]), "author")
     assert got[0] == got[1600] and got[1] == got[1601] and got[1602] == got[1603] and len(set(got)) == 1601
+
+
+def test_all_entries_within_the_distance(spark):
+    ref = spark.createDataFrame([("v1", "Annals of Rural Robotics", "ARR"), ("v2", "Annals of Rural Robotic", None), ("v3", "Journal of Polar Hydrology", None)], "venue_id string, name string, acronym string")
+    rows = spark.createDataFrame([("Anals of Rural Robotics",), ("ARR",), ("Nothing of the kind",), (None,), (" ",)], "venue string")
+    got = {(r.venue, r.venue_id, r.distance) for r in V.within_distance(rows, ref).collect()}
+    assert got == {("Anals of Rural Robotics", "v1", 1), ("Anals of Rural Robotics", "v2", 2), ("ARR", "v1", 0)}
+
+
+def test_names_of_other_scripts(spark):
+    a = spark.createDataFrame([("a1", "Иван Петров", None), ("a2", "Петров, Иван", None), ("b1", "李 明", None), ("b2", "Γιώργος Παπαδόπουλος", None), ("b3", "ΓΙΏΡΓΟΣ ΠΑΠΑΔΌΠΟΥΛΟΣ", None), ("c1", "Иван Смирнов", None)], "id string, name string, orcid string")
+    o = spark.createDataFrame([], "id string, name string, ror string, country string")
+    assert pairs(S.variant_pairs(a, o)) == {("author", "a1", "a2"), ("author", "b2", "b3")}
+    assert S.parse_person("李 明", set()) is not None
