@@ -255,6 +255,30 @@ def seed_or_hint(seed: Column, hint: Column, prompt: Column) -> Column:
     return F.coalesce(F.nullif(F.when(few & (hint != ""), hint).otherwise(seed), F.lit("")), F.trim(text(prompt)))
 
 
+def cycle_seed(seed: Column, cycle: Column, best_title: Column) -> Column:
+    """What a cycle searches for: the seed, from the second cycle on with the first six words of the best candidate so far."""
+    anchor = F.substring_index(F.trim(F.regexp_replace(text(best_title), r"\s+", " ")), " ", 6)
+    return F.when((cycle > 1) & (anchor != ""), F.trim(F.concat_ws(" ", seed, anchor))).otherwise(seed)
+
+
+def cycle_template(template: Column, cycle: Column, best_title: Column) -> Column:
+    """The template of a cycle: identifiers are looked up in the first one, later ones go on from what was found."""
+    return F.when((template == "identifier_targeted") & (cycle > 1) & has(best_title), "scholar_graph").otherwise(template)
+
+
+def router_label(template: Column, web: Column, scholarly: Column, short: Column, fallback: Column, provider: Column, fallback_rows: Column) -> Column:
+    """Which ways a cycle took; ``short`` says that it ranked too few rows, so that the web was asked again (or why not)."""
+    label = (
+        F.when(template.isin("conference_program_first", "bibliography_index") & web & scholarly, "web_then_scholarly")
+        .when(scholarly & ~web, "scholarly_only").when(web & ~scholarly, "web_only").otherwise("mixed")
+    )
+    again = (
+        F.when(~fallback, F.concat(label, F.lit("_web_disabled"))).when(provider != "searxng", F.concat(label, F.lit("_provider_unsupported")))
+        .when(fallback_rows > 0, "scholarly_plus_web").otherwise("scholarly_only_web_unavailable")
+    )
+    return F.when(short, again).otherwise(label)
+
+
 def tokens(c: Column) -> Column:
     """Distinct lower-case words of three letters or digits at least."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: F.length(t) >= 3))

@@ -19,31 +19,80 @@ LEDGER = "session long, cycle int, query string, keys array<string>, move string
 c = F.col
 
 
-def retrieve(open_sessions: DataFrame, index: DataFrame, top_n: int) -> DataFrame:
-    """The ``top_n`` best documents of each open session (session, query): those that share its rarest word."""
+#: A document is found if it has one of so many of the query's rarest known words; None takes all of them, at the
+#: cost of all documents that have an ordinary word.
+PROBE_WORDS = 3
+
+
+def retrieve(open_sessions: DataFrame, index: DataFrame, top_n: int, probe_words: int | None = PROBE_WORDS) -> DataFrame:
+    """The ``top_n`` best documents of each open session (session, query): most words in common, then score, then key."""
     words = open_sessions.select("session", F.explode(R.tokens(c("query"))).alias("w"))
     known = index.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rarest = words.join(known, "w").groupBy("session").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    hits = rarest.join(index, "w").join(open_sessions.select("session", "query"), "session")
+    asked = words.join(known, "w")
+    if probe_words is not None:
+        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("df", "w"))).where(c("n") <= probe_words)
+    hits = asked.select("session", "w").join(index, "w").select("session", "key", "title", "score").distinct().join(open_sessions.select("session", "query"), "session")
     fit = F.size(R.fit_overlap(c("query"), c("title")))
     best = W.partitionBy("session").orderBy(fit.desc(), c("score").desc(), c("key"))
     return hits.withColumn("place", F.row_number().over(best)).where(c("place") <= top_n)
 
 
+def check_prompts(prompts: DataFrame, started: DataFrame) -> None:
+    """An error if a session (session, prompt) was started with another prompt."""
+    other = prompts.join(started.select("session", c("prompt").alias("_first")), "session").where(c("prompt") != c("_first"))
+    first = other.select("session").head()
+    if first is not None:
+        raise ValueError(f"session {first[0]} was started with another prompt")
+
+
+def status(ledger: DataFrame) -> DataFrame:
+    """session, cycle, status, stop_reason: 'completed', 'needs_input' (waits for an answer) or 'running', after its last cycle."""
+    last = ledger.groupBy("session").agg(F.max_by(F.struct("cycle", "move", "reason"), F.struct("cycle", F.when(c("reason") == "user_finalized", 1).otherwise(0))).alias("l")).select("session", "l.*")
+    stopped, waits = c("move") == "stop", c("reason") == "needs_user_feedback"
+    return last.select("session", "cycle", F.when(stopped & waits, "needs_input").when(stopped, "completed").otherwise("running").alias("status"), F.when(stopped, c("reason")).otherwise("").alias("stop_reason"))
+
+
+def finalized(ledger: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The ledger with those sessions (session) that haven't ended stopped after their last cycle."""
+    ended = status(ledger).where("status = 'completed'").select("session")
+    last = ledger.groupBy("session").agg(F.max_by(F.struct("cycle", "query", "keys"), "cycle").alias("l"))
+    stop = last.join(sessions.select("session").distinct(), "session", "left_semi").join(ended, "session", "left_anti")
+    return ledger.unionByName(stop.select("session", "l.*", F.lit("stop").alias("move"), F.lit("user_finalized").alias("reason")))
+
+
+def answered(ledger: DataFrame, history: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ledger in which the sessions of ``answers`` (session, answers, at) go on, and the history with what they said.
+
+    An unknown session is an error.  Run the ledger on with ``run_sessions``.
+    """
+    unknown = answers.join(ledger, "session", "left_anti").select("session").head()
+    if unknown is not None:
+        raise ValueError(f"unknown session {unknown[0]}")
+    waiting = status(ledger).where("status = 'needs_input'").join(answers, "session", "left_semi").select("session", c("cycle").alias("_last"))
+    opened = ledger.join(waiting, "session", "left")
+    move = F.when(c("cycle") == c("_last"), "continue").otherwise(c("move"))
+    return opened.withColumn("move", move).drop("_last").select(*ledger.columns), history.unionByName(answers.select(*history.columns))
+
+
 def run_sessions(prompts: DataFrame, rows: DataFrame, max_cycles: int = 3, top_n: int = 5, ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger after running sessions (session, prompt) over rows (key, title, score) to their end."""
+    """The ledger after running sessions (session, prompt) over rows (key, title, score) to their end.
+
+    The seed of a session is its prompt without identifiers and set phrases; later cycles go on from the best candidate.
+    """
     spark = prompts.sparkSession
     scratch = Scratch(spark, "sessions")
     index = scratch.save(rows.select("key", "title", "score", F.explode(R.tokens(c("title"))).alias("w")), "index")
     done = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
-    seed = F.trim(F.regexp_replace("prompt", r"\s+", " "))
+    p = prompts.select("session", "prompt", F.concat(R.found_dois(c("prompt")), R.prompt_arxiv(c("prompt"))).alias("known"), R.title_hint(c("prompt")).alias("hint"))
+    p = p.select("session", "prompt", "hint", R.bare_seed(c("prompt"), c("known")).alias("bare"))
+    seeds = scratch.save(p.select("session", R.seed_or_hint(c("bare"), c("hint"), c("prompt")).alias("seed")), "seeds")
     for _ in range(max_cycles):
         last = done.groupBy("session").agg(F.max_by(F.struct("cycle", "query", "keys", "move"), "cycle").alias("l"))
-        live = prompts.select("session", seed.alias("seed")).join(last, "session", "left").where("l is null or l.move = 'continue'")
+        live = seeds.join(last, "session", "left").where("l is null or l.move = 'continue'")
         top_title = F.substring_index(F.try_element_at(c("l.keys"), F.lit(1)), "\t", -1)
         live = live.select(
             "session", (F.coalesce("l.cycle", F.lit(0)) + 1).alias("cycle"), F.coalesce("l.keys", F.array().cast("array<string>")).alias("before"),
-            F.trim(F.concat_ws(" ", "seed", F.substring_index(top_title, " ", 6))).alias("query"),
+            R.cycle_seed(c("seed"), F.coalesce("l.cycle", F.lit(0)) + 1, top_title).alias("query"),
         )
         live = scratch.save(live, "live")
         if live.isEmpty():

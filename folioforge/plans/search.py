@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..operators import merge as M
 from ..operators import resolve as S
-from ..operators.session import run_sessions
+from ..operators.session import finalized, run_sessions, status
 from ..operators.components import connected_components, star_edges
 from .relations import CANDIDATES, PROMPTS, REQUESTS, candidates, prompts, requests, s_alias, s_arxiv, s_clean, s_dedup, s_doi, s_paper_id, s_shorten, s_title, table
-from .scalars import _SIGNALS, _TEMPLATE
+from .scalars import SQL as SCALAR_SQL
+from .scalars import _ARXIV_IN, _DOIS_IN, _SIGNALS, _TEMPLATE, _first_seen
 
 c = F.col
 SOURCES = ["xref", "preprints", "openindex", "scholargraph"]
@@ -34,12 +35,51 @@ PLANS = {
 }
 
 
-def template_plans(spark, d):
-    p = prompts(spark, d).withColumns({"dois": R.found_dois(c("prompt")), "ids": R.prompt_arxiv(c("prompt"))})
-    template = R.plan_template(c("prompt"), (F.size("dois") > 0) | (F.size("ids") > 0))
+def _planned(spark, d, cycle):
+    """qid, template, seed of a cycle; the best candidate before it is taken to be the paper that the request names."""
+    p = prompts(spark, d).withColumns({"dois": R.found_dois(c("prompt")), "ids": R.prompt_arxiv(c("prompt")), "hint": R.title_hint(c("prompt"))})
+    p = p.withColumn("bare", R.bare_seed(c("prompt"), F.concat("dois", "ids")))
+    p = p.withColumns({"template": R.plan_template(c("prompt"), (F.size("dois") > 0) | (F.size("ids") > 0)), "seed": R.seed_or_hint(c("bare"), c("hint"), c("prompt"))})
+    p = p.join(requests(spark, d).select("qid", c("title").alias("best")), "qid")
+    n = F.lit(cycle)
+    seed = F.trim(F.regexp_replace(R.cycle_seed(c("seed"), n, c("best")), r"\s+", " "))
+    return p.select("qid", R.cycle_template(c("template"), n, c("best")).alias("template"), seed.alias("seed"))
+
+
+def _steps(spark, planned):
     literal = spark.createDataFrame([(t, i, *x) for t, xs in PLANS.items() for i, x in enumerate(xs, 1)], "template string, step long, pre string, post string, scope string, intent string")
-    seed = F.trim(F.regexp_replace("prompt", r"\s+", " "))
-    return p.select("qid", template.alias("template"), seed.alias("seed")).join(F.broadcast(literal), "template").select("qid", "template", "step", F.concat("pre", "seed", "post").alias("query"), "scope", "intent")
+    plan = planned.where("seed != ''").join(F.broadcast(literal), "template")  # a dozen rows, whatever the data
+    return plan.select("qid", "template", "step", F.concat("pre", "seed", "post").alias("query"), "scope", "intent")
+
+
+def template_plans(spark, d):
+    """What the first cycle of each prompt searches for, around its seed."""
+    return _steps(spark, _planned(spark, d, 1))
+
+
+def cycle_plans(spark, d):
+    """The same of a later cycle, which goes on from the best candidate."""
+    return _steps(spark, _planned(spark, d, 2))
+
+
+def deterministic_rows(spark, d):
+    """Records found by identifier as candidates, scored above all others."""
+    out = S.resolve(requests(spark, d), candidates(spark, d), "consensus", SOURCES).where("status = 'resolved'")
+    return out.select("qid", F.lit("deterministic").alias("source"), c("paper_id").alias("source_id"), "title", "doi", "arxiv_id", F.lit(1.2).alias("score"), F.lit("deterministic_resolved").alias("reason"))
+
+
+def router_fallbacks(spark, d):
+    """The ways of each prompt's plan when it ranks too few rows: made-up counts and settings by the prompt's number."""
+    t = template_plans(spark, d).groupBy("qid", "template").agg(F.max(c("scope") == "web").alias("web"), F.max(c("scope") == "scholarly").alias("scholarly"))
+    provider = F.when(c("qid") % 5 == 0, "other").otherwise("searxng")
+    return t.select("qid", R.router_label(c("template"), c("web"), c("scholarly"), c("qid") % 2 == 0, c("qid") % 3 != 0, provider, c("qid") % 4).alias("router"))
+
+
+def session_status(spark, d):
+    """Where sessions stand: a session is a user, its ledger the decisions after each day."""
+    ledger = cycle_decisions(spark, d).select(c("user_id").alias("session"), c("cycle").cast("int").alias("cycle"), F.lit("").alias("query"), F.array().cast("array<string>").alias("keys"), "move", "reason")
+    stopped = finalized(ledger, ledger.where("session % 2 = 0").select("session").distinct())
+    return status(stopped).select("session", c("cycle").cast("long").alias("cycle"), "status", "stop_reason")
 
 
 def deterministic_queries(spark, d):
@@ -168,13 +208,19 @@ def preferred_paper(spark, d):
     return p.groupBy("t").agg(F.max_by("id", order).alias("preferred"), F.count(F.lit(1)).alias("n"))
 
 
-def page_hints(spark, d):
-    """Identifiers filled in from the text of a paper's first document, where the paper lacks its own."""
-    docs = table(spark, d, "documents").where("paper_id is not null and text is not null")
-    first = docs.groupBy(c("paper_id").alias("id")).agg(F.min_by("text", "doc_id").alias("text"))
-    p = candidates(spark, d).join(first, "id")
-    hint = lambda own, found: F.when(own != "", own).otherwise(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")))
-    return p.select("id", hint(R.bare_doi(c("doi")), R.found_dois(c("text"))).alias("doi"), hint(R.bare_arxiv(c("arxiv_id")), R.found_arxiv(c("text"))).alias("arxiv_id"), F.md5(R.shorten(R.clean(c("text")), 600, "...")).alias("excerpt_md5"))
+def page_hints(spark, d, pages=3, chars=600):
+    """Identifiers that papers lack, filled in from the pages about them, and an excerpt: of each paper's pages (its documents
+    in order) the first ``pages`` that have any text are read, and the first identifier found counts."""
+    docs = table(spark, d, "documents").where("paper_id is not null").select(c("paper_id").alias("id"), "doc_id", R.clean(c("text")).alias("page")).where("page != ''")
+    # the first pages by an aggregate of few rows each, so a paper of very many pages is no burden
+    first = docs.groupBy("id", F.pmod(F.xxhash64("doc_id"), F.lit(32)).alias("part")).agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, pages).alias("l"))
+    first = first.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, pages).alias("l")).select(F.explode("l").alias("doc_id"))
+    read = docs.join(first, "doc_id").select("id", "doc_id", "page", R.found_dois(c("page")).alias("dois"), R.found_arxiv(c("page")).alias("ids"))
+    earliest = lambda x: F.min_by(c(x)[0], F.when(F.size(x) > 0, c("doc_id")))
+    found = read.groupBy("id").agg(earliest("dois").alias("page_doi"), earliest("ids").alias("page_arxiv"), F.min_by("page", "doc_id").alias("page"), F.count(F.lit(1)).alias("n_pages"))
+    fill = lambda own, x: F.when(own != "", own).otherwise(R.text(c(x)))
+    p = candidates(spark, d).join(found, "id")
+    return p.select("id", fill(R.bare_doi(c("doi")), "page_doi").alias("doi"), fill(R.bare_arxiv(c("arxiv_id")), "page_arxiv").alias("arxiv_id"), F.md5(R.shorten(c("page"), chars, "...")).alias("excerpt_md5"), "n_pages")
 
 
 def adapter_choice(spark, d):
@@ -213,13 +259,15 @@ def sessions(spark, d):
 QUERIES = {
     "q_sessions": sessions, "q_plan_items": plan_items, "q_template_plans": template_plans, "q_deterministic_queries": deterministic_queries, "q_seed_queries": seed_queries, "q_seed_budget": seed_budget, "q_fit_scores": fit_scores,
     "q_next_searches": next_searches, "q_cycle_decisions": cycle_decisions, "q_router_labels": router_labels, "q_resolve_consensus": resolve_consensus, "q_resolve_fast": resolve_fast, "q_resolve_titles": resolve_titles,
-    "q_open_handoff": open_handoff, "q_index_compact": index_compact, "q_greedy_compaction": greedy_compaction, "q_preferred_paper": preferred_paper, "q_page_hints": page_hints, "q_adapter_choice": adapter_choice,
+    "q_open_handoff": open_handoff, "q_index_compact": index_compact, "q_greedy_compaction": greedy_compaction, "q_preferred_paper": preferred_paper, "q_page_hints": page_hints, "q_cycle_plans": cycle_plans, "q_deterministic_rows": deterministic_rows, "q_router_fallbacks": router_fallbacks, "q_session_status": session_status, "q_adapter_choice": adapter_choice,
     "q_extraction": extraction, "q_report_lines": report_lines,
 }
 
 _PLAN_ROWS = ", ".join(f"('{t}', {i}, '{a}', '{b}', '{s}', '{n}')" for t, xs in PLANS.items() for i, (a, b, s, n) in enumerate(xs, 1))
-_TEMPLATES = rf"SELECT qid, {_TEMPLATE} AS template, trim(regexp_replace(prompt, '\s+', ' ', 'g'), ' ') AS seed FROM ({_SIGNALS})"
-_PLAN_SQL = f"SELECT qid, t.template, step, concat(pre, seed, post) AS query, scope, intent FROM ({_TEMPLATES}) t JOIN (VALUES {_PLAN_ROWS}) v(template, step, pre, post, scope, intent) ON t.template = v.template"
+_TEMPLATES = rf"SELECT s.qid, {_TEMPLATE} AS template, trim(regexp_replace(q.seed, '\s+', ' ', 'g'), ' ') AS seed FROM ({_SIGNALS}) s JOIN ({SCALAR_SQL['q_query_seed']}) q USING (qid)"
+_LATER = rf"""SELECT t.qid, CASE WHEN template = 'identifier_targeted' AND r.title <> '' THEN 'scholar_graph' ELSE template END AS template,
+  trim(regexp_replace(concat_ws(' ', seed, array_to_string(list_slice(string_split(trim(regexp_replace(r.title, '\s+', ' ', 'g'), ' '), ' '), 1, 6), ' ')), '\s+', ' ', 'g'), ' ') AS seed FROM ({_TEMPLATES}) t JOIN ({REQUESTS}) r USING (qid)"""
+_PLAN_SQL = f"SELECT qid, t.template, step, concat(pre, seed, post) AS query, scope, intent FROM ({_TEMPLATES}) t JOIN (VALUES {_PLAN_ROWS}) v(template, step, pre, post, scope, intent) ON t.template = v.template WHERE seed <> ''"
 _ORDER = "score DESC, (doi <> '')::INT DESC, (arxiv_id <> '')::INT DESC, length(title) DESC, first_ord"
 _RANKED = f"SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM (SELECT *, min(ord) OVER (PARTITION BY key) AS first_ord, row_number() OVER (PARTITION BY key ORDER BY score DESC, ord) AS rn FROM (SELECT *, {s_dedup()} AS key FROM ({CANDIDATES}))) WHERE rn = 1"
 _STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
@@ -247,6 +295,19 @@ SELECT q.qid, q.mode, CASE WHEN g.mode IS NULL THEN 'not_found' ELSE 'resolved'
 SQL = {
     "q_plan_items": f"SELECT qid, pos - 1 AS pos, trim(l[pos], ' ') AS query FROM (SELECT qid, CASE WHEN trim(prompt, ' ') = '' THEN ['research paper', 'arxiv'] ELSE [trim(prompt, ' '), concat(trim(prompt, ' '), ' research paper'), concat(trim(prompt, ' '), ' arxiv')] END AS l FROM ({PROMPTS})), (SELECT unnest([1, 2, 3]) AS pos) WHERE pos <= len(l)",
     "q_template_plans": _PLAN_SQL,
+    "q_cycle_plans": _PLAN_SQL.replace(_TEMPLATES, _LATER),
+    "q_router_fallbacks": f"""WITH t AS (SELECT qid, template, max((scope = 'web')::INT) AS w, max((scope = 'scholarly')::INT) AS s FROM ({_PLAN_SQL}) GROUP BY 1, 2),
+l AS (SELECT qid, CASE WHEN template IN ('conference_program_first', 'bibliography_index') AND w = 1 AND s = 1 THEN 'web_then_scholarly' WHEN s = 1 AND w = 0 THEN 'scholarly_only' WHEN w = 1 AND s = 0 THEN 'web_only' ELSE 'mixed' END AS l FROM t)
+SELECT qid, CASE WHEN qid % 2 <> 0 THEN l WHEN qid % 3 = 0 THEN concat(l, '_web_disabled') WHEN qid % 5 = 0 THEN concat(l, '_provider_unsupported') WHEN qid % 4 > 0 THEN 'scholarly_plus_web' ELSE 'scholarly_only_web_unavailable' END AS router FROM l""",
+    "q_seed_queries": f"""WITH b AS (SELECT id, {s_doi('doi')} AS d, {s_arxiv('arxiv_id')} AS a, trim(title, ' ') AS t, concat_ws(' ', title, url, abstract) AS body FROM ({CANDIDATES})),
+f AS (SELECT *, {_DOIS_IN.format(c='body')} AS dois, {_ARXIV_IN.format(c='body')} AS ids FROM b),
+s AS (SELECT id, list_concat(list_filter([CASE WHEN d <> '' THEN concat('doi:', d) END, CASE WHEN a <> '' THEN concat('arxiv:', a) END, CASE WHEN t <> '' THEN concat('title:', t) END], lambda x: x IS NOT NULL), list_transform(dois, lambda x: concat('doi:', x)), list_transform(ids, lambda x: concat('arxiv:', x))) AS l FROM f),
+u AS (SELECT id, {_first_seen('l')} AS l FROM s) SELECT id, pos - 1 AS pos, md5(l[pos]) AS seed_md5 FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS pos FROM u)""",
+    "q_page_hints": f"""WITH p AS (SELECT paper_id AS id, doc_id, {s_clean('text')} AS page FROM documents WHERE paper_id IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS n FROM p WHERE page <> ''),
+f AS (SELECT *, {_DOIS_IN.format(c='page')} AS dois, {_ARXIV_IN.format(c='page')} AS ids FROM n WHERE n <= 3),
+g AS (SELECT id, arg_min(dois[1], doc_id) FILTER (len(dois) > 0) AS d, arg_min(ids[1], doc_id) FILTER (len(ids) > 0) AS a, arg_min(page, doc_id) AS page, count(*) AS n FROM f GROUP BY 1)
+SELECT c.id, CASE WHEN {s_doi('doi')} <> '' THEN {s_doi('doi')} ELSE coalesce(g.d, '') END AS doi, CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN {s_arxiv('arxiv_id')} ELSE coalesce(g.a, '') END AS arxiv_id, md5({s_shorten('g.page', 600, '...')}) AS excerpt_md5, g.n AS n_pages
+FROM ({CANDIDATES}) c JOIN g ON c.id = g.id""",
     "q_deterministic_queries": f"""WITH s AS ({_SIGNALS}), x AS (SELECT qid, 'doi' AS kind, unnest(dois) AS value, 'fast' AS policy FROM s UNION ALL SELECT qid, 'arxiv_id', unnest(arxiv_ids), 'fast' FROM s)
 SELECT * FROM x UNION ALL SELECT qid, 'title', hint, 'consensus' FROM s WHERE hint <> '' AND len(dois) = 0 AND len(arxiv_ids) = 0""",
     "q_seed_budget": f"""WITH r AS ({_RANKED}), s AS (SELECT rank, 0 AS pos, concat('doi:', {s_doi('doi')}) AS seed FROM r WHERE rank <= 240 AND {s_doi('doi')} <> '' UNION ALL SELECT rank, 1, concat('arxiv:', {s_arxiv('arxiv_id')}) FROM r WHERE rank <= 240 AND {s_arxiv('arxiv_id')} <> ''
@@ -282,4 +343,8 @@ FROM (SELECT *, {s_title('title')} AS t FROM ({CANDIDATES}) WHERE title <> ''))
     "q_extraction": """WITH x AS (SELECT doc_id, list_slice(list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> ''), 1, 3) AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, field, concat('stub_', field) AS value, 's1' AS section_id, md5(substr(s[1], 1, 120)) AS quote_md5, CAST(len(s) AS BIGINT) AS n_sections, 'unverified' AS status FROM x, (VALUES ('method'), ('result')) f(field) WHERE len(s) > 0""",
     "q_report_lines": "SELECT coalesce(source, '') AS source, concat('- ', coalesce(source, ''), ': ', count(*), ' documents, ', CAST(sum(coalesce(n_chars, 0)) AS BIGINT), ' characters') AS line FROM documents GROUP BY 1",
+    "q_deterministic_rows": f"""SELECT qid, 'deterministic' AS source, paper_id AS source_id, title, CASE WHEN starts_with(paper_id, 'doi:') THEN substr(paper_id, 5) ELSE '' END AS doi, arxiv_id, 1.2::DOUBLE AS score, 'deterministic_resolved' AS reason FROM ({_resolve_sql(False).replace("coalesce(g.year, '') AS year", "coalesce(g.arxiv_id, '') AS arxiv_id")}) WHERE status = 'resolved'""",
 }
+SQL["q_session_status"] = f"""WITH l AS ({SQL["q_cycle_decisions"]}), e AS (SELECT user_id AS session, max(cycle) AS cycle, arg_max(move, cycle) AS move, arg_max(reason, cycle) AS reason FROM l GROUP BY 1)
+SELECT session, cycle, CASE WHEN move = 'stop' AND reason <> 'needs_user_feedback' OR session % 2 = 0 THEN 'completed' WHEN move = 'stop' THEN 'needs_input' ELSE 'running' END AS status,
+  CASE WHEN move = 'stop' AND reason <> 'needs_user_feedback' THEN reason WHEN session % 2 = 0 THEN 'user_finalized' WHEN move = 'stop' THEN reason ELSE '' END AS stop_reason FROM e"""

@@ -18,9 +18,9 @@ def test_same_rows_as_sql(spark, con, name):
     assert compare(spark, con, QUERIES[name], SQL[name], SF) is None
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if n.startswith("q_")))
-def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_is_checked():
+    """Those without SQL are worked out row by row in test_brute."""
+    assert {n for n in set(QUERIES) - set(SQL) if n.startswith("q_")} == {"q_raw_row_keys", "q_fuzzy_clusters", "q_greedy_compaction", "q_resolve_titles", "q_sessions"}
 
 
 def test_entry(spark):

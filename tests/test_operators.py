@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import records as R
 from folioforge.functions.canonical import canonical_arxiv, canonical_doi
-from folioforge.operators import dml, merge, resolve, similarity
+from folioforge.operators import dml, merge, resolve, session, similarity
 from folioforge.operators.components import connected_components, star_edges
 from folioforge.operators.session import run_sessions
 from folioforge.operators.skew import attach_unique, salted
@@ -210,3 +210,24 @@ def test_sessions_converge_and_resume(spark):
     assert end[2] == (1, "no_candidates") and end[1][1] in ("converged_candidate_set", "cycle_budget_reached")
     again = run_sessions(prompts, rows, max_cycles=4, ledger=ledger)
     assert again.count() == ledger.count()  # ended sessions are left alone
+
+
+def test_sessions_are_asked_answered_and_ended(spark):
+    ledger = spark.createDataFrame([(1, 1, "q", ["a"], "continue", "minimum_refinement_cycles_not_met"), (2, 1, "q", ["a"], "stop", "needs_user_feedback"), (3, 1, "q", [], "stop", "no_candidates")], session.LEDGER)
+    state = lambda x: {r.session: (r.status, r.stop_reason) for r in session.status(x).collect()}
+    assert state(ledger) == {1: ("running", ""), 2: ("needs_input", "needs_user_feedback"), 3: ("completed", "no_candidates")}
+    ended = session.finalized(ledger, ledger.select("session"))
+    assert state(ended) == {1: ("completed", "user_finalized"), 2: ("completed", "user_finalized"), 3: ("completed", "no_candidates")}
+    assert state(session.finalized(ended, ledger.select("session"))) == state(ended)
+    history = spark.createDataFrame([], "session long, answers map<string, string>, at string")
+    answer = spark.createDataFrame([(2, {"scope": "maps"}, "t1")], history.schema)
+    going, said = session.answered(ledger, history, answer)
+    assert state(going)[2][0] == "running" and said.count() == 1
+    started = spark.createDataFrame([(1, "maps")], "session long, prompt string")
+    session.check_prompts(started, started)
+    for wrong in (lambda: session.check_prompts(spark.createDataFrame([(1, "seas")], started.schema), started), lambda: session.answered(ledger, history, answer.withColumn("session", F.lit(9).cast("long")))):
+        try:
+            wrong()
+        except ValueError:
+            continue
+        raise AssertionError
