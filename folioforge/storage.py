@@ -101,6 +101,18 @@ _UNKNOWN = 1 << 60
 _SIZED = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of what a plan reads, as far as they are known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < _UNKNOWN)
+
+
+def parts_by_size(df: DataFrame, bytes_each: int) -> int:
+    """Partitions for work that is heavy by byte: as many as the inputs' size asks for, and two a core at least."""
+    return max(SHUFFLES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, min(input_bytes(df) // bytes_each, 100_000))
+
+
 @contextmanager
 def sized_shuffles(df: DataFrame) -> Iterator[None]:
     """Shuffles of ``df``, run inside, get partitions by the size of its inputs instead of a fixed number.
