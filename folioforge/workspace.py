@@ -62,7 +62,7 @@ class Steps:
 
         return keep
 
-    def run(self, name: str, **options):
+    def run(self, name: str, /, **options):
         if name not in self.known:
             raise ValueError(f"unknown step {name}; known are {', '.join(sorted(self.known))}")
         return self.known[name](**options)
