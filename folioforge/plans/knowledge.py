@@ -227,6 +227,9 @@ FROM ({CANDIDATES}) c LEFT JOIN (SELECT id AS who_id, count(*) AS n FROM ({_WHO}
 
 _Y = "CASE WHEN regexp_matches(trim(year, ' '), '^[0-9]+$') THEN CAST(CAST(trim(year, ' ') AS INT) AS VARCHAR) ELSE '' END"
 _ABS = "'https://arxiv.org/abs/' || " + s_arxiv("arxiv_id")
+# records hold bare identifiers, of which the keys are taken as of any others
+_RECORD_KEYS = f"""{s_doi('doi')} AS d, CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_alias('doi')} END AS a, {s_title('title')} AS t,
+  CASE WHEN regexp_matches(trim(year, ' '), '^[0-9]+$') THEN trim(year, ' ') ELSE '' END AS y, {s_title('venue')} AS v"""
 _NEW_KEYS = _KEYS.replace("CASE WHEN id <> '' THEN id END", "paper_id")
 
 SQL = {
@@ -263,11 +266,12 @@ l AS (SELECT paper_id, md5(string_agg(k, '|' ORDER BY k)) AS keys_md5 FROM k GRO
 SELECT coalesce(p.id, m.paper_id) AS paper_id, md5(CASE WHEN m.paper_id IS NOT NULL THEN m.title ELSE coalesce(p.title, '') END) AS title_md5, l.keys_md5, greatest(CASE WHEN p.id IS NOT NULL THEN 2 ELSE 0 END, coalesce(m.most, 0)) AS source_count,
   CASE WHEN m.paper_id IS NOT NULL THEN 'cache_first' ELSE 'fast' END AS policy, CASE WHEN p.id IS NOT NULL THEN 't0' ELSE 't1' END AS first_seen, CASE WHEN m.paper_id IS NOT NULL THEN 't1' ELSE 't0' END AS last_seen
 FROM papers p FULL OUTER JOIN m ON p.id = m.paper_id JOIN l ON l.paper_id = coalesce(p.id, m.paper_id)""",
-    "q_reconciled": f"""WITH p AS (SELECT ord, id, {s_doi('doi')} AS d, {s_arxiv('arxiv_id')} AS a0, CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_alias('doi')} END AS a, {s_title('title')} AS t, {_Y.replace('CAST(CAST(', '(').replace(' AS INT) AS VARCHAR)', ')')} AS y, {s_title('venue')} AS v FROM ({CANDIDATES})),
-q AS (SELECT qid, {s_doi('doi')} AS d, {s_arxiv('arxiv_id')} AS a0, CASE WHEN {s_arxiv('arxiv_id')} <> '' THEN {s_arxiv('arxiv_id')} ELSE {s_alias('doi')} END AS a, {s_title('title')} AS t, {_Y.replace('CAST(CAST(', '(').replace(' AS INT) AS VARCHAR)', ')')} AS y, {s_title('venue')} AS v, {s_paper_id(s_doi('doi'), s_arxiv('arxiv_id'), 'title', 'year')} AS own FROM ({REQUESTS})),
+    "q_reconciled": f"""WITH p0 AS (SELECT ord, id, {s_doi('doi')} AS doi, {s_arxiv('arxiv_id')} AS arxiv_id, title, year, venue FROM ({CANDIDATES})),
+q0 AS (SELECT qid, {s_doi('doi')} AS doi, {s_arxiv('arxiv_id')} AS arxiv_id, title, year, venue, {s_paper_id(s_doi('doi'), s_arxiv('arxiv_id'), 'title', 'year')} AS own FROM ({REQUESTS})),
+p AS (SELECT *, {_RECORD_KEYS} FROM p0), q AS (SELECT *, {_RECORD_KEYS} FROM q0),
 m AS (SELECT qid, min(ord) AS ord FROM (SELECT qid, ord FROM q JOIN p ON q.d = p.d WHERE q.d <> '' UNION ALL SELECT qid, ord FROM q JOIN p ON q.a = p.a WHERE q.a <> ''
   UNION ALL SELECT qid, ord FROM q JOIN p ON q.t = p.t AND q.y = p.y WHERE q.t <> '' AND q.y <> '' AND (q.v = '' OR p.v = '' OR q.v = p.v)) GROUP BY 1)
-SELECT q.qid, coalesce(p.id, q.own) AS paper_id, CASE WHEN q.d <> '' THEN q.d ELSE coalesce(p.d, '') END AS doi, CASE WHEN q.a0 <> '' THEN q.a0 ELSE coalesce(p.a0, '') END AS arxiv_id FROM q LEFT JOIN m USING (qid) LEFT JOIN p USING (ord)""",
+SELECT q.qid, coalesce(p.id, q.own) AS paper_id, CASE WHEN q.doi <> '' THEN q.doi ELSE coalesce(p.doi, '') END AS doi, CASE WHEN q.arxiv_id <> '' THEN q.arxiv_id ELSE coalesce(p.arxiv_id, '') END AS arxiv_id FROM q LEFT JOIN m USING (qid) LEFT JOIN p USING (ord)""",
     "q_delete_papers": """WITH g AS (SELECT id FROM papers WHERE coalesce(title, '') = '')
 SELECT 'papers' AS relation, id, count(*) AS n FROM papers WHERE id NOT IN (SELECT id FROM g) GROUP BY 2
 UNION ALL SELECT 'bylines', paper_id, count(*) FROM paper_authors WHERE paper_id NOT IN (SELECT id FROM g) GROUP BY 2
