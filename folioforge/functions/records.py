@@ -297,6 +297,11 @@ def fit_score(prompt: Column, overlap: Column, identified: Column) -> Column:
     return F.least(F.lit(1.0), base + F.when(identified, 0.15).otherwise(0.0))
 
 
+def fit_verdict(score: Column, verified: Column, threshold: float = 0.12) -> Column:
+    """'keep' from the threshold on; where a prompt has no ``verified`` candidate at all, 'keep_raw_fit' from three quarters of it (0.06 at least)."""
+    return F.when(score >= threshold, "keep").when(~verified & (score >= max(0.06, 0.75 * threshold)), "keep_raw_fit").otherwise("ignore")
+
+
 def is_complete(title: Column, doi: Column, arxiv_id: Column, year: Column, venue: Column, abstract: Column, terms: Column, authors: Column) -> Column:
     """Whether a record may be kept without asking further sources."""
     full = lambda c: F.trim(text(c)) != ""

@@ -124,29 +124,60 @@ def resolve_titles(titles: DataFrame, rows: DataFrame, delta: float = 0.05, shar
     return titles.select("qid").join(top, "qid", "left").select("qid", F.when(c("ord").isNull(), "not_found").otherwise(status).alias("status"), c("ord").alias("best"), F.round("total", 6).alias("total"))
 
 
+ENTRY = "ord long, paper_id string, keys array<string>, n_merged long, source_count long, trace array<string>, first_seen string, last_seen string, policy string, removed array<string>"
+_PAPER = ("paper_id", "arxiv_id", "doi", "abstract_chars", "author_count")
+
+
+def _preferred(old: dict, new: dict, asked: set[str]) -> dict:
+    """The one whose arXiv id was asked for, then the one with an arXiv id, a DOI, a longer abstract, more authors; else the old one."""
+    known = asked and (old["arxiv_id"] in asked) - (new["arxiv_id"] in asked)
+    if known:
+        return old if known > 0 else new
+    score = lambda p: (bool(p["arxiv_id"]), bool(p["doi"]), p["abstract_chars"], p["author_count"])
+    return old if score(old) >= score(new) else new
+
+
 def compact_entries(entries: DataFrame) -> DataFrame:
-    """Greedy compaction: an entry joins the first earlier entry that shares a key with it.
+    """Greedy compaction: an entry joins the first earlier entry that shares a key with it; see ENTRY for what is left.
 
-    ``entries`` has ord, keys, source_count, component; entries of different components share no
-    key, so each component is worked through in order on its own.
+    ``entries`` has component, ord, keys, source_count and, where they are known, paper_id, arxiv_id, doi (bare),
+    abstract_chars, author_count, trace, first_seen, last_seen, policy.  Entries of different components share no
+    key, so each component is worked through in order on its own.  The paper kept is the preferred one;
+    ``removed`` names the others.
     """
+    none = {"abstract_chars": F.lit(0), "author_count": F.lit(0), "trace": F.array().cast("array<string>")}
+    full = entries.select("component", "ord", "keys", "source_count", *[(c(x) if x in entries.columns else none.get(x, F.lit(""))).alias(x) for x in (*_PAPER, "trace", "first_seen", "last_seen", "policy")])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord")
         kept: list[dict] = []
         at: dict[str, int] = {}
-        for o, keys, n in zip(group["ord"], group["keys"], group["source_count"]):
+        for e in group.to_dict("records"):
+            keys, paper = set(e["keys"]), {x: e[x] for x in _PAPER}
             hits = [at[k] for k in keys if k in at]
             if hits:
                 i = min(hits)
-                kept[i]["n_merged"] += 1
-                kept[i]["source_count"] = max(kept[i]["source_count"], n)
+                k = kept[i]
+                asked = {x[6:] for x in keys | k["keys"] if x.startswith("arxiv:") and x[6:]}
+                chosen = _preferred(k["paper"], paper, asked)
+                dropped = (paper if chosen is k["paper"] else k["paper"])["paper_id"]
+                if dropped and dropped != chosen["paper_id"] and dropped not in k["removed"]:
+                    k["removed"].append(dropped)
+                k["paper"] = chosen
+                k["n_merged"] += 1
+                k["source_count"] = max(k["source_count"], e["source_count"])
+                k["trace"] += [x for x in e["trace"] if x not in k["trace"]]
+                k["first_seen"] = min(k["first_seen"], e["first_seen"]) or k["first_seen"] or e["first_seen"]
+                k["last_seen"] = max(k["last_seen"], e["last_seen"])
+                k["policy"] = e["policy"] or k["policy"]
             else:
                 i = len(kept)
-                kept.append({"ord": o, "n_merged": 1, "source_count": n, "keys": set()})
+                kept.append({"ord": e["ord"], "paper": paper, "keys": set(), "n_merged": 1, "removed": [], "trace": list(dict.fromkeys(e["trace"])), **{x: e[x] for x in ("source_count", "first_seen", "last_seen", "policy")}})
             for k in keys:
                 at[k] = min(at.get(k, i), i)
-                kept[i]["keys"].add(k)
-        return pd.DataFrame([{"ord": x["ord"], "n_merged": x["n_merged"], "source_count": x["source_count"], "n_keys": len(x["keys"])} for x in kept])
+            kept[i]["keys"] |= keys
+        names = [x.split()[0] for x in ENTRY.split(", ")]
+        rows = [x | {"paper_id": x["paper"]["paper_id"], "keys": sorted(x["keys"])} for x in kept]
+        return pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
 
-    return entries.groupBy("component").applyInPandas(run, "ord long, n_merged long, source_count long, n_keys long")
+    return full.groupBy("component").applyInPandas(run, ENTRY)

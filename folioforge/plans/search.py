@@ -115,7 +115,7 @@ def seed_budget(spark, d):
 
 
 def fit_scores(spark, d):
-    """How well candidates fit the prompts whose title they share; kept from 0.12 on."""
+    """How well candidates fit the prompts whose title they share; each prompt has one, so those that just miss are kept as raw fits."""
     q = requests(spark, d).select("qid", R.title_words(c("title")).alias("t"), c("title").alias("asked")).where("t != ''")
     best = candidates(spark, d).withColumn("t", R.title_words(c("title"))).groupBy("t").agg(F.min_by(F.struct("id", "title", "abstract", "venue", "keywords", "categories", "doi", "arxiv_id"), "ord").alias("r"))
     x = q.join(best, "t").select("qid", "asked", "r.*")
@@ -123,7 +123,7 @@ def fit_scores(spark, d):
     x = x.withColumn("overlap", R.fit_overlap(c("asked"), target))
     score = R.fit_score(c("asked"), c("overlap"), R.has(c("doi")) | R.has(c("arxiv_id")))
     reason = F.when(F.size("overlap") > 0, F.concat(F.lit("overlap="), F.array_join(F.slice("overlap", 1, 6), ","))).otherwise("no_token_overlap")
-    return x.select("qid", "id", F.round(score, 6).alias("fit"), reason.alias("reason"), F.when(score >= 0.12, "keep").otherwise("ignore").alias("verdict"))
+    return x.select("qid", "id", F.round(score, 6).alias("fit"), reason.alias("reason"), R.fit_verdict(score, F.lit(False)).alias("verdict"))
 
 
 def next_searches(spark, d):
@@ -192,19 +192,30 @@ def index_compact(spark, d):
     return p.select("id", F.md5(R.shorten(F.trim("abstract"), 1200)).alias("abstract_md5"), n.alias("author_count"), R.text(c("authors")).alias("authors"), F.greatest(F.lit(0), n - 12).cast("long").alias("truncated"))
 
 
+def _author_counts(spark, d):
+    return table(spark, d, "paper_authors").groupBy(c("paper_id").alias("id")).agg(F.countDistinct("author_id").alias("n_authors"))
+
+
 def greedy_compaction(spark, d):
-    """Index entries merged into the first earlier one that shares a key."""
-    p = candidates(spark, d)
-    e = p.select("ord", R.paper_keys(F.lit(""), c("doi"), c("arxiv_id"), F.lit("")).alias("keys"), F.lit(1).cast("long").alias("source_count")).where(F.size("keys") > 0)
+    """Index entries merged into the first earlier one that shares a key: DOI, arXiv id, their aliases, or title."""
+    p = candidates(spark, d).join(_author_counts(spark, d), "id", "left")
+    e = p.select(
+        "ord", R.paper_keys(F.lit(""), c("doi"), c("arxiv_id"), c("title")).alias("keys"), F.lit(1).cast("long").alias("source_count"), c("id").alias("paper_id"), R.bare_arxiv(c("arxiv_id")).alias("arxiv_id"), R.bare_doi(c("doi")).alias("doi"),
+        F.length("abstract").alias("abstract_chars"), F.coalesce("n_authors", F.lit(0)).cast("int").alias("author_count"), F.array(c("source")).alias("trace"), F.lpad(c("ord").cast("string"), 12, "0").alias("first_seen"), F.lpad(c("ord").cast("string"), 12, "0").alias("last_seen"), F.lit("fast").alias("policy"),
+    ).where(F.size("keys") > 0)
     comp = connected_components(star_edges(e.select("ord", F.explode("keys").alias("k")), "k", "ord"))
     e = e.join(comp.withColumnRenamed("node", "ord"), "ord", "left").withColumn("component", F.coalesce("component", "ord"))
-    return S.compact_entries(e)
+    out = S.compact_entries(e)
+    return out.select("ord", "paper_id", "n_merged", F.size("keys").cast("long").alias("n_keys"), F.array_join("trace", "|").alias("trace"), "first_seen", "last_seen", F.array_join("removed", "|").alias("removed"))
 
 
 def preferred_paper(spark, d):
-    """Of the two latest rows of a title: the one to keep (arXiv id, DOI, longer abstract; the earlier of equals)."""
-    p = candidates(spark, d).where("title != ''").withColumn("t", R.title_words(c("title")))
-    order = F.struct((R.bare_arxiv(c("arxiv_id")) != "").cast("int"), (R.bare_doi(c("doi")) != "").cast("int"), F.length("abstract"), -c("ord"))
+    """Of the rows of a title the one to keep: that whose arXiv id a request of the title asks for, then by arXiv id, DOI, longer abstract, more authors; the earlier of equals."""
+    p = candidates(spark, d).where("title != ''").withColumn("t", R.title_words(c("title"))).join(_author_counts(spark, d), "id", "left")
+    q = requests(spark, d).select(R.title_words(c("title")).alias("t"), R.bare_arxiv(c("arxiv_id")).alias("a")).where("a != ''").groupBy("t").agg(F.collect_set("a").alias("asked"))
+    p = p.join(q, "t", "left").withColumn("a", R.bare_arxiv(c("arxiv_id")))
+    match = F.coalesce(F.array_contains("asked", c("a")), F.lit(False)).cast("int")
+    order = F.struct(match, (c("a") != "").cast("int"), (R.bare_doi(c("doi")) != "").cast("int"), F.length("abstract"), F.coalesce("n_authors", F.lit(0)), -c("ord"))
     return p.groupBy("t").agg(F.max_by("id", order).alias("preferred"), F.count(F.lit(1)).alias("n"))
 
 
@@ -318,7 +329,7 @@ p AS (SELECT * FROM (SELECT *, {s_title('title')} AS t, row_number() OVER (PARTI
 x AS (SELECT q.qid, p.id, p.doi, p.arxiv_id, list_filter({_tok('q.asked')}, lambda w: NOT list_contains({_STOP}, w)) AS pt, {_tok("concat_ws(' ', p.title, p.abstract, p.venue, array_to_string(p.keywords, ' '), array_to_string(p.categories, ' '))")} AS tt FROM q JOIN p ON q.t = p.t),
 o AS (SELECT *, list_sort(list_filter(pt, lambda w: list_contains(tt, w))) AS ov FROM x),
 f AS (SELECT *, least(1.0, CASE WHEN len(pt) > 0 THEN len(ov) / len(pt)::DOUBLE ELSE 0.0 END + CASE WHEN doi <> '' OR arxiv_id <> '' THEN 0.15 ELSE 0 END) AS s FROM o)
-SELECT qid, id, round(s, 6) AS fit, CASE WHEN len(ov) > 0 THEN concat('overlap=', array_to_string(list_slice(ov, 1, 6), ',')) ELSE 'no_token_overlap' END AS reason, CASE WHEN s >= 0.12 THEN 'keep' ELSE 'ignore' END AS verdict FROM f""",
+SELECT qid, id, round(s, 6) AS fit, CASE WHEN len(ov) > 0 THEN concat('overlap=', array_to_string(list_slice(ov, 1, 6), ',')) ELSE 'no_token_overlap' END AS reason, CASE WHEN s >= 0.12 THEN 'keep' WHEN s >= 0.09 THEN 'keep_raw_fit' ELSE 'ignore' END AS verdict FROM f""",
     "q_next_searches": f"""WITH s AS (SELECT {s_title('venue')} AS query, count(*) AS n_rows, CAST(sum(({s_doi('doi')} <> '')::INT + ({s_arxiv('arxiv_id')} <> '')::INT) AS BIGINT) AS n_ids, max((trim(title, ' ') <> '')::INT) AS titled FROM ({CANDIDATES}) GROUP BY 1)
 SELECT query, n_rows, n_ids, CASE WHEN NOT (n_ids > 0 OR titled > 0) THEN 'tune' WHEN n_ids >= 3 THEN 'deepen' WHEN n_rows >= 5 THEN 'expand' ELSE 'stop' END AS move,
   trim(CASE WHEN NOT (n_ids > 0 OR titled > 0) THEN concat(query, ' paper DOI arXiv') WHEN n_ids >= 3 THEN concat(query, ' related work') WHEN n_rows >= 5 THEN concat(query, ' recent') ELSE '' END, ' ') AS next_query FROM s""",
@@ -337,8 +348,10 @@ SELECT source, rank, CASE WHEN lower(trim(doi, ' ')) <> '' THEN concat('doi:', l
     "q_index_compact": f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY position, author_id) AS n FROM (SELECT paper_id, author_id, min(coalesce(position, 1000000000)) AS position FROM paper_authors GROUP BY 1, 2)),
 s AS (SELECT paper_id, count(*) AS k, string_agg(author_id, ',' ORDER BY n) FILTER (n <= 12) AS authors FROM a GROUP BY 1)
 SELECT c.id, md5({s_shorten("trim(abstract, ' ')", 1200, '…')}) AS abstract_md5, coalesce(s.k, 0) AS author_count, coalesce(s.authors, '') AS authors, greatest(0, coalesce(s.k, 0) - 12) AS truncated FROM ({CANDIDATES}) c LEFT JOIN s ON c.id = s.paper_id""",
-    "q_preferred_paper": f"""SELECT t, id AS preferred, n FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n, row_number() OVER (PARTITION BY t ORDER BY ({s_arxiv('arxiv_id')} <> '')::INT DESC, ({s_doi('doi')} <> '')::INT DESC, length(abstract) DESC, ord) AS rn
-FROM (SELECT *, {s_title('title')} AS t FROM ({CANDIDATES}) WHERE title <> '')) WHERE rn = 1""",
+    "q_preferred_paper": f"""WITH q AS (SELECT DISTINCT {s_title('title')} AS t, {s_arxiv('arxiv_id')} AS a FROM ({REQUESTS}) WHERE {s_arxiv('arxiv_id')} <> ''), n AS (SELECT paper_id, count(DISTINCT author_id) AS k FROM paper_authors GROUP BY 1),
+p AS (SELECT c.*, {s_title('title')} AS t, {s_arxiv('arxiv_id')} AS a, coalesce(n.k, 0) AS k FROM ({CANDIDATES}) c LEFT JOIN n ON c.id = n.paper_id WHERE title <> '')
+SELECT t, id AS preferred, n FROM (SELECT p.*, count(*) OVER (PARTITION BY p.t) AS n, row_number() OVER (PARTITION BY p.t ORDER BY (q.a IS NOT NULL)::INT DESC, (p.a <> '')::INT DESC, ({s_doi('doi')} <> '')::INT DESC, length(abstract) DESC, k DESC, ord) AS rn
+FROM p LEFT JOIN q ON p.t = q.t AND p.a = q.a) WHERE rn = 1""",
     "q_adapter_choice": "WITH s AS (SELECT source, row_number() OVER (ORDER BY CASE source WHEN 'openindex' THEN 1 WHEN 'scholargraph' THEN 2 WHEN 'preprints' THEN 3 WHEN 'xref' THEN 4 ELSE 10 END, source) AS place FROM (SELECT DISTINCT source FROM papers)) SELECT template, source FROM s JOIN (VALUES ('conference_program_first', 1), ('bibliography_index', 1), ('scholar_graph', 2), ('mixed_theme', 2)) v(template, most) ON place <= most",
     "q_extraction": """WITH x AS (SELECT doc_id, list_slice(list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> ''), 1, 3) AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, field, concat('stub_', field) AS value, 's1' AS section_id, md5(substr(s[1], 1, 120)) AS quote_md5, CAST(len(s) AS BIGINT) AS n_sections, 'unverified' AS status FROM x, (VALUES ('method'), ('result')) f(field) WHERE len(s) > 0""",

@@ -1,9 +1,10 @@
 """A paged JSON source as a Python data source: ``spark.read.format("paged_json")``.
 
 Options are what a connector's search takes: ``theme`` (words that the title
-must contain), ``year_min``, ``year_max``, ``limit`` (a page file each), and
+must contain), ``year_min``, ``year_max``, ``venues`` (separated by bars; rows without a venue
+pass), ``limit`` (rows of the whole scan, in order of the page files), and
 ``attempts``, ``base_s``, ``max_s`` of the retry policy.  A partition is a page
-file; filters are applied while reading.
+file, or all of them where there is a limit; options and pushed-down equalities are applied while reading.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 SCHEMA = "source string, source_id string, title string, venue string, year string, doi string, arxiv_id string, url string"
 _FIELDS = ("source", "source_id", "title", "venue", "year", "doi", "arxiv_id", "url")
@@ -39,8 +40,8 @@ def with_retries(call: Callable, attempts: int = 1, base_s: float = 0.2, max_s:
 
 
 class Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, *paths: str):
+        self.paths = paths
 
 
 class PagedJson(DataSource):
@@ -58,24 +59,42 @@ class PagedJson(DataSource):
 class PageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
+        self.equal: dict[str, set[str]] = {}
+
+    def pushFilters(self, filters: list) -> Iterator:
+        """Equalities of a column with one or some texts are taken over; the others are given back."""
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else ""
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if name in _FIELDS and wanted is not None and all(isinstance(x, str) for x in wanted):
+                self.equal[name] = self.equal.get(name, wanted) & wanted
+            else:
+                yield f
 
     def partitions(self) -> list[Page]:
-        return [Page(str(p)) for p in sorted(Path(self.options["path"]).glob("*.json"))]
+        paths = sorted(str(p) for p in Path(self.options["path"]).glob("*.json"))
+        return [Page(*paths)] if "limit" in self.options else [Page(p) for p in paths]
 
     def read(self, page: Page) -> Iterator[tuple]:
         o = self.options
-        text = with_retries(lambda: Path(page.path).read_text(), int(o.get("attempts", 1)), float(o.get("base_s", 0.2)), float(o.get("max_s", 2.0)))
-        low, high, left = int(o.get("year_min", 0)), int(o.get("year_max", 9999)), int(o.get("limit", 1 << 31))
-        words = o.get("theme", "").lower().split()
-        for row in json.loads(text).get("results", []):
-            if left <= 0:
-                return
-            year = str(row.get("year") or "")
-            if year.isdigit() and not low <= int(year) <= high or not all(w in str(row.get("title") or "").lower() for w in words):
-                continue
-            left -= 1
-            yield tuple(str(row.get(k) or "").strip() for k in _FIELDS)
+        retry = int(o.get("attempts", 1)), float(o.get("base_s", 0.2)), float(o.get("max_s", 2.0))
+        low, high, left = int(o.get("year_min", 0)), int(o.get("year_max", 9999)), int(o.get("limit", 1 << 62))
+        words, venues = o.get("theme", "").lower().split(), [v.strip().lower() for v in o.get("venues", "").split("|") if v.strip()]
+        for path in page.paths:
+            for row in json.loads(with_retries(Path(path).read_text, *retry)).get("results", []):
+                cells = {k: str(row.get(k) or "").strip() for k in _FIELDS}
+                year, venue = cells["year"], cells["venue"].lower()
+                if year.isdigit() and not low <= int(year) <= high or not all(w in cells["title"].lower() for w in words):
+                    continue
+                if venues and venue and venue not in venues or any(cells[k] not in v for k, v in self.equal.items()):
+                    continue
+                if left <= 0:
+                    return
+                left -= 1
+                yield tuple(cells[k] for k in _FIELDS)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to the session, and let filters of queries reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedJson)

@@ -58,16 +58,29 @@ def test_fuzzy_clusters(spark, asked):
 
 def test_greedy_compaction(spark):
     c = F.col
-    rows = candidates(spark, SF).select("ord", R.paper_keys(F.lit(""), c("doi"), c("arxiv_id"), F.lit("")).alias("keys")).where(F.size("keys") > 0).orderBy("ord").collect()
+    n = {}
+    for r in spark.read.parquet(f"{SF}/paper_authors.parquet").collect():
+        n.setdefault(r.paper_id, set()).add(r.author_id)
+    p = candidates(spark, SF).select("*", R.paper_keys(F.lit(""), c("doi"), c("arxiv_id"), c("title")).alias("keys"), R.bare_doi(c("doi")).alias("d"), R.bare_arxiv(c("arxiv_id")).alias("a"))
     kept = []
-    for r in rows:
-        first = next((k for k in kept if k["keys"] & set(r["keys"])), None)
-        if first is None:
-            kept.append({"ord": r.ord, "keys": set(r["keys"]), "n": 1})
-        else:
-            first["keys"] |= set(r["keys"])
-            first["n"] += 1
-    assert {(r.ord, r.n_merged, r.n_keys) for r in QUERIES["q_greedy_compaction"](spark, SF).collect()} == {(k["ord"], k["n"], len(k["keys"])) for k in kept}
+    for r in p.where(F.size("keys") > 0).orderBy("ord").collect():
+        keys = set(r["keys"])
+        score = (bool(r.a), bool(r.d), len(r.abstract), len(n.get(r.id, ())))
+        k = next((k for k in kept if k["keys"] & keys), None)
+        if k is None:
+            kept.append({"ord": r.ord, "keys": keys, "n": 1, "id": r.id, "a": r.a, "score": score, "removed": [], "trace": [r.source], "last": r.ord})
+            continue
+        asked = {x[6:] for x in keys | k["keys"] if x.startswith("arxiv:")}
+        new = score > k["score"] if (r.a in asked) == (k["a"] in asked) else r.a in asked
+        k["removed"].append(k["id"] if new else r.id)
+        if new:
+            k.update(id=r.id, a=r.a, score=score)
+        k["keys"] |= keys
+        k["n"] += 1
+        k["last"] = r.ord
+        k["trace"] += [r.source] if r.source not in k["trace"] else []
+    got = {(r.ord, r.paper_id, r.n_merged, r.n_keys, r.trace, int(r.last_seen), r.removed) for r in QUERIES["q_greedy_compaction"](spark, SF).collect()}
+    assert got == {(k["ord"], k["id"], k["n"], len(k["keys"]), "|".join(k["trace"]), k["last"], "|".join(k["removed"])) for k in kept}
 
 
 def test_titles_are_resolved_as_by_hand(spark):

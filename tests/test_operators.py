@@ -131,7 +131,7 @@ def test_changes(spark):
 
 def test_compaction_is_greedy(spark):
     e = spark.createDataFrame([(1, ["a"], 1, 0), (2, ["b"], 5, 0), (3, ["a", "b"], 2, 0)], "ord long, keys array<string>, source_count long, component long")
-    assert sorted(map(tuple, resolve.compact_entries(e).collect())) == [(1, 2, 2, 2), (2, 1, 5, 1)]
+    assert sorted((r.ord, r.n_merged, r.source_count, len(r["keys"])) for r in resolve.compact_entries(e).collect()) == [(1, 2, 2, 2), (2, 1, 5, 1)]
 
 
 def test_title_resolution(spark):
@@ -153,6 +153,10 @@ def test_paged_source_and_retries(spark, tmp_path):
     datasource.register(spark)
     rows = spark.read.format("paged_json").option("path", str(tmp_path)).option("theme", "map").option("year_min", 2000).load().collect()
     assert [(r.title, r.year, r.doi) for r in rows] == [("Map scans", "2020", "")]
+    (tmp_path / "p2.json").write_text('{"results": [{"source": "t", "title": "Map scans two", "venue": "V"}, {"source": "t", "title": "Map scans three", "venue": "W"}]}')
+    read = spark.read.format("paged_json").option("path", str(tmp_path))
+    assert [r.title for r in read.option("venues", "v|u").option("limit", 3).load().collect()] == ["Map scans", "Map scans", "Other"]
+    assert [r.title for r in spark.read.format("paged_json").option("path", str(tmp_path)).load().where("source = 't' and venue in ('W', 'X') and length(title) > 3").collect()] == ["Map scans three"]
     tried, slept = [], []
 
     def call():
