@@ -5,9 +5,9 @@ form a graph.  Random walks over it train skip-gram vectors of the tokens; a
 record's vector is the weighted sum of its title tokens' vectors.  Random
 hyperplanes turn vectors into bits; several tables of some of the bits block
 the records (the nearest other buckets are probed as well), and all bits
-together tell near pairs from far ones.  What is left is compared word by word,
-and the cosine of the pair is calibrated into a confidence by pairs that also
-share or contradict an identifier.
+together tell near pairs from far ones.  What is left is compared word by word and
+reranked by the exact cosine, which is calibrated into a confidence by pairs that also
+share or contradict an identifier; pairs under LEAST_CONFIDENCE are left out.
 
 The graph walked is that of a bounded sample of records (SAMPLE_RECORDS), which
 only places token vectors; tokens outside it keep the vectors they started
@@ -75,8 +75,8 @@ SITE_SHARE = 0.001
 CALIBRATION_PAIRS = 20_000
 #: Fits that cost so little more than the best one are as good.
 CLEAR = 0.15
-#: Confidence of pairs that share an identifier, at least.
-BY_IDENTIFIER = 0.99
+#: Confidence of pairs that share an identifier, at least; and that from which pairs come out.
+BY_IDENTIFIER, LEAST_CONFIDENCE = 0.99, 0.25
 
 _CITED = re.compile(r"^\W*(?:[^\W\d_][\w'’-]*,? (?:[A-Z]\.?[ -]?)+,? (?:et al\.?|and [^()]{2,60}|&[^()]{2,60})?\s*)\((?:19|20)\d\d[a-z]?\)[.:,]?\s+")
 _LEAD = re.compile(r"^\W*\[(?:pdf|html|doc|book|preprint|abstract)\]\s*", re.I)
@@ -255,12 +255,22 @@ class Hasher:
         self.centre = np.zeros(DIM, dtype=np.float32) if centre is None else centre
         self.common = np.zeros((DIM, 0), dtype=np.float32) if common is None else common
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """Distances of the titles' vectors from the planes, without what all titles have in common."""
+    def own_vectors(self, texts: list[str]) -> np.ndarray:
+        """Unit vectors of the titles without what all titles have in common."""
         out = self.vectors(texts) - self.centre
         out -= (out @ self.common) @ self.common.T
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.maximum(norm, 1e-9)) @ self.planes
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """Distances of the titles' vectors from the planes."""
+        return self.own_vectors(texts) @ self.planes
+
+    def cosines(self, ours: list[str], theirs: list[str], cut: list[bool]) -> np.ndarray:
+        """Exact cosine of each pair; a title cut short is held against as many letters of the other."""
+        if not ours:
+            return np.zeros(0)
+        begun = [x.replace(" ", "")[: len(y.replace(" ", ""))] if c else x for x, y, c in zip(ours, theirs, cut)]
+        return (self.own_vectors(begun) * self.own_vectors(theirs)).sum(1).astype(float)
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         flat, sizes = gram_batch(texts)
@@ -454,23 +464,26 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = theirs.unionByName(lone, allowMissingColumns=True).withColumnRenamed("title", "q")
     n_titles = titles.count()
     ordinary = _ordinary(titles.select("norm"), n_titles)
-    near_pairs = scratch.save(candidate_pairs(ours.select(F.col("title").alias("num"), "norm"), asked, spark.sparkContext.broadcast(_fit(p, d, titles, n_titles))), "near")
+    fitted = spark.sparkContext.broadcast(_fit(p, d, titles, n_titles))
+    near_pairs = scratch.save(candidate_pairs(ours.select(F.col("title").alias("num"), "norm"), asked, fitted), "near")
 
     words = spark.sparkContext.broadcast(ordinary)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = Hasher(*fitted.value)
         for b in batches:
             cost = np.array([penalty(x, y, c, words.value) for x, y, c in zip(b["norm_p"], b["norm_d"], b["cut"])])
-            yield b[["rep_p", "ident", "q", "own", "far"]].assign(cost=cost)[np.isfinite(cost)]
+            fit = b[np.isfinite(cost)]
+            yield fit[["rep_p", "ident", "q", "own"]].assign(cost=cost[np.isfinite(cost)], cosine=h.cosines(fit["norm_p"].tolist(), fit["norm_d"].tolist(), fit["cut"].tolist()))
 
     near_years = F.col("own").isNull() | F.coalesce((F.col("first_p") <= F.col("last") + 1) & (F.col("first") <= F.col("last_p") + 1), F.lit(True))
     with_text = (
         near_pairs.join(ours.select(F.col("title").alias("num"), F.col("rep").alias("rep_p"), "ident", F.col("norm").alias("norm_p"), F.col("kind").alias("kind_p"), F.col("first").alias("first_p"), F.col("last").alias("last_p")), "num")
         .join(asked.select("q", F.col("norm").alias("norm_d"), "kind", "cut", "first", "last", "own"), "q")
         .where(((F.col("kind") == F.col("kind_p")) | F.col("cut")) & near_years & (F.col("own").isNull() | (F.col("own") != F.col("rep_p"))))
-        .select("rep_p", "ident", "q", "own", "far", "norm_p", "norm_d", "cut")
+        .select("rep_p", "ident", "q", "own", "norm_p", "norm_d", "cut")
     )
-    fits = scratch.save(with_text.mapInPandas(compare, "rep_p string, ident string, q long, own string, far int, cost double"), "fits")
+    fits = scratch.save(with_text.mapInPandas(compare, "rep_p string, ident string, q long, own string, cost double, cosine double"), "fits")
 
     # works: rows of one title of its own, or linked by identifiers, earlier matches or a clear fit of a title without identifiers
     titled = p.select("id", "title").join(ours.select("title", "rep"), "title").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
@@ -483,27 +496,27 @@ def matched(papers: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     works = scratch.save(p.select("id", "doi", "arxiv").join(work, p["id"] == work["node"], "left").select("id", "doi", "arxiv", F.coalesce("component", "id").alias("work")), "rows")
 
     # the best fitting work of each found title; equal fits that aren't exact are none
-    exact = titles.where("found and rep is not null").select(F.col("title").alias("q"), F.col("rep").alias("rep_p"), F.lit(0).alias("far"), F.lit(0.0).alias("cost"))
-    of_found = fits.where("own is null").select("q", "rep_p", "far", "cost").unionByName(exact)
+    exact = titles.where("found and rep is not null").select(F.col("title").alias("q"), F.col("rep").alias("rep_p"), F.lit(0.0).alias("cost"), F.lit(1.0).alias("cosine"))
+    of_found = fits.where("own is null").select("q", "rep_p", "cost", "cosine").unionByName(exact)
     best = _clear(of_found.join(works.select(F.col("id").alias("rep_p"), "work"), "rep_p"), ["q"], "work", "work")
-    by_title = d.select("row_id", F.col("title").alias("q")).join(best.select("q", F.col("of").alias("work"), "far"), "q").select("row_id", "work", "far")
+    by_title = d.select("row_id", F.col("title").alias("q")).join(best.select("q", F.col("of").alias("work"), "cosine"), "q").select("row_id", "work", "cosine")
     # identifiers say it without a title; found rows of a further part keep to theirs
     ids_p = keys_of_canonical(works, "work").groupBy("key").agg(F.min("work").alias("work"))
-    by_id = keys_of_canonical(d, "row_id").join(ids_p, "key").select("row_id", "work", F.lit(None).cast("int").alias("far"))
-    links = scratch.save(by_title.unionByName(by_id).groupBy("row_id", "work").agg(F.min("far").alias("far"), F.max(F.col("far").isNull()).alias("by_id")), "links")
+    by_id = keys_of_canonical(d, "row_id").join(ids_p, "key").select("row_id", "work", F.lit(None).cast("double").alias("cosine"))
+    links = scratch.save(by_title.unionByName(by_id).groupBy("row_id", "work").agg(F.max("cosine").alias("cosine"), F.max(F.col("cosine").isNull()).alias("by_id")), "links")
     w = _calibration(near_pairs, fits, p, d)
-    cosine = F.cos(F.col("far") * F.lit(np.pi / BITS))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(w[0]) + F.lit(w[1]) * cosine + F.lit(w[2]))))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(w[0]) + F.lit(w[1]) * F.col("cosine") + F.lit(w[2]))))
     score = F.when(F.col("by_id"), F.greatest(F.lit(BY_IDENTIFIER), F.coalesce(score, F.lit(0.0)))).otherwise(score)
-    return works.select("id", "work").join(links, "work").select("id", "row_id", F.round(score, 4).alias("confidence"))
+    sure = links.withColumn("confidence", score).where(F.col("confidence") >= LEAST_CONFIDENCE)
+    return works.select("id", "work").join(sure, "work").select("id", "row_id", F.round("confidence", 4).alias("confidence"))
 
 
 def _clear(fits: DataFrame, key: list[str], group: str, of: str) -> DataFrame:
-    """key, of, far: the best fit of each key, if no other group fits as well, or if it is exact (cost 0)."""
-    each = fits.groupBy(*key, F.col(group).alias("g")).agg(F.min("cost").alias("cost"), F.min_by(F.struct(F.col(of).alias("of"), "far"), F.struct("cost", "far", of)).alias("at"))
-    best = each.groupBy(*key).agg(F.min("cost").alias("least"), F.min_by("at", F.struct("cost", "at.far", "g")).alias("at"), F.collect_list(F.round("cost", 3)).alias("costs"))
+    """key, of, cosine: the best fit of each key, if no other group fits as well, or if it is exact (cost 0); of equal costs the larger cosine."""
+    each = fits.groupBy(*key, F.col(group).alias("g")).agg(F.min("cost").alias("cost"), F.min_by(F.struct(F.col(of).alias("of"), "cosine"), F.struct("cost", -F.col("cosine"), of)).alias("at"))
+    best = each.groupBy(*key).agg(F.min("cost").alias("least"), F.min_by("at", F.struct("cost", -F.col("at.cosine"), "g")).alias("at"), F.collect_list(F.round("cost", 3)).alias("costs"))
     clear = F.size(F.filter("costs", lambda c: c < F.col("least") + CLEAR)) == 1
-    return best.where((F.col("least") == 0) | clear).select(*key, "at.of", "at.far")
+    return best.where((F.col("least") == 0) | clear).select(*key, "at.of", "at.cosine")
 
 
 def _titles(p: DataFrame, d: DataFrame) -> DataFrame:
@@ -596,12 +609,13 @@ def _calibration(near_pairs: DataFrame, fits: DataFrame, p: DataFrame, d: DataFr
     own = near_pairs.join(p.where("doi is not null and title is not null").select(F.col("title").alias("num"), F.col("id").alias("rep_p"), F.col("doi").alias("doi_p")), "num").join(
         d.where("doi is not null and title is not null").select(F.col("title").alias("q"), F.col("doi").alias("doi_d")), "q")
     own = own.orderBy(F.xxhash64("num", "q")).limit(CALIBRATION_PAIRS)
-    told = own.join(fits.where("own is null").select("rep_p", "q", F.lit(1.0).alias("fit")), ["rep_p", "q"], "left").select(
-        "far", F.coalesce("fit", F.lit(0.0)).alias("fit"), (F.col("doi_p") == F.col("doi_d")).cast("double").alias("same")).toPandas()
+    about = F.cos(F.col("far") * F.lit(np.pi / BITS))  # for those that don't fit, whose cosine isn't worked out
+    told = own.join(fits.where("own is null").select("rep_p", "q", F.lit(1.0).alias("fit"), "cosine"), ["rep_p", "q"], "left").select(
+        F.coalesce("cosine", about).alias("cosine"), F.coalesce("fit", F.lit(0.0)).alias("fit"), (F.col("doi_p") == F.col("doi_d")).cast("double").alias("same")).toPandas()
     if len(told) < 20 or told["same"].nunique() < 2:
         return -4.0, 3.0, 4.0
     y = told["same"].to_numpy()
-    design = np.stack([np.ones(len(told)), np.cos(told["far"].to_numpy() * np.pi / BITS), told["fit"].to_numpy()], 1)
+    design = np.stack([np.ones(len(told)), told["cosine"].to_numpy(), told["fit"].to_numpy()], 1)
     w = np.zeros(3)
     for _ in range(30):
         q = 1 / (1 + np.exp(-design @ w))
