@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_within": venues.p5_within,
         "p6_found": consolidate.p6_found,
         "p7_found": spelling.p7_found,
+        "p7_members": spelling.p7_members,
         "p8_ids": tokenize.p8_ids,
         "p9_mix": mixing.p9_mix,
         "p9_shares": mixing.p9_shares,

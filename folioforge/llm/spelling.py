@@ -425,5 +425,21 @@ def variant_pairs(authors: DataFrame, orgs: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def variant_members(authors: DataFrame, orgs: DataFrame) -> DataFrame:
+    """entity_type, first_id, id: the same as membership, one row for each row that names somebody; first_id is the smallest
+    id of its person or organisation.  Its size is that of the input, however many rows one entity has."""
+    out = []
+    for kind, parsed in (("author", people(authors)), ("org", organisations(orgs))):
+        rows = Scratch(authors.sparkSession, "members").save(linked(parsed, kind).where("cluster is not null"), kind)
+        first = rows.groupBy("cluster").agg(F.min("id").alias("first_id"))
+        out.append(attach_unique(rows, first, "cluster").select(F.lit(kind).alias("entity_type"), "first_id", "id"))
+    return out[0].unionByName(out[1])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "authors"), table(spark, sf_dir, "orgs"))
+
+
+def p7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with the smallest id of its person or organisation, in place of all pairs."""
+    return variant_members(table(spark, sf_dir, "authors"), table(spark, sf_dir, "orgs"))

@@ -58,7 +58,11 @@ def test_variants_of_people_and_organisations(spark):
     got = pairs(S.variant_pairs(a, o))
     assert {p for p in got if p[0] == "author"} == {("author", x, y) for x in ("a1", "a2", "a3", "a4") for y in ("a1", "a2", "a3", "a4") if x < y} | {("author", "d1", "d2")}
     assert {p for p in got if p[0] == "org"} == {("org", "o1", "o2"), ("org", "o1", "o3"), ("org", "o2", "o3"), ("org", "o4", "o5"), *[("org", x, "o6") for x in ("o1", "o2", "o3")]}
-    assert S.variant_pairs(a.limit(0), o.limit(0)).count() == 0
+    members = {}
+    for r in S.variant_members(a, o).collect():
+        members.setdefault((r.entity_type, r.first_id), []).append(r.id)
+    assert {(k, x, y) for (k, _), ids in members.items() for x in ids for y in ids if x < y} == got and all(first == min(ids) for (_, first), ids in members.items())
+    assert S.variant_pairs(a.limit(0), o.limit(0)).count() == S.variant_members(a.limit(0), o.limit(0)).count() == 0
 
 
 def test_average_linkage_forbids():
