@@ -123,13 +123,24 @@ def _authored(spark, d):
     return candidates(spark, d).join(lists, "id", "left")
 
 
+def _word_places(p):
+    """Rows with what it takes, and the entries of their abstracts' words with all places, as the service gives abstracts.
+
+    Words are sorted with their places, so each run of one word is an entry: a pass over the words, not one for each
+    different word.  The steps are columns of their own, as an expression inside a lambda is worked out for every element.
+    """
+    p = p.withColumn("_words", F.split(R.clean(c("abstract")), " "))
+    p = p.withColumn("_sorted", F.sort_array(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    p = p.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: (i == 0) | (F.get("_sorted", i)["w"] != F.get("_sorted", i - 1)["w"])))
+    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_sorted"))
+    return p, F.transform("_starts", lambda at, k: F.struct(F.get("_sorted", at)["w"].alias("key"), F.transform(F.slice("_sorted", at + 1, end(k) - at), lambda x: x["i"]).alias("value")))
+
+
 def _openalex(spark, d):
     p = _authored(spark, d)
     inst = lambda o: F.struct(o["name"].alias("display_name"), o["ror"].alias("ror"), o["country"].alias("country_code"))
     ship = F.transform("who", lambda w: F.struct(F.struct(w["author_id"].alias("id"), w["name"].alias("display_name"), w["orcid"].alias("orcid")).alias("author"), F.transform(w["orgs"], inst).alias("institutions")))
-    words = F.split(R.clean(c("abstract")), " ")
-    # tokens with all their places, as the service gives abstracts
-    places = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("value")))
+    p, places = _word_places(p)
     topic = F.struct(*[F.struct(F.try_element_at(c("categories"), F.lit(i)).alias("display_name")).alias(k) for i, k in enumerate(("subfield", "field", "domain"), 1)])
     item = F.struct(
         "id", "title", "doi", F.nullif(R.digits_or_empty(c("year")), F.lit("")).cast("int").alias("publication_year"), F.struct(c("arxiv_id").alias("arxiv")).alias("ids"), F.map_from_entries(places).alias("abstract_inverted_index"),

@@ -60,7 +60,8 @@ def record(df: DataFrame, source: str, reason: str, **fields: Column) -> DataFra
 
 
 def _parsed(payloads: DataFrame, shape: str) -> DataFrame:
-    return payloads.select(F.from_json("payload", shape).alias("p")).where("p is not null")
+    # a filter on a generator's column stays above it; on a projection's it would go below, with texts and all they are made of worked out again
+    return payloads.select(F.explode(F.array(F.from_json("payload", shape))).alias("p")).where("p is not null")
 
 
 def crossref(payloads: DataFrame, reason: str = "lookup_doi") -> DataFrame:
@@ -89,7 +90,7 @@ def openalex(payloads: DataFrame, reason: str = "lookup_doi") -> DataFrame:
     people = F.transform("p.authorships", lambda a: author(a["author"]["display_name"], a["author"]["orcid"], a["author"]["id"], places(a)))
     return record(
         _parsed(payloads, OPENALEX), "openalex", reason, source_id=c("p.id"), title=c("p.title"), venue=c("p.primary_location.source.display_name"), year=c("p.publication_year").cast("string"), doi=c("p.doi"),
-        arxiv_id=c("p.ids.arxiv"), url=c("p.primary_location.landing_page_url"), abstract=F.array_join(F.transform(F.array_sort(at), lambda x: x["token"]), " "),
+        arxiv_id=c("p.ids.arxiv"), url=c("p.primary_location.landing_page_url"), abstract=F.array_join(F.transform(F.sort_array(at), lambda x: x["token"]), " "),
         keywords=F.transform("p.concepts", lambda x: x["display_name"]), categories=topic, authors=people)
 
 

@@ -95,3 +95,14 @@ def test_payloads_of_broken_and_bare_answers(spark):
     for read, reasons in ((P.crossref, ("lookup_doi", "open_query")), (P.arxiv, ("lookup_arxiv", "search_title")), (P.semantic_scholar, ("lookup_doi", "search_title"))):
         for reason in reasons:
             assert all(r.title == "" and r.authors == [] and r.doi == "" for r in read(pay.limit(3), reason).where("title = ''").collect())
+
+
+def test_abstracts_are_inverted_once(spark):
+    from folioforge.plans import knowledge
+
+    rows, places = knowledge._word_places(spark.createDataFrame([("b a  b &amp; a b",), ("",)], "abstract string"))
+    got = [{e["key"]: list(e["value"]) for e in r[0]} for r in rows.select(places).collect()]
+    assert got == [{"b": [0, 2, 5], "a": [1, 4], "&": [3]}, {"": [0]}]
+    for q in (knowledge.openalex_records, knowledge.openalex_authors, knowledge.crossref_records):
+        plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [x for x in plan if x.strip(" :+-").startswith("Filter") and "from_json" in x]
