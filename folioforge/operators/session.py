@@ -7,6 +7,9 @@ that it says have ended are left alone, the others go on after their last cycle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,17 +27,91 @@ c = F.col
 PROBE_WORDS = 3
 
 
-def retrieve(open_sessions: DataFrame, index: DataFrame, top_n: int, probe_words: int | None = PROBE_WORDS) -> DataFrame:
-    """The ``top_n`` best documents of each open session (session, query): most words in common, then score, then key."""
-    words = open_sessions.select("session", F.explode(R.tokens(c("query"))).alias("w"))
-    known = index.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    asked = words.join(known, "w")
+#: Documents that one task holds, sessions that it looks up in them, and tasks at least: bounds of a task's memory, not of what is looked through.
+DOCS_EACH, SESSIONS_EACH, LEAST_PARTS = 1 << 18, 100_000, 12
+
+
+def indexed(rows: DataFrame) -> DataFrame:
+    """Different documents (key, title, score) of ``rows`` with a number, and their words.  To be written once, as numbers change."""
+    return rows.select("key", "title", "score").distinct().select(F.monotonically_increasing_id().alias("doc"), "key", "title", "score", R.tokens(c("title")).alias("words"))
+
+
+def best_of_block(docs: pa.Table, sessions: pa.Table, top_n: int) -> pa.Table:
+    """session, doc, fit of the ``top_n`` best documents (doc, key, score, words) of each session (session, asked, probes).
+
+    Words become numbers and documents places in the order of equal fits; a session adds up its words' documents.
+    """
+    flag = lambda x: pc.fill_null(x, False)
+    docs = docs.append_column("none", pc.is_null(docs["score"])).append_column("number", pc.invert(flag(pc.is_nan(docs["score"]))))
+    docs = docs.sort_by([("none", "ascending"), ("number", "ascending"), ("score", "descending"), ("key", "ascending"), ("doc", "ascending")])
+    n, lists = docs.num_rows, docs["words"].combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    of = words.indices.to_numpy(zero_copy_only=False)
+    place = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    place = place[np.argsort(of, kind="stable")]
+    start = np.r_[0, np.cumsum(np.bincount(of, minlength=len(words.dictionary)))]
+
+    def known(name: str) -> tuple[np.ndarray, np.ndarray]:
+        x = sessions[name].combine_chunks()
+        at = pc.fill_null(pc.index_in(x.flatten(), value_set=words.dictionary), -1).to_numpy(zero_copy_only=False)
+        return at, np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))]
+
+    (asked, asked_at), (probes, probes_at) = known("asked"), known("probes")
+    fit = np.zeros(n, dtype=np.int64)
+    whose, found, fits = [], [], []
+    for i in range(sessions.num_rows):
+        met = [place[start[w] : start[w + 1]] for w in probes[probes_at[i] : probes_at[i + 1]] if w >= 0]
+        if not met:
+            continue
+        met = np.concatenate(met)
+        add = [place[start[w] : start[w + 1]] for w in asked[asked_at[i] : asked_at[i + 1]] if w >= 0]
+        for x in add:
+            fit[x] += 1
+        # larger is better; a document stands here once for each probe it has
+        worth = np.sort(_largest(fit[met] * n + (n - 1 - met), top_n * max(1, probes_at[i + 1] - probes_at[i])))[::-1]
+        worth = worth[np.r_[True, worth[1:] != worth[:-1]]][:top_n]
+        for x in add:
+            fit[x] = 0
+        whose.append(np.full(len(worth), i))
+        found.append(n - 1 - worth % n)
+        fits.append(worth // n)
+    none = np.zeros(0, dtype=np.int64)
+    whose, found, fits = (np.concatenate(x) if x else none for x in (whose, found, fits))
+    return pa.table({"session": sessions["session"].take(whose), "doc": docs["doc"].take(found), "fit": pa.array(fits, pa.int64())})
+
+
+def _largest(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) <= n else np.partition(x, len(x) - n)[len(x) - n :]
+
+
+def retrieve(open_sessions: DataFrame, docs: DataFrame, top_n: int, probe_words: int | None = PROBE_WORDS) -> DataFrame:
+    """The ``top_n`` best documents (see ``indexed``) of each open session (session, query): most words in common, then score, then key.
+
+    Documents and sessions are cut into parts, and each two parts meet in one task, which gives the best of its
+    documents for each of its sessions.  Sessions and documents that have a word in common are never rows: there are
+    thousands a session, and they grow as the square of the tables.
+    """
+    known = docs.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    tokens = R.tokens(c("query"))
+    words = open_sessions.select("session", F.array_except(tokens, F.array(*[F.lit(w) for w in R.STOP_WORDS])).alias("asked"), F.explode(tokens).alias("w"))
+    probes = words.join(known, "w")
     if probe_words is not None:
-        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("df", "w"))).where(c("n") <= probe_words)
-    hits = asked.select("session", "w").join(index, "w").select("session", "key", "title", "score").distinct().join(open_sessions.select("session", "query"), "session")
-    fit = F.size(R.fit_overlap(c("query"), c("title")))
-    best = W.partitionBy("session").orderBy(fit.desc(), c("score").desc(), c("key"))
-    return hits.withColumn("place", F.row_number().over(best)).where(c("place") <= top_n)
+        probes = probes.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("df", "w"))).where(c("n") <= probe_words)
+    asked = probes.groupBy("session").agg(F.first("asked").alias("asked"), F.collect_list("w").alias("probes"))
+    n_docs, n_sessions = docs.count(), open_sessions.count()
+    blocks = max(1, -(-n_docs // DOCS_EACH))
+    chunks = max(1, -(-n_sessions // SESSIONS_EACH), -(-min(LEAST_PARTS, n_sessions) // blocks))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    theirs = docs.select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("block"), each(chunks).alias("chunk"), "doc", "key", "score", "words")
+    ours = asked.select(each(blocks).alias("block"), F.pmod(F.xxhash64("session"), F.lit(chunks)).cast("int").alias("chunk"), "session", "asked", "probes")
+
+    def run(d: pa.Table, s: pa.Table) -> pa.Table:
+        return best_of_block(d, s, top_n)
+
+    shape = f"session {dict(open_sessions.dtypes)['session']}, doc long, fit long"
+    best = theirs.groupBy("block", "chunk").cogroup(ours.groupBy("block", "chunk")).applyInArrow(run, shape).join(docs.select("doc", "key", "title", "score"), "doc")
+    order = W.partitionBy("session").orderBy(c("fit").desc(), c("score").desc(), c("key"))
+    return best.withColumn("place", F.row_number().over(order)).where(c("place") <= top_n).select("session", "key", "title", "score", "place")
 
 
 def check_prompts(prompts: DataFrame, started: DataFrame) -> None:
@@ -81,7 +158,7 @@ def run_sessions(prompts: DataFrame, rows: DataFrame, max_cycles: int = 3, top_n
     """
     spark = prompts.sparkSession
     scratch = Scratch(spark, "sessions")
-    index = scratch.save(rows.select("key", "title", "score", F.explode(R.tokens(c("title"))).alias("w")), "index")
+    docs = scratch.save(indexed(rows), "docs")
     done = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
     p = prompts.select("session", "prompt", F.concat(R.found_dois(c("prompt")), R.prompt_arxiv(c("prompt"))).alias("known"), R.title_hint(c("prompt")).alias("hint"))
     p = p.select("session", "prompt", "hint", R.bare_seed(c("prompt"), c("known")).alias("bare"))
@@ -97,7 +174,7 @@ def run_sessions(prompts: DataFrame, rows: DataFrame, max_cycles: int = 3, top_n
         live = scratch.save(live, "live")
         if live.isEmpty():
             break
-        found = retrieve(live, index, top_n).groupBy("session").agg(
+        found = retrieve(live, docs, top_n).groupBy("session").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("\t", "key", "title").alias("k")))), lambda x: x["k"]).alias("keys"))
         cycle = live.join(found, "session", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
         step = R.cycle_decision(F.lit("theme_refine"), c("cycle"), F.lit(max_cycles), F.size("keys"), F.lit(0), c("keys") == c("before"))

@@ -235,3 +235,26 @@ def test_sessions_are_asked_answered_and_ended(spark):
         except ValueError:
             continue
         raise AssertionError
+
+
+def test_best_documents_of_a_block():
+    """Sessions against documents one by one; a word that all documents have makes no more rows than one that few have."""
+    import random
+
+    import pyarrow as pa
+
+    from folioforge.operators.session import best_of_block
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, f"k{rnd.randrange(40):02d}", rnd.choice([None, 0.5, 0.25, float("nan")]), ["all", *rnd.sample(words, rnd.randrange(6))]) for i in range(60)]
+    asked = [(s, rnd.sample([*words, "none"], 4)) for s in range(25)]
+    sessions = [(s, a, [a[0], a[1], "all"][: s % 4]) for s, a in asked]
+    table = lambda rows, names: pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    got = best_of_block(table(docs, ["doc", "key", "score", "words"]), table(sessions, ["session", "asked", "probes"]), 3)
+    want = []
+    for s, a, probes in sessions:
+        hits = [d for d in docs if set(d[3]) & set(probes)]
+        hits.sort(key=lambda d: (-len(set(a) & set(d[3])), d[2] is None, d[2] == d[2], -(d[2] or 0) if d[2] == d[2] else 0, d[1], d[0]))
+        want += [(s, d[0], len(set(a) & set(d[3]))) for d in hits[:3]]
+    assert list(zip(*[got[x].to_pylist() for x in ("session", "doc", "fit")])) == want
