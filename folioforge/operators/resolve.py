@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import records as R
-from ..storage import Scratch
+from ..storage import Scratch, parts_by_size
 from .merge import merge_rows
 from .similarity import histogram, shared_characters
 
@@ -125,6 +125,8 @@ def resolve_titles(titles: DataFrame, rows: DataFrame, delta: float = 0.05, shar
 
 
 ENTRY = "ord long, paper_id string, keys array<string>, n_merged long, source_count long, trace array<string>, first_seen string, last_seen string, policy string, removed array<string>"
+#: Bytes of input that one task compacts.
+COMPACT_BYTES = 4 << 20
 _PAPER = ("paper_id", "arxiv_id", "doi", "abstract_chars", "author_count")
 
 
@@ -148,11 +150,12 @@ def compact_entries(entries: DataFrame) -> DataFrame:
     none = {"abstract_chars": F.lit(0), "author_count": F.lit(0), "trace": F.array().cast("array<string>")}
     full = entries.select("component", "ord", "keys", "source_count", *[(c(x) if x in entries.columns else none.get(x, F.lit(""))).alias(x) for x in (*_PAPER, "trace", "first_seen", "last_seen", "policy")])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
+    names = [x.split()[0] for x in ENTRY.split(", ")]
+
+    def compacted(group: list[dict]) -> list[dict]:
         kept: list[dict] = []
         at: dict[str, int] = {}
-        for e in group.to_dict("records"):
+        for e in group:
             keys, paper = set(e["keys"]), {x: e[x] for x in _PAPER}
             hits = [at[k] for k in keys if k in at]
             if hits:
@@ -176,8 +179,21 @@ def compact_entries(entries: DataFrame) -> DataFrame:
             for k in keys:
                 at[k] = min(at.get(k, i), i)
             kept[i]["keys"] |= keys
-        names = [x.split()[0] for x in ENTRY.split(", ")]
-        rows = [x | {"paper_id": x["paper"]["paper_id"], "keys": sorted(x["keys"])} for x in kept]
-        return pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
+        return [x | {"paper_id": x["paper"]["paper_id"], "keys": sorted(x["keys"])} for x in kept]
 
-    return full.groupBy("component").applyInPandas(run, ENTRY)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        for b in batches:
+            done: list[dict] = []
+            for e in b.to_dict("records"):
+                if held and held[0]["component"] != e["component"]:
+                    done += compacted(held)
+                    held = []
+                held.append(e)
+            yield pd.DataFrame([[r[n] for n in names] for r in done], columns=names)
+        if held:
+            yield pd.DataFrame([[r[n] for n in names] for r in compacted(held)], columns=names)
+
+    # most components have one entry, so they pass in batches: a call for each costs more than the work
+    parts = parts_by_size(full, COMPACT_BYTES)
+    return full.repartition(parts, "component").sortWithinPartitions("component", "ord").mapInPandas(run, ENTRY)

@@ -258,3 +258,20 @@ def test_best_documents_of_a_block():
         hits.sort(key=lambda d: (-len(set(a) & set(d[3])), d[2] is None, d[2] == d[2], -(d[2] or 0) if d[2] == d[2] else 0, d[1], d[0]))
         want += [(s, d[0], len(set(a) & set(d[3]))) for d in hits[:3]]
     assert list(zip(*[got[x].to_pylist() for x in ("session", "doc", "fit")])) == want
+
+
+def test_compaction_over_batches(spark):
+    """Components pass through Python in batches, not in a call each, also where a batch ends inside one."""
+    from folioforge.operators import resolve
+
+    e = spark.createDataFrame([(k // 5, k, [f"doi:{k // 5}" if k % 5 else f"doi:{k}", f"title:{k // 2}"], 1) for k in range(40)], "component long, ord long, keys array<string>, source_count long")
+    out = resolve.compact_entries(e)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    show = lambda: sorted((r.ord, r.n_merged, tuple(r["keys"])) for r in out.collect())
+    whole = show()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = resolve.compact_entries(e)
+        assert show() == whole and sum(n for _, n, _ in whole) == 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
