@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,25 +76,60 @@ def resolve(requests: DataFrame, rows: DataFrame, policy: str, source_order: lis
 WORD_SHARE = 0.6
 
 
+#: Rows that one task holds, titles that it looks up in them, and tasks at least: bounds of a task's memory, not of what is looked through.
+ROWS_EACH, TITLES_EACH, LEAST_PARTS = 1 << 18, 100_000, 12
+
+
+def sharing_words(rows: pa.Table, titles: pa.Table) -> pa.Table:
+    """qid, ord of titles (qid, words, least) and rows (ord, have) that share at least ``least`` different words.
+
+    None is lost: a row that lacks at most n - k of n words has one of any n - k + 1 of them, so only rows that have one
+    of the title's rarest ones are looked at.
+    """
+    n, lists = rows.num_rows, rows["have"].combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    of = words.indices.to_numpy(zero_copy_only=False)
+    place = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[np.argsort(of, kind="stable")]
+    start = np.r_[0, np.cumsum(np.bincount(of, minlength=len(words.dictionary)))]
+    asked = titles["words"].combine_chunks()
+    at = pc.fill_null(pc.index_in(asked.flatten(), value_set=words.dictionary), -1).to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))]
+    least, shared = titles["least"].to_numpy(), np.zeros(n, dtype=np.int32)
+    none = np.zeros(0, dtype=np.int64)
+    whose, met = [none], [none]
+    for i in range(titles.num_rows):
+        have = sorted((place[start[w] : start[w + 1]] if w >= 0 else none for w in at[ends[i] : ends[i + 1]]), key=len)
+        for x in have:
+            shared[x] += 1
+        rare = np.concatenate([none, *have[: max(len(have) - least[i] + 1, 0)]])
+        hits = np.unique(rare[shared[rare] >= least[i]])
+        for x in have:
+            shared[x] = 0
+        whose.append(np.full(len(hits), i))
+        met.append(hits)
+    return pa.table({"qid": titles["qid"].take(np.concatenate(whose)), "ord": rows["ord"].take(np.concatenate(met))})
+
+
 def title_candidates(titles: DataFrame, rows: DataFrame, share: float = WORD_SHARE) -> DataFrame:
     """qid, ord of titles (qid, title_norm) and rows (ord, title_norm) that share at least ``share`` of the title's words.
 
-    None is lost: a row that lacks at most n - k of n words has one of any n - k + 1 of them, so the title's
-    rarest ones are enough to meet it.  ``share`` 0 gives every row that has any of the words.
+    Titles and rows are cut into parts, each two of which meet in one task; only what shares enough words leaves it.
+    ``share`` 0 gives every row that has any of the words.
     """
     scratch = Scratch(rows.sparkSession, "candidates")
     every = F.array_distinct(F.split("title_norm", " "))
     long = F.filter(every, lambda w: F.length(w) > 3)
     asked = titles.select("qid", F.when(F.size(long) > 0, long).otherwise(every).alias("words"))
     asked = scratch.save(asked.select("qid", "words", F.greatest(F.ceil(F.size("words") * F.lit(float(share))), F.lit(1)).cast("int").alias("least")), "asked")
-    index = scratch.save(rows.select("ord", F.explode(every).alias("w")), "index")
-    known = index.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    # words that no row has come first and meet nothing
-    each = asked.select("qid", (F.size("words") - F.col("least") + 1).alias("probes"), F.explode("words").alias("w")).join(known, "w", "left")
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.coalesce("df", F.lit(0)), "w"))
-    met = each.withColumn("place", place).where("place <= probes and df is not null").select("qid", "w").join(index, "w").select("qid", "ord").distinct()
-    have = met.join(asked, "qid").join(rows.select("ord", every.alias("have")), "ord")
-    return have.where(F.size(F.array_intersect("words", "have")) >= F.col("least")).select("qid", "ord")
+    have = scratch.save(rows.select("ord", every.alias("have")), "have")
+    n_titles = asked.count()
+    blocks = max(1, -(-have.count() // ROWS_EACH))
+    chunks = max(1, -(-n_titles // TITLES_EACH), -(-min(LEAST_PARTS, n_titles) // blocks))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    theirs = have.where("have is not null").select(F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int").alias("block"), each(chunks).alias("chunk"), "ord", "have")
+    ours = asked.where("words is not null").select(each(blocks).alias("block"), F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int").alias("chunk"), "qid", "words", "least")
+    shape = f"qid {dict(titles.dtypes)['qid']}, ord {dict(rows.dtypes)['ord']}"
+    return theirs.groupBy("block", "chunk").cogroup(ours.groupBy("block", "chunk")).applyInArrow(sharing_words, shape)
 
 
 def resolve_titles(titles: DataFrame, rows: DataFrame, delta: float = 0.05, share: float = WORD_SHARE) -> DataFrame:
@@ -105,8 +143,10 @@ def resolve_titles(titles: DataFrame, rows: DataFrame, delta: float = 0.05, shar
     q = titles.select("qid", "title_norm", F.length("title_norm").alias("len_a"), histogram(c("title_norm")).alias("hist_a"))
     r = rows.select("ord", c("title_norm").alias("their"), "score", "title_len", F.length("title_norm").alias("len_b"), histogram(c("title_norm")).alias("hist_b"))
     bound = F.when(c("title_norm") == c("their"), 1.0).otherwise(2.0 * shared_characters("a", "b") / (c("len_a") + c("len_b")))
-    pairs = title_candidates(titles, rows, share).join(q, "qid").join(r, "ord").select("qid", "ord", "score", "title_len", "title_norm", "their", (c("score") + bound).alias("most"))
+    pairs = title_candidates(titles, rows, share).join(q, "qid").join(r, "ord").select("qid", "ord", "score", "title_len", (c("score") + bound).alias("most"))
+    # numbers only; texts are joined to the pairs that are measured
     pairs = scratch.save(pairs, "pairs")
+    texts = lambda x: x.join(titles.select("qid", "title_norm"), "qid").join(rows.select("ord", c("title_norm").alias("their")), "ord").select("qid", "ord", "score", "title_len", "title_norm", "their")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,9 +155,9 @@ def resolve_titles(titles: DataFrame, rows: DataFrame, delta: float = 0.05, shar
 
     shape = "qid long, ord long, score double, title_len int, sim double"
     total = c("score") + c("sim")
-    first = pairs.groupBy("qid").agg(F.max_by(F.struct("ord", "score", "title_len", "title_norm", "their"), F.struct("most", "ord")).alias("r")).select("qid", "r.*")
-    reached = first.mapInPandas(measure, shape).select("qid", (total - delta).alias("reached"))
-    scored = pairs.join(reached, "qid").where(c("most") >= c("reached") - 1e-9).select("qid", "ord", "score", "title_len", "title_norm", "their").mapInPandas(measure, shape)
+    first = pairs.groupBy("qid").agg(F.max_by(F.struct("ord", "score", "title_len"), F.struct("most", "ord")).alias("r")).select("qid", "r.*")
+    reached = texts(first).mapInPandas(measure, shape).select("qid", (total - delta).alias("reached"))
+    scored = texts(pairs.join(reached, "qid").where(c("most") >= c("reached") - 1e-9)).mapInPandas(measure, shape)
     w = W.partitionBy("qid").orderBy(total.desc(), c("sim").desc(), c("title_len").desc(), c("ord"))
     top = scored.withColumns({"total": total, "place": F.row_number().over(w), "next": F.lead(total).over(w)}).where("place = 1")
     status = F.when(c("next").isNotNull() & (c("total") - c("next") <= delta), "ambiguous_requires_selection").otherwise("resolved")

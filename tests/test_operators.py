@@ -275,3 +275,20 @@ def test_compaction_over_batches(spark):
         assert show() == whole and sum(n for _, n, _ in whole) == 40
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_that_share_words():
+    """Titles against rows one by one, with words that nearly all rows have."""
+    import random
+
+    import pyarrow as pa
+
+    from folioforge.operators.resolve import sharing_words
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(9)]
+    rows = [(i * 7, ["all", *rnd.sample(words, rnd.randrange(7))]) for i in range(70)]
+    titles = [(q, rnd.sample([*words, "all", "none"], 5), 1 + q % 5) for q in range(30)]
+    table = lambda rows, names: pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    got = sharing_words(table(rows, ["ord", "have"]), table(titles, ["qid", "words", "least"]))
+    assert sorted(zip(got["qid"].to_pylist(), got["ord"].to_pylist())) == sorted((q, o) for q, w, k in titles for o, h in rows if len(set(w) & set(h)) >= k)
