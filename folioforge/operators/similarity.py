@@ -74,6 +74,9 @@ def similar_titles(rows: DataFrame, ratio: float = RATIO) -> DataFrame:
 
     Pieces travel as numbers with the titles' lengths and their places; what stands before a shared
     piece differs by no more characters than can be unmatched.  Texts are joined to the pairs left.
+
+    Joins are hinted: sizes are estimated by the width of rows, as if a title had one piece and a
+    histogram one bin, and millions of pieces would be gathered on the driver to be broadcast.
     """
     scratch = Scratch(rows.sparkSession, "similar")
     own = scratch.save(rows.where("title_norm != '' and year != ''").select("ord", "title_norm", "year"), "titles")
@@ -84,12 +87,12 @@ def similar_titles(rows: DataFrame, ratio: float = RATIO) -> DataFrame:
         each = distinct.select("first", "year", F.length("title_norm").alias("len"), F.explode(cut).alias("p"))
         return each.select(F.xxhash64("year", "p.piece").alias("piece"), F.col("first").alias(f"first_{x}"), F.col("len").alias(f"len_{x}"), F.col("p.at").alias(f"at_{x}"))
 
-    met = side("a", pieces(F.col("title_norm"), ratio)).join(side("b", probes(F.col("title_norm"), ratio)), "piece")
+    met = side("a", pieces(F.col("title_norm"), ratio)).join(side("b", probes(F.col("title_norm"), ratio)).hint("merge"), "piece")
     both = F.col("len_a") + F.col("len_b")
     near = (2.0 * F.least("len_a", "len_b") >= ratio * both) & (F.abs(F.col("at_a") - F.col("at_b")) <= F.floor((1 - ratio) * both + 1e-9))
     pairs = scratch.save(met.where((F.col("first_a") != F.col("first_b")) & near).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")).distinct(), "pairs")
     t = distinct.select("first", "year", "title_norm", F.length("title_norm").alias("len"), histogram(F.col("title_norm")).alias("hist"))
-    texts = lambda x: t.select(*[F.col(k).alias(f"{k}_{x}") for k in ("first", "year", "title_norm", "len", "hist")])
+    texts = lambda x: t.select(*[F.col(k).alias(f"{k}_{x}") for k in ("first", "year", "title_norm", "len", "hist")]).hint("merge")
     pairs = pairs.join(texts("a"), F.col("a") == F.col("first_a")).join(texts("b"), F.col("b") == F.col("first_b"))
     pairs = pairs.where((F.col("year_a") == F.col("year_b")) & may_match("a", "b", ratio)).select("a", "b", F.col("title_norm_a").alias("ta"), F.col("title_norm_b").alias("tb"))
 

@@ -292,3 +292,17 @@ def test_rows_that_share_words():
     table = lambda rows, names: pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
     got = sharing_words(table(rows, ["ord", "have"]), table(titles, ["qid", "words", "least"]))
     assert sorted(zip(got["qid"].to_pylist(), got["ord"].to_pylist())) == sorted((q, o) for q, w, k in titles for o, h in rows if len(set(w) & set(h)) >= k)
+
+
+def test_pieces_of_titles_are_not_gathered_on_the_driver(spark, monkeypatch):
+    from folioforge import storage
+    from folioforge.operators.similarity import similar_titles
+
+    plans, save = {}, storage.Scratch.save
+    planned = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(storage.Scratch, "save", lambda self, df, tag="t", **k: (plans.update({tag: planned(df)}), save(self, df, tag, **k))[1])
+    rows = spark.createDataFrame([(1, "deep learning for birds", "2020"), (2, "deep learning for bards", "2020"), (3, "deep learning for birds", "2021"), (4, "tidal maps", "2020")], "ord long, title_norm string, year string")
+    edges = similar_titles(rows)
+    assert "SortMergeJoin [piece" in plans["pairs"] and "Broadcast" not in plans["pairs"]
+    assert not [x for x in planned(edges).splitlines() if "BroadcastHashJoin [a#" in x or "BroadcastHashJoin [b#" in x]
+    assert {(r.a, r.b) for r in edges.collect()} == {(1, 2)}
