@@ -127,16 +127,19 @@ def _word_places(p):
     """Rows with what it takes, and the entries of their abstracts' words with all places, as the service gives abstracts.
 
     Words are sorted with their places, so each run of one word is an entry: a pass over the words, not one for each
-    different word.  The steps are columns of their own, as an expression inside a lambda is worked out for every element.
+    different word.  The steps are columns of their own, as an expression inside a lambda is worked out for every element;
+    words and places are parted after sorting and taken one at a time, as ``slice`` copies the whole list first.  A step that is
+    used once, or that only takes a field, would be put into the lambda all the same: hence ``transform`` and the size of ``_i``.
     """
-    p = p.withColumn("_words", F.split(R.clean(c("abstract")), " "))
+    p = p.withColumn("_words", R.clean_words(c("abstract")))
     p = p.withColumn("_sorted", F.sort_array(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
-    p = p.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: (i == 0) | (F.get("_sorted", i)["w"] != F.get("_sorted", i - 1)["w"])))
-    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_sorted"))
-    return p, F.transform("_starts", lambda at, k: F.struct(F.get("_sorted", at)["w"].alias("key"), F.transform(F.slice("_sorted", at + 1, end(k) - at), lambda x: x["i"]).alias("value")))
+    p = p.withColumns({"_w": F.transform("_sorted", lambda x: x["w"]), "_i": F.transform("_sorted", lambda x: x["i"])})
+    p = p.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))))
+    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_i"))
+    return p, F.transform("_starts", lambda at, k: F.struct(F.get("_w", at).alias("key"), F.transform(F.sequence(at, end(k) - 1), lambda j: F.get("_i", j)).alias("value")))
 
 
-def _openalex(spark, d):
+def _openalex_payloads(spark, d):
     p = _authored(spark, d)
     inst = lambda o: F.struct(o["name"].alias("display_name"), o["ror"].alias("ror"), o["country"].alias("country_code"))
     ship = F.transform("who", lambda w: F.struct(F.struct(w["author_id"].alias("id"), w["name"].alias("display_name"), w["orcid"].alias("orcid")).alias("author"), F.transform(w["orgs"], inst).alias("institutions")))
@@ -146,7 +149,7 @@ def _openalex(spark, d):
         "id", "title", "doi", F.nullif(R.digits_or_empty(c("year")), F.lit("")).cast("int").alias("publication_year"), F.struct(c("arxiv_id").alias("arxiv")).alias("ids"), F.map_from_entries(places).alias("abstract_inverted_index"),
         F.transform("keywords", lambda k: F.struct(k.alias("display_name"))).alias("concepts"), topic.alias("primary_topic"), ship.alias("authorships"),
         F.struct(c("url").alias("landing_page_url"), F.struct(c("venue").alias("display_name")).alias("source")).alias("primary_location"))
-    return P.openalex(p.select(F.to_json(item).alias("payload")), "lookup_arxiv")
+    return p.select(F.to_json(item).alias("payload"))
 
 
 def _shown(rows):
@@ -154,13 +157,13 @@ def _shown(rows):
 
 
 def openalex_records(spark, d):
-    return _shown(_openalex(spark, d))
+    return _shown(P.openalex(_openalex_payloads(spark, d), "lookup_arxiv"))
 
 
 def openalex_authors(spark, d):
     """The authors of each record in order, with their affiliations."""
-    a = _openalex(spark, d).select("source_id", F.posexplode("authors").alias("place", "a"))
-    return a.select(c("source_id").alias("id"), c("place").cast("long").alias("place"), "a.name", "a.orcid", c("a.source_id").alias("author"), F.array_join(F.transform("a.affiliations", lambda o: F.concat_ws("/", o["name"], o["ror"], o["country"])), "; ").alias("affiliations"))
+    a = P.openalex_bylines(_openalex_payloads(spark, d))
+    return a.select(c("source_id").alias("id"), c("place").cast("long").alias("place"), "author.name", "author.orcid", c("author.source_id").alias("author"), F.array_join(F.transform("author.affiliations", lambda o: F.concat_ws("/", o["name"], o["ror"], o["country"])), "; ").alias("affiliations"))
 
 
 def arxiv_rows(spark, d):

@@ -26,6 +26,8 @@ OPENALEX = """id string, title string, doi string, publication_year int, ids str
 primary_location struct<landing_page_url: string, source: struct<display_name: string>>,
 primary_topic struct<subfield: struct<display_name: string>, field: struct<display_name: string>, domain: struct<display_name: string>>,
 authorships array<struct<author: struct<id: string, display_name: string, orcid: string>, institutions: array<struct<display_name: string, ror: string, country_code: string>>>>"""
+#: The fields that say who wrote a work.
+OPENALEX_BYLINES = "id string, " + OPENALEX[OPENALEX.index("authorships "):]
 SEMANTIC = """paperId string, title string, venue string, year int, externalIds struct<DOI: string, ArXiv: string>, url string, abstract string, fieldsOfStudy array<string>,
 s2FieldsOfStudy array<struct<category: string>>, authors array<struct<authorId: string, name: string, externalIds: struct<ORCID: string>, affiliations: array<string>>>"""
 
@@ -82,12 +84,27 @@ def arxiv(payloads: DataFrame, reason: str = "lookup_arxiv") -> DataFrame:
         arxiv_id=c("p.entry_id"), url=c("p.entry_id"), abstract=c("p.summary"), keywords=c("p.categories"), categories=c("p.categories"), authors=people if reason == "lookup_arxiv" else _none(AUTHORS))
 
 
+def _openalex_author(a: Column) -> Column:
+    none = _none("array<struct<display_name: string, ror: string, country_code: string>>")
+    places = F.transform(F.coalesce(a["institutions"], none), lambda i: affiliation(i["display_name"], i["ror"], i["country_code"]))
+    return author(a["author"]["display_name"], a["author"]["orcid"], a["author"]["id"], places)
+
+
+def openalex_bylines(payloads: DataFrame) -> DataFrame:
+    """source_id, place, author: a row for each author of each work, as in the records' ``authors``.
+
+    Of the payload only these fields are kept, and authors are rows before they are put in normal form: in a list
+    that is exploded, all of them would be worked out once more to see whether the list is empty.
+    """
+    each = _parsed(payloads, OPENALEX_BYLINES).select(F.trim(R.text(c("p.id"))).alias("source_id"), F.posexplode("p.authorships").alias("place", "a"))
+    return each.select("source_id", "place", _openalex_author(c("a")).alias("author"))
+
+
 def openalex(payloads: DataFrame, reason: str = "lookup_doi") -> DataFrame:
     """Concepts are keywords; subfield, field and domain of the topic are categories; abstracts come as token positions."""
     at = F.flatten(F.transform(F.map_entries("p.abstract_inverted_index"), lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("at"), e["key"].alias("token")))))
     topic = F.array(*[R.text(c(f"p.primary_topic.{k}.display_name")) for k in ("subfield", "field", "domain")])
-    places = lambda a: F.transform(F.coalesce(a["institutions"], _none("array<struct<display_name: string, ror: string, country_code: string>>")), lambda i: affiliation(i["display_name"], i["ror"], i["country_code"]))
-    people = F.transform("p.authorships", lambda a: author(a["author"]["display_name"], a["author"]["orcid"], a["author"]["id"], places(a)))
+    people = F.transform("p.authorships", _openalex_author)
     return record(
         _parsed(payloads, OPENALEX), "openalex", reason, source_id=c("p.id"), title=c("p.title"), venue=c("p.primary_location.source.display_name"), year=c("p.publication_year").cast("string"), doi=c("p.doi"),
         arxiv_id=c("p.ids.arxiv"), url=c("p.primary_location.landing_page_url"), abstract=F.array_join(F.transform(F.sort_array(at), lambda x: x["token"]), " "),

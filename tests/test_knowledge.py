@@ -106,3 +106,14 @@ def test_abstracts_are_inverted_once(spark):
     for q in (knowledge.openalex_records, knowledge.openalex_authors, knowledge.crossref_records):
         plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert not [x for x in plan if x.strip(" :+-").startswith("Filter") and "from_json" in x]
+
+
+def test_bylines_are_the_authors_of_records(spark):
+    from folioforge.plans import knowledge
+
+    pay = spark.createDataFrame([("broken",), ("{}",), (None,), ('{"id": " W1 ", "abstract_inverted_index": {"b": [1]}, "authorships": [{"author": {"display_name": " Ann ", "orcid": "ORCID:0000-1"}, "institutions": [{"ror": ""}, {"display_name": "U"}]}, null, {"author": null}]}',), ('{"id": "W2", "authorships": []}',)], "payload string")
+    of_records = P.openalex(pay).select("source_id", F.posexplode("authors").alias("place", "author"))
+    got = P.openalex_bylines(pay)
+    assert sorted(map(str, got.collect())) == sorted(map(str, of_records.collect())) and got.count() == 3
+    parsed = [x for x in knowledge.openalex_authors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "from_json" in x and "authorships" in x]
+    assert parsed and not [x for x in parsed if "concepts" in x]
