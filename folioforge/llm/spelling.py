@@ -2,10 +2,10 @@
 
 Names are parsed into a block (initial of the given name; kind of organisation)
 and a core (surname; town).  Cores become vectors of character n-grams weighted
-by rarity, and a distributed sparse cosine join inside blocks finds similar
-ones: n-grams are joined with their place in the word, products are summed by
-pair, and pairs over the threshold stay.  All pairs over the threshold are
-kept, however many a name has.  The linked keys fall into components, and in
+by rarity.  Cores of one block within few edits are met by what is left of them
+once letters are left out; products of n-grams that stand at like places are
+summed by pair, and pairs over the threshold stay.  All pairs over the threshold
+are kept, however many a name has.  The linked keys fall into components, and in
 each the different forms of a name (not its rows) are grouped by average-linkage
 clustering of a similarity of whole names, in which different identifiers,
 given names or middle initials forbid a link.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,10 @@ from .common import table
 
 #: n-gram length; cosine from which two cores are compared; edits allowed between them (a swap of neighbours is one).
 GRAM, COSINE, CORE_EDITS = 3, 0.25, 1
+#: Letters up to which near cores are met by leaving letters out.
+LONG = 20
+#: Names a task keeps as parsed, so that one in many rows is parsed once.
+PARSED = 1 << 17
 #: Average similarity from which groups of forms are joined.
 LINKAGE = 0.55
 #: A word is a given name if at least this share of all rows (and 3) have it first; an organisation's ordinary word if it has this share and 4.
@@ -181,8 +186,40 @@ def parse_org(name: str | None, ordinary: dict[str, float], countries: set[str])
     return " ".join(sorted(set(kind))), folded(town), initials
 
 
+def near_cores(keys: DataFrame) -> DataFrame:
+    """a, b of the keys (key, block, core) of one block whose cores are within 2 * CORE_EDITS edits, all of them.
+
+    Two such words of up to LONG letters are equal once up to so many letters are left out of each, so
+    what is left is joined: what is met grows with the words, not with the pairs of their n-grams.
+    Longer words leave too many ways to do so and meet by any n-gram in its place; these are rare.
+    """
+    limit = 2 * CORE_EDITS
+    n = F.length("core")
+    short = keys.where((n >= GRAM) & (n <= LONG))
+    without = lambda w, i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
+    fewer = short.select("key", "block", "core", F.col("core").alias("left"), F.lit(1).alias("at"))
+    kept = fewer
+    for _ in range(limit):  # letters are left out from left to right, so each set of them once
+        fewer = fewer.select("key", "block", "core", "left", F.explode(F.when(F.col("at") <= F.length("left"), F.sequence("at", F.length("left")))).alias("at"))
+        fewer = fewer.select("key", "block", "core", without(F.col("left"), F.col("at")).alias("left"), "at")
+        kept = kept.unionByName(fewer)
+    # a number in place of the texts; what shares a number by chance is told apart by its edits
+    kept = kept.select("key", "block", "core", F.xxhash64("block", "left").alias("h")).distinct()
+    long = keys.where(n > LONG - limit).withColumn("at", F.explode(F.sequence(F.lit(1), n - (GRAM - 1))))
+    long = long.select("key", "block", "core", F.xxhash64("block", F.substring("core", F.col("at"), F.lit(GRAM))).alias("h"), "at")
+    # a gram that is left stands at most so many places away; one join for each, on equal places
+    away = long.withColumn("at", F.explode(F.sequence(F.col("at") - limit, F.col("at") + limit)))
+    side = lambda t, x: t.select(F.col("key").alias(x), F.col("block").alias(f"block_{x}"), F.col("core").alias(f"core_{x}"), *[k for k in ("h", "at") if k in t.columns])
+    met = [side(kept, "a").join(side(kept, "b").hint("merge"), "h"), side(away, "a").join(side(long, "b").hint("merge"), ["h", "at"])]
+    met = [m.where("a < b and block_a = block_b").where(F.levenshtein("core_a", "core_b", limit) >= 0).select("a", "b") for m in met]
+    return met[0].unionByName(met[1]).distinct()
+
+
 def similar_cores(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, cosine of the keys (key, block, core) whose cores are alike in one block: a sparse cosine join."""
+    """a, b, cosine of the keys (key, block, core) whose cores are near and alike in one block: a sparse cosine of n-grams.
+
+    An n-gram counts if it stands in the other word, too, at most one place away; only near cores are compared.
+    """
     padded = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
     grams = scratch.save(
         keys.where(F.length("core") >= 3).select(
@@ -193,14 +230,13 @@ def similar_cores(keys: DataFrame, scratch: Scratch) -> DataFrame:
     weight = grams.groupBy("gram").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
     weighted = attach_unique(grams, scratch.save(weight, "weights"), "gram")
     norm = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = scratch.save(weighted.join(norm, "key").select("key", "block", "gram", "at", (F.col("w") / F.col("norm")).alias("w")), "vectors")
-    left = unit.select(F.col("key").alias("a"), "block", "gram", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"), F.col("w").alias("wa"))
-    right = unit.select(F.col("key").alias("b"), "block", "gram", "at", F.col("w").alias("wb"))
-    return (
-        left.join(right, ["block", "gram", "at"]).where("a != b")
-        .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= COSINE)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    )
+    unit = weighted.join(norm, "key").select("key", "block", "gram", "at", (F.col("w") / F.col("norm")).alias("w"))
+    vectors = scratch.save(unit.groupBy("key").agg(F.collect_list(F.struct("block", "gram", "at", "w")).alias("v")), "vectors")
+    pairs = scratch.save(near_cores(keys), "near")
+    both = pairs.join(vectors.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
+    same = lambda x: F.filter("vb", lambda y: (x["gram"] == y["gram"]) & (F.abs(x["at"] - y["at"]) <= 1) & (x["block"] == y["block"]))
+    cosine = F.aggregate("va", F.lit(0.0), lambda s, x: F.aggregate(same(x), s, lambda z, y: z + x["w"] * y["w"]))
+    return both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= COSINE)
 
 
 def person_similarity(f: tuple[str, str], g: tuple[str, str]) -> float:
@@ -382,8 +418,9 @@ def people(authors: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast({folded(r[0]) for r in common.select("w").collect()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parse = lru_cache(PARSED)(lambda x: parse_person(x, sent.value))
         for b in batches:
-            p = [parse_person(x, sent.value) or (None, None, None) for x in b["name"]]
+            p = [parse(x) or (None, None, None) for x in b["name"]]
             yield pd.DataFrame({"id": b["id"], "block": [x[0] for x in p], "core": [x[1] for x in p], "detail": [x[2] for x in p], "ident": b["ident"]})
 
     digits = F.regexp_replace(F.upper("orcid"), "[^0-9X]", "")
@@ -407,8 +444,9 @@ def organisations(orgs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((ordinary, countries))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parse = lru_cache(PARSED)(lambda x: parse_org(x, *sent.value))
         for b in batches:
-            p = [parse_org(x, *sent.value) or (None, None, None) for x in b["name"]]
+            p = [parse(x) or (None, None, None) for x in b["name"]]
             yield pd.DataFrame({"id": b["id"], "block": [x[0] for x in p], "core": [x[1] for x in p], "detail": [x[2] for x in p], "ident": b["ident"]})
 
     ident = F.nullif(F.regexp_extract(F.lower("ror"), r"([0-9a-z]{5,9})/?\s*$", 1), F.lit(""))

@@ -185,3 +185,25 @@ def test_names_of_other_scripts(spark):
     o = spark.createDataFrame([], "id string, name string, ror string, country string")
     assert pairs(S.variant_pairs(a, o)) == {("author", "a1", "a2"), ("author", "b2", "b3")}
     assert S.parse_person("李 明", set()) is not None
+
+
+def test_near_cores_against_brute_force(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abc") for _ in range(n)) for n in (3, 4, 5, 6, 7, 8) for _ in range(6)}
+    for base in ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (S.LONG - 2, S.LONG - 1, S.LONG, S.LONG + 1, S.LONG + 9)):
+        i, j = sorted(rng.sample(range(len(base)), 2))
+        words |= {base, base[:i] + base[i + 1 :], base[:i] + base[i + 1 : j] + base[j + 1 :], base[:i] + "x" + base[i:j] + "y" + base[j:], base[:i] + "z" + base[i + 1 :]}
+    rows = [(f"{b}|{w}", b, w) for b in "pq" for w in sorted(words)]
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0] and distance(a[2], b[2]) <= 2 * S.CORE_EDITS}
+    got = [(r.a, r.b) for r in S.near_cores(spark.createDataFrame(rows, "key string, block string, core string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
