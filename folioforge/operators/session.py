@@ -22,13 +22,10 @@ LEDGER = "session long, cycle int, query string, keys array<string>, move string
 c = F.col
 
 
-#: A document is found if it has one of so many of the query's rarest known words; None takes all of them, at the
-#: cost of all documents that have an ordinary word.
-PROBE_WORDS = 3
-
-
 #: Documents that one task holds, sessions that it looks up in them, and tasks at least: bounds of a task's memory, not of what is looked through.
 DOCS_EACH, SESSIONS_EACH, LEAST_PARTS = 1 << 18, 100_000, 12
+#: A word that one of so many documents has is kept as a flag for each document, for so many words at most; others as the list of its documents.
+FLAGGED, FLAGS = 64, 512
 
 
 def indexed(rows: DataFrame) -> DataFrame:
@@ -39,7 +36,9 @@ def indexed(rows: DataFrame) -> DataFrame:
 def best_of_block(docs: pa.Table, sessions: pa.Table, top_n: int) -> pa.Table:
     """session, doc, fit of the ``top_n`` best documents (doc, key, score, words) of each session (session, asked, probes).
 
-    Words become numbers and documents places in the order of equal fits; a session adds up its words' documents.
+    A document is found by any of the probes and fits by the words asked.  Words become numbers and documents places in
+    the order of equal fits.  A session goes through its words from the rarest on; once its ``top_n`` documents fit better than
+    one that has only words still to come can, the rest is left, as it can't change them.
     """
     flag = lambda x: pc.fill_null(x, False)
     docs = docs.append_column("none", pc.is_null(docs["score"])).append_column("number", pc.invert(flag(pc.is_nan(docs["score"]))))
@@ -57,21 +56,44 @@ def best_of_block(docs: pa.Table, sessions: pa.Table, top_n: int) -> pa.Table:
         return at, np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))]
 
     (asked, asked_at), (probes, probes_at) = known("asked"), known("probes")
-    fit = np.zeros(n, dtype=np.int64)
+    df = np.diff(start)
+    often = [w for w in np.argsort(-df, kind="stable")[:FLAGS].tolist() if df[w] * FLAGGED >= n]
+    flags = {w: np.zeros(n, dtype=bool) for w in often}
+    for w in often:
+        flags[w][place[start[w] : start[w + 1]]] = True
+    fit, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     whose, found, fits = [], [], []
     for i in range(sessions.num_rows):
-        met = [place[start[w] : start[w + 1]] for w in probes[probes_at[i] : probes_at[i + 1]] if w >= 0]
-        if not met:
-            continue
-        met = np.concatenate(met)
-        add = [place[start[w] : start[w + 1]] for w in asked[asked_at[i] : asked_at[i + 1]] if w >= 0]
-        for x in add:
+        want = {w for w in asked[asked_at[i] : asked_at[i + 1]].tolist() if w >= 0}
+        by = sorted({w for w in probes[probes_at[i] : probes_at[i + 1]].tolist() if w >= 0}, key=lambda w: (w not in want, df[w]))
+        rare = [place[start[w] : start[w + 1]] for w in want if w not in flags]
+        for x in rare:
             fit[x] += 1
-        # larger is better; a document stands here once for each probe it has
-        worth = np.sort(_largest(fit[met] * n + (n - 1 - met), top_n * max(1, probes_at[i + 1] - probes_at[i])))[::-1]
-        worth = worth[np.r_[True, worth[1:] != worth[:-1]]][:top_n]
-        for x in add:
+        left, common, met = len(want), [w for w in want if w in flags], []
+        worth = np.zeros(0, dtype=np.int64)  # larger is better, ascending
+        for w in by:
+            x = place[start[w] : start[w + 1]]
+            if len(worth) == top_n:
+                least, last = worth[0] // n, n - 1 - worth[0] % n
+                if least > left:
+                    break
+                if least == left:  # only an earlier place is better
+                    x = x[: np.searchsorted(x, last)]
+            x = x[~seen[x]]
+            seen[x] = True
+            met.append(x)
+            add = fit[x]
+            for v in common:  # what has a word gone through already isn't new
+                add += flags[v][x]
+            worth = np.sort(_largest(np.concatenate((worth, add * n + (n - 1 - x))), top_n))
+            if w in want:
+                left -= 1
+                common = [v for v in common if v != w]
+        for x in rare:
             fit[x] = 0
+        for x in met:
+            seen[x] = False
+        worth = worth[::-1]
         whose.append(np.full(len(worth), i))
         found.append(n - 1 - worth % n)
         fits.append(worth // n)
@@ -84,20 +106,15 @@ def _largest(x: np.ndarray, n: int) -> np.ndarray:
     return x if len(x) <= n else np.partition(x, len(x) - n)[len(x) - n :]
 
 
-def retrieve(open_sessions: DataFrame, docs: DataFrame, top_n: int, probe_words: int | None = PROBE_WORDS) -> DataFrame:
+def retrieve(open_sessions: DataFrame, docs: DataFrame, top_n: int) -> DataFrame:
     """The ``top_n`` best documents (see ``indexed``) of each open session (session, query): most words in common, then score, then key.
 
-    Documents and sessions are cut into parts, and each two parts meet in one task, which gives the best of its
+    A document that has any word of the query is found.  Documents and sessions are cut into parts, and each two parts meet in one task, which gives the best of its
     documents for each of its sessions.  Sessions and documents that have a word in common are never rows: there are
     thousands a session, and they grow as the square of the tables.
     """
-    known = docs.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     tokens = R.tokens(c("query"))
-    words = open_sessions.select("session", F.array_except(tokens, F.array(*[F.lit(w) for w in R.STOP_WORDS])).alias("asked"), F.explode(tokens).alias("w"))
-    probes = words.join(known, "w")
-    if probe_words is not None:
-        probes = probes.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("df", "w"))).where(c("n") <= probe_words)
-    asked = probes.groupBy("session").agg(F.first("asked").alias("asked"), F.collect_list("w").alias("probes"))
+    asked = open_sessions.select("session", F.array_except(tokens, F.array(*[F.lit(w) for w in R.STOP_WORDS])).alias("asked"), tokens.alias("probes")).where(F.size("probes") > 0)
     n_docs, n_sessions = docs.count(), open_sessions.count()
     blocks = max(1, -(-n_docs // DOCS_EACH))
     chunks = max(1, -(-n_sessions // SESSIONS_EACH), -(-min(LEAST_PARTS, n_sessions) // blocks))

@@ -306,3 +306,34 @@ def test_pieces_of_titles_are_not_gathered_on_the_driver(spark, monkeypatch):
     assert "SortMergeJoin [piece" in plans["pairs"] and "Broadcast" not in plans["pairs"]
     assert not [x for x in planned(edges).splitlines() if "BroadcastHashJoin [a#" in x or "BroadcastHashJoin [b#" in x]
     assert {(r.a, r.b) for r in edges.collect()} == {(1, 2)}
+
+
+def test_sessions_find_documents_without_rare_words(spark):
+    """The best document has none of the query's three rarest words; a word that is no part of the fit finds documents, too."""
+    titles = ["alpha noise", "bravo noise", "charlie noise", *[f"graph tensor kernel filler{i}" for i in range(5)], "graph tensor kernel sparse", "sparse noise", *[f"sparse other{i}" for i in range(9)], "notes from sea"]
+    rows = spark.createDataFrame([(f"k{i:02d}", t, 0.5) for i, t in enumerate(titles)], "key string, title string, score double")
+    open_sessions = spark.createDataFrame([(1, "alpha bravo charlie graph tensor kernel sparse"), (2, "from"), (3, "none of it")], "session long, query string")
+    found = {(r.session, r.place): r.title for r in session.retrieve(open_sessions, session.indexed(rows).localCheckpoint(), 2).collect()}
+    assert found == {(1, 1): "graph tensor kernel sparse", (1, 2): "graph tensor kernel filler0", (2, 1): "notes from sea"}
+
+
+def test_best_documents_of_a_block_with_all_words_as_probes():
+    """Common and rare words, many equal fits: what is left aside changes nothing."""
+    import random
+
+    import pyarrow as pa
+
+    from folioforge.operators.session import best_of_block
+
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    pick = lambda k: list({words[min(299, int(rnd.paretovariate(0.6)) - 1)] for _ in range(k)})
+    docs = [(i, f"k{i:04d}", rnd.randrange(5) / 5, pick(9)) for i in range(700)]
+    sessions = [(s, p[: rnd.randrange(len(p) + 1)], p) for s in range(150) for p in [pick(8)]]
+    table = lambda rows, names: pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    got = best_of_block(table(docs, ["doc", "key", "score", "words"]), table(sessions, ["session", "asked", "probes"]), 5)
+    want = []
+    for s, a, probes in sessions:
+        hits = sorted((d for d in docs if set(d[3]) & set(probes)), key=lambda d: (-len(set(a) & set(d[3])), -d[2], d[1]))
+        want += [(s, d[0], len(set(a) & set(d[3]))) for d in hits[:5]]
+    assert list(zip(*[got[x].to_pylist() for x in ("session", "doc", "fit")])) == want
