@@ -21,9 +21,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from .common import table
 GRAM, COSINE, CORE_EDITS = 3, 0.25, 1
 #: Letters up to which near cores are met by leaving letters out.
 LONG = 20
+#: Bits of a place in such a core, and the place of nothing; rows of what is left of cores that a task holds, about.
+PLACE_BITS, NOWHERE, LEFT_EACH = 5, 31, 1 << 22
 #: Names a task keeps as parsed, so that one in many rows is parsed once.
 PARSED = 1 << 17
 #: Average similarity from which groups of forms are joined.
@@ -74,6 +78,8 @@ _DEPARTMENT = re.compile(r"^\s*(?:department|dept\.?|school|faculty|division|cha
 
 
 def folded(s: str) -> str:
+    if s.isascii():
+        return s
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
@@ -135,6 +141,8 @@ def parse_person(name: str | None, given_names: set[str]) -> tuple[str, str, str
 
 
 def _strip(s: str) -> str:
+    if s.isascii() and s.isprintable():
+        return s
     return "".join(" " if unicodedata.category(c) == "Zs" else c for c in s if unicodedata.category(c) not in ("Cf", "Cc"))
 
 
@@ -186,53 +194,154 @@ def parse_org(name: str | None, ordinary: dict[str, float], countries: set[str])
     return " ".join(sorted(set(kind))), folded(town), initials
 
 
+#: Factor of a letter's place in hashes of words, its inverse modulo 2^64, and odd numbers that mix bits.
+_PLACED, _MIXED, _STIRRED = 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_BACK = pow(_PLACED, -1, 1 << 64)
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIXED)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_STIRRED)
+    return x ^ (x >> np.uint64(31))
+
+
+def letters_left(number: np.ndarray, block: np.ndarray, core: list[str], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """h, at of each core and each set of up to ``limit`` letters left out of it: the hash of what is left and of the block; and
+    the core's number with the places, in what is left, at which a letter is missing."""
+    length = np.fromiter(map(len, core), dtype=np.int64, count=len(core))
+    for n in np.unique(length).tolist():
+        rows = np.flatnonzero(length == n)
+        letters = np.array([core[r] for r in rows], dtype=f"<U{n}").view(np.uint32).reshape(len(rows), n).astype(np.uint64)
+        step = np.uint64(1)
+        sums = [np.zeros(len(rows), dtype=np.uint64)]  # of the first letters, each times a power for its place
+        for k in range(n):
+            sums.append(sums[-1] + _stirred(letters[:, k] + np.uint64(1)) * step)
+            step = np.uint64(int(step) * _PLACED % (1 << 64))
+        own = _stirred(block[rows].view(np.uint64))
+        hs, ats = [], []
+        for k in range(min(limit, n) + 1):
+            for out in combinations(range(n), k):
+                h, factor, begin, at = np.zeros(len(rows), dtype=np.uint64), 1, 0, number[rows]
+                for end in (*out, n):  # the letters between two left out move so many places down
+                    h = h + (sums[end] - sums[begin]) * np.uint64(factor)
+                    factor, begin = factor * _BACK % (1 << 64), end + 1
+                for i in range(limit):
+                    at = at << PLACE_BITS | (out[i] - i if i < k else NOWHERE)
+                hs.append(_stirred(h + own).view(np.int64))
+                ats.append(at)
+        yield np.concatenate(hs), np.concatenate(ats)
+
+
+def met_by_letters(h: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers a < b of the cores that are within ``limit`` edits by what is left of them (see ``letters_left``), each pair once.
+
+    Two cores that leave the same differ by the letters left out of both, but for one edit in place of two where both miss one at one place.
+    """
+    order = np.argsort(h)
+    h, at = h[order], at[order]
+    mask = (1 << PLACE_BITS) - 1
+    first, k = np.arange(len(h) - 1), 1
+    pairs = np.zeros((0, 2), dtype=np.int64)
+    held, n_held = [pairs], 0
+    while len(first):
+        first = first[: np.searchsorted(first, len(h) - k)]
+        first = first[h[first] == h[first + k]]
+        x, y = at[first], at[first + k]
+        xs, ys = ([(z >> PLACE_BITS * i) & mask for i in range(limit)] for z in (x, y))
+        edits_of = sum((z != NOWHERE).astype(np.int8) for z in (*xs, *ys))
+        free = [z != NOWHERE for z in ys]
+        for p in xs:
+            taken = p == NOWHERE
+            for i, q in enumerate(ys):
+                same = (p == q) & free[i] & ~taken
+                free[i] &= ~same
+                taken |= same
+                edits_of -= same
+        x, y = x >> PLACE_BITS * limit, y >> PLACE_BITS * limit
+        near = (edits_of <= limit) & (x != y)
+        held.append(np.stack((np.minimum(x, y)[near], np.maximum(x, y)[near]), axis=1))
+        n_held += len(held[-1])
+        k += 1
+        if n_held > LEFT_EACH or not len(first):
+            pairs = np.concatenate(held)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)][: len(pairs)]]
+            held, n_held = [pairs], 0
+    return pairs[:, 0], pairs[:, 1]
+
+
 def near_cores(keys: DataFrame) -> DataFrame:
     """a, b of the keys (key, block, core) of one block whose cores are within 2 * CORE_EDITS edits, all of them.
 
     Two such words of up to LONG letters are equal once up to so many letters are left out of each, so
     what is left is joined: what is met grows with the words, not with the pairs of their n-grams.
+    What is left are pairs of numbers; a task sorts its part of them and takes what is equal, and the places of
+    the letters tell near words from others.
     Longer words leave too many ways to do so and meet by any n-gram in its place; these are rare.
     """
     limit = 2 * CORE_EDITS
+    scratch = Scratch(keys.sparkSession, "near")
+    keys = scratch.save(keys.select(F.monotonically_increasing_id().alias("number"), "key", "block", "core"), "numbered")
     n = F.length("core")
     short = keys.where((n >= GRAM) & (n <= LONG))
-    without = lambda w, i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
-    fewer = short.select("key", "block", "core", F.col("core").alias("left"), F.lit(1).alias("at"))
-    kept = fewer
-    for _ in range(limit):  # letters are left out from left to right, so each set of them once
-        fewer = fewer.select("key", "block", "core", "left", F.explode(F.when(F.col("at") <= F.length("left"), F.sequence("at", F.length("left")))).alias("at"))
-        fewer = fewer.select("key", "block", "core", without(F.col("left"), F.col("at")).alias("left"), "at")
-        kept = kept.unionByName(fewer)
-    # a number in place of the texts; what shares a number by chance is told apart by its edits
-    kept = kept.select("key", "block", "core", F.xxhash64("block", "left").alias("h")).distinct()
+
+    total = short.select(F.sum(F.lit(1) + n * (n + 1) / 2)).head()[0] or 0
+    parts = max(2 * keys.sparkSession.sparkContext.defaultParallelism, int(total) // LEFT_EACH + 1)
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, block = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            made = list(letters_left(number, block, b.column(2).to_pylist(), limit))
+            if not made:
+                continue
+            h, at = (np.concatenate(x) for x in zip(*made))
+            part = (h.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+            h, at, ends = h[order], at[order], np.r_[0, np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))].tolist()
+            some = [i for i in range(parts) if ends[i] < ends[i + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()) for x in (h, at))], ["part", "h", "at"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # copied: what is held of a batch must not hold the whole of it
+        held = [tuple(np.frombuffer(v.as_buffer(), dtype=np.int64).copy() for v in row) for b in batches for row in zip(b.column(0), b.column(1))]
+        if held:
+            h, at = (np.concatenate(x) for x in zip(*held))
+            del held
+            a, b = met_by_letters(h, at, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    # a row holds what a batch of cores leaves for one part: Spark moves few large rows in place of very many small ones
+    left = short.select("number", F.xxhash64("block").alias("b"), "core").mapInArrow(leave, "part int, h binary, at binary")
+    met = left.repartitionById(parts, "part").select("h", "at").mapInArrow(meet, "a long, b long").distinct()
+    side = lambda t, x: t.select(*[F.col(k).alias(f"{k}_{x}") for k in ("key", "block", "core")], *[F.col(k).alias(v) for k, v in (("number", x), ("h", "h"), ("at", "at")) if k in t.columns])
+    met = met.join(side(keys, "a"), "a").join(side(keys, "b"), "b")
     long = keys.where(n > LONG - limit).withColumn("at", F.explode(F.sequence(F.lit(1), n - (GRAM - 1))))
     long = long.select("key", "block", "core", F.xxhash64("block", F.substring("core", F.col("at"), F.lit(GRAM))).alias("h"), "at")
     # a gram that is left stands at most so many places away; one join for each, on equal places
     away = long.withColumn("at", F.explode(F.sequence(F.col("at") - limit, F.col("at") + limit)))
-    side = lambda t, x: t.select(F.col("key").alias(x), F.col("block").alias(f"block_{x}"), F.col("core").alias(f"core_{x}"), *[k for k in ("h", "at") if k in t.columns])
-    met = [side(kept, "a").join(side(kept, "b").hint("merge"), "h"), side(away, "a").join(side(long, "b").hint("merge"), ["h", "at"])]
-    met = [m.where("a < b and block_a = block_b").where(F.levenshtein("core_a", "core_b", limit) >= 0).select("a", "b") for m in met]
-    return met[0].unionByName(met[1]).distinct()
+    met_long = side(away, "a").join(side(long, "b").hint("merge"), ["h", "at"]).where("key_a < key_b")
+    # what shares a number by chance is told apart by its edits
+    both = [m.where("block_a = block_b").where(F.levenshtein("core_a", "core_b", limit) >= 0).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")) for m in (met, met_long)]
+    return both[0].unionByName(both[1]).distinct()
 
 
 def similar_cores(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b, cosine of the keys (key, block, core) whose cores are near and alike in one block: a sparse cosine of n-grams.
 
-    An n-gram counts if it stands in the other word, too, at most one place away; only near cores are compared.
+    An n-gram counts if it stands in the other word, too, at most one place away; only near cores are compared,
+    so only these become vectors, with weights from all.
     """
     padded = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
-    grams = scratch.save(
-        keys.where(F.length("core") >= 3).select(
-            "key", "block", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda i: F.substring(padded, i, F.lit(GRAM)))).alias("at", "gram"),
-        ).groupBy("key", "block", "gram").agg(F.min("at").alias("at")), "grams",
-    )
+    inside = F.transform(F.sequence(F.lit(1), F.length(padded) - (GRAM - 1)), lambda i: F.substring(padded, i, F.lit(GRAM)))
+    grams = keys.where(F.length("core") >= 3).select("key", "block", inside.alias("all"))
     total = keys.count()
-    weight = grams.groupBy("gram").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
-    weighted = attach_unique(grams, scratch.save(weight, "weights"), "gram")
-    norm = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norm, "key").select("key", "block", "gram", "at", (F.col("w") / F.col("norm")).alias("w"))
-    vectors = scratch.save(unit.groupBy("key").agg(F.collect_list(F.struct("block", "gram", "at", "w")).alias("v")), "vectors")
+    weight = grams.select(F.explode(F.array_distinct("all")).alias("gram")).groupBy("gram").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("w"))
     pairs = scratch.save(near_cores(keys), "near")
+    used = grams.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+    placed = used.select("key", "block", "all", F.explode(F.array_distinct("all")).alias("gram")).select("key", "block", "gram", F.array_position("all", F.col("gram")).cast("int").alias("at"))
+    weighted = attach_unique(placed, scratch.save(weight, "weights"), "gram")
+    whole = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("block", "gram", "at", "w")).alias("v"))
+    vectors = scratch.save(whole.select("key", F.transform("v", lambda x: F.struct(x["block"].alias("block"), x["gram"].alias("gram"), x["at"].alias("at"), (x["w"] / F.col("norm")).alias("w"))).alias("v")), "vectors")
     both = pairs.join(vectors.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
     same = lambda x: F.filter("vb", lambda y: (x["gram"] == y["gram"]) & (F.abs(x["at"] - y["at"]) <= 1) & (x["block"] == y["block"]))
     cosine = F.aggregate("va", F.lit(0.0), lambda s, x: F.aggregate(same(x), s, lambda z, y: z + x["w"] * y["w"]))
@@ -308,11 +417,36 @@ def average_linkage(similarity: np.ndarray, size: np.ndarray, threshold: float)
 
 def group_forms(forms: pd.DataFrame, kind: str) -> list[int]:
     """Cluster numbers of a component's forms (core, block, detail, ident, n)."""
-    n = len(forms)
+    return group_rows(list(zip(forms["core"], forms["block"], forms["detail"], forms["ident"])), forms["n"].to_numpy(), kind)
+
+
+def comparable(rows: list[tuple[str, str, str, str]]) -> Iterator[tuple[int, int]]:
+    """Numbers i > j of all rows (core, block, detail, ident) that may be permitted: those of one identifier, and those whose
+    cores are within CORE_EDITS edits, which leave the same once so many letters are left out.  Of few rows all pairs."""
+    if len(rows) <= 24:
+        yield from ((i, j) for i in range(len(rows)) for j in range(i))
+        return
+    of_core: dict[str, list[int]] = {}
+    of_ident: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        of_core.setdefault(r[0], []).append(i)
+        if r[3]:
+            of_ident.setdefault(r[3], []).append(i)
+    met: dict[str, list[str]] = {}
+    for core in of_core:
+        for left in {"".join(c for i, c in enumerate(core) if i not in out) for k in range(min(CORE_EDITS, len(core)) + 1) for out in combinations(range(len(core)), k)}:
+            met.setdefault(left, []).append(core)
+    for members in (*of_core.values(), *of_ident.values()):
+        yield from ((i, j) for n, i in enumerate(members) for j in members[:n])
+    for a, b in {(a, b) if a < b else (b, a) for cores in met.values() for a, b in combinations(cores, 2)}:
+        yield from ((i, j) if i > j else (j, i) for i in of_core[a] for j in of_core[b])
+
+
+def group_rows(rows: list[tuple[str, str, str, str]], size: np.ndarray, kind: str) -> list[int]:
+    """The same of rows (core, block, detail, ident) and how many rows each stands for."""
+    n = len(rows)
     if n == 1:
         return [0]
-    rows = list(zip(forms["core"], forms["block"], forms["detail"], forms["ident"]))
-    size = forms["n"].to_numpy()
 
     def similarity(i: int, j: int) -> float:
         x, y = rows[i], rows[j]
@@ -332,12 +466,11 @@ def group_forms(forms: pd.DataFrame, kind: str) -> list[int]:
             i = part[i]
         return i
 
-    for i in range(n):
-        for j in range(i):
-            v = similarity(i, j)
-            if v >= 0:
-                permitted[j, i] = v
-                part[max(top(i), top(j))] = min(top(i), top(j))
+    for i, j in comparable(rows):
+        v = similarity(i, j)
+        if v >= 0:
+            permitted[j, i] = v
+            part[max(top(i), top(j))] = min(top(i), top(j))
     parts: dict[int, list[int]] = {}
     for i in range(n):
         parts.setdefault(top(i), []).append(i)
@@ -403,9 +536,10 @@ def _grouped(done: pd.DataFrame, kind: str) -> Iterator[pd.DataFrame]:
     labels: list[str] = []
     names = done["component"].to_numpy()
     edges = np.flatnonzero(np.r_[True, names[1:] != names[:-1], True])
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = done.iloc[lo:hi]
-        labels += [f"{names[lo]}#{c}" for c in group_forms(part, kind)]
+    rows = list(zip(done["core"], done["block"], done["detail"], done["ident"]))
+    size = done["n"].to_numpy()
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        labels += [f"{names[lo]}#{c}" for c in group_rows(rows[lo:hi], size[lo:hi], kind)]
     yield done.assign(cluster=labels)[["key", "core", "block", "detail", "ident", "cluster"]]
 
 

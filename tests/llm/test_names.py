@@ -207,3 +207,38 @@ def test_near_cores_against_brute_force(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0] and distance(a[2], b[2]) <= 2 * S.CORE_EDITS}
     got = [(r.a, r.b) for r in S.near_cores(spark.createDataFrame(rows, "key string, block string, core string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cores_met_by_letters_left_out():
+    """Each pair within the limit once, no other, from two numbers a row; blocks stay apart."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abñ") for _ in range(rng.randrange(3, 9))) for _ in range(90)} | {"tulkenarn", "tulknearn", "utlkenarn", "tulkenar", "ulkenarnt", "tulkenarnnn"})
+    core, block = words * 2, np.repeat([3, -4], len(words))
+    for limit in (1, 2, 3):
+        h, at = (np.concatenate(x) for x in zip(*S.letters_left(np.arange(len(core)), block, core, limit)))
+        assert h.dtype == at.dtype == np.int64
+        a, b = S.met_by_letters(h, at, limit)
+
+        def distance(x, y):
+            last = list(range(len(y) + 1))
+            for i, p in enumerate(x, 1):
+                row = [i]
+                for j, q in enumerate(y, 1):
+                    row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
+                last = row
+            return last[-1]
+
+        want = [(i + k, j + k) for k in (0, len(words)) for i in range(len(words)) for j in range(i + 1, len(words)) if distance(words[i], words[j]) <= limit]
+        assert list(zip(a.tolist(), b.tolist())) == want
+    assert not len(S.met_by_letters(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 2)[0])
+
+
+def test_comparable_rows_are_all_that_may_be_permitted():
+    """No pair left out that the comparison permits, and not the square of a large component."""
+    rng = random.Random(21)
+    rows = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))), "", rng.choice("rv"), rng.choice(["", "", "x", "y"])) for _ in range(300)]
+    got = set(S.comparable(rows))
+    assert all(i > j for i, j in got)
+    assert {(i, j) for i in range(300) for j in range(i) if S.edits(rows[i][0], rows[j][0], S.CORE_EDITS) <= S.CORE_EDITS or rows[i][3] and rows[i][3] == rows[j][3]} <= got
+    far = [("".join(rng.choice("bdfgklmnprstvz") for _ in range(9)), "", "robert", "") for _ in range(20000)]
+    assert sum(1 for _ in S.comparable(far)) < 1000
